@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -124,3 +125,18 @@ def lower_table(word_bytes) -> np.ndarray:
         if word_bytes(low):
             table[c] = low
     return table
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20):
+    """Slices of whole rows of about ``limit`` bytes of text: work arrays are many times as large as the text."""
+    col = batch.column(batch.schema.get_field_index(column))
+    if not batch.num_rows:
+        return
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+    upto = np.cumsum(sizes)
+    begin = 0
+    while begin < batch.num_rows:
+        before = upto[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(upto, before + limit, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
