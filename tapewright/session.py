@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +24,23 @@ def session(app: str = "tapewright", cpus: int | None = None, partitions: int |
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the package to the executors' Python, once per application, so that queries also run where it is not installed."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        here = os.path.dirname(os.path.abspath(__file__))
+        path = os.path.join(tempfile.mkdtemp(prefix="tapewright-"), "tapewright.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for folder, _, names in os.walk(here):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(here)))
+        context.addPyFile(path)
+        _SHIPPED.add(context.applicationId)
+    return spark
