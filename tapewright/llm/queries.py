@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, mixing, quality, warc
+from . import bpe, chat, embeddings, jaccard, licenses, mixing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer() -> tuple[str, str]:
     """The public rank file and pattern that op4 and the pipeline use."""
     import public_tokenizers
@@ -46,6 +58,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_byte_bpe, op5_warc, op6_chat_formatting, op8_mix_sources, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_embedding_near_dedup, op4_byte_bpe, op5_warc, op6_chat_formatting, op7_ngram_jaccard, op8_mix_sources, op9_quality_rules, op10_license_scan)}
 
 ORACLES = {"op6_chat_formatting": chat.oracle(), "op8_mix_sources": mixing.oracle()}
