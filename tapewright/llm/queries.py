@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, jaccard, licenses, mixing, quality, toxicity, warc
+from . import bpe, chat, embeddings, jaccard, licenses, mixing, quality, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_embedding_near_dedup, op4_byte_bpe, op5_warc, op6_chat_formatting, op7_ngram_jaccard, op8_mix_sources, op9_quality_rules, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_embedding_near_dedup, op4_byte_bpe, op5_warc, op6_chat_formatting, op7_ngram_jaccard, op8_mix_sources, op9_quality_rules, op10_license_scan)}
 
 ORACLES = {"op6_chat_formatting": chat.oracle(), "op8_mix_sources": mixing.oracle()}
