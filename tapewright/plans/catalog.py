@@ -1,6 +1,879 @@
-"""Registry of the engine's queries and their SQL oracles."""
+"""Registry of the engine's queries over the driver's tables, each with DuckDB SQL for the same rows.
+
+Every query runs over its whole tables. Constants are parameters of the operators, written once and put into both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..operators import features, fills, lookups, metrics, oos, quality, replay, risk, screen
+from ..sources import files
+from ..sources import views as V
+from ..streaming import observe
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+HOUR, DAY = V.HOUR_NS, V.DAY_NS
+#: The requested interval of the event tables: 30 days from 2024-01-01.
+START = 1_704_067_200_000_000_000
+END = START + 30 * DAY
+INSTRUMENTS = 5
+
+
+def query(oracle: str | None = None, views: tuple[str, ...] = ()):
+    """Register a query under its function's name; ``oracle`` is SQL over the named views."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = V.sql(oracle, *views)
+        return f
+
+    return add
+
+
+def r6(*names: str):
+    return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
+
+
+# ---- scans, filters, plans ----
+
+
+@query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '1995-01-01'")
+def scan_filter(spark, d):
+    return files.scan(spark, [f"{d}/lineitem.parquet"], ("l_orderkey", "l_partkey", "l_quantity"), "l_quantity > ? AND l_returnflag = ? AND l_shipdate >= timestamp '1995-01-01'", (30.0, "R"))
+
+
+@query(f"SELECT instrument_id, ingest_id, event_time_ns FROM canon WHERE receive_time_ns <= {START + 10 * DAY}", ("canon",))
+def point_in_time(spark, d):
+    return files.point_in_time(V.canon(spark, d), F.lit(START + 10 * DAY)).select("instrument_id", "ingest_id", "event_time_ns")
+
+
+@query(f"SELECT ingest_id, event_time_ns FROM canon WHERE event_time_ns >= {START + DAY} AND event_time_ns < {START + 3 * DAY}", ("canon",))
+def half_open_range(spark, d):
+    return files.in_range(V.canon(spark, d), START + DAY, START + 3 * DAY).select("ingest_id", "event_time_ns")
+
+
+@query("SELECT ingest_id, event_time_ns, price FROM canon WHERE instrument_id = 'purchase' ORDER BY event_time_ns, sequence LIMIT 100", ("canon",))
+def archive_limit(spark, d):
+    return V.canon(spark, d).where("instrument_id = 'purchase'").orderBy("event_time_ns", "sequence").select("ingest_id", "event_time_ns", "price").limit(100)
+
+
+@query("SELECT DISTINCT instrument_id FROM canon", ("canon",))
+def distinct_instruments(spark, d):
+    return V.canon(spark, d).select("instrument_id").distinct()
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM dirty GROUP BY 1 UNION ALL SELECT instrument_id, count(*) FROM dirty GROUP BY 1", ("dirty",))
+def event_histogram(spark, d):
+    c = V.canon_dirty(spark, d)
+    two = c.groupingSets([["event_type"], ["instrument_id"]], "event_type", "instrument_id").agg(F.count("*").alias("n"))
+    return two.select(F.coalesce("event_type", "instrument_id").alias("kind"), "n")
+
+
+ROW = ["source", "venue", "instrument_id", "event_type", "event_time_ns", "sequence", "ingest_id", "receive_time_ns", "price", "size"]
+
+
+def _twice(spark, d):
+    c = V.canon_dirty(spark, d)
+    return c.unionByName(c.where("arrival_ord % 7 = 0"))
+
+
+@query("SELECT ingest_id, event_time_ns, price, (1 + (arrival_ord % 7 = 0)::INT)::BIGINT AS copies FROM dirty", ("dirty",))
+def dedup_identity(spark, d):
+    kept, _ = lookups.dedup_rows(_twice(spark, d), ROW)
+    return kept.select("ingest_id", "event_time_ns", "price", "copies")
+
+
+@query("SELECT ingest_id, 2::BIGINT AS variants FROM dirty WHERE arrival_ord % 11 = 0", ("dirty",))
+def dedup_conflicts(spark, d):
+    c = V.canon_dirty(spark, d)
+    _, bad = lookups.dedup_rows(c.unionByName(c.where("arrival_ord % 11 = 0").withColumn("price", F.col("price") + 1)), ROW)
+    return bad.select("ingest_id", "variants")
+
+
+@query(f"SELECT 'chunk-' || lpad(i::VARCHAR, 6, '0') AS chunk_id, {START} + i * {7 * HOUR} AS start_ns, least({START} + (i + 1) * {7 * HOUR}, {END}) AS end_ns FROM range({math.ceil(30 * DAY / (7 * HOUR))}) t(i)")
+def chunk_plan(spark, d):
+    return lookups.chunk_plan(spark, START, END, 7 * HOUR)
+
+
+@query(f"SELECT 'chunk-' || lpad(i::VARCHAR, 6, '0') AS chunk_id, {START} + i * {DAY} AS start_ns, {START} + (i + 1) * {DAY} AS end_ns FROM range(30) t(i) WHERE i IN (4, 10, 30)")
+def dataset_cover(spark, d):
+    plan = lookups.chunk_plan(spark, START, END, DAY)
+    return lookups.cover_problems(plan.where("chunk_id NOT IN ('chunk-000003', 'chunk-000009')"), START, END)
+
+
+@query(
+    f"""SELECT chunk_id, CASE WHEN start_ns IS NULL THEN 'unplanned' WHEN r.n IS NULL THEN 'missing' ELSE 'different' END AS problem
+FROM (SELECT 'chunk-' || lpad(i::VARCHAR, 6, '0') AS chunk_id, {START} + i * {DAY} AS start_ns,
+        (SELECT count(*) FROM canon WHERE event_time_ns // {DAY} = {START // DAY} + i) AS n FROM range(30) t(i)) p
+FULL JOIN (SELECT 'chunk-' || lpad((event_time_ns // {DAY} - {START // DAY})::VARCHAR, 6, '0') AS chunk_id, count(*) AS n FROM canon WHERE arrival_ord % 997 <> 0 GROUP BY 1) r USING (chunk_id)
+WHERE r.n IS DISTINCT FROM p.n""",
+    ("canon",),
+)
+def chunk_receipts(spark, d):
+    c = V.canon(spark, d).withColumn("chunk_id", F.format_string("chunk-%06d", F.expr(f"event_time_ns div {DAY} - {START // DAY}")))
+    plan = lookups.chunk_plan(spark, START, END, DAY).join(c.groupBy("chunk_id").agg(F.count("*").alias("rows")), "chunk_id", "left").fillna({"rows": 0})
+    return lookups.chunk_receipts(plan, c.where("arrival_ord % 997 <> 0").groupBy("chunk_id").agg(F.count("*").alias("rows")))
+
+
+@query("SELECT source, count(*) AS n, min(event_time_ns) AS first_ns, max(event_time_ns) AS last_ns, count(DISTINCT instrument_id) AS instruments FROM dirty GROUP BY 1", ("dirty",))
+def coverage_manifest(spark, d):
+    return lookups.coverage(V.canon_dirty(spark, d))
+
+
+@query("SELECT count(*) AS n, sum(('0x' || substr(sha256(ingest_id || '|' || event_time_ns::VARCHAR), 1, 15))::HUGEINT)::VARCHAR AS digest FROM dirty", ("dirty",))
+def order_free_digest(spark, d):
+    return lookups.order_free_digest(V.canon_dirty(spark, d), ["ingest_id", "event_time_ns"])
+
+
+@query("SELECT o_orderkey, o_totalprice AS old, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 END AS new FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 9 = 0")
+def key_diff(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    after = o.where("NOT (o_orderkey % 9 = 0 AND o_orderkey % 5 <> 0)").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return lookups.key_diff(o, after, "o_orderkey", "o_totalprice")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def subset_missing(spark, d):
+    c = V.table(spark, d, "customer").select("c_custkey")
+    return lookups.missing_from(c, V.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT o_orderkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R' AND l_quantity >= 45)")
+def prior_gate(spark, d):
+    passed = V.table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45")
+    o = V.table(spark, d, "orders")
+    return o.join(passed, o["o_orderkey"] == passed["l_orderkey"], "left_semi").select("o_orderkey")
+
+
+# ---- quality ----
+
+
+@query(
+    """SELECT arrival_ord, ingest_id FROM (SELECT *, lag(e) OVER w AS pe, lag(s) OVER w AS ps, lag(r) OVER w AS pr, lag(ingest_id) OVER w AS pi
+  FROM (SELECT *, event_time_ns AS e, sequence AS s, receive_time_ns AS r FROM dirty) WINDOW w AS (ORDER BY arrival_ord, ingest_id))
+WHERE pe IS NOT NULL AND (e, s, r, ingest_id) < (pe, ps, pr, pi)""",
+    ("dirty",),
+)
+def quality_timestamp_disorder(spark, d):
+    return quality.timestamp_disorder(V.canon_dirty(spark, d), block=4096)
+
+
+@query(
+    """SELECT arrival_ord, ingest_id FROM (SELECT *, lag(receive_time_ns) OVER (ORDER BY event_time_ns, sequence, receive_time_ns, ingest_id, arrival_ord) AS p FROM dirty) WHERE receive_time_ns < p""",
+    ("dirty",),
+)
+def quality_receive_time_inversion(spark, d):
+    return quality.receive_time_inversion(V.canon_dirty(spark, d))
+
+
+@query(
+    """SELECT arrival_ord, ingest_id, first_ingest_id FROM (SELECT *, row_number() OVER w AS rn, first(ingest_id) OVER w AS first_ingest_id FROM dirty
+  WINDOW w AS (PARTITION BY source, venue, instrument_id, event_type, event_time_ns, sequence ORDER BY receive_time_ns, ingest_id, arrival_ord)) WHERE rn > 1""",
+    ("dirty",),
+)
+def quality_duplicates(spark, d):
+    return quality.duplicates(V.canon_dirty(spark, d))
+
+
+@query("SELECT arrival_ord, ingest_id FROM dirty WHERE event_time_ns IS NULL OR receive_time_ns IS NULL", ("dirty",))
+def quality_timezone(spark, d):
+    return V.canon_dirty(spark, d).where("event_time_ns IS NULL OR receive_time_ns IS NULL").select("arrival_ord", "ingest_id")
+
+
+@query("SELECT arrival_ord, ingest_id FROM dirty WHERE receive_time_ns < event_time_ns", ("dirty",))
+def quality_negative_receive_latency(spark, d):
+    return quality.negative_receive_latency(V.canon_dirty(spark, d))
+
+
+@query("SELECT arrival_ord, ingest_id, 'price' AS field FROM dirty WHERE price <= 0 UNION ALL SELECT arrival_ord, ingest_id, 'size' FROM dirty WHERE size < 0", ("dirty",))
+def quality_invalid_price_size(spark, d):
+    return quality.invalid_price_size(V.canon_dirty(spark, d))
+
+
+@query(
+    f"""SELECT instrument_id, event_time_ns FROM (SELECT instrument_id, event_time_ns // {HOUR} * {HOUR} AS event_time_ns,
+  max(price) FILTER (arrival_ord % 2 = 0) AS bid, min(price) FILTER (arrival_ord % 2 = 1) AS ask FROM canon GROUP BY 1, 2) WHERE bid >= ask""",
+    ("canon",),
+)
+def quality_crossed_book(spark, d):
+    return quality.crossed_book(V.books(spark, d)).select("instrument_id", "event_time_ns")
+
+
+W_STREAM = "WINDOW w AS (PARTITION BY instrument_id, event_type ORDER BY event_time_ns, sequence, receive_time_ns, ingest_id, arrival_ord)"
+
+
+@query(f"SELECT instrument_id, arrival_ord, ingest_id, prev, sequence FROM (SELECT *, lag(sequence) OVER w AS prev FROM dirty {W_STREAM}) WHERE sequence > prev + 1", ("dirty",))
+def quality_sequence_gaps(spark, d):
+    return quality.sequence_gaps(V.canon_dirty(spark, d))
+
+
+GAPS = f"""SELECT instrument_id, prev, event_time_ns, CASE
+  WHEN (prev - {START}) // {DAY} % 7 IN (5, 6) AND (event_time_ns - {START}) // {DAY} % 7 IN (5, 6) AND (event_time_ns - {START}) // {7 * DAY} = (prev - {START}) // {7 * DAY} THEN 'session_gaps'
+  WHEN prev >= {START + 8 * DAY} AND event_time_ns <= {START + 10 * DAY} THEN 'roll_gaps' ELSE 'missing_intervals' END AS code
+FROM (SELECT *, lag(event_time_ns) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS prev FROM (SELECT * FROM bars_h WHERE trades % 3 <> 1)) WHERE event_time_ns - prev > {HOUR}"""
+
+
+def _gaps(spark, d):
+    sessions = spark.createDataFrame([(START + (7 * k + 5) * DAY, START + (7 * k + 7) * DAY - 1) for k in range(5)], "start_ns long, end_ns long")
+    rolls = spark.createDataFrame([(START + 8 * DAY, START + 10 * DAY)], "start_ns long, end_ns long")
+    return quality.interval_gaps(V.bars(spark, d, HOUR).where("trades % 3 <> 1"), HOUR, sessions, rolls)
+
+
+for _code in ("missing_intervals", "session_gaps", "roll_gaps"):
+
+    def _gap_query(spark, d, code=_code):
+        return _gaps(spark, d).where(F.col("code") == code)
+
+    _gap_query.__name__ = f"quality_{_code}"
+    query(f"SELECT * FROM ({GAPS}) WHERE code = '{_code}'", ("bars_h",))(_gap_query)
+
+
+@query(f"SELECT instrument_id, arrival_ord, ingest_id FROM (SELECT *, lag(receive_time_ns) OVER w AS p FROM dirty {W_STREAM}) WHERE receive_time_ns - p > {2 * HOUR}", ("dirty",))
+def quality_stale_book(spark, d):
+    return quality.stale_book(V.canon_dirty(spark, d), 2 * HOUR, ("trade",))
+
+
+@query("SELECT instrument_id, event_time_ns FROM (SELECT *, lag(close) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS p FROM bars_h) WHERE p <> 0 AND abs(close / p - 1) > 0.5", ("bars_h",))
+def quality_outliers(spark, d):
+    return quality.outliers(V.bars(spark, d, HOUR))
+
+
+@query(f"SELECT instrument_id, side FROM (SELECT instrument_id, min(event_time_ns) AS lo, max(event_time_ns) AS hi FROM dirty GROUP BY 1), (VALUES ('start'), ('end')) t(side) WHERE (side = 'start' AND lo > {START}) OR (side = 'end' AND hi < {END - HOUR})", ("dirty",))
+def quality_provider_truncation(spark, d):
+    return quality.provider_truncation(V.canon_dirty(spark, d), START, quality.half_open_end(END, HOUR))
+
+
+@query(None)
+def quality_summary(spark, d):
+    hits = {c: QUERIES[f"quality_{c}"](spark, d) for c in quality.SEVERITY}
+    return quality.quality_summary(hits)
+
+
+# ---- features ----
+
+
+@query("SELECT instrument_id, event_time_ns, round(close / lag(close) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) - 1, 6) AS return_1 FROM bars_h", ("bars_h",))
+def bar_features(spark, d):
+    return features.bar_returns(V.bars(spark, d, HOUR)).select("instrument_id", "event_time_ns", *r6("return_1"))
+
+
+LOOKBACKS = (5, 10, 20)
+
+
+def _screen_sql(signal: str, variants: str) -> str:
+    return f""", x AS (SELECT v.variant_id, v.lookback, v.entry_z, instrument_id, event_time_ns, close,
+    coalesce(close / lag(close) OVER w - 1, 0) AS ret, row_number() OVER w AS rn FROM bars_h, {variants} WINDOW w AS (PARTITION BY v.variant_id, instrument_id ORDER BY event_time_ns)),
+s AS ({signal}),
+t AS (SELECT *, coalesce(lag(signal) OVER w, 0) AS prev FROM s WINDOW w AS (PARTITION BY variant_id, instrument_id ORDER BY event_time_ns)),
+n AS (SELECT variant_id, instrument_id, prev * ret AS gross, abs(signal - prev) AS turn, prev * ret - abs(signal - prev) * 0.001 AS net FROM t)
+SELECT variant_id, instrument_id, count(*) AS observations, round(sum(gross), 6) AS gross_return, round(sum(turn) * 0.001, 6) AS cost_return,
+  round(sum(net), 6) AS net_return, round(sum(turn), 6) AS turnover, round(avg(net) / nullif(stddev_pop(net), 0) * sqrt(252), 6) AS sharpe FROM n GROUP BY 1, 2"""
+
+
+def _framed(f: str, column: str = "close") -> str:
+    return " ".join(f"WHEN {n} THEN CASE WHEN rn > {n} THEN {f}({column}) OVER (PARTITION BY variant_id, instrument_id ORDER BY event_time_ns ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END" for n in LOOKBACKS)
+
+
+DONCHIAN = f"""SELECT * REPLACE (coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY variant_id, instrument_id ORDER BY event_time_ns), 0) AS signal) FROM (
+  SELECT *, CASE WHEN close > hi THEN 1.0 WHEN close < lo THEN -1.0 END::DOUBLE AS signal FROM (
+    SELECT *, CASE lookback {_framed('max')} END AS hi, CASE lookback {_framed('min')} END AS lo FROM x))"""
+REVERSION = f"""SELECT *, coalesce(CASE WHEN z <= -entry_z THEN 1.0 WHEN z >= entry_z THEN -1.0 ELSE 0.0 END, 0.0)::DOUBLE AS signal FROM (
+  SELECT *, (close - m) / nullif(sd, 0) AS z FROM (SELECT *, CASE lookback {_framed('avg')} END AS m, CASE lookback {_framed('stddev_pop')} END AS sd FROM x))"""
+
+
+def _scored(x):
+    return screen.score(x).select("variant_id", "instrument_id", "observations", *r6("gross_return", "cost_return", "net_return", "turnover", "sharpe"))
+
+
+def _variants(spark, rows):
+    return spark.createDataFrame(rows, "variant_id int, lookback int, entry_z double")
+
+
+def _screen_oracle(signal, rows):
+    values = ", ".join(f"({a}, {b}, {c}::DOUBLE)" for a, b, c in rows)
+    body = _screen_sql(signal, f"(VALUES {values}) v(variant_id, lookback, entry_z)")
+    return "WITH canon AS (" + V.CANON_SQL + "), bars_h AS (" + V.bars_sql(HOUR) + ")" + body
+
+
+DONCHIAN_ROWS = [(0, 5, 0.0), (1, 10, 0.0), (2, 20, 0.0)]
+REVERSION_ROWS = [(0, 5, 1.0), (1, 10, 1.0), (2, 20, 1.5)]
+
+
+@query()
+def screen_donchian(spark, d):
+    return _scored(screen.signals(V.bars(spark, d, HOUR), _variants(spark, DONCHIAN_ROWS), "donchian", lookbacks=list(LOOKBACKS)))
+
+
+@query()
+def screen_mean_reversion(spark, d):
+    return _scored(screen.signals(V.bars(spark, d, HOUR), _variants(spark, REVERSION_ROWS), "mean_reversion", lookbacks=list(LOOKBACKS)))
+
+
+@query()
+def screen_buy_hold(spark, d):
+    return _scored(screen.signals(V.bars(spark, d, HOUR), _variants(spark, [(0, 0, 0.0)]), "buy_hold"))
+
+
+ORACLES |= {
+    "screen_donchian": _screen_oracle(DONCHIAN, DONCHIAN_ROWS),
+    "screen_mean_reversion": _screen_oracle(REVERSION, REVERSION_ROWS),
+    "screen_buy_hold": _screen_oracle("SELECT *, 1.0::DOUBLE AS signal FROM x", [(0, 0, 0.0)]),
+}
+
+
+@query()
+def screen_random(spark, d):
+    return _scored(screen.random_signals(V.bars(spark, d, HOUR), [7, 8], 720))
+
+
+def _curve(spark, d):
+    """Equity of holding one unit of each instrument's daily close, as a share of its first."""
+    b = V.bars(spark, d, DAY)
+    w = W.partitionBy("instrument_id").orderBy("event_time_ns")
+    return b.select("instrument_id", "event_time_ns", (F.lit(1000.0) * F.col("close") / F.first("close").over(w)).alias("equity"))
+
+
+CURVE = "curve AS (SELECT instrument_id, event_time_ns, 1000.0 * close / first(close) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS equity FROM bars_d)"
+
+
+@query()
+def drawdown_curve(spark, d):
+    return features.drawdowns(_curve(spark, d), ["instrument_id"]).select("instrument_id", "event_time_ns", *r6("peak", "drawdown"), "run")
+
+
+DRAWDOWN = f"""dd AS (SELECT *, (peak - equity) / peak AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY instrument_id ORDER BY event_time_ns ROWS UNBOUNDED PRECEDING) AS peak FROM curve)),
+runs AS (SELECT *, sum((drawdown > 0)::INT) OVER (PARTITION BY instrument_id, g ORDER BY event_time_ns ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (SELECT *, sum((drawdown <= 0)::INT) OVER (PARTITION BY instrument_id ORDER BY event_time_ns ROWS UNBOUNDED PRECEDING) AS g FROM dd))"""
+_D = "WITH canon AS (" + V.CANON_SQL + "), bars_d AS (" + V.bars_sql(DAY) + "), " + CURVE
+ORACLES["drawdown_curve"] = f"{_D}, {DRAWDOWN} SELECT instrument_id, event_time_ns, round(peak, 6) AS peak, round(drawdown, 6) AS drawdown, run FROM runs"
+
+
+@query(
+    """SELECT variant, place, obs, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY total, obs) AS place FROM (
+  SELECT variant, obs, sum(ret) OVER w AS total, count(*) OVER w AS k FROM rets WINDOW w AS (PARTITION BY variant ORDER BY obs ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)) WHERE k = 5) WHERE place <= 3""",
+    ("rets",),
+)
+def worst_windows(spark, d):
+    return features.worst_windows(V.returns_long(spark, d), ["variant"]).select("variant", "place", "obs", *r6("total"))
+
+
+@query(
+    """SELECT variant, round(abs(avg(ret)), 6) AS expected_shortfall FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY ret, obs) AS rn, count(*) OVER (PARTITION BY variant) AS n FROM rets)
+WHERE rn <= greatest(1, ceil(n * 0.05)) GROUP BY 1""",
+    ("rets",),
+)
+def expected_shortfall(spark, d):
+    return features.expected_shortfall(V.returns_long(spark, d), ["variant"]).select("variant", *r6("expected_shortfall"))
+
+
+@query(
+    """SELECT variant, n, round(rho, 6) AS rho, round(least(n, greatest(2.0, n * (1 - rho) / (1 + rho))), 6) AS effective_n FROM (
+  SELECT variant, count(ret) AS n, least(0.99, greatest(-0.99, corr(ret, prev))) AS rho FROM (SELECT *, lag(ret) OVER (PARTITION BY variant ORDER BY obs) AS prev FROM rets) GROUP BY 1)""",
+    ("rets",),
+)
+def autocorr_ess(spark, d):
+    return features.autocorrelation(V.returns_long(spark, d), ["variant"]).select("variant", "n", *r6("rho", "effective_n"))
+
+
+@query()
+def equity_sampling(spark, d):
+    return features.sampled(_curve(spark, d), 7, keys=("instrument_id",)).select("instrument_id", "event_time_ns", F.col("idx").cast("long").alias("idx"), *r6("equity"))
+
+
+ORACLES["equity_sampling"] = f"""{_D} SELECT instrument_id, event_time_ns, idx, round(equity, 6) AS equity FROM (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY event_time_ns) - 1 AS idx, count(*) OVER (PARTITION BY instrument_id) - 1 AS l FROM curve) WHERE idx % 7 = 0 OR idx = l"""
+
+
+@query(f"SELECT instrument_id, event_time_ns, event_time_ns // {DAY} AS utc_day, round(close, 6) AS close, round(first(close) OVER (PARTITION BY instrument_id, event_time_ns // {DAY} ORDER BY event_time_ns), 6) AS day_start FROM bars_h", ("bars_h",))
+def utc_day_baseline(spark, d):
+    b = V.bars(spark, d, HOUR).select("instrument_id", "event_time_ns", "close")
+    return features.day_baseline(b, "close", ("instrument_id",)).select("instrument_id", "event_time_ns", "utc_day", *r6("close", "day_start"))
+
+
+@query(f"SELECT instrument_id, round(median(gap), 6) AS median_ns, round({365.25 * 86400 * 1e9} / median(gap), 6) AS periods FROM (SELECT instrument_id, event_time_ns - lag(event_time_ns) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS gap FROM (SELECT DISTINCT instrument_id, event_time_ns FROM canon)) WHERE gap IS NOT NULL GROUP BY 1", ("canon",))
+def periods_per_year(spark, d):
+    return features.periods_per_year(V.canon(spark, d), keys=("instrument_id",)).select("instrument_id", *r6("median_ns", "periods"))
+
+
+@query(
+    """SELECT p.user_id, p.ingest_id, p.event_time_ns, v.ingest_id AS as_of_ingest_id, v.event_time_ns AS as_of_time
+FROM (SELECT * FROM canon WHERE instrument_id = 'purchase') p ASOF LEFT JOIN (SELECT * FROM canon WHERE instrument_id = 'view') v ON p.user_id = v.user_id AND p.event_time_ns > v.event_time_ns""",
+    ("canon",),
+)
+def asof_mark(spark, d):
+    c = V.canon(spark, d)
+    left = c.where("instrument_id = 'purchase'").select("user_id", "ingest_id", "event_time_ns")
+    right = c.where("instrument_id = 'view'").select("user_id", "ingest_id", "event_time_ns")
+    return features.as_of(left, right, ["user_id"], "event_time_ns", "event_time_ns", ["ingest_id"])
+
+
+def _contracts(spark, d):
+    """Daily bars of two contracts of a series (a customer tier): the volumes of the events' hours stand for contracts."""
+    b = V.bars(spark, d, HOUR).where(F.col("instrument_id").isin("purchase", "view"))
+    both = W.partitionBy("event_time_ns")
+    b = b.withColumn("k", F.count(F.lit(1)).over(both)).where("k = 2")
+    return b.select(F.lit("web").alias("series"), "instrument_id", "event_time_ns", "close", "volume")
+
+
+@query()
+def volume_roll(spark, d):
+    return features.volume_roll(_contracts(spark, d)).select("series", "event_time_ns", "instrument_id", "rolled", *r6("raw_close"))
+
+
+@query()
+def back_adjust(spark, d):
+    return features.volume_roll(_contracts(spark, d)).select("series", "event_time_ns", *r6("roll_adjustment", "signal_close"))
+
+
+ROLL = f"""WITH RECURSIVE canon AS ({V.CANON_SQL}), bars_h AS ({V.bars_sql(HOUR)}),
+t AS (SELECT event_time_ns, row_number() OVER (ORDER BY event_time_ns) AS i,
+    max(close) FILTER (instrument_id = 'purchase') AS cp, max(close) FILTER (instrument_id = 'view') AS cv,
+    max(volume) FILTER (instrument_id = 'purchase') AS vp, max(volume) FILTER (instrument_id = 'view') AS vv
+  FROM bars_h WHERE instrument_id IN ('purchase', 'view') GROUP BY 1 HAVING count(*) = 2),
+m(i, cur, wins, rolled, adj) AS (
+  SELECT 1::BIGINT, CASE WHEN vp > vv THEN 'purchase' ELSE 'view' END, 0, false, 0.0::DOUBLE FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.i, CASE WHEN beat AND wins = 1 THEN other ELSE cur END, CASE WHEN beat AND wins = 0 THEN 1 ELSE 0 END, beat AND wins = 1,
+    adj + CASE WHEN beat AND wins = 1 THEN CASE cur WHEN 'view' THEN cv - cp ELSE cp - cv END ELSE 0 END
+  FROM (SELECT t.*, m.cur, m.wins, m.adj, CASE m.cur WHEN 'view' THEN 'purchase' ELSE 'view' END AS other,
+          CASE m.cur WHEN 'view' THEN vp > vv ELSE vv > vp END AS beat FROM t JOIN m ON t.i = m.i + 1) t)
+SELECT 'web' AS series, event_time_ns, {{}} FROM m JOIN t USING (i)"""
+ORACLES["volume_roll"] = ROLL.format("cur AS instrument_id, rolled, round(CASE cur WHEN 'view' THEN cv ELSE cp END, 6) AS raw_close")
+ORACLES["back_adjust"] = ROLL.format("round(adj, 6) AS roll_adjustment, round(CASE cur WHEN 'view' THEN cv ELSE cp END + adj, 6) AS signal_close")
+
+
+# ---- joins and lookups ----
+
+
+@query(
+    f"""SELECT count(*) AS matches, round(max(abs(close / m - 1) * 10000), 6) AS max_bps, CASE WHEN max(abs(close / m - 1) * 10000) <= 10 THEN 'pass' ELSE 'fail' END AS status
+FROM bars_d JOIN (SELECT instrument_id, event_time_ns // {DAY} * {DAY} AS event_time_ns, avg(price) AS m FROM canon GROUP BY 1, 2) USING (instrument_id, event_time_ns)""",
+    ("bars_d",),
+)
+def cross_check_bps(spark, d):
+    ref = V.canon(spark, d).groupBy("instrument_id", F.expr(f"event_time_ns div {DAY} * {DAY}").alias("event_time_ns")).agg(F.avg("price").alias("close"), F.lit(0).alias("ord"))
+    return lookups.cross_check_bps(V.bars(spark, d, DAY), ref, ["instrument_id", "event_time_ns"]).select("matches", *r6("max_bps"), "status")
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * coalesce(p_size, 1), 6) AS notional FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+def multiplier_lookup(spark, d):
+    li = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), F.col("l_extendedprice").alias("price"), F.lit(1.0).alias("quantity"))
+    parts = V.table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("multiplier"))
+    return lookups.multiplier_notional(li, parts, "p_partkey").select("l_orderkey", "l_linenumber", *r6("notional"))
+
+
+@query(
+    """SELECT o_orderkey AS intent_id, epoch_us(o_orderdate) * 1000 AS decision_ns, min(epoch_us(l_shipdate) * 1000) FILTER (l_shipdate > o_orderdate) AS receive_ns,
+  (min(epoch_us(l_shipdate) * 1000) FILTER (l_shipdate > o_orderdate)) - epoch_us(o_orderdate) * 1000 AS latency_ns FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2"""
+)
+def first_evidence(spark, d):
+    o = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderkey").alias("intent_id"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) * 1000).alias("decision_ns"))
+    li = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.unix_micros(F.col("l_shipdate").cast("timestamp")) * 1000).alias("receive_ns"), F.col("l_linenumber").alias("evidence_id"), F.col("l_extendedprice").alias("price"))
+    return fills.first_evidence(o, li, "k").select("intent_id", "decision_ns", "receive_ns", "latency_ns")
+
+
+@query(
+    """SELECT o_orderpriority, latency_ns AS p95_ns FROM (SELECT o_orderpriority, latency_ns, row_number() OVER (PARTITION BY o_orderpriority ORDER BY latency_ns) AS rn, count(*) OVER (PARTITION BY o_orderpriority) AS n
+  FROM (SELECT o_orderpriority, epoch_us(l_shipdate) * 1000 - epoch_us(o_orderdate) * 1000 AS latency_ns FROM orders JOIN lineitem ON l_orderkey = o_orderkey)) WHERE rn - 1 = floor(0.95 * (n - 1))::BIGINT"""
+)
+def latency_p95(spark, d):
+    o = V.table(spark, d, "orders")
+    li = V.table(spark, d, "lineitem")
+    ns = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
+    j = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select("o_orderpriority", (ns("l_shipdate") - ns("o_orderdate")).alias("latency_ns"))
+    w = W.partitionBy("o_orderpriority")
+    j = j.select("*", F.row_number().over(w.orderBy("latency_ns")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
+    return j.where(F.col("rn") - 1 == F.floor(0.95 * (F.col("n") - 1))).select("o_orderpriority", F.col("latency_ns").alias("p95_ns"))
+
+
+@query("SELECT start_ns, end_ns FROM (SELECT event_time_ns AS start_ns, receive_time_ns AS end_ns FROM dirty) WHERE " + " OR ".join(f"(start_ns >= {START + k * DAY} AND end_ns <= {START + k * DAY + 6 * HOUR})" for k in range(0, 30, 5)), ("dirty",))
+def interval_containment(spark, d):
+    allowed = spark.createDataFrame([(START + k * DAY, START + k * DAY + 6 * HOUR) for k in range(0, 30, 5)], "start_ns long, end_ns long")
+    return lookups.contained_in(V.canon_dirty(spark, d).select(F.col("event_time_ns").alias("start_ns"), F.col("receive_time_ns").alias("end_ns")), allowed)
+
+
+@query()
+def cost_asof(spark, d):
+    costs = V.canon(spark, d).where("arrival_ord % 3 = 0").select("instrument_id", "event_time_ns", (F.col("price") * 0.001).alias("amount"))
+    return lookups.cumulative_costs(_curve(spark, d), costs, ["instrument_id"]).select("instrument_id", "event_time_ns", *r6("costs", "gross_equity"))
+
+
+ORACLES["cost_asof"] = f"""{_D} SELECT instrument_id, event_time_ns, round(costs, 6) AS costs, round(equity + costs, 6) AS gross_equity FROM (
+SELECT c.instrument_id, c.event_time_ns, any_value(c.equity) AS equity, coalesce(sum(k.price * 0.001), 0) AS costs FROM curve c LEFT JOIN (SELECT * FROM canon WHERE arrival_ord % 3 = 0) k
+ON k.instrument_id = c.instrument_id AND k.event_time_ns <= c.event_time_ns GROUP BY 1, 2)"""
+
+
+# ---- fills and costs ----
+
+LADDER = "SELECT l_partkey AS book_id, l_extendedprice / l_quantity AS price, l_quantity AS size, l_orderkey, l_linenumber FROM lineitem"
+WALK = f"""w AS (SELECT *, greatest(0, least(size, 100 - coalesce(sum(size) OVER (PARTITION BY book_id ORDER BY price, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS fill FROM ({LADDER}))"""
+
+
+def _walked(spark, d):
+    return fills.depth_walk(V.ladder(spark, d), 100.0, ties=("l_orderkey", "l_linenumber"))
+
+
+@query(f"WITH {WALK} SELECT book_id, round(sum(fill), 6) AS filled, round(100 - sum(fill), 6) AS remaining, round(sum(fill * price) / sum(fill), 6) AS vwap, count(*) AS levels, CASE WHEN 100 - sum(fill) <= 1e-9 THEN 'filled' ELSE 'partial_rejected' END AS status FROM w WHERE fill > 0 GROUP BY 1")
+def depth_walk(spark, d):
+    return fills.walk_summary(_walked(spark, d), 100.0).select("book_id", *r6("filled", "remaining", "vwap"), "levels", "status")
+
+
+@query(f"WITH {WALK}, m AS (SELECT book_id, min(price) AS best FROM w GROUP BY 1) SELECT book_id, l_orderkey, l_linenumber, round(abs(price * fill) * 0.001, 9) AS fee, round(greatest(0, (price - best) * fill), 9) AS spread, 0.0::DOUBLE AS slippage, round(abs(price * fill) * 5 / 10000, 9) AS impact FROM w JOIN m USING (book_id) WHERE fill > 0")
+def cost_model(spark, d):
+    f = _walked(spark, d)
+    f = f.withColumn("best", F.min("price").over(W.partitionBy("book_id")))
+    c = fills.linear_costs(F.col("price"), F.col("fill"), F.col("best"), F.lit(True), impact_bps=5.0)
+    return f.select("book_id", "l_orderkey", "l_linenumber", *[F.round(v, 9).alias(k) for k, v in c.items()])
+
+
+@query(f"WITH {WALK} SELECT 'fees' AS component, round(sum(price * fill) * 0.001, 2) AS total FROM w WHERE fill > 0 UNION ALL SELECT 'impact', round(sum(price * fill) * 0.0005, 2) FROM w WHERE fill > 0")
+def cost_totals(spark, d):
+    f = _walked(spark, d)
+    c = fills.linear_costs(F.col("price"), F.col("fill"), None, F.lit(True), impact_bps=5.0)
+    t = f.agg(F.sum(c["fee"]).alias("fees"), F.sum(c["impact"]).alias("impact"))
+    return t.unpivot([], ["fees", "impact"], "component", "total").select("component", F.round("total", 2).alias("total"))
+
+
+@query(
+    """SELECT instrument_id, event_time_ns, round(no * 1.0005, 6) AS price, round(coalesce(least(20, nv * 0.1), 0), 6) AS filled, round(20 - coalesce(least(20, nv * 0.1), 0), 6) AS remaining,
+  round(abs(no * 1.0005 - no) * coalesce(least(20, nv * 0.1), 0), 6) AS slippage, round(no * 1.0005 * coalesce(least(20, nv * 0.1), 0) * 0.001, 6) AS fee,
+  CASE WHEN no IS NULL THEN 'no subsequent fill evidence' WHEN nv = 0 THEN 'bar volume is zero' WHEN least(20, nv * 0.1) < 20 THEN 'bar participation cap' ELSE '' END AS reason
+FROM (SELECT *, lead(open) OVER w AS no, lead(volume) OVER w AS nv FROM bars_h WINDOW w AS (PARTITION BY instrument_id ORDER BY event_time_ns))""",
+    ("bars_h",),
+)
+def next_bar_fill(spark, d):
+    return fills.next_bar_fill(V.bars(spark, d, HOUR), 20.0).select("instrument_id", "event_time_ns", *r6("price", "filled", "remaining", "slippage", "fee"), "reason")
+
+
+@query(
+    f"""SELECT book_id, round(lp, 6) AS price, round(a, 6) AS available, round(least(10, a * 0.375), 6) AS filled, round(10 - least(10, a * 0.375), 6) AS remaining, CASE WHEN a <= 0 THEN 'no evidence' WHEN least(10, a * 0.375) >= 10 THEN 'filled' ELSE 'partial' END AS status
+FROM (SELECT book_id, lp, coalesce(sum(size) FILTER (price <= lp), 0) AS a FROM (SELECT *, p_retailprice AS lp FROM ({LADDER}) JOIN (SELECT p_partkey, p_size + 900.0 AS p_retailprice FROM part) ON p_partkey = book_id) GROUP BY 1, 2)"""
+)
+def limit_fill(spark, d):
+    limits = V.table(spark, d, "part").select(F.col("p_partkey").alias("book_id"), (F.col("p_size") + 900.0).alias("limit_price"))
+    return fills.limit_fill(V.ladder(spark, d), limits, 10.0).select("book_id", *r6("price", "available", "filled", "remaining"), "status")
+
+
+@query(
+    f"""SELECT instrument_id, event_time_ns, round((bid + ask) / 2, 6) AS price, 3.0 AS filled, round((bid + ask) / 2 * 0.003, 6) AS fee, false AS promotable FROM (
+  SELECT instrument_id, event_time_ns // {HOUR} * {HOUR} AS event_time_ns, max(price) FILTER (arrival_ord % 2 = 0) AS bid, min(price) FILTER (arrival_ord % 2 = 1) AS ask FROM canon GROUP BY 1, 2) WHERE bid > 0 AND ask > bid""",
+    ("canon",),
+)
+def midpoint_fill(spark, d):
+    return fills.midpoint_fill(V.books(spark, d), 3.0).select("instrument_id", "event_time_ns", *r6("price"), "filled", *r6("fee"), "promotable")
+
+
+@query("SELECT i AS idx, (48 + i % 5 + 49 + (i + 2) % 4) / 100.0 AS ask_sum, (100 - (48 + i % 5 + 49 + (i + 2) % 4)) / 100.0 AS gross_edge FROM range(48) t(i) WHERE 48 + i % 5 + 49 + (i + 2) % 4 < 100")
+def complement_scan(spark, d):
+    return screen.complement_scan(screen.complement_books(spark))
+
+
+@query(
+    f"""SELECT a.event_time_ns, round((a.best + b.best) / 500, 6) AS ask_sum FROM (SELECT event_time_ns // {HOUR} AS event_time_ns, min(price) AS best FROM canon WHERE instrument_id = 'view' GROUP BY 1) a
+JOIN (SELECT event_time_ns // {HOUR} AS event_time_ns, min(price) AS best FROM canon WHERE instrument_id = 'purchase' GROUP BY 1) b USING (event_time_ns) WHERE (a.best + b.best) / 500 < 1""",
+    ("canon",),
+)
+def book_complement(spark, d):
+    best = V.canon(spark, d).groupBy(F.expr(f"event_time_ns div {HOUR}").alias("event_time_ns")).agg(F.min(F.when(F.col("instrument_id") == "view", F.col("price"))).alias("a"), F.min(F.when(F.col("instrument_id") == "purchase", F.col("price"))).alias("b"))
+    total = (F.col("a") + F.col("b")) / 500
+    return best.where(total < 1).select("event_time_ns", F.round(total, 6).alias("ask_sum"))
+
+
+# ---- replay ----
+
+
+def _tape(spark, d):
+    b = V.bars(spark, d, HOUR)
+    w = W.partitionBy("instrument_id").orderBy("event_time_ns")
+    return b.select(F.col("instrument_id").alias("run_id"), "instrument_id", F.lit("bar").alias("event_type"), "event_time_ns", (F.col("event_time_ns") + 1_000_000).alias("receive_time_ns"), F.row_number().over(w).cast("long").alias("sequence"), F.col("event_time_ns").cast("string").alias("ingest_id"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+@query()
+def replay_fills(spark, d):
+    out = replay.replay(_tape(spark, d), lambda run: replay.donchian(10))
+    return out.where("kind = 'fill'").select("run_id", "event_time_ns", "side", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("quantity", "price", "fee", "slippage")])
+
+
+@query()
+def replay_equity(spark, d):
+    out = replay.replay(_tape(spark, d), lambda run: replay.buy_hold())
+    return out.where("kind = 'equity'").select("run_id", "event_time_ns", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("cash", "equity", "unrealized")])
+
+
+@query()
+def replay_metrics(spark, d):
+    out = replay.replay(_tape(spark, d), lambda run: replay.buy_hold())
+    curve = out.where("kind = 'equity'").select("run_id", "event_time_ns", F.col("equity").cast("double").alias("equity"))
+    f = out.where("kind = 'fill'").select("run_id", "event_time_ns", (F.col("price").cast("double") * F.col("quantity").cast("double")).alias("notional"))
+    return metrics.metric_pack(curve, f, ["run_id"], 100_000.0, 365.25 * 24)
+
+
+@query()
+def metric_pack(spark, d):
+    m = metrics.metric_pack(_curve(spark, d), None, ["instrument_id"], 1000.0, 365.25)
+    return m.select("instrument_id", *r6("pnl", "total_return", "volatility", "downside_volatility", "sharpe", "sortino", "max_drawdown", "average_drawdown"), F.col("drawdown_duration").cast("long").alias("drawdown_duration"), *r6("win_rate", "payoff_ratio", "expectancy", "expected_shortfall"))
+
+
+ORACLES["metric_pack"] = f"""{_D}, {DRAWDOWN}, r AS (SELECT *, equity / lag(equity) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) - 1 AS ret FROM runs),
+k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ret NULLS LAST, event_time_ns) AS rn, count(ret) OVER (PARTITION BY instrument_id) AS n FROM r)
+SELECT instrument_id, round(arg_max(equity, event_time_ns) - 1000, 6) AS pnl, round((arg_max(equity, event_time_ns) - 1000) / 1000, 6) AS total_return,
+  round(stddev_pop(ret) * sqrt(365.25), 6) AS volatility, round(stddev_pop(ret) FILTER (ret < 0) * sqrt(365.25), 6) AS downside_volatility,
+  round(avg(ret) / stddev_pop(ret) * sqrt(365.25), 6) AS sharpe, round(avg(ret) / (stddev_pop(ret) FILTER (ret < 0)) * sqrt(365.25), 6) AS sortino,
+  round(max(drawdown), 6) AS max_drawdown, round(avg(drawdown), 6) AS average_drawdown, max(run) AS drawdown_duration,
+  round(count(*) FILTER (ret > 0) / count(ret), 6) AS win_rate, round(avg(ret) FILTER (ret > 0) / abs(avg(ret) FILTER (ret < 0)), 6) AS payoff_ratio,
+  round(avg(ret) * 1000, 6) AS expectancy, round(abs(avg(ret) FILTER (rn <= greatest(1, ceil(n * 0.05)))), 6) AS expected_shortfall FROM k GROUP BY 1"""
+
+
+# ---- out of sample ----
+
+
+@query("SELECT i AS fold, 96 + i * 36 - 96 AS train_start, 96 + i * 36 AS train_end, 98 + i * 36 AS test_start, 130 + i * 36 AS test_end FROM range(6) t(i)")
+def wf_splits(spark, d):
+    return oos.walk_forward(spark, 320, 96, 32, 2, 2)
+
+
+MOMENTS = """m AS (SELECT variant, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1)"""
+
+
+@query("SELECT variant, count(*) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS sd, round(skewness(ret), 6) AS skew, round(kurtosis(ret) + 3, 6) AS kurt FROM rets GROUP BY 1", ("rets",))
+def sample_moments(spark, d):
+    return oos.moments(V.returns_long(spark, d), ["variant"]).select("variant", "n", *r6("mean", "sd", "skew", "kurt"))
+
+
+@query("SELECT variant, n, round(sharpe, 6) AS sharpe, round(sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS z FROM (SELECT variant, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1)", ("rets",))
+def psr(spark, d):
+    return oos.psr(V.returns_long(spark, d), ["variant"]).select("variant", "n", *r6("sharpe", "z"))
+
+
+@query(f"SELECT variant, round((sharpe - b) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS z FROM (SELECT *, stddev_samp(sharpe) OVER () * {oos.dsr_factor(INSTRUMENTS)!r} AS b FROM (SELECT variant, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1))", ("rets",))
+def dsr(spark, d):
+    return oos.dsr(V.returns_long(spark, d), ["variant"], INSTRUMENTS).select("variant", *r6("z"))
+
+
+OBS = 28
+
+
+def _matrix(spark, d):
+    return V.returns_long(spark, d).where(F.col("obs") < OBS)
+
+
+@query(
+    f"""SELECT split, variant, rank, round(rank / (5 + 1.0), 6) AS relative_rank FROM (
+SELECT *, row_number() OVER (PARTITION BY split ORDER BY inside DESC, variant) AS best, row_number() OVER (PARTITION BY split ORDER BY outside, variant) AS rank FROM (
+  SELECT split, variant, sum(s) FILTER (train) / sum(k) FILTER (train) AS inside, sum(s) FILTER (NOT train) / sum(k) FILTER (NOT train) AS outside FROM (
+    SELECT sp.split, variant, s, k, list_contains(chosen, block) AS train FROM (SELECT variant, CASE WHEN obs < 16 THEN obs // 4 ELSE 4 + (obs - 16) // 3 END AS block, sum(ret) AS s, count(*) AS k FROM rets WHERE obs < {OBS} GROUP BY 1, 2),
+      (SELECT row_number() OVER (ORDER BY a, b, c, e) - 1 AS split, [a, b, c, e] AS chosen FROM range(8) x(a), range(8) y(b), range(8) z(c), range(8) v(e) WHERE a < b AND b < c AND c < e) sp) GROUP BY 1, 2)) WHERE best = 1""",
+    ("rets",),
+)
+def pbo_splits(spark, d):
+    return oos.pbo_splits(_matrix(spark, d), OBS).select(F.col("split").cast("long").alias("split"), "variant", F.col("rank").cast("long").alias("rank"), *r6("relative_rank"))
+
+
+@query()
+def pbo(spark, d):
+    return oos.pbo(_matrix(spark, d), OBS)
+
+
+@query()
+def reality_check(spark, d):
+    return oos.reality_check(_matrix(spark, d), OBS)
+
+
+@query()
+def sign_flip(spark, d):
+    m = _matrix(spark, d).groupBy("obs").agg(F.max(F.when(F.col("variant") == "view", F.col("ret"))).alias("selected"), F.max(F.when(F.col("variant") == "click", F.col("ret"))).alias("baseline"))
+    return oos.sign_flip(m.fillna(0.0), OBS)
+
+
+@query()
+def block_bootstrap(spark, d):
+    one = _matrix(spark, d).where("variant = 'view'").select("obs", "ret")
+    return oos.block_bootstrap(one, OBS, 4, 200, 7).select(F.col("draw").cast("long").alias("draw"), *r6("mean"))
+
+
+@query("SELECT lang AS regime, count(*) AS observations, round(avg(quality), 6) AS mean, round(avg((quality > 0)::INT), 6) AS win_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1")
+def regime_stats(spark, d):
+    j = V.table(spark, d, "documents").select("doc_id", "lang").join(V.table(spark, d, "labels"), "doc_id")
+    return oos.regime_statistics(j.select(F.col("lang").alias("regime"), F.col("quality").cast("double").alias("value"))).select("regime", "observations", *r6("mean", "win_rate"))
+
+
+@query("SELECT parameter, round(metric, 6) AS selected_metric, round(coalesce(greatest(metric - below, metric - above), 0), 6) AS max_neighbor_degradation FROM (SELECT *, lag(metric) OVER (ORDER BY parameter) AS below, lead(metric) OVER (ORDER BY parameter) AS above FROM (SELECT p_size::DOUBLE AS parameter, count(*)::DOUBLE AS metric FROM part GROUP BY 1)) WHERE parameter = 25")
+def sensitivity(spark, d):
+    r = V.table(spark, d, "part").groupBy(F.col("p_size").cast("double").alias("parameter")).agg(F.count("*").cast("double").alias("metric"))
+    return oos.sensitivity(r, 25.0).select("parameter", *r6("selected_metric", "max_neighbor_degradation"))
+
+
+def _cells(spark, d):
+    r = V.returns_long(spark, d)
+    fold = F.expr("obs div 7")
+    phase = F.when(F.col("obs") % 7 < 5, "train").otherwise("test")
+    return r.groupBy(fold.alias("fold"), phase.alias("phase"), "variant").agg(F.avg("ret").alias("score"), F.sum("ret").alias("total"))
+
+
+@query("SELECT fold, variant, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, variant) AS rn FROM (SELECT obs // 7 AS fold, variant, avg(ret) AS score FROM rets WHERE obs % 7 < 5 AND variant <> 'click' GROUP BY 1, 2)) WHERE rn = 1", ("rets",))
+def train_winner(spark, d):
+    return oos.train_winners(_cells(spark, d), ["click"]).select("fold", "variant", *r6("score"))
+
+
+@query(
+    """SELECT w.fold, w.variant, round(c.total, 6) AS test_total, c2.variant IS NOT NULL AS has_null FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, variant) AS rn FROM (SELECT obs // 7 AS fold, variant, avg(ret) AS score FROM rets WHERE obs % 7 < 5 AND variant <> 'click' GROUP BY 1, 2)) w
+JOIN (SELECT obs // 7 AS fold, variant, sum(ret) AS total FROM rets WHERE obs % 7 >= 5 GROUP BY 1, 2) c ON c.fold = w.fold AND c.variant = w.variant
+LEFT JOIN (SELECT DISTINCT obs // 7 AS fold, variant FROM rets WHERE obs % 7 >= 5 AND variant = 'click') c2 ON c2.fold = w.fold WHERE w.rn = 1""",
+    ("rets",),
+)
+def selected_cells(spark, d):
+    cells = _cells(spark, d)
+    test = cells.where("phase = 'test'")
+    win = oos.train_winners(cells, ["click"]).select("fold", "variant")
+    null = test.where("variant = 'click'").select("fold", F.lit(True).alias("has_null"))
+    j = win.join(test.select("fold", "variant", "total"), ["fold", "variant"]).join(null, "fold", "left")
+    return j.select("fold", "variant", F.round("total", 6).alias("test_total"), F.coalesce("has_null", F.lit(False)).alias("has_null"))
+
+
+# ---- stress and risk ----
+
+
+def _costs(spark, d):
+    c = V.canon(spark, d).groupBy(F.col("instrument_id").alias("variant")).agg((F.sum("price") / 100).alias("gross_pnl"), (F.sum("price") / 2000).alias("fees"), (F.sum("size") / 100).alias("slippage"))
+    return c.select("variant", "gross_pnl", "fees", F.lit(1.0).alias("spread"), "slippage", F.lit(2.0).alias("funding"), F.lit(0.5).alias("impact"), F.lit(0.0).alias("borrow"), F.lit(0.25).alias("roll"), F.lit(0.0).alias("other"), F.lit(3.0).alias("missed"))
+
+
+INPUTS = """c AS (SELECT instrument_id AS variant, sum(price) / 100 AS gross_pnl, sum(price) / 2000 AS fees, sum(size) / 100 AS slippage FROM canon GROUP BY 1),
+p AS (SELECT variant, obs, ret, product(1 + ret) OVER (PARTITION BY variant ORDER BY obs) AS wealth FROM rets),
+g AS (SELECT variant, arg_max(wealth, obs) - 1 AS total, min(ret) AS worst, max(peak - wealth) AS fall FROM (SELECT *, greatest(1.0, max(wealth) OVER (PARTITION BY variant ORDER BY obs ROWS UNBOUNDED PRECEDING)) AS peak FROM p) GROUP BY 1),
+i AS (SELECT variant, gross_pnl, fees, slippage, greatest(0, -worst) * abs(gross_pnl / total) AS outage_loss, greatest(0, -worst) * abs(gross_pnl / total) * 2 AS gap_loss, fall * abs(gross_pnl / total) AS deleverage_loss FROM c JOIN g USING (variant))"""
+
+
+def _with(body: str, *views: str) -> str:
+    """Oracle text whose own CTEs follow the views'."""
+    return V.sql("", *views).rstrip() + ",\n" + body
+
+
+@query()
+def stress_inputs(spark, d):
+    return risk.stress_inputs(V.returns_long(spark, d), _costs(spark, d), ["variant"]).select("variant", *[F.round(c, 4).alias(c) for c in ("gross_pnl", "fees", "outage_loss", "gap_loss", "deleverage_loss")])
+
+
+@query()
+def stress_suite(spark, d):
+    return risk.stress_suite(risk.stress_inputs(V.returns_long(spark, d), _costs(spark, d), ["variant"]), ["variant"]).select("variant", "scenario", F.round("net_pnl", 4).alias("net_pnl"), "status")
+
+
+_rows = [f"('{n}', {a}, {b}, {c}, {e}, 0, 0, 0)" for n, a, b, c, e in risk.MULTIPLIERS] + [f"('{n}', 1, 1, 1, 0, {int(v == 'outage_loss')}, {int(v == 'gap_loss')}, {int(v == 'deleverage_loss')})" for n, v in risk.LOSSES]
+ORACLES["stress_inputs"] = _with(f"{INPUTS} SELECT variant, round(gross_pnl, 4) AS gross_pnl, round(fees, 4) AS fees, round(outage_loss, 4) AS outage_loss, round(gap_loss, 4) AS gap_loss, round(deleverage_loss, 4) AS deleverage_loss FROM i", "rets")
+ORACLES["stress_suite"] = _with(
+    f"{INPUTS}, n AS (SELECT variant, scenario, gross_pnl - fees * f - 1.75 - slippage * s - 2 * u - 3 * (1 + e) - outage_loss * x - gap_loss * y - deleverage_loss * z AS net_pnl FROM i, (VALUES {', '.join(_rows)}) t(scenario, f, s, u, e, x, y, z)) SELECT variant, scenario, round(net_pnl, 4) AS net_pnl, CASE WHEN net_pnl > 0 THEN 'pass' ELSE 'blocked' END AS status FROM n",
+    "rets",
+)
+
+
+@query("SELECT variant, round(arg_max(wealth, obs) - 1, 6) AS total FROM (SELECT variant, obs, product(1 + ret) OVER (PARTITION BY variant ORDER BY obs) AS wealth FROM rets) GROUP BY 1", ("rets",))
+def compounded_return(spark, d):
+    return risk.compounded(V.returns_long(spark, d), ["variant"]).select("variant", *r6("total"))
+
+
+@query()
+def risk_report(spark, d):
+    return risk.risk_report(_matrix(spark, d).where("variant = 'view'").select("obs", "ret"), OBS)
+
+
+@query(
+    """SELECT o_orderpriority, round(e, 4) AS expected, round(o, 4) AS observed, round(abs(o - e) / greatest(abs(e), 1), 6) AS divergence, CASE WHEN abs(o - e) / greatest(abs(e), 1) <= 0.1 THEN 'pass' ELSE 'blocked' END AS status
+FROM (SELECT o_orderpriority, sum(o_totalprice) AS e FROM orders GROUP BY 1) JOIN (SELECT o_orderpriority, sum(l_extendedprice * (1 - l_discount)) AS o FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) USING (o_orderpriority)"""
+)
+def divergence(spark, d):
+    o, li = V.table(spark, d, "orders"), V.table(spark, d, "lineitem")
+    expected = o.groupBy("o_orderpriority").agg(F.sum("o_totalprice").alias("value"))
+    observed = o.join(li, o["o_orderkey"] == li["l_orderkey"]).groupBy("o_orderpriority").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
+    return risk.divergence(expected, observed, "o_orderpriority", 0.1).select("o_orderpriority", F.round("expected", 4).alias("expected"), F.round("observed", 4).alias("observed"), *r6("divergence"), "status")
+
+
+@query("SELECT c_custkey AS account, round(c_acctbal, 6) AS equity, round(least(100, c_acctbal * 0.0025), 6) AS max_capital, round(least(25, c_acctbal * 0.001), 6) AS max_daily_loss FROM customer")
+def locked_caps(spark, d):
+    return risk.locked_caps(V.table(spark, d, "customer").select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("equity"))).select("account", *r6("equity", "max_capital", "max_daily_loss"))
+
+
+@query("SELECT o_orderkey, round(least(50, o_totalprice * 0.02 / 17), 6) AS fixed_fraction, round(least(50, o_totalprice * 0.1 / 0.4 / 17), 6) AS vol_target, round(greatest(0, p - (1 - p) / 1.5), 6) AS kelly FROM (SELECT *, 0.2 + (o_orderkey % 7) / 10.0 AS p FROM orders)")
+def sizing(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("equity"), F.lit(17.0).alias("price"), F.lit(0.4).alias("vol"), (0.2 + F.col("o_orderkey") % 7 / 10.0).alias("p"), F.lit(1.5).alias("b"))
+    return risk.sizes(o, 50.0, 0.02, 0.1).select("o_orderkey", *r6("fixed_fraction", "vol_target", "kelly"))
+
+
+# ---- ledger ----
+
+
+def _ledger(spark, d):
+    c = V.table(spark, d, "conversations").select(F.col("conv_id").alias("ledger"), F.col("turn").alias("ordinal"), "text")
+    w = W.partitionBy("ledger").orderBy("ordinal")
+    c = c.withColumn("entry_hash", F.sha2(F.col("text").cast("binary"), 256)).withColumn("previous_hash", F.lag("entry_hash").over(w))
+    broken = F.when((F.col("ledger") % 13 == 0) & (F.col("ordinal") == 1), F.lit("0" * 64)).otherwise(F.col("previous_hash"))
+    return c.withColumn("previous_hash", broken).withColumn("text", F.when((F.col("ledger") % 17 == 0) & (F.col("ordinal") == 2), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+
+
+@query("SELECT conv_id AS ledger, turn AS ordinal, CASE WHEN conv_id % 17 = 0 AND turn = 2 THEN 'hash' ELSE 'link' END AS problem FROM conversations WHERE (conv_id % 17 = 0 AND turn = 2) OR (conv_id % 13 = 0 AND turn = 1)")
+def ledger_chain(spark, d):
+    return lookups.ledger_problems(_ledger(spark, d))
+
+
+@query("SELECT conv_id, sum(length(text))::BIGINT AS variants, count(*) + 1 AS next_attempt FROM conversations WHERE role = 'user' GROUP BY 1")
+def trial_count(spark, d):
+    c = V.table(spark, d, "conversations").where("role = 'user'")
+    return c.groupBy("conv_id").agg(F.sum(F.length("text")).cast("long").alias("variants"), (F.count("*") + 1).alias("next_attempt"))
+
+
+@query("SELECT count(*) AS experiments, round(sum(value), 4) AS pnl, sum(size)::BIGINT AS trades FROM (SELECT value, (props->>'$.k')::DOUBLE AS size FROM events)")
+def dashboard_summary(spark, d):
+    return V.canon(spark, d).agg(F.count("*").alias("experiments"), F.round(F.sum("price"), 4).alias("pnl"), F.sum("size").cast("long").alias("trades"))
+
+
+# ---- observation ----
+
+NOW = START + 29 * DAY
+
+
+@query(
+    f"""SELECT code, n FROM (SELECT (count(*) = 0)::BIGINT AS no_data, count(*) FILTER (receive_time_ns > {NOW}) AS future_data,
+  ({NOW} - arg_max(receive_time_ns, (event_time_ns, sequence, receive_time_ns, ingest_id)) > {HOUR})::BIGINT AS stale_data, count(*) FILTER (abs(receive_time_ns - event_time_ns) > {HOUR}) AS clock_skew,
+  count(*) FILTER (receive_time_ns - p > {2 * HOUR}) AS outage_gap FROM (SELECT *, lag(receive_time_ns) OVER (PARTITION BY source, venue, instrument_id, event_type ORDER BY event_time_ns, sequence, receive_time_ns, ingest_id, arrival_ord) AS p FROM dirty))
+UNPIVOT (n FOR code IN (no_data, future_data, stale_data, clock_skew, outage_gap))""",
+    ("dirty",),
+)
+def observe_monitor(spark, d):
+    return observe.monitor(V.canon_dirty(spark, d), NOW, HOUR, HOUR, 2 * HOUR)
+
+
+@query()
+def book_state(spark, d):
+    c = V.canon(spark, d)
+    kind = F.when(F.col("sequence") % 50 == 1, "book_snapshot").otherwise("book_delta")
+    level = F.array(F.struct(F.round("price", 0).alias("price"), F.coalesce("size", F.lit(1.0)).alias("size")))
+    none = F.lit(None).cast("array<struct<price:double,size:double>>")
+    change = F.array(F.struct(F.when(F.col("arrival_ord") % 2 == 0, "bid").otherwise("ask").alias("side"), F.round("price", 0).alias("price"), F.when(F.col("arrival_ord") % 5 == 0, 0.0).otherwise(F.col("size")).alias("size")))
+    e = c.select("instrument_id", F.col("sequence").alias("ord"), F.when(F.col("arrival_ord") % 211 == 0, F.col("sequence") + 1).otherwise(F.col("sequence")).alias("sequence"), kind.alias("event_type"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("previous_hash"), F.when(kind == "book_snapshot", level).otherwise(none).alias("bids"), none.alias("asks"), F.when(kind == "book_delta", change).alias("changes"))
+    return observe.book_states(e)
+
+
+@query("SELECT instrument_id, count(*) AS n, round(sum(price), 4) AS total, round(arg_max(price, (event_time_ns, ingest_id)), 6) AS last FROM canon GROUP BY 1", ("canon",))
+def stream_parity(spark, d):
+    """The state that a stream of the tape's files ends with: the last row that each key emitted."""
+    import uuid
+
+    from ..session import local_dir
+
+    root = local_dir(spark)
+    path = f"{root}/stream-{uuid.uuid4().hex}"
+    tape = V.canon(spark, d).select("instrument_id", "event_time_ns", "ingest_id", "price")
+    tape.repartitionByRange(4, "event_time_ns").write.parquet(path)
+    name = f"parity_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    q = observe.running_counts(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{root}/ckpt-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    out = spark.table(name).groupBy("instrument_id").agg(F.max(F.struct("n", "total", "last")).alias("x"))
+    return out.select("instrument_id", "x.n", F.round("x.total", 4).alias("total"), F.round("x.last", 6).alias("last"))

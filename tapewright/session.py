@@ -44,3 +44,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         _SHIPPED.add(context.applicationId)
     return spark
+
+
+def local_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one that the cluster names for checkpoints, else a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="tapewright-")
