@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lower_table, pieces, text_column
+from .common import Words, lower_table, mix64, pieces, text_column
 
 #: Labelled rows that the chain is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 6_000
@@ -166,7 +166,7 @@ def fit_chain(w_hash, w_doc, dense: np.ndarray, targets: list[np.ndarray], fold:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
-    """Distinct word hashes, dense features and labels of at most ``size`` labelled documents with text."""
+    """Distinct word hashes, dense features, labels and folds (by the ids' hashes) of at most ``size`` labelled documents."""
     columns = [c for _, c, _ in CATEGORIES]
     known = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_id", *columns])).groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in columns])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
@@ -187,14 +187,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
     w_doc = np.repeat(np.arange(len(words)), [len(x) for x in words]).astype(np.int64)
     dense = np.array([np.frombuffer(b) for b in got["dense"]]).reshape(len(got), N_DENSE)
     targets = [(got[c].to_numpy() == hit).astype(float) for _, c, hit in CATEGORIES]
-    return w_hash, w_doc, dense, targets
+    fold = (mix64(got["doc_id"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    return w_hash, w_doc, dense, targets, fold
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain | None:
-    w_hash, w_doc, dense, targets = labelled_sample(docs, labels, size)
+    w_hash, w_doc, dense, targets, fold = labelled_sample(docs, labels, size)
     if not len(dense):
         return None
-    return fit_chain(w_hash, w_doc, dense, targets, np.arange(len(dense)) % FOLDS)
+    return fit_chain(w_hash, w_doc, dense, targets, fold)
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
