@@ -115,12 +115,46 @@ def half_open_end(end_ns: int, interval_ns: int) -> int:
     return end_ns - interval_ns
 
 
-def quality_summary(hits: dict[str, DataFrame]) -> DataFrame:
+def event_flags(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...], block: int = 100_000) -> DataFrame:
+    """Every event with a flag per event-level check, in four shuffles: by time bucket, stream, market key and arrival."""
+    e = market_order_lag(events, ["receive_time_ns"]).withColumn("receive_time_inversion", F.col("receive_time_ns") < F.col("prev_receive_time_ns"))
+    stream = W.partitionBy(*STREAM).orderBy(*canonical_order())
+    e = e.withColumns({"_seq": F.lag("sequence").over(stream), "_recv": F.lag("receive_time_ns").over(stream)})
+    key = W.partitionBy(*MARKET_KEY).orderBy("receive_time_ns", "ingest_id", "arrival_ord")
+    e = e.withColumn("_rn", F.row_number().over(key)).withColumn("_k", order_key()).withColumn("_b", F.expr(f"arrival_ord div {block}"))
+    arrival = W.partitionBy("_b").orderBy("arrival_ord", "ingest_id")
+    e = e.withColumns({"_prev": F.lag("_k").over(arrival), "_first": F.row_number().over(arrival) == 1})
+    last = events.groupBy(F.expr(f"arrival_ord div {block}").alias("_eb")).agg(F.max(F.struct("arrival_ord", "ingest_id", order_key().alias("k"))).alias("z"))
+    edge = last.select("_eb", F.lag("z.k").over(W.orderBy("_eb")).alias("_edge"))  # one row per block
+    e = e.join(edge, e["_b"] == edge["_eb"], "left")
+    fields = [f for f in ("price", "size", "open", "high", "low", "close", "volume") if f in events.columns]
+    bad = sum((F.coalesce(F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")) | (F.col(f) < 0) | ((F.col(f) == 0) & F.lit(f not in ZERO_ALLOWED)), F.lit(False)).cast("int") for f in fields), F.lit(0))
+    return e.select(
+        *events.columns,
+        (F.col("_k") < F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_prev"))).alias("timestamp_disorder"),
+        "receive_time_inversion",
+        (F.col("_rn") > 1).alias("duplicates"),
+        (F.col("event_time_ns").isNull() | F.col("receive_time_ns").isNull()).alias("timezone"),
+        (F.col("receive_time_ns") < F.col("event_time_ns")).alias("negative_receive_latency"),
+        bad.alias("invalid_price_size"),
+        (F.col("sequence") > F.col("_seq") + 1).alias("sequence_gaps"),
+        (F.col("event_type").isin(*kinds) & (F.col("receive_time_ns") - F.col("_recv") > stale_after_ns)).alias("stale_book"),
+    )
+
+
+EVENT_LEVEL = ("timestamp_disorder", "receive_time_inversion", "duplicates", "timezone", "negative_receive_latency", "invalid_price_size", "sequence_gaps", "stale_book")
+
+
+def quality_summary(events: DataFrame, bars: DataFrame, gaps: DataFrame, books: DataFrame, requested: tuple[int, int], stale_after_ns: int, kinds: tuple[str, ...]) -> DataFrame:
     """(code, severity, n, verdict) of all fourteen checks, with 0 for those without hits; ``verdict`` is of the whole:
-    an error or a critical hit blocks, warnings alone make it diagnostic only."""
-    spark = next(iter(hits.values())).sparkSession
-    counts = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(c).alias("code"), "n") for c, df in hits.items()])
-    codes = spark.createDataFrame(list(SEVERITY.items()), "code string, severity string")
-    rows = codes.join(counts, "code", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
-    worst = F.when(F.max(F.when(F.col("severity") != "warning", F.col("n"))) > 0, "blocked").when(F.max("n") > 0, "diagnostic_only").otherwise("none")
-    return rows.crossJoin(rows.agg(worst.alias("verdict")))  # one row
+    an error or a critical hit blocks, warnings alone make it diagnostic only. gaps: interval_gaps() of the fixed-interval
+    bars."""
+    flagged = event_flags(events, stale_after_ns, kinds)
+    counts = flagged.agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in EVENT_LEVEL])
+    by_code = gaps.agg(*[F.count(F.when(F.col("code") == c, 1)).alias(c) for c in ("missing_intervals", "session_gaps", "roll_gaps")])
+    rest = [crossed_book(books).agg(F.count("*").alias("crossed_book")), outliers(bars).agg(F.count("*").alias("outliers")), provider_truncation(events, *requested).agg(F.count("*").alias("provider_truncation"))]
+    row = reduce(DataFrame.crossJoin, [counts, by_code, *rest])  # each is one row
+    total = lambda kind: sum((F.col(c) for c, s in SEVERITY.items() if (s == "warning") == kind), F.lit(0))
+    verdict = F.when(total(False) > 0, "blocked").when(total(True) > 0, "diagnostic_only").otherwise("none")
+    codes = [F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.col(c).cast("long").alias("n")) for c, s in SEVERITY.items()]
+    return row.select(F.explode(F.array(*codes)).alias("x"), verdict.alias("verdict")).select("x.*", "verdict")

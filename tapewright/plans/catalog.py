@@ -252,10 +252,20 @@ def quality_provider_truncation(spark, d):
     return quality.provider_truncation(V.canon_dirty(spark, d), START, quality.half_open_end(END, HOUR))
 
 
-@query(None)
+@query()
 def quality_summary(spark, d):
-    hits = {c: QUERIES[f"quality_{c}"](spark, d) for c in quality.SEVERITY}
-    return quality.quality_summary(hits)
+    bars = V.bars(spark, d, HOUR)
+    requested = (START, quality.half_open_end(END, HOUR))
+    return quality.quality_summary(V.canon_dirty(spark, d), bars, _gaps(spark, d), V.books(spark, d), requested, 2 * HOUR, ("trade",))
+
+
+def _summary_oracle() -> str:
+    """Counts of the single checks' oracles."""
+    parts = [f"SELECT '{c}' AS code, '{s}' AS severity, (SELECT count(*) FROM ({ORACLES[f'quality_{c}']})) AS n" for c, s in quality.SEVERITY.items()]
+    return f"SELECT *, CASE WHEN sum(n) FILTER (severity <> 'warning') OVER () > 0 THEN 'blocked' WHEN sum(n) OVER () > 0 THEN 'diagnostic_only' ELSE 'none' END AS verdict FROM ({' UNION ALL '.join(parts)})"
+
+
+ORACLES["quality_summary"] = _summary_oracle()
 
 
 # ---- features ----
