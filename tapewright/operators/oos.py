@@ -15,7 +15,7 @@ from ..functions import normal
 EULER = 0.5772156649015329
 
 
-def walk_forward(spark, n: int, train: int, test: int, purge: int = 0, embargo: int = 0, anchored: bool = False) -> DataFrame:
+def walk_forward(spark, n: int, train: int, test: int, purge: int = 0, embargo: int = 0, anchored: bool = True) -> DataFrame:
     """Purged folds in closed form: fold k's cursor is train + k * (purge + test + embargo)."""
     step = purge + test + embargo
     folds = (n - train - purge - test) // step + 1 if n >= train + purge + test else 0
@@ -35,11 +35,16 @@ def moments(returns: DataFrame, keys: list[str]) -> DataFrame:
     return m.select(*keys, "n", "mean", "sd", skew.alias("skew"), kurt.alias("kurt"))
 
 
-def psr(returns: DataFrame, keys: list[str], benchmark: float = 0.0) -> DataFrame:
-    """Probability that the true Sharpe ratio exceeds a benchmark; without spread 1 or 0 by the mean."""
+def psr(returns: DataFrame, keys: list[str], benchmark: float = 0.0, effective: DataFrame | None = None) -> DataFrame:
+    """Probability that the true Sharpe ratio exceeds a benchmark; without spread 1 or 0 by the mean.
+
+    effective: keys and effective_n, to count autocorrelated rows for what they are worth."""
     m = moments(returns, keys).withColumn("sharpe", F.col("mean") / F.nullif("sd", F.lit(0.0)))
+    rows = F.col("n").cast("double")
+    if effective is not None:
+        m, rows = m.join(effective.select(*keys, "effective_n"), keys), F.col("effective_n")
     var = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") ** 2
-    z = (F.col("sharpe") - benchmark) * F.sqrt(F.col("n") - 1.0) / F.sqrt(F.greatest(var, F.lit(1e-12)))
+    z = (F.col("sharpe") - benchmark) * F.sqrt(rows - 1.0) / F.sqrt(F.greatest(var, F.lit(1e-12)))
     flat = F.when(F.col("mean") > benchmark, 1.0).otherwise(0.0)
     return m.withColumn("z", F.when(F.col("sd") > 0, z)).withColumn("psr", F.when(F.col("sd") > 0, normal.cdf(F.col("z"))).otherwise(flat))
 
@@ -49,10 +54,13 @@ def dsr_factor(trials: int) -> float:
     return (1 - EULER) * normal.quantile(1 - 1 / trials) + EULER * normal.quantile(1 - 1 / (trials * math.e))
 
 
-def dsr(returns: DataFrame, keys: list[str], trials: int) -> DataFrame:
-    """Deflated: the benchmark is what the best of the trials would reach by luck, given the spread of their ratios."""
+def dsr(returns: DataFrame, keys: list[str], trials: int, trial_sharpes: list[float] | None = None) -> DataFrame:
+    """Deflated: the benchmark is what the best of the trials would reach by luck, given the spread of their ratios (those
+    of the series themselves unless trial_sharpes names them)."""
     m = moments(returns, keys).withColumn("sharpe", F.col("mean") / F.nullif("sd", F.lit(0.0)))
     spread = m.agg((F.stddev_samp("sharpe") * dsr_factor(trials)).alias("benchmark"))  # one row
+    if trial_sharpes is not None:
+        spread = returns.sparkSession.range(1).select(F.lit(float(np.std(trial_sharpes, ddof=1)) * dsr_factor(trials)).alias("benchmark"))
     m = m.crossJoin(spread)
     var = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") ** 2
     z = (F.col("sharpe") - F.col("benchmark")) * F.sqrt(F.col("n") - 1.0) / F.sqrt(F.greatest(var, F.lit(1e-12)))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import features, fills, lookups, metrics, oos, quality, replay, risk, screen
+from ..operators import features, fills, lookups, metrics, oos, quality, replay, risk, screen, sweep
 from ..sources import files
 from ..sources import views as V
 from ..streaming import observe
@@ -407,9 +407,9 @@ def utc_day_baseline(spark, d):
     return features.day_baseline(b, "close", ("instrument_id",)).select("instrument_id", "event_time_ns", "utc_day", *r6("close", "day_start"))
 
 
-@query(f"SELECT instrument_id, round(median(gap), 6) AS median_ns, round({365.25 * 86400 * 1e9} / median(gap), 6) AS periods FROM (SELECT instrument_id, event_time_ns - lag(event_time_ns) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS gap FROM (SELECT DISTINCT instrument_id, event_time_ns FROM canon)) WHERE gap IS NOT NULL GROUP BY 1", ("canon",))
+@query(f"SELECT instrument_id, round(median(gap) / 1e9, 5) AS median_s, round({365.25 * 86400 * 1e9} / median(gap), 3) AS periods FROM (SELECT instrument_id, event_time_ns - lag(event_time_ns) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS gap FROM (SELECT DISTINCT instrument_id, event_time_ns FROM canon)) WHERE gap IS NOT NULL GROUP BY 1", ("canon",))
 def periods_per_year(spark, d):
-    return features.periods_per_year(V.canon(spark, d), keys=("instrument_id",)).select("instrument_id", *r6("median_ns", "periods"))
+    return features.periods_per_year(V.canon(spark, d), keys=("instrument_id",)).select("instrument_id", F.round(F.col("median_ns") / 1e9, 5).alias("median_s"), F.round("periods", 3).alias("periods"))
 
 
 @query(
@@ -646,10 +646,12 @@ SELECT instrument_id, round(arg_max(equity, event_time_ns) - 1000, 6) AS pnl, ro
 
 @query("SELECT i AS fold, 96 + i * 36 - 96 AS train_start, 96 + i * 36 AS train_end, 98 + i * 36 AS test_start, 130 + i * 36 AS test_end FROM range(6) t(i)")
 def wf_splits(spark, d):
-    return oos.walk_forward(spark, 320, 96, 32, 2, 2)
+    return oos.walk_forward(spark, 320, 96, 32, 2, 2, anchored=False)
 
 
-MOMENTS = """m AS (SELECT variant, count(*) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1)"""
+@query("SELECT i AS fold, 0::BIGINT AS train_start, 96 + i * 36 AS train_end, 98 + i * 36 AS test_start, 130 + i * 36 AS test_end FROM range(6) t(i)")
+def wf_splits_anchored(spark, d):
+    return oos.walk_forward(spark, 320, 96, 32, 2, 2)
 
 
 @query("SELECT variant, count(*) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS sd, round(skewness(ret), 6) AS skew, round(kurtosis(ret) + 3, 6) AS kurt FROM rets GROUP BY 1", ("rets",))
@@ -747,6 +749,36 @@ def selected_cells(spark, d):
     return j.select("fold", "variant", F.round("total", 6).alias("test_total"), F.coalesce("has_null", F.lit(False)).alias("has_null"))
 
 
+SWEEP = [("donchian", 5), ("donchian", 10), ("mean_reversion", 12), ("flat", 0)]
+
+
+def _swept(spark, d):
+    """A sweep over the first 240 hourly bars of each instrument."""
+    tape = _tape(spark, d).where("sequence <= 240").withColumnRenamed("run_id", "series")
+    folds = oos.walk_forward(spark, 240, 80, 30, 2, 2, anchored=False)
+    return sweep.run_cells(tape, folds, SWEEP, replay.Rules())
+
+
+@query()
+def sweep_cells(spark, d):
+    c = sweep.cell_results(_swept(spark, d), 100_000.0)
+    return c.select("series", "fold", "variant", "phase", "bars", *r6("net_return", "score"))
+
+
+@query()
+def sweep_winners(spark, d):
+    cells = sweep.cell_results(_swept(spark, d), 100_000.0)
+    return sweep.stitched(cells, excluded=["flat-0"]).select("series", "fold", "variant", *r6("train_score", "test_return"))
+
+
+@query()
+def sweep_cover(spark, d):
+    """Cells that the plan has and the results lack, or the other way round: none."""
+    cells = sweep.cell_results(_swept(spark, d), 100_000.0)
+    folds = oos.walk_forward(spark, 240, 80, 30, 2, 2, anchored=False)
+    return sweep.cover_problems(cells, folds, SWEEP)
+
+
 # ---- stress and risk ----
 
 
