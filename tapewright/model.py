@@ -55,19 +55,23 @@ def validate_events(events: DataFrame) -> DataFrame:
     return events.withColumn("violations", F.array_compact(F.array(*rules)))
 
 
-def market_order_lag(events: DataFrame, columns: list[str], bucket_ns: int = 3_600_000_000_000) -> DataFrame:
-    """Adds ``prev_<column>`` of the event before in canonical order over all instruments.
+def ordered_lag(events: DataFrame, columns: list[str], keys: tuple[str, ...] = (), bucket_ns: int = 3_600_000_000_000, prefix: str = "prev_") -> DataFrame:
+    """Adds ``<prefix><column>`` of the event before in canonical order, of the same keys or (without keys) of all.
 
-    A window without a partition would put the whole tape into one task. Time buckets are windowed apart, and the first
-    row of each takes what the last row of the nearest bucket before it has: a summary of one row per bucket."""
+    A window over a key alone puts a hot instrument, and without keys the whole tape, into one task. Time buckets are
+    windowed apart instead, and the first row of each takes what the last row of the bucket before it of the same key
+    has: a summary of one row per key and bucket."""
     from pyspark.sql import Window as W
 
     b = events.withColumn("_bucket", F.expr(f"event_time_ns div {bucket_ns}"))
-    inside = W.partitionBy("_bucket").orderBy(*canonical_order("arrival_ord" in events.columns))
+    inside = W.partitionBy(*keys, "_bucket").orderBy(*canonical_order("arrival_ord" in events.columns))
     lagged = b.select("*", F.row_number().over(inside).alias("_rn"), *[F.lag(c).over(inside).alias(f"_in_{c}") for c in columns])
-    last = b.groupBy("_bucket").agg(F.max(F.struct(order_key().alias("k"), *columns)).alias("z"))
-    over = W.orderBy("_bucket")  # one row per bucket
-    edge = last.select(F.col("_bucket").alias("_b"), *[F.lag(F.col(f"z.{c}")).over(over).alias(f"_edge_{c}") for c in columns])
-    out = lagged.join(edge, lagged["_bucket"] == edge["_b"], "left")
-    value = lambda c: F.when(F.col("_rn") == 1, F.col(f"_edge_{c}")).otherwise(F.col(f"_in_{c}")).alias(f"prev_{c}")
+    last = b.groupBy(*keys, "_bucket").agg(F.max(F.struct(order_key().alias("k"), *columns)).alias("z"))
+    over = W.partitionBy(*keys).orderBy("_bucket")  # one row per key and bucket
+    edge = last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bucket").alias("_b"), *[F.lag(F.col(f"z.{c}")).over(over).alias(f"_edge_{c}") for c in columns])
+    same = lagged["_bucket"] == edge["_b"]
+    for k in keys:
+        same = same & lagged[k].eqNullSafe(edge[f"_k_{k}"])
+    out = lagged.join(edge, same, "left")
+    value = lambda c: F.when(F.col("_rn") == 1, F.col(f"_edge_{c}")).otherwise(F.col(f"_in_{c}")).alias(f"{prefix}{c}")
     return out.select(*events.columns, *[value(c) for c in columns])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import MARKET_KEY, canonical_order, market_order_lag, order_key
+from ..model import MARKET_KEY, order_key, ordered_lag
 
 #: Checks and their severities.
 SEVERITY = {
@@ -36,7 +36,7 @@ def timestamp_disorder(events: DataFrame, block: int = 100_000) -> DataFrame:
 
 def receive_time_inversion(events: DataFrame) -> DataFrame:
     """Rows received before the row that precedes them in canonical order, over all instruments."""
-    return market_order_lag(events, ["receive_time_ns"]).where("receive_time_ns < prev_receive_time_ns").select("arrival_ord", "ingest_id")
+    return ordered_lag(events, ["receive_time_ns"]).where("receive_time_ns < prev_receive_time_ns").select("arrival_ord", "ingest_id")
 
 
 def duplicates(events: DataFrame) -> DataFrame:
@@ -65,9 +65,8 @@ def crossed_book(books: DataFrame) -> DataFrame:
 
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
-    w = W.partitionBy(*STREAM).orderBy(*canonical_order())
-    e = events.select("*", F.lag("sequence").over(w).alias("prev"))
-    return e.where("sequence > prev + 1").select("instrument_id", "arrival_ord", "ingest_id", "prev", "sequence")
+    e = ordered_lag(events, ["sequence"], STREAM)
+    return e.where("sequence > prev_sequence + 1").select("instrument_id", "arrival_ord", "ingest_id", F.col("prev_sequence").alias("prev"), "sequence")
 
 
 def interval_gaps(bars: DataFrame, interval_ns: int, sessions: DataFrame | None = None, rolls: DataFrame | None = None) -> DataFrame:
@@ -92,9 +91,8 @@ def interval_gaps(bars: DataFrame, interval_ns: int, sessions: DataFrame | None
 
 
 def stale_book(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...] = ("book_snapshot", "book_delta", "quote")) -> DataFrame:
-    w = W.partitionBy(*STREAM).orderBy(*canonical_order())
-    e = events.where(F.col("event_type").isin(*kinds)).select("*", F.lag("receive_time_ns").over(w).alias("prev"))
-    return e.where(f"receive_time_ns - prev > {stale_after_ns}").select("instrument_id", "arrival_ord", "ingest_id")
+    e = ordered_lag(events.where(F.col("event_type").isin(*kinds)), ["receive_time_ns"], STREAM)
+    return e.where(f"receive_time_ns - prev_receive_time_ns > {stale_after_ns}").select("instrument_id", "arrival_ord", "ingest_id")
 
 
 def outliers(bars: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -116,10 +114,9 @@ def half_open_end(end_ns: int, interval_ns: int) -> int:
 
 
 def event_flags(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...], block: int = 100_000) -> DataFrame:
-    """Every event with a flag per event-level check, in four shuffles: by time bucket, stream, market key and arrival."""
-    e = market_order_lag(events, ["receive_time_ns"]).withColumn("receive_time_inversion", F.col("receive_time_ns") < F.col("prev_receive_time_ns"))
-    stream = W.partitionBy(*STREAM).orderBy(*canonical_order())
-    e = e.withColumns({"_seq": F.lag("sequence").over(stream), "_recv": F.lag("receive_time_ns").over(stream)})
+    """Every event with a flag per event-level check, each lag dealt by time bucket or block."""
+    e = ordered_lag(events, ["sequence", "receive_time_ns"], STREAM, prefix="_own_")
+    e = ordered_lag(e, ["receive_time_ns"]).withColumn("receive_time_inversion", F.col("receive_time_ns") < F.col("prev_receive_time_ns"))
     key = W.partitionBy(*MARKET_KEY).orderBy("receive_time_ns", "ingest_id", "arrival_ord")
     e = e.withColumn("_rn", F.row_number().over(key)).withColumn("_k", order_key()).withColumn("_b", F.expr(f"arrival_ord div {block}"))
     arrival = W.partitionBy("_b").orderBy("arrival_ord", "ingest_id")
@@ -137,8 +134,8 @@ def event_flags(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...],
         (F.col("event_time_ns").isNull() | F.col("receive_time_ns").isNull()).alias("timezone"),
         (F.col("receive_time_ns") < F.col("event_time_ns")).alias("negative_receive_latency"),
         bad.alias("invalid_price_size"),
-        (F.col("sequence") > F.col("_seq") + 1).alias("sequence_gaps"),
-        (F.col("event_type").isin(*kinds) & (F.col("receive_time_ns") - F.col("_recv") > stale_after_ns)).alias("stale_book"),
+        (F.col("sequence") > F.col("_own_sequence") + 1).alias("sequence_gaps"),
+        (F.col("event_type").isin(*kinds) & (F.col("receive_time_ns") - F.col("_own_receive_time_ns") > stale_after_ns)).alias("stale_book"),
     )
 
 

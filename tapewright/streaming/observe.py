@@ -7,18 +7,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..model import canonical_order
+from ..model import ordered_lag
 from ..operators.lookups import order_free_digest
 
 
 def monitor(events: DataFrame, now_ns: int, stale_ns: int, skew_ns: int, outage_ns: int) -> DataFrame:
     """(code, n) of what makes a feed unfit: no or future or stale data, clock skew, gaps of a stream."""
-    w = W.partitionBy("source", "venue", "instrument_id", "event_type").orderBy(*canonical_order("arrival_ord" in events.columns))
-    e = events.select("*", F.lag("receive_time_ns").over(w).alias("prev"))
+    e = ordered_lag(events, ["receive_time_ns"], ("source", "venue", "instrument_id", "event_type"))
     count = lambda c: F.sum(c.cast("long"))
     latest = F.max_by("receive_time_ns", F.struct("event_time_ns", F.coalesce("sequence", F.lit(2**63 - 1)), "receive_time_ns", "ingest_id"))
     a = e.agg(
@@ -26,7 +24,7 @@ def monitor(events: DataFrame, now_ns: int, stale_ns: int, skew_ns: int, outage_
         count(F.col("receive_time_ns") > now_ns).alias("future_data"),
         F.when(F.lit(now_ns) - latest > stale_ns, 1).otherwise(0).cast("long").alias("stale_data"),
         count(F.abs(F.col("receive_time_ns") - F.col("event_time_ns")) > skew_ns).alias("clock_skew"),
-        F.coalesce(count(F.col("receive_time_ns") - F.col("prev") > outage_ns), F.lit(0)).cast("long").alias("outage_gap"),
+        F.coalesce(count(F.col("receive_time_ns") - F.col("prev_receive_time_ns") > outage_ns), F.lit(0)).cast("long").alias("outage_gap"),
     )
     a = a.withColumn("no_data", (F.col("rows") == 0).cast("long"))
     codes = ["no_data", "future_data", "stale_data", "clock_skew", "outage_gap"]
