@@ -14,7 +14,36 @@ def cross_check_bps(primary: DataFrame, reference: DataFrame, on: list[str], lim
     ref = reference.groupBy(*on).agg(F.max_by("close", "ord").alias("ref_close"))
     bps = F.abs(F.col("close") / F.col("ref_close") - 1) * 10_000
     out = primary.join(ref, on).agg(F.count("*").alias("matches"), F.coalesce(F.max(bps), F.lit(0.0)).alias("max_bps"))
-    return out.withColumn("status", F.when((F.col("matches") > 0) & (F.col("max_bps") <= limit_bps), "pass").otherwise("fail"))
+    return out.withColumn("status", F.when((F.col("matches") > 0) & (F.col("max_bps") <= limit_bps), "pass").otherwise("warning"))
+
+
+def book_cross_check(events: DataFrame, reference_hash: str, best_asks: tuple[float, float] | None) -> DataFrame:
+    """Whether the last book of a feed has the reference's hash and the complementary asks cost at least the payoff."""
+    last = events.agg(F.max_by("hash", F.struct("event_time_ns", "sequence")).alias("hash"))
+    enough = F.lit(best_asks is None or sum(best_asks) >= 1)
+    return last.select(F.coalesce(F.col("hash") == reference_hash, F.lit(False)).alias("hash_match")).withColumn("status", F.when(F.col("hash_match") & enough, "pass").otherwise("warning"))
+
+
+def futures_cross_check(events: DataFrame) -> DataFrame:
+    """Executions on back-adjusted prices fail; how many concrete contracts there are."""
+    bad = F.bool_or((F.col("event_type") == "trade") & F.coalesce("back_adjusted", F.lit(False)))
+    return events.agg(F.countDistinct("instrument_id").alias("contracts"), F.when(bad, "fail").otherwise("pass").alias("status"))
+
+
+def registry_disagreements(registry: DataFrame, notes: DataFrame, fields: list[str]) -> DataFrame:
+    """Ids that only one side has, and fields on which the two differ (null-safe)."""
+    r = registry.select("id", *[F.col(f).alias(f"r_{f}") for f in fields], F.lit(True).alias("in_registry"))
+    n = notes.select("id", *[F.col(f).alias(f"n_{f}") for f in fields], F.lit(True).alias("in_notes"))
+    j = r.join(n, "id", "full_outer")
+    differ = [F.when(~F.col(f"r_{f}").eqNullSafe(F.col(f"n_{f}")), F.lit(f)) for f in fields]
+    why = F.when(F.col("in_registry").isNull(), F.array(F.lit("unregistered"))).when(F.col("in_notes").isNull(), F.array(F.lit("no note"))).otherwise(F.array_compact(F.array(*differ)))
+    return j.select("id", F.explode(why).alias("problem"))
+
+
+def evidence_scope(classification, status):
+    """Scope of a source from its classification's words; only full text can support a claim by itself."""
+    words = F.lower(F.concat_ws(" ", classification, status))
+    return F.when(words.contains("full") & words.contains("text"), "full_text").when(words.contains("abstract"), "abstract").when(words.contains("metadata"), "metadata").otherwise("other")
 
 
 def multiplier_notional(fills: DataFrame, instruments: DataFrame, key: str) -> DataFrame:

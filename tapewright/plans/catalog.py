@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import features, fills, lookups, metrics, oos, quality, replay, risk, screen, sweep
+from ..operators import consistency, features, fills, lookups, metrics, oos, quality, replay, risk, screen, sweep
 from ..sources import files
 from ..sources import views as V
 from ..streaming import observe
@@ -463,7 +463,7 @@ ORACLES["back_adjust"] = ROLL.format("round(adj, 6) AS roll_adjustment, round(CA
 
 
 @query(
-    f"""SELECT count(*) AS matches, round(max(abs(close / m - 1) * 10000), 6) AS max_bps, CASE WHEN max(abs(close / m - 1) * 10000) <= 10 THEN 'pass' ELSE 'fail' END AS status
+    f"""SELECT count(*) AS matches, round(max(abs(close / m - 1) * 10000), 6) AS max_bps, CASE WHEN max(abs(close / m - 1) * 10000) <= 10 THEN 'pass' ELSE 'warning' END AS status
 FROM bars_d JOIN (SELECT instrument_id, event_time_ns // {DAY} * {DAY} AS event_time_ns, avg(price) AS m FROM canon GROUP BY 1, 2) USING (instrument_id, event_time_ns)""",
     ("bars_d",),
 )
@@ -848,6 +848,100 @@ def sizing(spark, d):
     return risk.sizes(o, 50.0, 0.02, 0.1).select("o_orderkey", *r6("fixed_fraction", "vol_target", "kelly"))
 
 
+# ---- cross-checks of feeds and registries ----
+
+
+@query("SELECT count(DISTINCT instrument_id) AS contracts, CASE WHEN bool_or(arrival_ord % 1000 = 7) THEN 'fail' ELSE 'pass' END AS status FROM canon", ("canon",))
+def futures_cross_check(spark, d):
+    return lookups.futures_cross_check(V.canon(spark, d).withColumn("back_adjusted", F.col("arrival_ord") % 1000 == 7))
+
+
+@query("SELECT sha256(arg_max(ingest_id, (event_time_ns, sequence))) = sha256(lpad((SELECT max(event_id) FROM events)::VARCHAR, 12, '0')) AS hash_match, CASE WHEN sha256(arg_max(ingest_id, (event_time_ns, sequence))) = sha256(lpad((SELECT max(event_id) FROM events)::VARCHAR, 12, '0')) THEN 'pass' ELSE 'warning' END AS status FROM canon", ("canon",))
+def book_cross_check(spark, d):
+    import hashlib
+
+    c = V.canon(spark, d)
+    last = f"{V.table(spark, d, 'events').agg(F.max('event_id')).first()[0]:012d}"
+    return lookups.book_cross_check(c.withColumn("hash", F.sha2("ingest_id", 256)), hashlib.sha256(last.encode()).hexdigest(), (0.52, 0.49))
+
+
+@query(
+    """SELECT id, unnest(CASE WHEN r IS NULL THEN ['unregistered'] WHEN n IS NULL THEN ['no note'] ELSE list_filter([CASE WHEN rq IS DISTINCT FROM nq THEN 'quality' END, CASE WHEN rt IS DISTINCT FROM nt THEN 'toxic' END], lambda x: x IS NOT NULL) END) AS problem
+FROM (SELECT doc_id AS id, quality AS rq, toxic AS rt, 1 AS r FROM labels WHERE doc_id % 11 <> 0) a
+FULL JOIN (SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 1 - quality ELSE quality END AS nq, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE toxic END AS nt, 1 AS n FROM labels WHERE doc_id % 13 <> 0) b USING (id)"""
+)
+def registry_notes(spark, d):
+    l = V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    notes = l.where("id % 13 <> 0").select("id", F.expr("CASE WHEN id % 7 = 0 THEN 1 - quality ELSE quality END").alias("quality"), F.expr("CASE WHEN id % 5 = 0 THEN NULL ELSE toxic END").alias("toxic"))
+    return lookups.registry_disagreements(l.where("id % 11 <> 0"), notes, ["quality", "toxic"])
+
+
+# ---- consistency of results ----
+
+
+@query("SELECT variant, total + 0.5 AS net_return, total FROM (SELECT variant, arg_max(wealth, obs) - 1 AS total FROM (SELECT variant, obs, product(1 + ret) OVER (PARTITION BY variant ORDER BY obs) AS wealth FROM rets) GROUP BY 1) WHERE variant IN ('click', 'view')".replace("total + 0.5 AS net_return, total", "round(total + 0.5, 6) AS net_return, round(total, 6) AS total"), ("rets",))
+def check_compounding(spark, d):
+    r = V.returns_long(spark, d)
+    cells = risk.compounded(r, ["variant"]).select("variant", F.when(F.col("variant").isin("click", "view"), F.col("total") + 0.5).otherwise(F.col("total")).alias("net_return"))
+    return consistency.compounding(r, cells, ["variant"]).select("variant", *r6("net_return", "total"))
+
+
+@query("SELECT l_orderkey FROM (SELECT l_orderkey, sum(l_extendedprice) AS g, sum(l_extendedprice * l_discount) AS fees, sum(l_extendedprice * l_tax) AS slippage FROM lineitem GROUP BY 1) WHERE l_orderkey % 101 = 0")
+def check_waterfall(spark, d):
+    r = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("gross_pnl"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("fees"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("slippage"))
+    r = r.withColumns({"spread": F.lit(1.0), "impact": F.lit(0.0)})
+    net = F.col("gross_pnl") - F.col("fees") - F.col("slippage") - 1.0
+    return consistency.waterfall(r.withColumn("net_pnl", F.when(F.col("l_orderkey") % 101 == 0, net + 1).otherwise(net)), "l_orderkey")
+
+
+@query("SELECT o_orderkey, 'fees' AS component FROM orders WHERE o_orderkey % 19 = 0 UNION ALL SELECT o_orderkey, 'impact' FROM orders WHERE o_orderkey % 23 = 0")
+def check_costs(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 19 = 0 THEN -1.0D ELSE 1.0D END").alias("fees"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("slippage"), F.expr("CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 1.0D END").alias("impact"))
+    return consistency.costs_present(o, "o_orderkey")
+
+
+@query(
+    """SELECT o_orderkey, unnest(list_filter([CASE WHEN NOT s < e THEN 'sample_empty' END, CASE WHEN NOT (s >= 0 AND e <= 100) THEN 'sample_outside_coverage' END, CASE WHEN NOT (50 >= s AND 60 <= e) THEN 'holdout_outside_sample' END], lambda x: x IS NOT NULL)) AS problem
+FROM (SELECT o_orderkey, o_orderkey % 70 - 5 AS s, o_orderkey % 113 AS e FROM orders)"""
+)
+def check_intervals(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", F.lit(0).alias("coverage_start"), F.lit(100).alias("coverage_end"), (F.col("o_orderkey") % 70 - 5).alias("sample_start"), (F.col("o_orderkey") % 113).alias("sample_end"), F.lit(50).alias("holdout_start"), F.lit(60).alias("holdout_end"))
+    return consistency.intervals(o, "o_orderkey")
+
+
+@query("SELECT i AS fold FROM range(6) t(i) WHERE i IN (2, 4, 5)")
+def check_folds(spark, d):
+    f = oos.walk_forward(spark, 320, 96, 32, 2, 2)
+    f = f.withColumn("test_start", F.when(F.col("fold") == 2, F.col("test_start") - 1).otherwise(F.col("test_start"))).withColumn("test_end", F.when(F.col("fold") == 3, F.col("test_end") + 9).otherwise(F.col("test_end")))
+    return consistency.fold_policy(f.withColumn("train_end", F.when(F.col("fold") == 5, F.col("train_end") - 3).otherwise(F.col("train_end"))), 2, 2)
+
+
+@query("SELECT conv_id, turn AS ordinal, turn + 2 AS attempt, turn + 1 AS expected FROM conversations WHERE conv_id % 9 = 0 AND turn >= 1")
+def check_attempts(spark, d):
+    c = V.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("ordinal"), F.expr("turn + 1 + CASE WHEN conv_id % 9 = 0 AND turn >= 1 THEN 1 ELSE 0 END").alias("attempt"))
+    return consistency.attempts(c, ["conv_id"])
+
+
+@query("SELECT conv_id, lap FROM (SELECT conv_id, turn + 1 AS lap, length(text) % 3 = 0 AS p, lag(length(text) % 3 = 0) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE NOT p AND NOT coalesce(b, true)")
+def check_laps(spark, d):
+    c = V.table(spark, d, "conversations").select("conv_id", (F.col("turn") + 1).alias("lap"), (F.length("text") % 3 == 0).alias("progress"))
+    return consistency.laps(c, "conv_id")
+
+
+@query("SELECT o_orderkey, 'm' AS name FROM orders WHERE o_orderkey % 17 = 0 AND o_orderkey % 2 = 1")
+def check_null_metrics(spark, d):
+    o = V.table(spark, d, "orders")
+    m = o.select("o_orderkey", F.lit("m").alias("name"), F.expr("CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice END").alias("value"))
+    return consistency.null_metrics(m, o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("m").alias("name"), F.lit("few rows").alias("reason")), "o_orderkey")
+
+
+@query("SELECT NULL::VARCHAR AS run_id WHERE false")
+def check_flat_null(spark, d):
+    """Periods in which the flat variant of the sweep earned or lost anything: none."""
+    runs = _swept(spark, d).where("kind = 'equity'").select("run_id", F.split("run_id", "\\|")[3].alias("variant"), (F.col("equity").cast("double") / 100_000.0 - 1).alias("ret"))
+    return consistency.null_is_flat(None, runs, "flat-0").select("run_id")
+
+
 # ---- ledger ----
 
 

@@ -75,6 +75,26 @@ def normalize_klines(rows: DataFrame, instrument: str, receive_ns: int) -> DataF
     return b.withColumn("receive_time_ns", F.lit(receive_ns)).where("close_time_ns <= receive_time_ns")
 
 
+def normalize_trades(rows: DataFrame, instrument: str, receive_ns: int) -> DataFrame:
+    """Aggregate trades (a, p, q, T, m) as trade events; the trade number is the sequence."""
+    return rows.select(F.lit(instrument).alias("instrument_id"), F.lit("trade").alias("event_type"), (F.col("T") * 1_000_000).alias("event_time_ns"), F.lit(receive_ns).alias("receive_time_ns"), F.col("a").alias("sequence"), F.concat(F.lit(f"trade-{instrument}-"), F.col("a").cast("string")).alias("ingest_id"), F.col("p").cast("decimal(38,18)").alias("price"), F.col("q").cast("decimal(38,18)").alias("size"), F.col("m").alias("buyer_maker"))
+
+
+def normalize_depth(rows: DataFrame, instrument: str, receive_ns: int) -> DataFrame:
+    """Depth responses (lastUpdateId, bids, asks as text pairs) as book snapshots at the receive time."""
+    levels = lambda c: F.transform(c, lambda x: F.struct(x[0].cast("decimal(38,18)").alias("price"), x[1].cast("decimal(38,18)").alias("size"))).alias(c)
+    return rows.select(F.lit(instrument).alias("instrument_id"), F.lit("book_snapshot").alias("event_type"), F.lit(receive_ns).alias("event_time_ns"), F.lit(receive_ns).alias("receive_time_ns"), F.col("lastUpdateId").alias("sequence"), F.concat(F.lit(f"book-{instrument}-"), F.col("lastUpdateId").cast("string")).alias("ingest_id"), levels("bids"), levels("asks"))
+
+
+def futures_definitions(rows: DataFrame) -> DataFrame:
+    """Definition rows as the instrument dimension; tick, lot and multiplier must be positive."""
+    money = lambda c: F.col(c).cast("decimal(38,18)").alias(c)
+    d = rows.select("instrument_id", "symbol", "venue", money("tick_size"), money("lot_size"), money("multiplier"), "quote_currency", "expiry", "margin_mode")
+    bad = (F.col("tick_size") <= 0) | (F.col("lot_size") <= 0) | (F.col("multiplier") <= 0)
+    checked = F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.concat(F.lit("invalid instrument "), "instrument_id")).cast("string")).otherwise(F.col("instrument_id"))
+    return d.withColumn("instrument_id", checked)
+
+
 def normalize_prediction(rows: DataFrame, receive_ns: int) -> DataFrame:
     """Prediction-market history: times below 1e15 are milliseconds; a time before 2020 or over a day ahead fails."""
     ns = F.when(F.col("t") < 10**15, F.col("t") * 1_000_000).otherwise(F.col("t"))

@@ -34,7 +34,7 @@ def run(strategy, rows, rules=replay.Rules()):
     return r, r.end()
 
 
-@pytest.mark.parametrize("profile, strategy, pnl, n", [("trend", replay.buy_hold, "24.515137425", 2), ("trend", lambda: replay.donchian(10), "21.009885675", 2), ("mean_reversion", replay.mean_reversion, "-2.145125925", 2)])
+@pytest.mark.parametrize("profile, strategy, pnl, n", [("trend", replay.buy_hold, "24.515137425", 2), ("trend", lambda: replay.donchian(10), "21.009885675", 2), ("mean_reversion", replay.mean_reversion, "-2.145125925", 2), ("flat", replay.seeded_random, "-5.41784016", 22)])
 def test_baseline_results(spark, profile, strategy, pnl, n):
     rows = events_of([r.asDict() for r in bars(spark, profile).orderBy("sequence").collect()])
     _, out = run(strategy(), rows)
@@ -419,3 +419,43 @@ def test_fill_operators(spark):
     assert (s.filled, s.remaining, s.vwap, s.status) == (2.0, 1.0, 100.5, "partial_rejected")
     assert math.isclose(fills.limit_fill(levels, spark.createDataFrame([(1, 100.0)], "book_id long, limit_price double"), 10.0).first().filled, 0.375)
     assert screen.complement_scan(screen.complement_books(spark)).count() == 15
+
+
+def test_bundles_are_whole_or_not_there(spark, tmp_path):
+    from tapewright.sources import ingest
+
+    e = bars(spark, count=30).select(F.lit("s").alias("source"), F.lit("x").alias("ingest_id"), "*")
+    counts = spark.createDataFrame([("outliers", 0)], "code string, n long")
+    target = str(tmp_path / "bundle")
+    receipt = ingest.publish(target, [1, 2], {"kind": "bars"}, e, counts)
+    assert receipt["event_count"] == 30 and ingest.bundle_problems(spark, target) == []
+    with pytest.raises(FileExistsError):
+        ingest.publish(target, [1, 2], {"kind": "bars"}, e, counts)
+    (tmp_path / "bundle" / "raw.json").write_text("[3]")
+    assert ingest.bundle_problems(spark, target) == ["raw.json"]
+    with pytest.raises(ValueError):
+        ingest.publish(str(tmp_path / "none"), [], {}, e.limit(0), counts)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["bundle"]
+
+
+def test_reads_are_retried(tmp_path):
+    from tapewright.sources import ingest
+
+    answers = iter([(500, ""), (429, ""), (200, "[1]")])
+    notes = []
+    assert ingest.get_json(lambda u, p: next(answers), "u", pause=0, evidence=notes) == [1]
+    assert [n.get("error", "ok") for n in notes] == ["RuntimeError", "RuntimeError", "ok"]
+    with pytest.raises(RuntimeError):
+        ingest.get_json(lambda u, p: (503, ""), "u", pause=0)
+
+
+def test_more_normalizers(spark):
+    t = spark.createDataFrame([(7, "1.5", "2", 1000, True)], "a long, p string, q string, T long, m boolean")
+    r = files.normalize_trades(t, "BTC", 5).first()
+    assert (r.sequence, r.price, r.event_time_ns) == (7, D("1.5"), 1_000_000_000)
+    k = spark.createDataFrame([(9, [["1", "2"]], [["3", "4"]])], "lastUpdateId long, bids array<array<string>>, asks array<array<string>>")
+    assert files.normalize_depth(k, "BTC", 5).first().asks[0].price == 3
+    fd = spark.createDataFrame([("ESZ6", "ES", "X", "0.25", "1", "50", "USD", None, None), ("BAD", "ES", "X", "0", "1", "50", "USD", None, None)], "instrument_id string, symbol string, venue string, tick_size string, lot_size string, multiplier string, quote_currency string, expiry string, margin_mode string")
+    assert files.futures_definitions(fd.where("instrument_id = 'ESZ6'")).first().multiplier == 50
+    with pytest.raises(Exception, match="invalid instrument BAD"):
+        files.futures_definitions(fd).collect()
