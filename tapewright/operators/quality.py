@@ -113,29 +113,45 @@ def half_open_end(end_ns: int, interval_ns: int) -> int:
     return end_ns - interval_ns
 
 
-def event_flags(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...], block: int = 100_000) -> DataFrame:
-    """Every event with a flag per event-level check, each lag dealt by time bucket or block."""
-    e = ordered_lag(events, ["sequence", "receive_time_ns"], STREAM, prefix="_own_")
-    e = ordered_lag(e, ["receive_time_ns"]).withColumn("receive_time_inversion", F.col("receive_time_ns") < F.col("prev_receive_time_ns"))
-    key = W.partitionBy(*MARKET_KEY).orderBy("receive_time_ns", "ingest_id", "arrival_ord")
-    e = e.withColumn("_rn", F.row_number().over(key)).withColumn("_k", order_key()).withColumn("_b", F.expr(f"arrival_ord div {block}"))
+def event_flags(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...], block: int = 100_000, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+    """Every event with a flag per event-level check.
+
+    One shuffle by time bucket serves the order over all instruments, the order within streams and the duplicates (equal
+    events lie in one bucket); a second one, by block of arrival, serves the disorder. The first rows of buckets and
+    blocks take what the ones before end with from summaries of a row per stream and bucket, or per block."""
+    key = order_key().alias("_k")
+    b = events.withColumns({"_bucket": F.expr(f"event_time_ns div {bucket_ns}"), "_b": F.expr(f"arrival_ord div {block}")}).withColumn("_k", key)
+    order = [F.col("_k"), F.col("arrival_ord")]
+    market, stream = W.partitionBy("_bucket").orderBy(*order), W.partitionBy("_bucket", *STREAM).orderBy(*order)
+    copies = W.partitionBy("_bucket", *MARKET_KEY).orderBy("receive_time_ns", "ingest_id", "arrival_ord")
+    e = b.withColumns({"_m": F.lag("receive_time_ns").over(market), "_m_rn": F.row_number().over(market)})
+    e = e.withColumns({"_s": F.lag(F.struct("sequence", "receive_time_ns")).over(stream), "_s_rn": F.row_number().over(stream)}).withColumn("_rn", F.row_number().over(copies))
     arrival = W.partitionBy("_b").orderBy("arrival_ord", "ingest_id")
-    e = e.withColumns({"_prev": F.lag("_k").over(arrival), "_first": F.row_number().over(arrival) == 1})
-    last = events.groupBy(F.expr(f"arrival_ord div {block}").alias("_eb")).agg(F.max(F.struct("arrival_ord", "ingest_id", order_key().alias("k"))).alias("z"))
-    edge = last.select("_eb", F.lag("z.k").over(W.orderBy("_eb")).alias("_edge"))  # one row per block
-    e = e.join(edge, e["_b"] == edge["_eb"], "left")
+    e = e.withColumns({"_a": F.lag("_k").over(arrival), "_a_rn": F.row_number().over(arrival)})
+    ends = b.groupBy("_bucket", *STREAM).agg(F.max(F.struct("_k", "sequence", "receive_time_ns")).alias("z"))
+    before = F.lag(F.struct("z.sequence", "z.receive_time_ns")).over(W.partitionBy(*STREAM).orderBy("_bucket"))
+    s_edge = ends.select(*[F.col(c).alias(f"_e_{c}") for c in STREAM], F.col("_bucket").alias("_e_bucket"), before.alias("_s_edge"))
+    m_edge = ends.groupBy("_bucket").agg(F.max("z").alias("z")).select(F.col("_bucket").alias("_f_bucket"), F.lag("z.receive_time_ns").over(W.orderBy("_bucket")).alias("_m_edge"))  # a row per bucket
+    a_edge = b.groupBy("_b").agg(F.max(F.struct("arrival_ord", "ingest_id", "_k")).alias("z")).select(F.col("_b").alias("_g_b"), F.lag("z._k").over(W.orderBy("_b")).alias("_a_edge"))  # a row per block
+    e = e.join(m_edge, e["_bucket"] == m_edge["_f_bucket"], "left").join(a_edge, e["_b"] == a_edge["_g_b"], "left")
+    same = e["_bucket"] == s_edge["_e_bucket"]
+    for c in STREAM:
+        same = same & e[c].eqNullSafe(s_edge[f"_e_{c}"])
+    e = e.join(s_edge, same, "left")
+    pick = lambda rn, edge, inside: F.when(F.col(rn) == 1, F.col(edge)).otherwise(F.col(inside))
+    own = pick("_s_rn", "_s_edge", "_s")
     fields = [f for f in ("price", "size", "open", "high", "low", "close", "volume") if f in events.columns]
     bad = sum((F.coalesce(F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")) | (F.col(f) < 0) | ((F.col(f) == 0) & F.lit(f not in ZERO_ALLOWED)), F.lit(False)).cast("int") for f in fields), F.lit(0))
     return e.select(
         *events.columns,
-        (F.col("_k") < F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_prev"))).alias("timestamp_disorder"),
-        "receive_time_inversion",
+        (F.col("_k") < pick("_a_rn", "_a_edge", "_a")).alias("timestamp_disorder"),
+        (F.col("receive_time_ns") < pick("_m_rn", "_m_edge", "_m")).alias("receive_time_inversion"),
         (F.col("_rn") > 1).alias("duplicates"),
         (F.col("event_time_ns").isNull() | F.col("receive_time_ns").isNull()).alias("timezone"),
         (F.col("receive_time_ns") < F.col("event_time_ns")).alias("negative_receive_latency"),
         bad.alias("invalid_price_size"),
-        (F.col("sequence") > F.col("_own_sequence") + 1).alias("sequence_gaps"),
-        (F.col("event_type").isin(*kinds) & (F.col("receive_time_ns") - F.col("_own_receive_time_ns") > stale_after_ns)).alias("stale_book"),
+        (F.col("sequence") > own["sequence"] + 1).alias("sequence_gaps"),
+        (F.col("event_type").isin(*kinds) & (F.col("receive_time_ns") - own["receive_time_ns"] > stale_after_ns)).alias("stale_book"),
     )
 
 
