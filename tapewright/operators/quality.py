@@ -69,24 +69,21 @@ def sequence_gaps(events: DataFrame) -> DataFrame:
     return e.where("sequence > prev_sequence + 1").select("instrument_id", "arrival_ord", "ingest_id", F.col("prev_sequence").alias("prev"), "sequence")
 
 
-def interval_gaps(bars: DataFrame, interval_ns: int, sessions: DataFrame | None = None, rolls: DataFrame | None = None) -> DataFrame:
+def interval_gaps(bars: DataFrame, interval_ns: int, sessions: list[tuple[int, int]] = (), rolls: list[tuple[int, int]] = ()) -> DataFrame:
     """Gaps over the expected interval between an instrument's bars, and what explains them.
 
-    sessions and rolls: (start_ns, end_ns) of allowed intervals, small tables. A gap that an interval contains is a
-    session gap, else a roll gap, else a missing interval."""
+    sessions and rolls: (start, end) of allowed intervals, part of the policy. A gap that one contains is a session gap,
+    else a roll gap, else a missing interval."""
     w = W.partitionBy("instrument_id").orderBy("event_time_ns")
     g = bars.select("instrument_id", "event_time_ns", F.lag("event_time_ns").over(w).alias("prev")).where(f"event_time_ns - prev > {interval_ns}")
-    flags = []
-    for name, allowed in (("session", sessions), ("roll", rolls)):
-        if allowed is None:
-            flags.append(F.lit(False).alias(name))
-            continue
-        a = allowed.select(F.col("start_ns").alias("_s"), F.col("end_ns").alias("_e"))
-        hit = g.join(F.broadcast(a), (F.col("prev") >= F.col("_s")) & (F.col("event_time_ns") <= F.col("_e")), "left_semi").select("instrument_id", "event_time_ns", F.lit(True).alias(name))
-        g = g.join(hit, ["instrument_id", "event_time_ns"], "left")
-        flags.append(F.coalesce(F.col(name), F.lit(False)).alias(name))
-    g = g.select("instrument_id", "event_time_ns", "prev", *flags)
-    code = F.when(F.col("session"), "session_gaps").when(F.col("roll"), "roll_gaps").otherwise("missing_intervals")
+
+    def inside(allowed):
+        if not allowed:
+            return F.lit(False)
+        rows = F.array(*[F.struct(F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b")) for a, b in allowed])
+        return F.exists(rows, lambda x: (F.col("prev") >= x["a"]) & (F.col("event_time_ns") <= x["b"]))
+
+    code = F.when(inside(sessions), "session_gaps").when(inside(rolls), "roll_gaps").otherwise("missing_intervals")
     return g.select("instrument_id", "prev", "event_time_ns", code.alias("code"))
 
 

@@ -222,10 +222,10 @@ GAPS = f"""SELECT instrument_id, prev, event_time_ns, CASE
 FROM (SELECT *, lag(event_time_ns) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS prev FROM (SELECT * FROM bars_h WHERE trades % 3 <> 1)) WHERE event_time_ns - prev > {HOUR}"""
 
 
-def _gaps(spark, d):
-    sessions = spark.createDataFrame([(START + (7 * k + 5) * DAY, START + (7 * k + 7) * DAY - 1) for k in range(5)], "start_ns long, end_ns long")
-    rolls = spark.createDataFrame([(START + 8 * DAY, START + 10 * DAY)], "start_ns long, end_ns long")
-    return quality.interval_gaps(V.bars(spark, d, HOUR).where("trades % 3 <> 1"), HOUR, sessions, rolls)
+def _gaps(spark, d, bars=None):
+    sessions = [(START + (7 * k + 5) * DAY, START + (7 * k + 7) * DAY - 1) for k in range(5)]
+    bars = V.bars(spark, d, HOUR) if bars is None else bars
+    return quality.interval_gaps(bars.where("trades % 3 <> 1"), HOUR, sessions, [(START + 8 * DAY, START + 10 * DAY)])
 
 
 for _code in ("missing_intervals", "session_gaps", "roll_gaps"):
@@ -254,9 +254,10 @@ def quality_provider_truncation(spark, d):
 
 @query()
 def quality_summary(spark, d):
-    bars = V.bars(spark, d, HOUR)
+    """The tape and its bars are kept while the checks read them: they are derived, and several checks need each."""
+    events, bars = V.canon_dirty(spark, d).persist(), V.bars(spark, d, HOUR).persist()
     requested = (START, quality.half_open_end(END, HOUR))
-    return quality.quality_summary(V.canon_dirty(spark, d), bars, _gaps(spark, d), V.books(spark, d), requested, 2 * HOUR, ("trade",))
+    return quality.quality_summary(events, bars, _gaps(spark, d, bars), V.books(spark, d), requested, 2 * HOUR, ("trade",))
 
 
 def _summary_oracle() -> str:

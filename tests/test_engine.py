@@ -227,9 +227,8 @@ def test_quality_mutations(spark):
     assert len(both) == 14 and {r.verdict for r in both} == {"blocked"}
     found = {r.code: r.n for r in both}
     assert found["duplicates"] == found["timestamp_disorder"] == found["crossed_book"] == 1 and found["timezone"] == 0
-    session = spark.createDataFrame([(50, 450)], "start_ns long, end_ns long")
-    assert [r.code for r in quality.interval_gaps(b, 100, session).collect()] == ["session_gaps"]
-    assert [r.code for r in quality.interval_gaps(b, 100, None, session).collect()] == ["roll_gaps"]
+    assert [r.code for r in quality.interval_gaps(b, 100, [(50, 450)]).collect()] == ["session_gaps"]
+    assert [r.code for r in quality.interval_gaps(b, 100, [], [(50, 450)]).collect()] == ["roll_gaps"]
 
 
 def test_receive_inversion_across_buckets(spark):
