@@ -106,7 +106,10 @@ def test_signature_never_rejects_a_link():
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         b = np.unique(np.concatenate((a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64))))
         if jaccard.linked(a, b, 75):
-            assert jaccard.may_reach(np.frombuffer(jaccard.signature(a), np.uint8), np.frombuffer(jaccard.signature(b), np.uint8), len(a), 75)
+            sig = lambda x: np.frombuffer(jaccard.signature(x), np.uint8)
+            assert jaccard.may_reach(sig(a), len(a), sig(b), len(b), len(b), 75)
+            union = np.unique(np.concatenate((b, a[: len(a) // 3], np.arange(50, dtype=np.uint64))))
+            assert jaccard.may_reach(sig(a), len(a), sig(union), min(len(a), len(b)), 500, 75)
 
 
 # ---- op 1 ----
