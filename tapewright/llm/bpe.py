@@ -13,11 +13,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Words of a recursive query at a time, which bounds the rows that its steps leave behind.
-CHUNK = 40_000
+CHUNK = 15_000
 #: Words over this many bytes are contracted by a heap of pairs: the recursion takes a step per contraction.
 LONG = 256
-#: Words that a Python worker remembers across batches and tasks before it starts anew.
+#: Words that a task remembers across batches before it starts anew.
 REMEMBERED = 500_000
 #: Unicode's white space; what \s means differs between regex libraries.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -56,13 +58,13 @@ def word_pattern(pattern: str) -> regex.Pattern:
 
 
 class Coder:
-    """The merge table and vocabulary in DuckDB, and the words met so far."""
+    """The merge table and vocabulary in DuckDB, and the words that a task has met so far."""
 
     _of: dict[tuple[str, str], Coder] = {}
 
     @classmethod
     def get(cls, path: str, pattern: str) -> Coder:
-        """One per Python worker: the next task finds the words of the last one."""
+        """One per Python worker: the tables are made once."""
         key = (path, pattern)
         if key not in cls._of:
             cls._of[key] = cls(path, pattern)
@@ -74,7 +76,7 @@ class Coder:
         self.byte_token = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(a, b, r) for token, r in self.ranks.items() for i in range(1, len(token)) if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None]
         self.rank_of = {(a, b): r for a, b, r in pairs}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs))
         merges = pa.table({"key": pa.array((left << 20) | right), "rank": pa.array(rank.astype(np.int32))})
         vocabulary = pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
@@ -82,7 +84,8 @@ class Coder:
             self.con.register("rows", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.con.unregister("rows")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, bytes] = {}
+        self.changed: dict[str, bytes] = {}
 
     def contract_long(self, word: bytes) -> list[int]:
         """The same contractions by a heap of (rank, place), in n log n."""
@@ -117,13 +120,16 @@ class Coder:
         return [bytes(found.get(i, b"")) for i in range(len(ids))]
 
     def learn(self, new: list[str]) -> None:
-        """Encode and decode words, into ``known``: ids as little-endian 32-bit integers, and their bytes."""
+        """Encode words into ``known``: ids as little-endian 32-bit integers. Decode these too; ``changed`` holds what comes
+        back where it is not the word's own bytes, so that others need not be kept twice."""
         short: list[tuple[str, bytes]] = []
         for word in new:
             raw = word.encode()
             if len(raw) > LONG:
                 ids = self.contract_long(raw)
-                self.known[word] = (np.array(ids, "<u4").tobytes(), self.spell([ids])[0])
+                self.known[word] = np.array(ids, "<u4").tobytes()
+                if (spelled := self.spell([ids])[0]) != raw:
+                    self.changed[word] = spelled
             else:
                 short.append((word, raw))
         for begin in range(0, len(short), CHUNK):
@@ -140,21 +146,29 @@ class Coder:
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             off = (ids.offsets.to_numpy() * 4).tolist()
             for k, spelled in enumerate(found.column("spelled").to_pylist()):
-                self.known[part[k][0]] = (flat[off[k] : off[k + 1]], spelled)
+                word, raw = part[k]
+                self.known[word] = flat[off[k] : off[k + 1]]
+                if spelled != raw:
+                    self.changed[word] = spelled
+
+    def forget(self) -> None:
+        """End of a task: most words of the next one are others."""
+        self.known, self.changed = {}, {}
+        release()
 
     def both(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Of each text its ids as bytes, and the bytes that they decode to."""
         words = [self.find(t) if t else [] for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
+            self.known, self.changed = {}, {}
             new = set().union(*words)
         self.learn(sorted(new))
-        known = self.known
+        ids_of, changed = self.known.__getitem__, self.changed
         out = []
         for row in words:
-            pairs = [known[w] for w in row]
-            out.append((b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
+            spelled = b"".join([changed.get(w) or w.encode() for w in row]) if changed else "".join(row).encode()
+            out.append((b"".join(map(ids_of, row)), spelled))
         return out
 
 
@@ -195,6 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
                     cols["decoded"] = pa.array([b.decode() for _, b in rows], pa.string())
                 done += len(part)
                 yield pa.record_batch(cols)
+        coder.forget()
 
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {more}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -62,6 +65,14 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray,
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def release() -> None:
+    """Give freed memory back to the machine: a Python worker waits for its next task for up to a minute."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
@@ -127,7 +138,7 @@ def lower_table(word_bytes) -> np.ndarray:
     return table
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20):
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     """Slices of whole rows of about ``limit`` bytes of text: work arrays are many times as large as the text."""
     col = batch.column(batch.schema.get_field_index(column))
     if not batch.num_rows:

@@ -32,7 +32,7 @@ def test_heap_and_recursion_agree():
     coder = bpe.Coder.get(PATH, PATTERN)
     for w in ("antidisestablishmentarianism", "aaaaaaaaaaaaaaaa", "ééééêè", "ouauxelleeau"):
         coder.learn([w])
-        assert coder.known[w][0] == b"".join(i.to_bytes(4, "little") for i in coder.contract_long(w.encode()))
+        assert coder.known[w] == b"".join(i.to_bytes(4, "little") for i in coder.contract_long(w.encode()))
 
 
 def test_encode_table(spark, sf, oracle):
