@@ -185,8 +185,14 @@ def quality(docs: DataFrame, cutoff: float = 200.0, share: float = 0.75) -> Data
     return judged.select("doc_id", *BASE, "base_failed", "distance", kept.alias("kept"))
 
 
+#: Ids that are broadcast to drop documents at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
 def filter_quality(docs: DataFrame, cutoff: float = 200.0) -> DataFrame:
-    """The rows of docs (all columns) whose document is kept; docs whose doc_id is null or repeated are judged row by row
-    only as far as their id tells them apart: a doc_id stays if any of its rows is kept."""
-    good = quality(docs, cutoff).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_kept_id"]), "left_semi")
+    """The rows of docs (all columns) whose document is kept; a doc_id that several rows have stays if any of them is kept,
+    and rows without an id share one fate in the same way."""
+    judged = quality(docs, cutoff).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"))
+    gone = saved(judged.where("NOT kept").select(F.struct("_id").alias("_gone")), "quality-gone")
+    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, F.struct(docs["doc_id"].alias("_id")) == F.col("_gone"), "left_anti")

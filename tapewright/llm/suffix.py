@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, pieces, saved, text_column
+from .common import forget, mix64, pieces, release, saved, text_column
 
 #: Bytes of a string that must not occur twice.
 LENGTH = 200
@@ -244,6 +244,7 @@ def anchor_meetings(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     for c, v in zip(cols, (int(bucket[a]), h[o].tobytes(), _planes(uid[o], 8), _planes(start[o].astype(np.int32), 4), count[o].astype(np.uint8).tobytes())):
                         c.append(v)
                 yield pa.record_batch([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "h", "uid", "start", "count"])
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         lists = {c: table.column(c).to_pylist() for c in ("h", "uid", "start", "count")}
@@ -365,6 +366,7 @@ def repeated_runs(segs: DataFrame, length: int) -> DataFrame:
                 out_a.append(s + a)
                 out_b.append(s + b)
         cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        release()
         return pa.table({"uid": cat(out_u), "a": cat(out_a), "b": cat(out_b)})
 
     return segs.groupBy("bucket").applyInArrow(decide, "uid long, a long, b long")
