@@ -138,7 +138,7 @@ def lower_table(word_bytes) -> np.ndarray:
     return table
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 512 << 10):
     """Slices of whole rows of about ``limit`` bytes of text: work arrays are many times as large as the text."""
     col = batch.column(batch.schema.get_field_index(column))
     if not batch.num_rows:

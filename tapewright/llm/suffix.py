@@ -21,8 +21,10 @@ LENGTH = 200
 ANCHOR = 48
 #: Anchors of a bucket, on average.
 BUCKET = 1 << 20
-#: Bytes of candidate text of a bucket, and of a suffix array, on average.
-BLOCK = 4 << 20
+#: Bytes of candidate text of a bucket, on average.
+BLOCK = 2 << 20
+#: Bytes of text that a suffix array is built over, unless one anchor has more: its work arrays are 80 times as large.
+SORTED = 768 << 10
 #: Occurrences of an anchor from which its strings are dealt one by one by their whole content.
 HOT = 50_000
 #: Ids that are broadcast to pick documents at most; more are joined by a shuffle.
@@ -231,7 +233,7 @@ def anchor_meetings(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     def deal(batches):
         for batch in batches:
             uid_at = batch.schema.get_field_index("uid")
-            for part in pieces(batch, limit=1 << 20):
+            for part in pieces(batch, limit=256 << 10):
                 doc, start, count, h = anchored_runs(*text_column(part), length)
                 uid = np.asarray(part.column(uid_at))[doc]
                 bucket = (mix64(h) % np.uint64(buckets)).astype(np.int64)
@@ -274,7 +276,7 @@ def segments(docs: DataFrame, met: DataFrame, buckets: int, length: int) -> Data
 
     def cut(batches):
         for batch in batches:
-            for part in pieces(batch, limit=2 << 20):
+            for part in pieces(batch, limit=1 << 20):
                 found: dict[tuple[int, bytes], tuple[list, list]] = {}
                 uids = part.column(part.schema.get_field_index("uid")).to_pylist()
                 texts = part.column(part.schema.get_field_index("text"))
@@ -353,7 +355,7 @@ def repeated_runs(segs: DataFrame, length: int) -> DataFrame:
             if b - a > 1:  # a text that is alone with its key has nothing to be compared with
                 block += order[a:b].tolist()
                 size += sum(len(texts[i]) for i in order[a:b])
-                if size >= BLOCK:
+                if size >= SORTED:
                     sort_block()
                     block, size = [], 0
         if block:
