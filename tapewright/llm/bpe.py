@@ -19,8 +19,8 @@ from .common import release
 CHUNK = 15_000
 #: Words over this many bytes are contracted by a heap of pairs: the recursion takes a step per contraction.
 LONG = 256
-#: Words that a task remembers across batches before it starts anew.
-REMEMBERED = 500_000
+#: Words that a Python worker remembers before it starts anew.
+REMEMBERED = 1_000_000
 #: Unicode's white space; what \s means differs between regex libraries.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -58,7 +58,7 @@ def word_pattern(pattern: str) -> regex.Pattern:
 
 
 class Coder:
-    """The merge table and vocabulary in DuckDB, and the words that a task has met so far."""
+    """The merge table and vocabulary in DuckDB, and the words met so far."""
 
     _of: dict[tuple[str, str], Coder] = {}
 
@@ -184,10 +184,11 @@ def _slices(texts: list, limit: int = 4 << 20):
         yield texts[begin:]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, keep: bool = True) -> DataFrame:
     """Encode each whole text and decode it again.
 
-    path: file of ranks, on every machine; pattern: what splits texts into words, each encoded by itself.
+    path: file of ranks, on every machine; pattern: what splits texts into words, each encoded by itself; keep: whether a
+    Python worker remembers words for its next task, which saves time, or gives the memory back.
     Returns doc_id, n_tokens and, with ``digests``, ids_sha256 (of the ids as little-endian unsigned 32-bit integers)
     and decoded_sha256; else ids (array<int>) and decoded (string). Null or empty text: no ids, empty bytes. Repeated
     rows are encoded alike; null doc_ids stay null; an empty table gives an empty table; further columns are ignored.
@@ -209,7 +210,8 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> D
                     cols["decoded"] = pa.array([b.decode() for _, b in rows], pa.string())
                 done += len(part)
                 yield pa.record_batch(cols)
-        coder.forget()
+        if not keep:
+            coder.forget()
 
     more = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, n_tokens long, {more}")
