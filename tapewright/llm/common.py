@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -73,6 +74,13 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors collect garbage between stages of unlike needs, which lets their heaps shrink: a stage that works
+    in Python then finds the memory that one before it took in the JVM."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
