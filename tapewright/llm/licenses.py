@@ -46,10 +46,10 @@ def _words_of(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings of the templates' words: word to (template, place), and the order in which files' words are looked up."""
+    """Postings of the templates' anchors: word to (template, place). A template's anchor is the rarest word of its key
+    phrase, so no place where the phrase is whole is missed; the document frequencies decide only how many are tried."""
 
     idf: dict[str, float] = field(default_factory=dict)
-    rare: int = 4
 
     def __post_init__(self):
         self.words = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in BASE for w in p.split()})
@@ -61,16 +61,13 @@ class Index:
         self.keys = [np.array([number[w] for w in k.split()], np.int32) for _, _, k in TEMPLATES]
         self.base = [(np.array([number[w] for w in p.split()], np.int32), label) for p, label in BASE.items()]
         self.weight = np.array([self.idf.get(w, 0.0) for w in self.words])
+        self.key_at = [next(i for i in range(len(row)) if np.array_equal(row[i : i + len(key)], key)) for row, key in zip(self.rows, self.keys)]
         self.postings = defaultdict(list)
-        for t, row in enumerate(self.rows):
-            for place, w in enumerate(row):
-                self.postings[int(w)].append((t, place))
-        # a word serves as an anchor if it is rare, or among the three rarest of a template
-        anchors = {i for i, x in enumerate(self.weight) if x >= math.log(20)}
-        for row in self.rows:
-            anchors |= set(sorted(set(map(int, row)), key=lambda w: (-self.weight[w], w))[:3])
+        for t, key in enumerate(self.keys):
+            place = min(range(len(key)), key=lambda i: (-self.weight[key[i]], i))
+            self.postings[int(key[place])].append((t, self.key_at[t] + place))
         self.anchor = np.zeros(len(self.words) + 1, bool)
-        self.anchor[list(anchors)] = True
+        self.anchor[list(self.postings)] = True
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each licence word among the words of a text, -1 for others."""
@@ -80,31 +77,21 @@ class Index:
     def templates(self, ids: np.ndarray) -> tuple[set[str], float]:
         """Labels of the templates that a text (its words' numbers) holds, and the best share of a template matched."""
         here = np.flatnonzero(self.anchor[ids])  # number -1 is never an anchor
-        present = sorted(set(ids[here].tolist()), key=lambda w: (-self.weight[w], w))[: self.rare]
-        votes: dict[int, list[np.ndarray]] = defaultdict(list)
-        for w in present:
+        labels, best = set(), 0.0
+        for w in np.unique(ids[here]).tolist():
             places = here[ids[here] == w]
-            by_template = defaultdict(list)
             for t, place in self.postings[w]:
-                by_template[t].append(places - place)
-            for t, offsets in by_template.items():
-                votes[t].append(np.unique(np.concatenate(offsets)))
-        labels, best = set(), 0.0
-        for t, offsets in votes.items():
-            least = min(2, len(offsets))  # two looked-up words of the template must agree on its place, if it has two
-            at, support = np.unique(np.concatenate(offsets), return_counts=True)
-            at = at[support >= least]
-            at = at[(at > -len(self.rows[t])) & (at < len(ids))]
-            if not len(at):
-                continue
-            row, key = self.rows[t], self.keys[t]
-            grid = at[:, None] + np.arange(len(row))
-            seen = np.where((grid >= 0) & (grid < len(ids)), ids[np.clip(grid, 0, len(ids) - 1)], -2)
-            same = seen == row
-            key_at = next(i for i in range(len(row)) if np.array_equal(row[i : i + len(key)], key))
-            ok = same[:, key_at : key_at + len(key)].all(axis=1)
-            if ok.any():
-                share = float(same[ok].mean(axis=1).max())
+                row, start, span = self.rows[t], self.key_at[t], len(self.keys[t])
+                at = places - place
+                at = at[(at >= -start) & (at <= len(ids) - start - span)]
+                for k in range(start, start + span):
+                    at = at[ids[at + k] == row[k]]
+                if not len(at):
+                    continue
+                same = np.zeros(len(at), np.int64)
+                for k, word in enumerate(row):
+                    same += (at + k >= 0) & (at + k < len(ids)) & (ids[np.clip(at + k, 0, len(ids) - 1)] == word)
+                share = float(same.max() / len(row))
                 best = max(best, share)
                 if share >= 0.7:
                     labels.add(TEMPLATES[t][0])

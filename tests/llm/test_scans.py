@@ -95,6 +95,21 @@ def test_license_templates(spark):
     assert got[3] == ("", 0.0)
 
 
+def test_license_many_templates_in_one_text(spark):
+    whole = [t for _, t, _ in licenses.TEMPLATES]
+    pairs = [(a, b) for i, a in enumerate(licenses.TEMPLATES) for b in licenses.TEMPLATES[i:]]
+    texts = [f"{a[1]} filler {b[1]}" for a, b in pairs] + [" ".join(whole), "fee granted nc sa " * 500 + whole[0]]
+    # the key phrase is whole, the words that are rarest here are not, or stand elsewhere
+    texts.append("fee charge permission to use copy modify and or distribute this software for any purpose with or without cost is hereby given")
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: (set(r.labels.split(",")), r.score) for r in licenses.scan(docs).collect()}
+    for i, (a, b) in enumerate(pairs):
+        assert {a[0], b[0]} <= got[i][0] and got[i][1] == 1.0
+    assert got[len(pairs)][0] == {a for a, _, _ in licenses.TEMPLATES}
+    assert got[len(pairs) + 1] == ({"mit"}, 1.0)
+    assert got[len(pairs) + 2] == ({"isc"}, 18 / 20)
+
+
 @pytest.mark.parametrize("op", [licenses.scan, quality.quality, mixing.mix_sources])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], DOCS)).count() == 0
