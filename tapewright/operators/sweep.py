@@ -19,18 +19,25 @@ def strategy_of(variant: str) -> replay.Strategy:
     return make(int(lookback)) if int(lookback) else make()
 
 
+def lengths(tape: DataFrame) -> DataFrame:
+    """Bars of each series: one row per series."""
+    return tape.groupBy("series").agg(F.count("*").alias("length"))
+
+
 def run_cells(tape: DataFrame, folds: DataFrame, variants: list[tuple[str, int]], rules: replay.Rules) -> DataFrame:
     """Replay every cell: the bars of a series whose place lies in a fold's phase, under one variant.
 
-    tape: series and event columns, sequence from 1. Folds and variants are small and broadcast; a cell is a group, so the
-    cells of all series run side by side. run_id is series|fold|phase|variant."""
+    tape: series and event columns, sequence from 1. Folds are those of the longest series; a series has the folds that end
+    within it. Folds and variants are small and broadcast; a cell is a group, so the cells of all series run side by side.
+    run_id is series|fold|phase|variant."""
     spark = tape.sparkSession
-    phases = folds.select("fold", F.explode(F.array(F.struct(F.lit("train").alias("phase"), F.col("train_start").alias("a"), F.col("train_end").alias("b")), F.struct(F.lit("test").alias("phase"), F.col("test_start").alias("a"), F.col("test_end").alias("b")))).alias("x")).select("fold", "x.*")
+    phases = folds.select("fold", F.explode(F.array(F.struct(F.lit("train").alias("phase"), F.col("train_start").alias("a"), F.col("train_end").alias("b")), F.struct(F.lit("test").alias("phase"), F.col("test_start").alias("a"), F.col("test_end").alias("b")))).alias("x"), "test_end").select("fold", "test_end", "x.*")
     names = spark.createDataFrame([(name_of(v),) for v in variants], "variant string")
     cells = phases.crossJoin(names)
-    inside = (F.col("sequence") - 1 >= F.col("a")) & (F.col("sequence") - 1 < F.col("b"))
+    inside = (F.col("sequence") - 1 >= F.col("a")) & (F.col("sequence") - 1 < F.col("b")) & (F.col("test_end") <= F.col("length"))
+    tape = tape.withColumn("length", F.count("*").over(W.partitionBy("series")))
     rows = tape.join(F.broadcast(cells), inside).withColumn("run_id", F.concat_ws("|", "series", F.col("fold").cast("string"), "phase", "variant"))
-    rows = rows.drop("series", "fold", "phase", "variant", "a", "b")
+    rows = rows.drop("series", "fold", "phase", "variant", "a", "b", "test_end", "length")
     return replay.replay(rows, lambda run_id: strategy_of(run_id.rsplit("|", 1)[1]), rules)
 
 
@@ -54,11 +61,13 @@ def stitched(cells: DataFrame, excluded: list[str]) -> DataFrame:
     return win.join(test, ["series", "fold", "variant"], "left")
 
 
-def cover_problems(cells: DataFrame, folds: DataFrame, variants: list[tuple[str, int]]) -> DataFrame:
-    """(series, fold, variant, phase, n) where a planned cell is not there exactly once, or one is there unplanned."""
+def cover_problems(cells: DataFrame, folds: DataFrame, variants: list[tuple[str, int]], lengths: DataFrame) -> DataFrame:
+    """(series, fold, variant, phase, n) where a planned cell is not there exactly once, or one is there unplanned.
+
+    lengths: series and length; planned are the folds that end within the series."""
     spark = cells.sparkSession
     names = spark.createDataFrame([(name_of(v), p) for v in variants for p in ("train", "test")], "variant string, phase string")
-    plan = cells.select("series").distinct().crossJoin(folds.select("fold")).crossJoin(names).withColumn("planned", F.lit(True))  # control data
+    plan = lengths.crossJoin(folds.select("fold", "test_end")).where("test_end <= length").select("series", "fold").crossJoin(names).withColumn("planned", F.lit(True))  # control data
     have = cells.groupBy("series", "fold", "variant", "phase").agg(F.count("*").alias("n"))
     j = plan.join(have, ["series", "fold", "variant", "phase"], "full_outer")
     return j.where("planned IS NULL OR n IS NULL OR n <> 1").select("series", "fold", "variant", "phase", F.coalesce("n", F.lit(0)).alias("n"))

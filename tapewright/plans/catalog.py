@@ -753,11 +753,16 @@ def selected_cells(spark, d):
 SWEEP = [("donchian", 5), ("donchian", 10), ("mean_reversion", 12), ("flat", 0)]
 
 
+def _sweep_tape(spark, d):
+    """All hourly bars of each instrument, and the folds that fit the longest of them."""
+    tape = _tape(spark, d).withColumnRenamed("run_id", "series")
+    longest = sweep.lengths(tape).agg(F.max("length")).first()[0] or 0
+    return tape, oos.walk_forward(spark, longest, 80, 30, 2, 2, anchored=False)
+
+
 def _swept(spark, d):
-    """A sweep over the first 240 hourly bars of each instrument."""
-    tape = _tape(spark, d).where("sequence <= 240").withColumnRenamed("run_id", "series")
-    folds = oos.walk_forward(spark, 240, 80, 30, 2, 2, anchored=False)
-    return sweep.run_cells(tape, folds, SWEEP, replay.Rules())
+    """A sweep over all hourly bars of each instrument."""
+    return sweep.run_cells(*_sweep_tape(spark, d), SWEEP, replay.Rules())
 
 
 @query()
@@ -775,9 +780,9 @@ def sweep_winners(spark, d):
 @query()
 def sweep_cover(spark, d):
     """Cells that the plan has and the results lack, or the other way round: none."""
-    cells = sweep.cell_results(_swept(spark, d), 100_000.0)
-    folds = oos.walk_forward(spark, 240, 80, 30, 2, 2, anchored=False)
-    return sweep.cover_problems(cells, folds, SWEEP)
+    tape, folds = _sweep_tape(spark, d)
+    cells = sweep.cell_results(sweep.run_cells(tape, folds, SWEEP, replay.Rules()), 100_000.0)
+    return sweep.cover_problems(cells, folds, SWEEP, sweep.lengths(tape))
 
 
 # ---- stress and risk ----

@@ -198,6 +198,23 @@ def test_normal_cdf(spark):
         assert r.p == pytest.approx(NormalDist().cdf(r.z), rel=1e-12, abs=1e-18)
 
 
+def test_sweep_covers_whole_series(spark, monkeypatch):
+    from tapewright.plans import catalog
+
+    def tape(spark, d):
+        rows = [(s, s, "bar", i * 10, i * 10 + 1, i, str(i), *(str(100 + i % 9),) * 4, "5") for s, n in (("long", 320), ("short", 145), ("none", 111)) for i in range(1, n + 1)]
+        return spark.createDataFrame(rows, "run_id string, instrument_id string, event_type string, event_time_ns long, receive_time_ns long, sequence long, ingest_id string, open string, high string, low string, close string, volume string")
+
+    monkeypatch.setattr(catalog, "_tape", tape)
+    monkeypatch.setattr(catalog, "SWEEP", [("donchian", 5), ("flat", 0)])
+    cells = catalog.sweep_cells(spark, "").collect()
+    assert {(r.phase, r.bars) for r in cells} == {("train", 80), ("test", 30)}
+    assert sorted((r.series, r.fold) for r in cells if r.phase == "test" and r.variant == "flat-0") == [("long", k) for k in range(7)] + [("short", 0)]
+    assert catalog.sweep_winners(spark, "").count() == 8
+    assert catalog.sweep_cover(spark, "").count() == 0
+    assert catalog.check_flat_null(spark, "").count() == 0
+
+
 def test_walk_forward(spark):
     folds = oos.walk_forward(spark, 320, 96, 32, 2, 2).collect()
     assert len(folds) == 6 and all(f.train_start == 0 and f.test_start - f.train_end == 2 for f in folds)
