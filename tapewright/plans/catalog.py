@@ -343,7 +343,9 @@ ORACLES |= {
 
 @query()
 def screen_random(spark, d):
-    return _scored(screen.random_signals(V.bars(spark, d, HOUR), [7, 8], 720))
+    b = V.bars(spark, d, HOUR)
+    longest = b.groupBy("instrument_id").count().agg(F.max("count")).first()[0] or 0
+    return _scored(screen.random_signals(b, [7, 8], longest))
 
 
 def _curve(spark, d):
@@ -670,11 +672,14 @@ def dsr(spark, d):
     return oos.dsr(V.returns_long(spark, d), ["variant"], INSTRUMENTS).select("variant", *r6("z"))
 
 
-OBS = 28
+OBS = 28  # of pbo_splits and its oracle
 
 
 def _matrix(spark, d):
-    return V.returns_long(spark, d).where(F.col("obs") < OBS)
+    """All returns, and the number of observations of the longest series."""
+    r = V.returns_long(spark, d)
+    last = r.agg(F.max("obs")).first()[0]
+    return r, 0 if last is None else last + 1
 
 
 @query(
@@ -686,29 +691,31 @@ SELECT *, row_number() OVER (PARTITION BY split ORDER BY inside DESC, variant) A
     ("rets",),
 )
 def pbo_splits(spark, d):
-    return oos.pbo_splits(_matrix(spark, d), OBS).select(F.col("split").cast("long").alias("split"), "variant", F.col("rank").cast("long").alias("rank"), *r6("relative_rank"))
+    return oos.pbo_splits(V.returns_long(spark, d).where(F.col("obs") < OBS), OBS).select(F.col("split").cast("long").alias("split"), "variant", F.col("rank").cast("long").alias("rank"), *r6("relative_rank"))
 
 
 @query()
 def pbo(spark, d):
-    return oos.pbo(_matrix(spark, d), OBS)
+    return oos.pbo(*_matrix(spark, d))
 
 
 @query()
 def reality_check(spark, d):
-    return oos.reality_check(_matrix(spark, d), OBS)
+    return oos.reality_check(*_matrix(spark, d))
 
 
 @query()
 def sign_flip(spark, d):
-    m = _matrix(spark, d).groupBy("obs").agg(F.max(F.when(F.col("variant") == "view", F.col("ret"))).alias("selected"), F.max(F.when(F.col("variant") == "click", F.col("ret"))).alias("baseline"))
-    return oos.sign_flip(m.fillna(0.0), OBS)
+    r, n = _matrix(spark, d)
+    m = r.groupBy("obs").agg(F.max(F.when(F.col("variant") == "view", F.col("ret"))).alias("selected"), F.max(F.when(F.col("variant") == "click", F.col("ret"))).alias("baseline"))
+    return oos.sign_flip(m.fillna(0.0), n)
 
 
 @query()
 def block_bootstrap(spark, d):
-    one = _matrix(spark, d).where("variant = 'view'").select("obs", "ret")
-    return oos.block_bootstrap(one, OBS, 4, 200, 7).select(F.col("draw").cast("long").alias("draw"), *r6("mean"))
+    r, n = _matrix(spark, d)
+    one = r.where("variant = 'view'").select("obs", "ret")
+    return oos.block_bootstrap(one, n, 4, 200, 7).select(F.col("draw").cast("long").alias("draw"), *r6("mean"))
 
 
 @query("SELECT lang AS regime, count(*) AS observations, round(avg(quality), 6) AS mean, round(avg((quality > 0)::INT), 6) AS win_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -829,7 +836,8 @@ def compounded_return(spark, d):
 
 @query()
 def risk_report(spark, d):
-    return risk.risk_report(_matrix(spark, d).where("variant = 'view'").select("obs", "ret"), OBS)
+    r, n = _matrix(spark, d)
+    return risk.risk_report(r.where("variant = 'view'").select("obs", "ret"), n)
 
 
 @query(

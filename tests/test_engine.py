@@ -215,6 +215,25 @@ def test_sweep_covers_whole_series(spark, monkeypatch):
     assert catalog.check_flat_null(spark, "").count() == 0
 
 
+def test_statistics_take_all_observations(spark, monkeypatch):
+    from tapewright.plans import catalog
+
+    flat = [[0.001 * (i % 3 - 1), 0.0] for i in range(28)]
+    one = [(i, v, float(x)) for i, row in enumerate([*flat, [-0.9, 0.5], [0.0, 0.0]]) for v, x in zip(("view", "click"), row)]
+    returns = spark.createDataFrame(one, "obs long, variant string, ret double")
+    monkeypatch.setattr(catalog.V, "returns_long", lambda spark, d: returns)
+    assert catalog.risk_report(spark, "").first().observed_max > 0.89
+    assert any(abs(r["mean"]) > 0.02 for r in catalog.block_bootstrap(spark, "").collect())
+    assert catalog.sign_flip(spark, "").first().block_length == 4
+    r, n = catalog._matrix(spark, "")
+    assert (r.count(), n) == (60, 30)
+
+    bars = spark.createDataFrame([("a", i * 10, 100.0 + i % 7) for i in range(800)], "instrument_id string, event_time_ns long, close double")
+    monkeypatch.setattr(catalog.V, "bars", lambda spark, d, width: bars)
+    monkeypatch.setattr(catalog, "_scored", lambda signals: signals)
+    assert catalog.screen_random(spark, "").count() == 1600
+
+
 def test_walk_forward(spark):
     folds = oos.walk_forward(spark, 320, 96, 32, 2, 2).collect()
     assert len(folds) == 6 and all(f.train_start == 0 and f.test_start - f.train_end == 2 for f in folds)
