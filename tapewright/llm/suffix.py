@@ -6,6 +6,7 @@ suffix of the corpus; in each task a suffix array, built by two-stage sorting, a
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -13,20 +14,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, pieces, release, saved, text_column
+from .common import forget, mix64, pieces, release, saved, text_column, unused
 
 #: Bytes of a string that must not occur twice.
 LENGTH = 200
 #: Bytes of an anchor; each string of LENGTH bytes has the one with the least hash.
 ANCHOR = 48
 #: Anchors of a bucket, on average.
-BUCKET = 1 << 20
+BUCKET = 1 << 19
 #: Bytes of candidate text of a bucket, on average.
 BLOCK = 2 << 20
-#: Bytes of text that a suffix array is built over, unless one anchor has more: its work arrays are 80 times as large.
+#: Bytes of text from which a suffix array is built: its work arrays are 80 times as large.
 SORTED = 768 << 10
-#: Occurrences of an anchor from which its strings are dealt one by one by their whole content.
-HOT = 50_000
+#: Different texts of an anchor at most, for a suffix array; beyond, their strings meet by longer anchors.
+HOT = 2_000
+#: Runs that a task holds at once, to find equal ones before they are dealt.
+HELD = 1 << 18
 #: Ids that are broadcast to pick documents at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Low bits of the keys of the sliding minimum that hold places, and so the bytes hashed at once.
@@ -35,8 +38,8 @@ STRETCH = 16 << 20
 #: Separates texts in a suffix array; no byte of UTF-8.
 BREAK = 0xFF
 
-_P = 0x9E3779B97F4A7C15
-_P_INVERSE = pow(_P, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 
 
 # ---- suffix arrays ----
@@ -151,47 +154,60 @@ def repeated_starts(t: np.ndarray, valid: np.ndarray, length: int = LENGTH) -> n
 
 
 def anchored_runs(data: np.ndarray, off: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """Runs of neighbouring strings of ``length`` bytes that have the same anchor: doc, start, number of strings, and the
-    anchor's hash. A string's anchor is the one with the least hash of the byte strings of ``anchor`` bytes in it (the
-    first of several), so equal strings have equal anchors at equal places. Strings never cross documents."""
-    doc_all, start_all, count_all, hash_all = [], [], [], []
+    """Runs of neighbouring strings of ``length`` bytes that have the same anchor: doc, start, number of strings, how far
+    behind the start the anchor stands, the anchor's hash, and two hashes of the run's bytes. A string's anchor is the one
+    with the least hash of the byte strings of ``anchor`` bytes in it (the first of several), so equal strings have equal
+    anchors at equal places. Strings never cross documents."""
+    out = [[] for _ in range(7)]
     n = len(data)
     for lo in range(0, max(n - length + 1, 0), STRETCH):
         part = data[lo : lo + STRETCH + length - 1]
         m = len(part)
         if m < length:
             break
-        powers = np.full(m, _P, np.uint64)
-        powers[0] = 1
-        inverse = np.full(m, _P_INVERSE, np.uint64)
-        inverse[0] = 1
+        (upto, inverse), (upto2, inverse2) = (_prefix_sums(part, base, back) for base, back in zip(_BASES, _INVERSES))
         with np.errstate(over="ignore"):
-            np.multiply.accumulate(powers, out=powers)
-            np.multiply.accumulate(inverse, out=inverse)
-            upto = np.zeros(m + 1, np.uint64)
-            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers, out=upto[1:])
             h = mix64((upto[anchor:] - upto[:-anchor]) * inverse[: m - anchor + 1])
-        del powers, inverse, upto
         key = (h >> PLACE << PLACE) | np.arange(len(h), dtype=np.uint64)
         least = sliding_min(key, length - anchor + 1)
         where = (least & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
-        s = np.arange(len(where)) + lo
-        doc = np.searchsorted(off, s, side="right") - 1
-        fits = s + length <= off[doc + 1]
+        s = np.arange(len(where))
+        doc = np.searchsorted(off, s + lo, side="right") - 1
+        fits = s + lo + length <= off[doc + 1]
         s, doc, where = s[fits], doc[fits], where[fits]
         if not len(s):
             continue
         new = np.ones(len(s), bool)
         new[1:] = (where[1:] != where[:-1]) | (doc[1:] != doc[:-1]) | (s[1:] != s[:-1] + 1)
         first = np.flatnonzero(new)
-        doc_all.append(doc[first])
-        start_all.append(s[first] - off[doc[first]])
-        count_all.append(np.diff(np.append(first, len(s))))
-        hash_all.append(h[where[first]])
-    if not doc_all:
+        count = np.diff(np.append(first, len(s)))
+        begin, doc, at = s[first], doc[first], where[first]
+        end = begin + count - 1 + length
+        shape = (count.astype(np.uint64) << np.uint64(8)) | (at - begin).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            marks = [mix64(mix64((u[end] - u[begin]) * back[begin]) + shape) for u, back in ((upto, inverse), (upto2, inverse2))]
+        for x, v in zip(out, (doc, begin + lo - off[doc], count, at - begin, h[at], *marks)):
+            x.append(v)
+    if not out[0]:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, np.uint64)
-    return tuple(np.concatenate(x) for x in (doc_all, start_all, count_all, hash_all))
+        return z, z, z, z, *(np.zeros(0, np.uint64) for _ in range(3))
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _prefix_sums(part: np.ndarray, base: int, back: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the bytes so far, each times a power of the base, and the inverses of the powers: any string's polynomial
+    is a difference of sums times an inverse."""
+    m = len(part)
+    powers = np.full(m, base, np.uint64)
+    powers[0] = 1
+    inverse = np.full(m, back, np.uint64)
+    inverse[0] = 1
+    upto = np.zeros(m + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.multiply.accumulate(powers, out=powers)
+        np.multiply.accumulate(inverse, out=inverse)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers, out=upto[1:])
+    return upto, inverse
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -206,134 +222,199 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 # ---- the distributed operator ----
 
+#: The columns that name a row: 128 bits of its id and text.
+UID = ["u0", "u1"]
+_RUN = {"h": np.uint64, "s0": np.uint64, "s1": np.uint64, "u0": np.int64, "u1": np.int64, "start": np.int32, "count": np.uint8, "off": np.uint8, "lo": np.uint8, "hi": np.uint8, "dup": np.uint8}
+_MET = "u0 long, u1 long, start int, count int, off int, lo int, hi int, key long, state int"
+#: What a row of a meeting says: all strings of the run occur again; the run stands for its equals and is to be compared
+#: with the other texts of its anchor; the same, of an anchor with more than HOT texts.
+REPEATED, COMPARE, CROWDED = 0, 1, 2
+
 
-def _planes(x: np.ndarray, width: int) -> bytes:
+def _planes(x: np.ndarray) -> bytes:
+    width = x.dtype.itemsize
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, width).T).tobytes()
 
 
-def _unplaned(blob: bytes, dtype) -> np.ndarray:
+def _unplaned(blobs: list[bytes], dtype) -> np.ndarray:
     width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(dtype).ravel()
+    return np.concatenate([np.zeros(0, dtype), *[np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(dtype).ravel() for b in blobs]])
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and uid: 64 bits of the row's id and text, by which the stages below name it."""
+    """doc_id, text (null: empty) and u0, u1: 128 bits of the row's id and text, by which the stages below name it."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    return d.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("u0"), F.xxhash64(F.lit(1), "doc_id", "text").alias("u1"))
 
 
-def picked(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def picked(docs: DataFrame, ids: DataFrame, how: str, on: list[str] | None = None) -> DataFrame:
+    on = on or UID
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "uid", how)
+    return docs.join(F.broadcast(ids) if small else ids, on, how)
+
+
+def _classes(run: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which runs of an anchor are neighbours, and in it equal runs, and where a new class of equal runs begins."""
+    order = np.lexsort((run["s1"], run["s0"], run["h"]))
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in ("h", "s0", "s1"):
+        x = run[c][order]
+        new[1:] |= x[1:] != x[:-1]
+    return order, new
+
+
+def _dealt(run: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Runs packed by bucket of their anchor: of equal ones a single one, marked ``dup``, is dealt; that all of them are
+    repeated is known already, and goes along in buckets below zero."""
+    order, new = _classes(run)
+    size = np.diff(np.append(np.flatnonzero(new), len(order)))
+    again = np.repeat(size > 1, size)
+    run["dup"] = np.zeros(len(order), np.uint8)
+    run["dup"][order[again]] = 1
+    lone = order[new]
+    bucket = (mix64(run["h"][lone]) % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    lone, bucket = lone[by], bucket[by]
+    rows: list[tuple] = []
+    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
+    for a, b in zip(edge, np.append(edge[1:], len(bucket))):
+        rows.append((int(bucket[a]), *(_planes(run[c][lone[a:b]]) for c in _RUN)))
+    known = order[again]
+    if len(known):
+        salt = int(run["u0"][known[0]]) & 0x7FFFFFFFFFFFFFFF
+        rows.append((-1 - salt % buckets, *(_planes(run[c][known]) for c in _RUN)))
+    cols = list(zip(*rows)) or [[] for _ in range(len(_RUN) + 1)]
+    return pa.record_batch([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", *_RUN])
+
+
+_DEALT = "bucket long, " + ", ".join(f"{c} binary" for c in _RUN)
+
+
+def _met(dealt: DataFrame) -> DataFrame:
+    """What the runs of each anchor say of each other (see REPEATED, COMPARE, CROWDED); runs that met none are gone."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        run = {c: _unplaned(table.column(c).to_pylist(), t) for c, t in _RUN.items()}
+
+        def said(rows: np.ndarray, state) -> pa.Table:
+            cols = {c: run[c][rows] for c in UID} | {c: run[c][rows].astype(np.int32) for c in ("start", "count", "off", "lo", "hi")}
+            return pa.table(cols | {"key": run["h"][rows].view(np.int64), "state": np.broadcast_to(np.int32(state), len(rows)).copy()})
+
+        if table.column("bucket")[0].as_py() < 0:
+            return said(np.arange(len(run["h"])), REPEATED)
+        order, new = _classes(run)
+        h = run["h"][order]
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        again = np.repeat(size > 1, size) & (run["dup"][order] == 0)
+        anchor = np.ones(len(h), bool)
+        anchor[1:] = h[1:] != h[:-1]
+        texts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(anchor)) if len(h) else np.zeros(0, np.int64)
+        texts = np.repeat(texts, np.diff(np.append(np.flatnonzero(anchor), len(h))))
+        heads = new & (texts > 1)
+        return pa.concat_tables([said(order[again], REPEATED), said(order[heads & (texts <= HOT)], COMPARE), said(order[heads & (texts > HOT)], CROWDED)])
+
+    return dealt.groupBy("bucket").applyInArrow(meet, _MET)
 
 
 def anchor_meetings(docs: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(uid, start, count, key, hot) of the runs whose anchor occurs at another place too."""
+    """Rows of _MET of the runs whose anchor occurs at another place too."""
 
     def deal(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def flushed():
+            cols = [np.concatenate(x) for x in zip(*held)]
+            n = len(cols[0])
+            run = dict(zip(("h", "s0", "s1", "u0", "u1", "start", "count", "off"), cols))
+            return _dealt(run | {"lo": np.zeros(n, np.uint8), "hi": np.full(n, length - ANCHOR, np.uint8)}, buckets)
+
         for batch in batches:
-            uid_at = batch.schema.get_field_index("uid")
             for part in pieces(batch, limit=256 << 10):
-                doc, start, count, h = anchored_runs(*text_column(part), length)
-                uid = np.asarray(part.column(uid_at))[doc]
-                bucket = (mix64(h) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket = bucket[order]
-                edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
-                cols = [[], [], [], [], []]
-                for a, b in zip(edge, np.append(edge[1:], len(bucket))):
-                    o = order[a:b]
-                    for c, v in zip(cols, (int(bucket[a]), h[o].tobytes(), _planes(uid[o], 8), _planes(start[o].astype(np.int32), 4), count[o].astype(np.uint8).tobytes())):
-                        c.append(v)
-                yield pa.record_batch([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["bucket", "h", "uid", "start", "count"])
+                doc, start, count, off, h, s0, s1 = anchored_runs(*text_column(part), length)
+                u0, u1 = (np.asarray(part.column(part.schema.get_field_index(c)))[doc] for c in UID)
+                held.append((h, s0, s1, u0, u1, start.astype(np.int32), count.astype(np.uint8), off.astype(np.uint8)))
+                size += len(h)
+                if size >= HELD:
+                    yield flushed()
+                    held, size = [], 0
+        if size:
+            yield flushed()
         release()
 
-    def meet(table: pa.Table) -> pa.Table:
-        lists = {c: table.column(c).to_pylist() for c in ("h", "uid", "start", "count")}
-        h = np.concatenate([np.frombuffer(b, np.uint64) for b in lists["h"]])
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(h)))
-        each = np.repeat(size, size)
-        keep = each > 1
-        order = order[keep]
-        uid = np.concatenate([_unplaned(b, np.int64) for b in lists["uid"]])[order]
-        start = np.concatenate([_unplaned(b, np.int32) for b in lists["start"]])[order]
-        count = np.concatenate([np.frombuffer(b, np.uint8) for b in lists["count"]])[order]
-        return pa.table({"uid": uid, "start": start, "count": count.astype(np.int32), "key": h[keep].view(np.int64), "hot": each[keep] > HOT})
+    return _met(docs.select(*UID, "text").mapInArrow(deal, _DEALT))
 
-    dealt = docs.select("uid", "text").mapInArrow(deal, "bucket long, h binary, uid binary, start binary, count binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "uid long, start int, count int, key long, hot boolean")
 
+def refined_meetings(docs: DataFrame, crowded: DataFrame, buckets: int, length: int) -> DataFrame:
+    """Rows of _MET of the halves of runs whose anchor has too many texts.
 
-def segments(docs: DataFrame, met: DataFrame, buckets: int, length: int) -> DataFrame:
-    """(bucket, key, seg, uids, starts): the bytes of each run that met another, once for a batch of documents, with the
-    places where they stand. Runs of hot anchors are cut into single strings, dealt by the hash of all their bytes."""
-    runs = met.groupBy("uid").agg(F.collect_list(F.struct("start", "count", "key", "hot")).alias("runs"))
+    A string holds its anchor at some offset; strings of an upper and of a lower half of the offsets can't be equal, and
+    all strings of a half have, around the anchor, bytes in common that are longer than the anchor: they are the half's
+    new anchor. Runs whose new anchor is found once go; offsets are halved until one is left and the anchor is the
+    whole string."""
+
+    def halve(batches):
+        for batch in batches:
+            for part in pieces(batch, limit=1 << 20):
+                cols: dict[str, list] = {c: [] for c in _RUN if c != "dup"}
+                rows = zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in (*UID, "text", "runs")))
+                for u0, u1, text, runs in rows:
+                    raw = text.encode()
+                    for r in runs:
+                        mid = (r["lo"] + r["hi"]) // 2
+                        anchor = r["start"] + r["off"]
+                        for a, b in ((r["lo"], mid), (mid + 1, r["hi"])):
+                            k0, k1 = max(r["off"] - b, 0), min(r["off"] - a, r["count"] - 1)
+                            if a > b or k0 > k1:
+                                continue
+                            s = r["start"] + k0
+                            key = hashlib.blake2b(raw[anchor - a : anchor - b + length], digest_size=8, salt=bytes((a, b))).digest()
+                            seg = hashlib.blake2b(raw[s : r["start"] + k1 + length], digest_size=16, salt=bytes((r["off"] - k0, k1 - k0))).digest()
+                            new = (int.from_bytes(key, "little"), int.from_bytes(seg[:8], "little"), int.from_bytes(seg[8:], "little"), u0, u1, s, k1 - k0 + 1, r["off"] - k0, a, b)
+                            for c, v in zip(cols, new):
+                                cols[c].append(v)
+                if cols["h"]:
+                    yield _dealt({c: np.array(v, _RUN[c]) for c, v in cols.items()}, buckets)
+        release()
+
+    runs = crowded.groupBy(*UID).agg(F.collect_list(F.struct("start", "count", "off", "lo", "hi")).alias("runs"))
+    rows = picked(docs, crowded.select(*UID).distinct(), "left_semi").dropDuplicates(UID).join(runs, UID)
+    return _met(rows.select(*UID, "text", "runs").mapInArrow(halve, _DEALT))
+
+
+def repeated_runs(docs: DataFrame, met: DataFrame, buckets: int, length: int) -> DataFrame:
+    """(u0, u1, a, b) of runs to be compared: their strings of ``length`` bytes that start at a .. b - 1 occur again.
+
+    A bucket holds all different texts of its anchors, at most HOT an anchor. Texts of an anchor are laid end to end and
+    sorted as suffixes; a string is repeated if its suffix shares ``length`` bytes with a neighbour."""
+    runs = met.groupBy(*UID).agg(F.collect_list(F.struct("start", "count", "key", "lo", "hi")).alias("runs"))
 
     def cut(batches):
         for batch in batches:
             for part in pieces(batch, limit=1 << 20):
-                found: dict[tuple[int, bytes], tuple[list, list]] = {}
-                uids = part.column(part.schema.get_field_index("uid")).to_pylist()
-                texts = part.column(part.schema.get_field_index("text"))
-                lists = part.column(part.schema.get_field_index("runs"))
-                for uid, text, run in zip(uids, texts, lists):
-                    raw = text.as_py().encode()
-                    for r in run.as_py():
-                        s, c = r["start"], r["count"]
-                        if r["hot"]:
-                            for k in range(s, s + c):
-                                seg = raw[k : k + length]
-                                key = int.from_bytes(hashlib.blake2b(seg, digest_size=8).digest(), "little", signed=True)
-                                u, a = found.setdefault((key, seg), ([], []))
-                                u.append(uid)
-                                a.append(k)
-                        else:
-                            u, a = found.setdefault((r["key"], raw[s : s + c - 1 + length]), ([], []))
-                            u.append(uid)
-                            a.append(s)
-                if not found:
-                    continue
-                keys = np.array([k for k, _ in found], np.int64)
-                bucket = (mix64(keys.view(np.uint64) ^ np.uint64(0x51)) % np.uint64(buckets)).astype(np.int64)
-                yield pa.record_batch(
-                    {
-                        "bucket": pa.array(bucket),
-                        "key": pa.array(keys),
-                        "seg": pa.array([s for _, s in found], pa.binary()),
-                        "uids": pa.array([np.array(u, np.int64).tobytes() for u, _ in found.values()], pa.binary()),
-                        "starts": pa.array([np.array(a, np.int32).tobytes() for _, a in found.values()], pa.binary()),
-                    }
-                )
-
-    rows = picked(docs, met.select("uid").distinct(), "left_semi").join(runs, "uid")
-    return rows.select("uid", "text", "runs").mapInArrow(cut, "bucket long, key long, seg binary, uids binary, starts binary")
-
-
-def repeated_runs(segs: DataFrame, length: int) -> DataFrame:
-    """(uid, a, b): strings of ``length`` bytes that start at a .. b - 1 occur again.
-
-    A bucket holds all segments of its keys. Equal segments are one text with a multiplicity: all strings of a text
-    found twice or more are repeated. Different texts of a key are laid end to end and sorted as suffixes; a string is
-    repeated if its suffix shares ``length`` bytes with a neighbour."""
+                u0, u1, at, keys, segs = [], [], [], [], []
+                rows = zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in (*UID, "text", "runs")))
+                for x, y, text, found in rows:
+                    raw = text.encode()
+                    for r in found:
+                        u0.append(x)
+                        u1.append(y)
+                        at.append(r["start"])
+                        keys.append(r["key"])
+                        segs.append(raw[r["start"] : r["start"] + r["count"] - 1 + length])
+                key = np.array(keys, np.int64)
+                bucket = (mix64(key.view(np.uint64) ^ np.uint64(0x51)) % np.uint64(buckets)).astype(np.int64)
+                yield pa.record_batch({"bucket": pa.array(bucket), "key": pa.array(key), "seg": pa.array(segs, pa.binary()), "u0": pa.array(u0, pa.int64()), "u1": pa.array(u1, pa.int64()), "start": pa.array(at, pa.int64())})
+        release()
 
     def decide(table: pa.Table) -> pa.Table:
         keys = np.asarray(table.column("key"))
-        number: dict[bytes, int] = {}
-        which = np.array([number.setdefault(s, len(number)) for s in table.column("seg").to_pylist()], np.int64)
-        texts = list(number)
-        uids, starts = table.column("uids").to_pylist(), table.column("starts").to_pylist()
-        times = np.bincount(which, weights=[len(u) // 8 for u in uids], minlength=len(texts)).astype(np.int64)
-        key_of = np.zeros(len(texts), np.int64)
-        key_of[which] = keys
-        marks: list[list[tuple[int, int]]] = [[(0, len(t) - length + 1)] if k > 1 else [] for t, k in zip(texts, times)]
-        order = np.argsort(key_of, kind="stable")
-        sorted_key = key_of[order]
-        edge = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))) if len(order) else np.zeros(0, int)
+        texts = table.column("seg").to_pylist()
+        order = np.argsort(keys, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        rows, begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         block: list[int] = []
         size = 0
 
@@ -347,88 +428,95 @@ def repeated_runs(segs: DataFrame, length: int) -> DataFrame:
             again = repeated_starts(t, np.cumsum(valid)[:-1] > 0, length)
             change = np.flatnonzero(np.diff(np.concatenate(([0], again.astype(np.int8), [0]))))
             at = np.searchsorted(begin, change[::2], side="right") - 1
-            for i, a, b in zip(at, change[::2], change[1::2]):
-                if times[block[i]] == 1:
-                    marks[block[i]].append((int(a - begin[i]), int(b - begin[i])))
+            rows.append(np.array(block, np.int64)[at])
+            begins.append(change[::2] - begin[at])
+            ends.append(change[1::2] - begin[at])
 
         for a, b in zip(edge, np.append(edge[1:], len(order))):
-            if b - a > 1:  # a text that is alone with its key has nothing to be compared with
-                block += order[a:b].tolist()
-                size += sum(len(texts[i]) for i in order[a:b])
-                if size >= SORTED:
-                    sort_block()
-                    block, size = [], 0
+            block += order[a:b].tolist()
+            size += sum(len(texts[i]) for i in order[a:b])
+            if size >= SORTED:
+                sort_block()
+                block, size = [], 0
         if block:
             sort_block()
-        out_u, out_a, out_b = [], [], []
-        for row, i in enumerate(which):
-            for a, b in marks[i]:
-                s = np.frombuffer(starts[row], np.int32).astype(np.int64)
-                out_u.append(np.frombuffer(uids[row], np.int64))
-                out_a.append(s + a)
-                out_b.append(s + b)
-        cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+        row = np.concatenate(rows)
+        start = np.asarray(table.column("start"))[row]
         release()
-        return pa.table({"uid": cat(out_u), "a": cat(out_a), "b": cat(out_b)})
+        return pa.table({"u0": np.asarray(table.column("u0"))[row], "u1": np.asarray(table.column("u1"))[row], "a": start + np.concatenate(begins), "b": start + np.concatenate(ends)})
 
-    return segs.groupBy("bucket").applyInArrow(decide, "uid long, a long, b long")
+    rows = picked(docs, met.select(*UID).distinct(), "left_semi").dropDuplicates(UID).join(runs, UID)
+    segs = rows.select(*UID, "text", "runs").mapInArrow(cut, "bucket long, key long, seg binary, u0 long, u1 long, start long")
+    return segs.groupBy("bucket").applyInArrow(decide, "u0 long, u1 long, a long, b long")
 
 
 def copies(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Rows whose whole text another row also has: (uid, n_bytes) of all of them, and the uids of all but one of each."""
-    keys = saved(docs.select("uid", "doc_id", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5")).where(F.col("n_bytes") >= length), "suffix-keys")
-    several = keys.groupBy("md5", "n_bytes").agg(F.min("uid").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    same = saved(keys.join(several, ["md5", "n_bytes"]).select("uid", "n_bytes", "first"), "suffix-copies")
+    """Rows whose whole text another row also has: (u0, u1, n_bytes) of all of them, and the ids of all but one of each."""
+    name = F.struct(*UID)
+    keys = saved(docs.select(*UID, F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5")).where(F.col("n_bytes") >= length), "suffix-keys")
+    several = keys.groupBy("md5", "n_bytes").agg(F.min(name).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    same = saved(keys.join(several, ["md5", "n_bytes"]).select(*UID, "n_bytes", (name != F.col("first")).alias("spare")).distinct(), "suffix-copies")
     forget(keys)
-    return same.select("uid", "n_bytes"), same.where("uid <> first").select("uid").distinct()
+    return same, same.where("spare").select(*UID)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(uid, starts) of the rows of identified() that hold a string which occurs again: where these strings start, as
+    """(u0, u1, starts) of the rows of identified() that hold a string which occurs again: where these strings start, as
     intervals (a, b)."""
+    if not ANCHOR + 8 <= length <= ANCHOR + 255:
+        raise ValueError(f"length must be {ANCHOR + 8} to {ANCHOR + 255} bytes")
     whole, spare = copies(docs, length)
     distinct = picked(docs, spare, "left_anti")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = 2 * total // (length - ANCHOR + 2)
-    met = saved(anchor_meetings(distinct, max(1, -(-expected // BUCKET)), length), "suffix-met")
-    size = met.agg(F.sum(F.when(F.col("hot"), F.col("count") * length).otherwise(F.col("count") + length))).first()[0] or 0
-    found = repeated_runs(segments(distinct, met, max(1, -(-size // BLOCK)), length), length)
-    every = found.unionByName(whole.select("uid", F.lit(0).cast("long").alias("a"), (F.col("n_bytes") - length + 1).cast("long").alias("b")))
-    return saved(every.groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("starts")), "suffix-starts")
-
-
-def _removed(raw: bytes, starts: list[dict], length: int) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal runs of them, and what is left."""
-    cover = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(cover, [x["a"] for x in starts], 1)
-    np.add.at(cover, [x["b"] - 1 + length for x in starts], -1)
-    gone = np.cumsum(cover)[:-1] > 0
-    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
-    return int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
+    tables = [saved(anchor_meetings(distinct, max(1, -(-expected // BUCKET)), length), "suffix-met")]
+    while crowd := tables[-1].where(F.col("state") == CROWDED).count():
+        tables.append(saved(refined_meetings(distinct, tables[-1].where(F.col("state") == CROWDED), -(-2 * crowd // BUCKET), length), "suffix-met"))
+    met = functools.reduce(DataFrame.unionByName, tables)
+    compare = met.where(F.col("state") == COMPARE)
+    size = compare.agg(F.sum(F.col("count") + length)).first()[0] or 0
+    found = repeated_runs(distinct, compare, max(1, -(-size // BLOCK)), length)
+    known = met.where(F.col("state") == REPEATED).select(*UID, F.col("start").cast("long").alias("a"), (F.col("start") + F.col("count")).cast("long").alias("b"))
+    every = found.unionByName(known).unionByName(whole.select(*UID, F.lit(0).cast("long").alias("a"), (F.col("n_bytes") - length + 1).cast("long").alias("b")))
+    out = saved(every.groupBy(*UID).agg(F.collect_set(F.struct("a", "b")).alias("starts")), "suffix-starts")
+    forget(whole, *tables)
+    return out
 
 
-def _joined(docs: DataFrame, length: int):
-    """Rows with repeated strings (with ``starts``) and rows without."""
-    d = identified(docs)
-    starts = repeated(d, length)
-    ids = starts.select("uid")
-    return picked(d, ids, "left_semi").join(starts, "uid"), picked(d, ids, "left_anti")
+def _removals(batch: pa.RecordBatch, column: str, length: int):
+    """Of each row the bytes of its text, how many go, in how many maximal runs, and what is left."""
+    lists = batch.column(batch.schema.get_field_index(column))
+    upto = np.asarray(lists.offsets)
+    a, b = (np.asarray(lists.values.field(c)) for c in ("a", "b"))
+    for k, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist()):
+        raw = (text or "").encode()
+        at = slice(upto[k], upto[k + 1])
+        cover = np.zeros(len(raw) + 1, np.int32)
+        np.add.at(cover, a[at], 1)
+        np.add.at(cover, b[at] - 1 + length, -1)
+        gone = np.cumsum(cover)[:-1] > 0
+        spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
+        yield raw, int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each whole text once every byte is removed that is covered
     by a string of ``length`` bytes which also starts elsewhere in the table.
 
-    Null text: empty. Texts under ``length`` bytes keep all. Repeated rows are copies of each other; a null doc_id is
-    kept; an empty table gives an empty table; further columns are ignored."""
-    some, none = _joined(docs, length)
+    Null text: empty. Texts under ``length`` bytes keep all; a text of any size is scanned in stretches of STRETCH bytes.
+    Repeated rows are copies of each other; a null doc_id is kept; an empty table gives an empty table; further columns
+    are ignored. Equal runs are known by 192 bits of hashes, rows by 128."""
+    d = identified(docs)
+    starts = repeated(d, length)
+    ids = starts.select(*UID)
+    some, none = picked(d, ids, "left_semi").join(starts, UID), picked(d, ids, "left_anti")
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                rows = [(r["doc_id"], len(raw := r["text"].encode()), *_removed(raw, r["starts"], length)) for r in part.to_pylist()]
-                ids, size, gone, spans, kept = zip(*rows)
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows = [(len(raw), gone, spans, hashlib.sha256(kept).hexdigest()) for raw, gone, spans, kept in _removals(part, "starts", length)]
+                size, gone, spans, kept = zip(*rows)
+                yield pa.record_batch([part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     done = some.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
@@ -438,26 +526,24 @@ def dedup_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def dedup_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """All columns of docs, ``text`` without the removed bytes (characters cut in two go as a whole); ``n_chars``, if
-    there, is counted again."""
+    there, is counted again. Further columns may have any name; rows are treated as dedup_report() treats them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), text))
-    starts = repeated(identified(docs), length).withColumnRenamed("uid", "_uid").withColumnRenamed("starts", "_starts")
-    ids = starts.select("_uid")
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    ids = F.broadcast(ids) if small else ids
-    some = base.join(ids, "_uid", "left_semi").join(starts, "_uid").drop("_uid")
+    u0, u1, at = (unused(docs, c) for c in ("u0", "u1", "starts"))
+    named = [F.xxhash64(F.col("doc_id").cast("long"), text).alias(u0), F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text).alias(u1)]
+    base = docs.select("*", *named)
+    starts = repeated(identified(docs), length).select(F.col("u0").alias(u0), F.col("u1").alias(u1), F.col("starts").alias(at))
+    ids = starts.select(u0, u1)
+    some = picked(base, ids, "left_semi", [u0, u1]).join(starts, [u0, u1])
     schema = docs.schema
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
-                lists = part.column(part.schema.get_field_index("_starts")).to_pylist()
-                texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                left = [_removed((t or "").encode(), s, length)[2].decode(errors="ignore") for t, s in zip(texts, lists)]
+                left = [kept.decode(errors="ignore") for *_, kept in _removals(part, at, length)]
                 cols = {n: part.column(part.schema.get_field_index(n)) for n in schema.names} | {"text": pa.array(left, pa.string())}
                 if "n_chars" in cols:
                     cols["n_chars"] = pa.array([len(t) for t in left], cols["n_chars"].type)
                 yield pa.record_batch(cols)
 
-    done = some.select(*schema.names, "_starts").mapInArrow(run, schema)
-    return done.unionByName(base.join(ids, "_uid", "left_anti").drop("_uid"))
+    done = some.select(*schema.names, at).mapInArrow(run, schema)
+    return done.unionByName(picked(base, ids, "left_anti", [u0, u1]).select(*schema.names))
