@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..model import ordered_lag
+from ..model import NO_SEQUENCE, ordered_lag
 from ..operators.lookups import order_free_digest
 
 
@@ -88,24 +88,25 @@ def running_counts(stream: DataFrame) -> DataFrame:
 
 
 def resumable_replay(stream: DataFrame, run: Callable, columns: list[str]) -> DataFrame:
-    """Replay runs batch by batch; the state between batches is the run itself. run(run_id) makes a fresh Run whose total
-    is unknown (-1). Emits the fills of each batch."""
+    """Replay runs batch by batch; the state between batches is the run's and its strategy's exported state, as JSON.
+    run(run_id) makes a fresh Run whose total is unknown (-1). Emits the fills of each batch. A batch of a run that begins
+    before the last one ended fails, as it does in a whole replay."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
         r = run(str(key[0]))
         if state.exists:
-            r.__dict__.update(pickle.loads(state.get[0]))
+            r.import_state(json.loads(state.get[0]))
         rows = pd.concat(list(batches))[columns].astype(object)
         rows = rows.where(rows.notna(), None).to_dict("records")
-        rows.sort(key=lambda e: (e["event_time_ns"], e.get("sequence") or 0))
+        rows.sort(key=lambda e: (e["event_time_ns"], e["sequence"] if e.get("sequence") is not None else NO_SEQUENCE, e["receive_time_ns"], e.get("ingest_id") or ""))
         for e in rows:
             r.feed(e)
-        fills = [x for x in r.rows if x["kind"] == "fill"]
-        r.rows = []
-        state.update((pickle.dumps({k: v for k, v in r.__dict__.items() if k != "strategy"}),))
-        yield pd.DataFrame([{"run_id": str(key[0]), "event_time_ns": f["event_time_ns"], "side": f["side"], "quantity": str(f["quantity"]), "price": str(f["price"])} for f in fills], columns=["run_id", "event_time_ns", "side", "quantity", "price"])
+        made = [x for x in r.drain() if x["kind"] == "fill"]
+        state.update((json.dumps(r.export_state()),))
+        names = ["run_id", "event_time_ns", "side", "quantity", "price"]
+        yield pd.DataFrame([{n: f[n] if n in ("event_time_ns", "side") else str(f[n]) for n in names} for f in made], columns=names)
 
-    return stream.groupBy("run_id").applyInPandasWithState(step, "run_id string, event_time_ns long, side string, quantity string, price string", "blob binary", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("run_id").applyInPandasWithState(step, "run_id string, event_time_ns long, side string, quantity string, price string", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def book_states(events: DataFrame) -> DataFrame:
