@@ -13,11 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as trades of the instrument event_type, received a millisecond later."""
+def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as trades of the instrument event_type, received a millisecond later; without sequence numbers."""
     e = table(spark, sf_dir, "events")
     ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    by = W.partitionBy("event_type").orderBy("ts", "event_id")
     return e.select(
         F.lit("synthetic").alias("source"),
         F.lit("web").alias("venue"),
@@ -25,7 +24,6 @@ def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("trade").alias("event_type"),
         ns.alias("event_time_ns"),
         (ns + 1_000_000).alias("receive_time_ns"),
-        F.row_number().over(by).cast("long").alias("sequence"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("ingest_id"),
         F.col("value").alias("price"),
         F.get_json_object("props", "$.k").cast("double").alias("size"),
@@ -34,6 +32,20 @@ def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def canon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tape() with a sequence number per instrument, counted from 1.
+
+    Rows are numbered in days of an instrument, and a day begins behind the count of the days before it: a row per
+    instrument and day. So a hot instrument is no single task."""
+    t = tape(spark, sf_dir).withColumn("_day", F.expr(f"event_time_ns div {DAY_NS}"))
+    days = t.groupBy("instrument_id", "_day").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("instrument_id").orderBy("_day").rowsBetween(W.unboundedPreceding, -1))
+    offset = days.select("instrument_id", "_day", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("instrument_id", "_day").orderBy("event_time_ns", "arrival_ord"))
+    numbered = t.withColumn("_in", inside).join(offset, ["instrument_id", "_day"])
+    return numbered.select("source", "venue", "instrument_id", "event_type", "event_time_ns", "receive_time_ns", (F.col("_before") + F.col("_in")).cast("long").alias("sequence"), "ingest_id", "price", "size", "arrival_ord", "user_id")
+
+
 CANON_SQL = """
 SELECT 'synthetic' AS source, 'web' AS venue, event_type AS instrument_id, 'trade' AS event_type,
   epoch_us(ts) * 1000 AS event_time_ns, epoch_us(ts) * 1000 + 1000000 AS receive_time_ns,
@@ -69,7 +81,7 @@ FROM canon WHERE arrival_ord % 97 <> 0 AND arrival_ord % 101 = 0"""
 
 def bars(spark: SparkSession, sf_dir: str, width_ns: int) -> DataFrame:
     """Bars of canon by instrument and time bucket."""
-    c = canon(spark, sf_dir).withColumn("t", F.expr(f"event_time_ns div {width_ns} * {width_ns}"))
+    c = tape(spark, sf_dir).withColumn("t", F.expr(f"event_time_ns div {width_ns} * {width_ns}"))
     key = F.struct("event_time_ns", "arrival_ord")
     return c.groupBy("instrument_id", F.col("t").alias("event_time_ns")).agg(
         F.min_by("price", key).alias("open"),
@@ -96,15 +108,15 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book per instrument and hour: bids are the values of even events, asks those of odd ones."""
-    c = canon(spark, sf_dir).withColumn("t", F.expr(f"event_time_ns div {HOUR_NS} * {HOUR_NS}"))
+    """The best levels of a book per instrument and hour: bids are the values of even events, asks those of odd ones."""
+    c = tape(spark, sf_dir).withColumn("t", F.expr(f"event_time_ns div {HOUR_NS} * {HOUR_NS}"))
     even = F.col("arrival_ord") % 2 == 0
-    return c.groupBy("instrument_id", F.col("t").alias("event_time_ns")).agg(F.collect_list(F.when(even, F.col("price"))).alias("bids"), F.collect_list(F.when(~even, F.col("price"))).alias("asks"))
+    return c.groupBy("instrument_id", F.col("t").alias("event_time_ns")).agg(F.array_compact(F.array(F.max(F.when(even, F.col("price"))))).alias("bids"), F.array_compact(F.array(F.min(F.when(~even, F.col("price"))))).alias("asks"))
 
 
 def returns_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily returns of the mean value: obs is the day's number from 0, variant the instrument."""
-    c = canon(spark, sf_dir).withColumn("day", F.expr(f"event_time_ns div {DAY_NS}"))
+    c = tape(spark, sf_dir).withColumn("day", F.expr(f"event_time_ns div {DAY_NS}"))
     d = c.groupBy("instrument_id", "day").agg(F.avg("price").alias("m"))
     w = W.partitionBy("instrument_id").orderBy("day")
     d = d.withColumns({"ret": F.col("m") / F.lag("m").over(w) - 1, "obs": F.row_number().over(w) - 2})
