@@ -6,6 +6,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,70 +99,78 @@ def pbo(returns: DataFrame, n: int, blocks: int = 8) -> DataFrame:
     return s.agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count("*").alias("combinations"))
 
 
-def circular_draws(n: int, samples: int, seed: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(draw, obs, times) of circular block resamples: an index table of samples * n rows at most, made on the driver by
-    the generator that the published numbers come from."""
-    block = max(1, math.ceil(n ** (1 / 3)))
-    rng = np.random.default_rng(seed)
-    rows = []
-    for d in range(samples):
-        index: list[int] = []
-        while len(index) < n:
-            start = int(rng.integers(0, n))
-            index += [(start + k) % n for k in range(block)]
-        values, times = np.unique(index[:n], return_counts=True)
-        rows += [(d, int(o), int(t)) for o, t in zip(values, times)]
-    return rows, block
+#: Rows of resampling starts, or of resampled places, that are broadcast at most (12 bytes each); more are joined by a shuffle.
+BROADCAST_DRAWS = 2_000_000
+
+
+def numbers_table(spark, **columns: np.ndarray) -> DataFrame:
+    """Numbers that a seeded generator made on the driver, as a table; published results depend on that generator."""
+    made = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}))
+    return F.broadcast(made) if len(next(iter(columns.values()))) <= BROADCAST_DRAWS else made
+
+
+def _starts(spark, n: int, samples: int, seed: int, block: int, last: int) -> DataFrame:
+    """(draw, start, tail) of the blocks of each resample: starts below ``last``; the block with ``tail`` is cut short."""
+    rng, per = np.random.default_rng(seed), -(-n // block)
+    starts = np.array([rng.integers(0, last) for _ in range(samples * per)], np.int64)
+    return numbers_table(spark, draw=np.repeat(np.arange(samples, dtype=np.int32), per), start=starts, tail=np.tile(np.arange(per) == per - 1, samples))
+
+
+def block_sums(series: DataFrame, keys: list[str], value: str, n: int, block: int) -> DataFrame:
+    """keys, start, whole, cut: the sum of the ``block`` observations from each start on, around the end of the series, and
+    that of as many as a last block has. A resample is then a sum over its starts, not over its observations."""
+    cut = n - block * (-(-n // block) - 1)
+    x = series.select(*keys, "obs", F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("_k"))
+    x = x.withColumn("start", F.pmod(F.col("obs") - F.col("_k"), F.lit(n)))
+    return x.groupBy(*keys, "start").agg(F.sum("_v").alias("whole"), F.sum(F.when(F.col("_k") < cut, F.col("_v"))).alias("cut"))
+
+
+def _block_of_root(n: int) -> int:
+    return max(1, math.ceil(n ** (1 / 3)))
+
+
+def _at_least(a: str, b: str):
+    """a >= b, sums taken in another order included."""
+    return F.sum((F.col(a) >= F.col(b) - 1e-12 * F.abs(F.col(b))).cast("int"))
 
 
 def reality_check(returns: DataFrame, n: int, samples: int = 500, seed: int = 7) -> DataFrame:
     """p-values of the best mean, and of the best studentized mean, against centred circular block resamples."""
-    spark = returns.sparkSession
-    rows, block = circular_draws(n, samples, seed)
-    draws = spark.createDataFrame(rows, "draw int, obs long, times int")
+    spark, block = returns.sparkSession, _block_of_root(n)
     stats = returns.groupBy("variant").agg(F.avg("ret").alias("m"), (F.stddev_samp("ret") / math.sqrt(n)).alias("se"))
-    x = returns.join(stats, "variant").select("variant", "obs", (F.col("ret") - F.col("m")).alias("c"), "se")
-    means = x.join(F.broadcast(draws), "obs").groupBy("draw", "variant").agg((F.sum(F.col("c") * F.col("times")) / n).alias("m"), F.first("se").alias("se"))
+    x = returns.join(stats, "variant").select("variant", "obs", (F.col("ret") - F.col("m")).alias("c"))
+    sums = block_sums(x, ["variant"], "c", n, block)
+    part = F.when(F.col("tail"), F.col("cut")).otherwise(F.col("whole"))
+    means = sums.join(_starts(spark, n, samples, seed, block, n), "start").groupBy("draw", "variant").agg((F.sum(part) / n).alias("m")).join(stats.select("variant", "se"), "variant")
     ratio = F.max(F.when(F.col("se") > 0, F.col("m") / F.nullif("se", F.lit(0.0))))
     maxima = means.groupBy("draw").agg(F.max("m").alias("best"), F.coalesce(ratio, F.lit(0.0)).alias("spa"))
-    seen = stats.agg(F.max("m").alias("obs_best"), F.coalesce(ratio, F.lit(0.0)).alias("obs_spa"))
-    p = lambda a, b: ((1 + F.sum((F.col(a) >= F.col(b)).cast("int"))) / (samples + 1))
+    seen = stats.agg(F.max("m").alias("obs_best"), F.coalesce(ratio, F.lit(0.0)).alias("obs_spa"))  # one row
+    p = lambda a, b: ((1 + _at_least(a, b)) / (samples + 1))
     return maxima.crossJoin(seen).agg(p("best", "obs_best").alias("reality_check_pvalue"), p("spa", "obs_spa").alias("spa_pvalue")).withColumn("block_length", F.lit(block))
 
 
 def sign_flip(pairs: DataFrame, n: int, samples: int = 2000, seed: int = 7) -> DataFrame:
     """One-sided paired test: signs of circular blocks of differences are flipped. pairs: obs, selected, baseline."""
-    spark = pairs.sparkSession
-    block = max(1, math.ceil(n ** (1 / 3)))
-    count = math.ceil(n / block)
+    spark, block = pairs.sparkSession, _block_of_root(n)
+    count = -(-n // block)
     rng = np.random.default_rng(seed)
-    rows = []
+    start, sign = np.zeros((samples, count), np.int64), np.zeros((samples, count))
     for d in range(samples):
-        offset = int(rng.integers(0, n))
-        signs = rng.choice((-1.0, 1.0), size=count)
-        rows += [(d, offset, [float(s) for s in signs])]
-    draws = spark.createDataFrame(rows, "draw int, offset int, signs array<double>")
+        start[d] = (rng.integers(0, n) + block * np.arange(count)) % n
+        sign[d] = rng.choice((-1.0, 1.0), size=count)
+    draws = numbers_table(spark, draw=np.repeat(np.arange(samples, dtype=np.int32), count), start=start.ravel(), sign=sign.ravel(), tail=np.tile(np.arange(count) == count - 1, samples))
     x = pairs.select("obs", (F.col("selected") - F.col("baseline")).alias("d"))
-    place = F.least(F.floor(F.pmod(F.col("obs") - F.col("offset"), F.lit(n)) / block), F.lit(count - 1)).cast("int")
-    means = x.crossJoin(F.broadcast(draws)).groupBy("draw").agg(F.avg(F.col("d") * F.get("signs", place)).alias("m"))
-    seen = x.agg(F.avg("d").alias("observed"))
-    out = means.crossJoin(seen).agg(((1 + F.sum((F.col("m") >= F.col("observed")).cast("int"))) / (samples + 1)).alias("pvalue"))
-    return out.withColumn("block_length", F.lit(block))
+    part = F.when(F.col("tail"), F.col("cut")).otherwise(F.col("whole"))
+    means = block_sums(x, [], "d", n, block).join(draws, "start").groupBy("draw").agg((F.sum(F.col("sign") * part) / n).alias("m"))
+    seen = x.agg((F.sum("d") / n).alias("observed"))  # one row
+    return means.crossJoin(seen).agg(((1 + _at_least("m", "observed")) / (samples + 1)).alias("pvalue")).withColumn("block_length", F.lit(block))
 
 
-def block_bootstrap(returns: DataFrame, n: int, block: int, samples: int, seed: int) -> DataFrame:
-    """(draw, mean) of non-circular block resamples of one series (obs, ret)."""
-    rng = np.random.default_rng(seed)
-    rows = []
-    for d in range(samples):
-        index: list[int] = []
-        while len(index) < n:
-            start = int(rng.integers(0, n - block + 1))
-            index += range(start, start + block)
-        values, times = np.unique(index[:n], return_counts=True)
-        rows += [(d, int(o), int(t)) for o, t in zip(values, times)]
-    draws = returns.sparkSession.createDataFrame(rows, "draw int, obs long, times int")
-    return returns.join(F.broadcast(draws), "obs").groupBy("draw").agg((F.sum(F.col("ret") * F.col("times")) / n).alias("mean"))
+def block_bootstrap(returns: DataFrame, n: int, block: int, samples: int, seed: int, keys: list[str] = ()) -> DataFrame:
+    """(keys, draw, mean) of non-circular block resamples of each series (keys, obs, ret)."""
+    draws = _starts(returns.sparkSession, n, samples, seed, block, n - block + 1)
+    part = F.when(F.col("tail"), F.col("cut")).otherwise(F.col("whole"))
+    return block_sums(returns, list(keys), "ret", n, block).join(draws, "start").groupBy(*keys, "draw").agg((F.sum(part) / n).alias("mean"))
 
 
 def regime_statistics(rows: DataFrame) -> DataFrame:

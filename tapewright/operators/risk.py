@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .features import expected_shortfall
+from .oos import numbers_table
+
 #: Scenario, multiples of fees, slippage and funding, and of missed fills on top.
 MULTIPLIERS = (
     ("fees_x1_5", 1.5, 1.0, 1.0, 0.0), ("slippage_x2", 1.0, 2.0, 1.0, 0.0), ("latency_x2", 1.0, 1.5, 1.0, 1.0),
@@ -53,19 +55,18 @@ def stress_suite(inputs: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("status", F.when(F.col("net_pnl") > 0, "pass").otherwise("blocked"))
 
 
-def risk_report(returns: DataFrame, n: int, paths: int = 500, seed: int = 7) -> DataFrame:
-    """Observed and resampled drawdowns of one series, ruin share and expected shortfall.
+def risk_report(returns: DataFrame, n: int, paths: int = 500, seed: int = 7, keys: list[str] = ()) -> DataFrame:
+    """Observed and resampled drawdowns, ruin share and expected shortfall of each series (keys, obs, ret).
 
-    The resampled index is paths * n numbers made on the driver by a seeded generator and broadcast; the paths are walked
-    as windows, a path being a partition."""
-    spark = returns.sparkSession
-    values = np.arange(n)
+    The resampled index is paths * n numbers of a seeded generator, the same for all series; a path of a series is walked
+    in its order, which is a group of n rows."""
+    spark, keys = returns.sparkSession, list(keys)
     rng = np.random.default_rng(seed)
-    draws = [(p, i, int(o)) for p in range(paths) for i, o in enumerate(rng.choice(values, size=n, replace=True))]
-    table = spark.createDataFrame(draws, "path int, place int, obs long")
-    drawn = returns.join(F.broadcast(table), "obs").select("path", "place", "ret")
-    own = returns.select(F.lit(-1).alias("path"), F.col("obs").cast("int").alias("place"), "ret")
-    walks = drawn.unionByName(own).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("place", "ret"))).alias("r"))
+    picks = np.concatenate([rng.choice(np.arange(n), size=n, replace=True) for _ in range(paths)])
+    table = numbers_table(spark, path=np.repeat(np.arange(paths, dtype=np.int32), n), place=np.tile(np.arange(n, dtype=np.int32), paths), obs=picks.astype(np.int64))
+    drawn = returns.join(table, "obs").select(*keys, "path", "place", "ret")
+    own = returns.select(*keys, F.lit(-1).alias("path"), F.col("obs").cast("int").alias("place"), "ret")
+    walks = drawn.unionByName(own).groupBy(*keys, "path").agg(F.sort_array(F.collect_list(F.struct("place", "ret"))).alias("r"))
     zero = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("dd"))
 
     def step(s, x):
@@ -73,11 +74,13 @@ def risk_report(returns: DataFrame, n: int, paths: int = 500, seed: int = 7) ->
         peak = F.greatest(s["peak"], w)
         return F.struct(w.alias("w"), peak.alias("peak"), F.greatest(s["dd"], (peak - w) / peak).alias("dd"))
 
-    dd = walks.select("path", F.aggregate("r", zero, step)["dd"].alias("dd"))
+    dd = walks.select(*keys, "path", F.aggregate("r", zero, step)["dd"].alias("dd"))
     sim = F.when(F.col("path") >= 0, F.col("dd"))
-    tail = returns.select("ret", F.row_number().over(W.orderBy("ret")).alias("rn")).where(F.col("rn") <= max(1, -(-n * 5 // 100))).agg(F.abs(F.avg("ret")).alias("expected_shortfall"))  # one series
-    out = dd.agg(F.max(F.when(F.col("path") < 0, F.col("dd"))).alias("observed_max"), F.percentile(sim, 0.5).alias("bootstrap_median"), F.percentile(sim, 0.95).alias("bootstrap_p95"), F.avg((sim >= 0.5).cast("double")).alias("risk_of_ruin"))
-    return out.crossJoin(tail)
+    out = dd.groupBy(*keys).agg(F.max(F.when(F.col("path") < 0, F.col("dd"))).alias("observed_max"), F.percentile(sim, 0.5).alias("bootstrap_median"), F.percentile(sim, 0.95).alias("bootstrap_p95"), F.avg((sim >= 0.5).cast("double")).alias("risk_of_ruin"))
+    if keys:
+        return out.join(expected_shortfall(returns, keys), keys)
+    worst = returns.orderBy("ret").limit(max(1, -(-n * 5 // 100)))  # a top-k, not a sort of all
+    return out.crossJoin(worst.agg(F.abs(F.avg("ret")).alias("expected_shortfall")))
 
 
 def divergence(expected: DataFrame, observed: DataFrame, key: str, limit: float) -> DataFrame:

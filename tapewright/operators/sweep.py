@@ -55,7 +55,7 @@ def cell_results(runs: DataFrame, cash: float) -> DataFrame:
 def stitched(cells: DataFrame, excluded: list[str]) -> DataFrame:
     """Each fold's training winner (lowest name among equals, some excluded) and what it did in the fold's test."""
     t = cells.where((F.col("phase") == "train") & ~F.col("variant").isin(excluded))
-    w = W.partitionBy("series", "fold").orderBy(F.desc("score"), "variant")
+    w = W.partitionBy("series", "fold").orderBy(F.desc(F.round("score", 12)), "variant")  # sums of other order tie
     win = t.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("series", "fold", "variant", F.col("score").alias("train_score"))
     test = cells.where("phase = 'test'").select("series", "fold", "variant", F.col("net_return").alias("test_return"))
     return win.join(test, ["series", "fold", "variant"], "left")
