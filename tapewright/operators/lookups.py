@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import ROW_KEY
+from ..model import DAY_NS, ROW_KEY
+
+#: Allowed intervals that are broadcast at most (16 bytes each).
+BROADCAST_INTERVALS = 10_000
 
 
 def cross_check_bps(primary: DataFrame, reference: DataFrame, on: list[str], limit_bps: float = 10.0) -> DataFrame:
@@ -47,16 +50,33 @@ def evidence_scope(classification, status):
 
 
 def multiplier_notional(fills: DataFrame, instruments: DataFrame, key: str) -> DataFrame:
-    """price * quantity * multiplier, a multiplier of 1 for instruments that have none. The dimension joins as its size
-    allows."""
+    """price * quantity * multiplier. Without any instrument the multiplier is 1; a dimension that has rows must cover every
+    fill, which fails where it does not. The dimension joins as its size allows."""
+    if instruments.isEmpty():
+        return fills.withColumn("multiplier", F.lit(1.0)).withColumn("notional", F.col("price") * F.col("quantity"))
+    unknown = F.raise_error(F.concat(F.lit("no multiplier for "), F.col(key).cast("string"))).cast("double")
     j = fills.join(instruments.select(key, "multiplier"), key, "left")
-    return j.withColumn("notional", F.col("price") * F.col("quantity") * F.coalesce("multiplier", F.lit(1.0)))
+    return j.withColumn("notional", F.col("price") * F.col("quantity") * F.coalesce("multiplier", unknown))
 
 
 def contained_in(intervals: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Intervals (start_ns, end_ns) that lie inside an allowed one, a small table."""
+    """Intervals (start_ns, end_ns) that lie inside an allowed one.
+
+    An interval lies inside some allowed one if it does in that which, of those that begin no later, ends last. Up to
+    BROADCAST_INTERVALS allowed ones are joined as they are; of more, the running latest end is looked up by a union in the
+    order of starts, dealt by time and stitched by a row per deal."""
     a = allowed.select(F.col("start_ns").alias("_s"), F.col("end_ns").alias("_e"))
-    return intervals.join(F.broadcast(a), (F.col("start_ns") >= F.col("_s")) & (F.col("end_ns") <= F.col("_e")), "left_semi")
+    if a.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS:
+        return intervals.join(F.broadcast(a), (F.col("start_ns") >= F.col("_s")) & (F.col("end_ns") <= F.col("_e")), "left_semi")
+    names = intervals.columns
+    rows = intervals.select(F.col("start_ns").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_e"), F.struct(*names).alias("_row"))
+    both = rows.unionByName(a.select(F.col("_s").alias("_at"), F.lit(0).alias("_kind"), F.col("_e").cast("long").alias("_e"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
+    both = both.withColumn("_deal", F.expr(f"_at div {DAY_NS}"))
+    inside = W.partitionBy("_deal").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    ends = both.groupBy("_deal").agg(F.max("_e").alias("_last"))
+    before = ends.select(F.col("_deal").alias("_d"), F.max("_last").over(W.orderBy("_deal").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))  # a row per day
+    j = both.withColumn("_run", F.max("_e").over(inside)).join(before, F.col("_deal") == F.col("_d"))
+    return j.where((F.col("_kind") == 1) & (F.col("_row.end_ns") <= F.greatest("_run", "_before"))).select("_row.*")
 
 
 def key_diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
@@ -72,7 +92,7 @@ def missing_from(subset: DataFrame, whole: DataFrame, keys: list[str]) -> DataFr
 
 def dedup_rows(rows: DataFrame, compared: list[str]) -> tuple[DataFrame, DataFrame]:
     """One row per identity (with ingest_id), and the identities that occur with different contents, which block."""
-    h = rows.withColumn("_h", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in compared]), 256))
+    h = rows.withColumn("_h", F.sha2(F.to_json(F.struct(*compared)), 256))
     groups = h.groupBy(*ROW_KEY).agg(F.countDistinct("_h").alias("variants"), F.count("*").alias("copies"), F.min(F.struct(*compared)).alias("row"))
     kept = groups.select(*ROW_KEY, *[F.col(f"row.{c}").alias(c) for c in compared if c not in ROW_KEY], "copies")
     return kept, groups.where("variants > 1").select(*ROW_KEY, "variants")
@@ -108,7 +128,7 @@ def coverage(events: DataFrame) -> DataFrame:
 def order_free_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A fingerprint of a set of rows that does not depend on their order: bucket sums of row hashes, hashed once more.
     (An order-sensitive digest of the whole text belongs on the driver and is for small sets.)"""
-    h = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns]), 256)
+    h = F.sha2(F.to_json(F.struct(*columns)), 256)
     part = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
     return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 
 from .features import drawdowns
 
+#: The metrics.
+NAMES = (
+    "pnl", "total_return", "annualized_return", "volatility", "downside_volatility", "sharpe", "sortino", "calmar", "max_drawdown", "average_drawdown",
+    "drawdown_duration", "win_rate", "payoff_ratio", "expectancy", "turnover", "average_holding_period", "expected_shortfall", "capacity_estimate",
+)
+
 
 def metric_pack(curve: DataFrame, fills: DataFrame | None, keys: list[str], initial_cash: float, periods_per_year: float) -> DataFrame:
     """Eighteen metrics per run. curve: keys, event_time_ns, equity; fills: keys, event_time_ns, notional.
@@ -50,9 +56,8 @@ def metric_pack(curve: DataFrame, fills: DataFrame | None, keys: list[str], init
         a = a.join(f, keys, "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
     else:
         a = a.withColumns({"turnover": F.lit(0.0), "average_holding_period": F.lit(None).cast("double")})
-    names = ["pnl", "total_return", "annualized_return", "volatility", "downside_volatility", "sharpe", "sortino", "calmar", "max_drawdown", "average_drawdown", "drawdown_duration", "win_rate", "payoff_ratio", "expectancy", "turnover", "average_holding_period", "expected_shortfall", "capacity_estimate"]
     valid = F.col("least") > 0
-    return a.select(*keys, valid.alias("promotable"), *[F.when(valid, F.col(n)).alias(n) for n in names])
+    return a.select(*keys, valid.alias("promotable"), *[F.when(valid, F.col(n)).alias(n) for n in NAMES])
 
 
 def waterfall(runs: DataFrame) -> DataFrame:

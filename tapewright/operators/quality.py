@@ -46,6 +46,11 @@ def duplicates(events: DataFrame) -> DataFrame:
     return e.where("rn > 1").select("arrival_ord", "ingest_id", "first_ingest_id")
 
 
+def timezone(events: DataFrame) -> DataFrame:
+    """Rows without an event or receive time; times are nanoseconds of UTC, so nothing else can go wrong with their zone."""
+    return events.where("event_time_ns IS NULL OR receive_time_ns IS NULL").select("arrival_ord", "ingest_id")
+
+
 def negative_receive_latency(events: DataFrame) -> DataFrame:
     return events.where("receive_time_ns < event_time_ns").select("arrival_ord", "ingest_id")
 

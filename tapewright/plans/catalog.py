@@ -16,6 +16,7 @@ from ..operators import consistency, features, fills, lookups, metrics, oos, qua
 from ..sources import files
 from ..sources import views as V
 from ..streaming import observe
+from . import oracles as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,22 +54,22 @@ def scan_filter(spark, d):
 
 @query(f"SELECT instrument_id, ingest_id, event_time_ns FROM canon WHERE receive_time_ns <= {START + 10 * DAY}", ("canon",))
 def point_in_time(spark, d):
-    return files.point_in_time(V.canon(spark, d), F.lit(START + 10 * DAY)).select("instrument_id", "ingest_id", "event_time_ns")
+    return files.point_in_time(V.tape(spark, d), F.lit(START + 10 * DAY)).select("instrument_id", "ingest_id", "event_time_ns")
 
 
 @query(f"SELECT ingest_id, event_time_ns FROM canon WHERE event_time_ns >= {START + DAY} AND event_time_ns < {START + 3 * DAY}", ("canon",))
 def half_open_range(spark, d):
-    return files.in_range(V.canon(spark, d), START + DAY, START + 3 * DAY).select("ingest_id", "event_time_ns")
+    return files.in_range(V.tape(spark, d), START + DAY, START + 3 * DAY).select("ingest_id", "event_time_ns")
 
 
 @query("SELECT ingest_id, event_time_ns, price FROM canon WHERE instrument_id = 'purchase' ORDER BY event_time_ns, sequence LIMIT 100", ("canon",))
 def archive_limit(spark, d):
-    return V.canon(spark, d).where("instrument_id = 'purchase'").orderBy("event_time_ns", "sequence").select("ingest_id", "event_time_ns", "price").limit(100)
+    return V.tape(spark, d).where("instrument_id = 'purchase'").orderBy("event_time_ns", "arrival_ord").select("ingest_id", "event_time_ns", "price").limit(100)
 
 
 @query("SELECT DISTINCT instrument_id FROM canon", ("canon",))
 def distinct_instruments(spark, d):
-    return V.canon(spark, d).select("instrument_id").distinct()
+    return V.tape(spark, d).select("instrument_id").distinct()
 
 
 @query("SELECT event_type AS kind, count(*) AS n FROM dirty GROUP BY 1 UNION ALL SELECT instrument_id, count(*) FROM dirty GROUP BY 1", ("dirty",))
@@ -119,7 +120,7 @@ WHERE r.n IS DISTINCT FROM p.n""",
     ("canon",),
 )
 def chunk_receipts(spark, d):
-    c = V.canon(spark, d).withColumn("chunk_id", F.format_string("chunk-%06d", F.expr(f"event_time_ns div {DAY} - {START // DAY}")))
+    c = V.tape(spark, d).withColumn("chunk_id", F.format_string("chunk-%06d", F.expr(f"event_time_ns div {DAY} - {START // DAY}")))
     plan = lookups.chunk_plan(spark, START, END, DAY).join(c.groupBy("chunk_id").agg(F.count("*").alias("rows")), "chunk_id", "left").fillna({"rows": 0})
     return lookups.chunk_receipts(plan, c.where("arrival_ord % 997 <> 0").groupBy("chunk_id").agg(F.count("*").alias("rows")))
 
@@ -129,7 +130,7 @@ def coverage_manifest(spark, d):
     return lookups.coverage(V.canon_dirty(spark, d))
 
 
-@query("SELECT count(*) AS n, sum(('0x' || substr(sha256(ingest_id || '|' || event_time_ns::VARCHAR), 1, 15))::HUGEINT)::VARCHAR AS digest FROM dirty", ("dirty",))
+@query("""SELECT count(*) AS n, sum(('0x' || substr(sha256('{"ingest_id":"' || ingest_id || '","event_time_ns":' || event_time_ns::VARCHAR || '}'), 1, 15))::HUGEINT)::VARCHAR AS digest FROM dirty""", ("dirty",))
 def order_free_digest(spark, d):
     return lookups.order_free_digest(V.canon_dirty(spark, d), ["ingest_id", "event_time_ns"])
 
@@ -184,9 +185,12 @@ def quality_duplicates(spark, d):
     return quality.duplicates(V.canon_dirty(spark, d))
 
 
-@query("SELECT arrival_ord, ingest_id FROM dirty WHERE event_time_ns IS NULL OR receive_time_ns IS NULL", ("dirty",))
+@query("SELECT arrival_ord, ingest_id FROM dirty WHERE arrival_ord % 103 = 0 OR arrival_ord % 107 = 0", ("dirty",))
 def quality_timezone(spark, d):
-    return V.canon_dirty(spark, d).where("event_time_ns IS NULL OR receive_time_ns IS NULL").select("arrival_ord", "ingest_id")
+    """Rows without a time in nanoseconds: here those that lost one of theirs."""
+    lost = lambda c, k: F.when(F.col("arrival_ord") % k != 0, F.col(c))
+    c = V.canon_dirty(spark, d)
+    return quality.timezone(c.withColumns({"event_time_ns": lost("event_time_ns", 103), "receive_time_ns": lost("receive_time_ns", 107)}))
 
 
 @query("SELECT arrival_ord, ingest_id FROM dirty WHERE receive_time_ns < event_time_ns", ("dirty",))
@@ -262,7 +266,8 @@ def quality_summary(spark, d):
 
 def _summary_oracle() -> str:
     """Counts of the single checks' oracles."""
-    parts = [f"SELECT '{c}' AS code, '{s}' AS severity, (SELECT count(*) FROM ({ORACLES[f'quality_{c}']})) AS n" for c, s in quality.SEVERITY.items()]
+    whole = "SELECT 1 FROM (SELECT 1) WHERE false"  # the tape itself has all times
+    parts = [f"SELECT '{c}' AS code, '{s}' AS severity, (SELECT count(*) FROM ({whole if c == 'timezone' else ORACLES[f'quality_{c}']})) AS n" for c, s in quality.SEVERITY.items()]
     return f"SELECT *, CASE WHEN sum(n) FILTER (severity <> 'warning') OVER () > 0 THEN 'blocked' WHEN sum(n) OVER () > 0 THEN 'diagnostic_only' ELSE 'none' END AS verdict FROM ({' UNION ALL '.join(parts)})"
 
 
@@ -348,6 +353,16 @@ def screen_random(spark, d):
     return _scored(screen.random_signals(b, [7, 8], longest))
 
 
+ORACLES["screen_random"] = V.sql(
+    f"""SELECT variant_id, instrument_id, count(*) AS observations, round(sum(gross), 6) AS gross_return, round(sum(turn) * 0.001, 6) AS cost_return, round(sum(gross - turn * 0.001), 6) AS net_return,
+  round(sum(turn), 6) AS turnover, round(avg(gross - turn * 0.001) / nullif(stddev_pop(gross - turn * 0.001), 0) * sqrt(252), 6) AS sharpe FROM (
+  SELECT variant_id, instrument_id, coalesce(lag(signal) OVER w, 0) * ret AS gross, abs(signal - coalesce(lag(signal) OVER w, 0)) AS turn
+  FROM (SELECT instrument_id, row_number() OVER w - 1 AS j, coalesce(close / lag(close) OVER w - 1, 0) AS ret FROM bars_h WINDOW w AS (PARTITION BY instrument_id ORDER BY event_time_ns)) JOIN ({O.random_signals([7, 8])}) USING (j)
+  WINDOW w AS (PARTITION BY variant_id, instrument_id ORDER BY j)) GROUP BY 1, 2""",
+    "bars_h",
+)
+
+
 def _curve(spark, d):
     """Equity of holding one unit of each instrument's daily close, as a share of its first."""
     b = V.bars(spark, d, DAY)
@@ -412,7 +427,7 @@ def utc_day_baseline(spark, d):
 
 @query(f"SELECT instrument_id, round(median(gap) / 1e9, 5) AS median_s, round({365.25 * 86400 * 1e9} / median(gap), 3) AS periods FROM (SELECT instrument_id, event_time_ns - lag(event_time_ns) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) AS gap FROM (SELECT DISTINCT instrument_id, event_time_ns FROM canon)) WHERE gap IS NOT NULL GROUP BY 1", ("canon",))
 def periods_per_year(spark, d):
-    return features.periods_per_year(V.canon(spark, d), keys=("instrument_id",)).select("instrument_id", F.round(F.col("median_ns") / 1e9, 5).alias("median_s"), F.round("periods", 3).alias("periods"))
+    return features.periods_per_year(V.tape(spark, d), keys=("instrument_id",)).select("instrument_id", F.round(F.col("median_ns") / 1e9, 5).alias("median_s"), F.round("periods", 3).alias("periods"))
 
 
 @query(
@@ -421,7 +436,7 @@ FROM (SELECT * FROM canon WHERE instrument_id = 'purchase') p ASOF LEFT JOIN (SE
     ("canon",),
 )
 def asof_mark(spark, d):
-    c = V.canon(spark, d)
+    c = V.tape(spark, d)
     left = c.where("instrument_id = 'purchase'").select("user_id", "ingest_id", "event_time_ns")
     right = c.where("instrument_id = 'view'").select("user_id", "ingest_id", "event_time_ns")
     return features.as_of(left, right, ["user_id"], "event_time_ns", "event_time_ns", ["ingest_id"])
@@ -471,7 +486,7 @@ FROM bars_d JOIN (SELECT instrument_id, event_time_ns // {DAY} * {DAY} AS event_
     ("bars_d",),
 )
 def cross_check_bps(spark, d):
-    ref = V.canon(spark, d).groupBy("instrument_id", F.expr(f"event_time_ns div {DAY} * {DAY}").alias("event_time_ns")).agg(F.avg("price").alias("close"), F.lit(0).alias("ord"))
+    ref = V.tape(spark, d).groupBy("instrument_id", F.expr(f"event_time_ns div {DAY} * {DAY}").alias("event_time_ns")).agg(F.avg("price").alias("close"), F.lit(0).alias("ord"))
     return lookups.cross_check_bps(V.bars(spark, d, DAY), ref, ["instrument_id", "event_time_ns"]).select("matches", *r6("max_bps"), "status")
 
 
@@ -514,7 +529,7 @@ def interval_containment(spark, d):
 
 @query()
 def cost_asof(spark, d):
-    costs = V.canon(spark, d).where("arrival_ord % 3 = 0").select("instrument_id", "event_time_ns", (F.col("price") * 0.001).alias("amount"))
+    costs = V.tape(spark, d).where("arrival_ord % 3 = 0").select("instrument_id", "event_time_ns", (F.col("price") * 0.001).alias("amount"))
     return lookups.cumulative_costs(_curve(spark, d), costs, ["instrument_id"]).select("instrument_id", "event_time_ns", *r6("costs", "gross_equity"))
 
 
@@ -594,7 +609,7 @@ JOIN (SELECT event_time_ns // {HOUR} AS event_time_ns, min(price) AS best FROM c
     ("canon",),
 )
 def book_complement(spark, d):
-    best = V.canon(spark, d).groupBy(F.expr(f"event_time_ns div {HOUR}").alias("event_time_ns")).agg(F.min(F.when(F.col("instrument_id") == "view", F.col("price"))).alias("a"), F.min(F.when(F.col("instrument_id") == "purchase", F.col("price"))).alias("b"))
+    best = V.tape(spark, d).groupBy(F.expr(f"event_time_ns div {HOUR}").alias("event_time_ns")).agg(F.min(F.when(F.col("instrument_id") == "view", F.col("price"))).alias("a"), F.min(F.when(F.col("instrument_id") == "purchase", F.col("price"))).alias("b"))
     total = (F.col("a") + F.col("b")) / 500
     return best.where(total < 1).select("event_time_ns", F.round(total, 6).alias("ask_sum"))
 
@@ -608,40 +623,38 @@ def _tape(spark, d):
     return b.select(F.col("instrument_id").alias("run_id"), "instrument_id", F.lit("bar").alias("event_type"), "event_time_ns", (F.col("event_time_ns") + 1_000_000).alias("receive_time_ns"), F.row_number().over(w).cast("long").alias("sequence"), F.col("event_time_ns").cast("string").alias("ingest_id"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
-@query()
+@query(O.REPLAY_FILLS)
 def replay_fills(spark, d):
     out = replay.replay(_tape(spark, d), lambda run: replay.donchian(10))
     return out.where("kind = 'fill'").select("run_id", "event_time_ns", "side", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("quantity", "price", "fee", "slippage")])
 
 
-@query()
+@query(O.REPLAY_EQUITY)
 def replay_equity(spark, d):
     out = replay.replay(_tape(spark, d), lambda run: replay.buy_hold())
     return out.where("kind = 'equity'").select("run_id", "event_time_ns", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("cash", "equity", "unrealized")])
 
 
-@query()
+def _rounded_metrics(m, key):
+    return m.select(key, *[F.col(c).cast("long").alias(c) if c == "drawdown_duration" else F.round(c, 6).alias(c) for c in metrics.NAMES])
+
+
+@query(O.REPLAY_METRICS)
 def replay_metrics(spark, d):
     out = replay.replay(_tape(spark, d), lambda run: replay.buy_hold())
     curve = out.where("kind = 'equity'").select("run_id", "event_time_ns", F.col("equity").cast("double").alias("equity"))
     f = out.where("kind = 'fill'").select("run_id", "event_time_ns", (F.col("price").cast("double") * F.col("quantity").cast("double")).alias("notional"))
-    return metrics.metric_pack(curve, f, ["run_id"], 100_000.0, 365.25 * 24)
+    return _rounded_metrics(metrics.metric_pack(curve, f, ["run_id"], 100_000.0, 365.25 * 24), "run_id")
 
 
 @query()
 def metric_pack(spark, d):
-    m = metrics.metric_pack(_curve(spark, d), None, ["instrument_id"], 1000.0, 365.25)
-    return m.select("instrument_id", *r6("pnl", "total_return", "volatility", "downside_volatility", "sharpe", "sortino", "max_drawdown", "average_drawdown"), F.col("drawdown_duration").cast("long").alias("drawdown_duration"), *r6("win_rate", "payoff_ratio", "expectancy", "expected_shortfall"))
+    trades = V.tape(spark, d).where("arrival_ord % 50 = 0").select("instrument_id", "event_time_ns", F.col("price").alias("notional"))
+    return _rounded_metrics(metrics.metric_pack(_curve(spark, d), trades, ["instrument_id"], 1000.0, 365.25), "instrument_id")
 
 
-ORACLES["metric_pack"] = f"""{_D}, {DRAWDOWN}, r AS (SELECT *, equity / lag(equity) OVER (PARTITION BY instrument_id ORDER BY event_time_ns) - 1 AS ret FROM runs),
-k AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY ret NULLS LAST, event_time_ns) AS rn, count(ret) OVER (PARTITION BY instrument_id) AS n FROM r)
-SELECT instrument_id, round(arg_max(equity, event_time_ns) - 1000, 6) AS pnl, round((arg_max(equity, event_time_ns) - 1000) / 1000, 6) AS total_return,
-  round(stddev_pop(ret) * sqrt(365.25), 6) AS volatility, round(stddev_pop(ret) FILTER (ret < 0) * sqrt(365.25), 6) AS downside_volatility,
-  round(avg(ret) / stddev_pop(ret) * sqrt(365.25), 6) AS sharpe, round(avg(ret) / (stddev_pop(ret) FILTER (ret < 0)) * sqrt(365.25), 6) AS sortino,
-  round(max(drawdown), 6) AS max_drawdown, round(avg(drawdown), 6) AS average_drawdown, max(run) AS drawdown_duration,
-  round(count(*) FILTER (ret > 0) / count(ret), 6) AS win_rate, round(avg(ret) FILTER (ret > 0) / abs(avg(ret) FILTER (ret < 0)), 6) AS payoff_ratio,
-  round(avg(ret) * 1000, 6) AS expectancy, round(abs(avg(ret) FILTER (rn <= greatest(1, ceil(n * 0.05)))), 6) AS expected_shortfall FROM k GROUP BY 1"""
+ORACLES["metric_pack"] = f"""{_D.replace(CURVE, CURVE.replace('instrument_id, event_time_ns, 1000.0', 'instrument_id AS key, event_time_ns, 1000.0', 1))},
+trade AS (SELECT instrument_id AS key, event_time_ns, price AS notional FROM canon WHERE arrival_ord % 50 = 0), {O.METRICS.format(cash='1000.0', year='365.25', key='instrument_id')}"""
 
 
 # ---- out of sample ----
@@ -662,17 +675,14 @@ def sample_moments(spark, d):
     return oos.moments(V.returns_long(spark, d), ["variant"]).select("variant", "n", *r6("mean", "sd", "skew", "kurt"))
 
 
-@query("SELECT variant, n, round(sharpe, 6) AS sharpe, round(sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS z FROM (SELECT variant, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1)", ("rets",))
+@query(f"SELECT variant, n, round(sharpe, 6) AS sharpe, round(z, 6) AS z, round({O.normal_cdf('z')}, 9) AS psr FROM (SELECT *, sharpe * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS z FROM (SELECT variant, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1))", ("rets",))
 def psr(spark, d):
-    return oos.psr(V.returns_long(spark, d), ["variant"]).select("variant", "n", *r6("sharpe", "z"))
+    return oos.psr(V.returns_long(spark, d), ["variant"]).select("variant", "n", *r6("sharpe", "z"), F.round("psr", 9).alias("psr"))
 
 
-@query(f"SELECT variant, round((sharpe - b) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe), 6) AS z FROM (SELECT *, stddev_samp(sharpe) OVER () * {oos.dsr_factor(INSTRUMENTS)!r} AS b FROM (SELECT variant, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1))", ("rets",))
+@query(f"SELECT variant, round(z, 6) AS z, round({O.normal_cdf('z')}, 9) AS dsr FROM (SELECT variant, (sharpe - b) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS z FROM (SELECT *, stddev_samp(sharpe) OVER () * {oos.dsr_factor(INSTRUMENTS)!r} AS b FROM (SELECT variant, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1)))", ("rets",))
 def dsr(spark, d):
-    return oos.dsr(V.returns_long(spark, d), ["variant"], INSTRUMENTS).select("variant", *r6("z"))
-
-
-OBS = 28  # of pbo_splits and its oracle
+    return oos.dsr(V.returns_long(spark, d), ["variant"], INSTRUMENTS).select("variant", *r6("z"), F.round("dsr", 9).alias("dsr"))
 
 
 def _matrix(spark, d):
@@ -682,40 +692,37 @@ def _matrix(spark, d):
     return r, 0 if last is None else last + 1
 
 
-@query(
-    f"""SELECT split, variant, rank, round(rank / (5 + 1.0), 6) AS relative_rank FROM (
-SELECT *, row_number() OVER (PARTITION BY split ORDER BY inside DESC, variant) AS best, row_number() OVER (PARTITION BY split ORDER BY outside, variant) AS rank FROM (
-  SELECT split, variant, sum(s) FILTER (train) / sum(k) FILTER (train) AS inside, sum(s) FILTER (NOT train) / sum(k) FILTER (NOT train) AS outside FROM (
-    SELECT sp.split, variant, s, k, list_contains(chosen, block) AS train FROM (SELECT variant, CASE WHEN obs < 16 THEN obs // 4 ELSE 4 + (obs - 16) // 3 END AS block, sum(ret) AS s, count(*) AS k FROM rets WHERE obs < {OBS} GROUP BY 1, 2),
-      (SELECT row_number() OVER (ORDER BY a, b, c, e) - 1 AS split, [a, b, c, e] AS chosen FROM range(8) x(a), range(8) y(b), range(8) z(c), range(8) v(e) WHERE a < b AND b < c AND c < e) sp) GROUP BY 1, 2)) WHERE best = 1""",
-    ("rets",),
-)
+def _with(body: str, *views: str) -> str:
+    """Oracle text whose own CTEs follow the views'."""
+    return V.sql("", *views).rstrip() + ",\n" + body
+
+
+@query(_with(f"{O.pbo_splits()} SELECT split, variant, rank, round(relative_rank, 6) AS relative_rank FROM split", "rets"))
 def pbo_splits(spark, d):
-    return oos.pbo_splits(V.returns_long(spark, d).where(F.col("obs") < OBS), OBS).select(F.col("split").cast("long").alias("split"), "variant", F.col("rank").cast("long").alias("rank"), *r6("relative_rank"))
+    return oos.pbo_splits(*_matrix(spark, d)).select(F.col("split").cast("long").alias("split"), "variant", F.col("rank").cast("long").alias("rank"), *r6("relative_rank"))
 
 
-@query()
+@query(_with(f"{O.pbo_splits()} SELECT avg((ln(relative_rank / (1 - relative_rank)) <= 0)::INT) AS pbo, count(*) AS combinations FROM split", "rets"))
 def pbo(spark, d):
     return oos.pbo(*_matrix(spark, d))
 
 
-@query()
+@query(_with(f"{O.STAT} {O.REALITY}", "rets"))
 def reality_check(spark, d):
     return oos.reality_check(*_matrix(spark, d))
 
 
-@query()
+@query(O.sign_flip(), ("rets",))
 def sign_flip(spark, d):
     r, n = _matrix(spark, d)
     m = r.groupBy("obs").agg(F.max(F.when(F.col("variant") == "view", F.col("ret"))).alias("selected"), F.max(F.when(F.col("variant") == "click", F.col("ret"))).alias("baseline"))
     return oos.sign_flip(m.fillna(0.0), n)
 
 
-@query()
+@query(O.block_bootstrap(4, 200, 7), ("rets",))
 def block_bootstrap(spark, d):
     r, n = _matrix(spark, d)
-    one = r.where("variant = 'view'").select("obs", "ret")
-    return oos.block_bootstrap(one, n, 4, 200, 7).select(F.col("draw").cast("long").alias("draw"), *r6("mean"))
+    return oos.block_bootstrap(r, n, 4, 200, 7, keys=["variant"]).select("variant", F.col("draw").cast("long").alias("draw"), *r6("mean"))
 
 
 @query("SELECT lang AS regime, count(*) AS observations, round(avg(quality), 6) AS mean, round(avg((quality > 0)::INT), 6) AS win_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1")
@@ -757,7 +764,7 @@ def selected_cells(spark, d):
     return j.select("fold", "variant", F.round("total", 6).alias("test_total"), F.coalesce("has_null", F.lit(False)).alias("has_null"))
 
 
-SWEEP = [("donchian", 5), ("donchian", 10), ("mean_reversion", 12), ("flat", 0)]
+SWEEP = [("donchian", 5), ("donchian", 10), ("mean_reversion", 12), ("reversion", 12), ("flat", 0)]
 
 
 def _sweep_tape(spark, d):
@@ -772,19 +779,30 @@ def _swept(spark, d):
     return sweep.run_cells(*_sweep_tape(spark, d), SWEEP, replay.Rules())
 
 
-@query()
+@query(O.sweep(SWEEP, "SELECT series, fold, variant, phase, bars, round(net_return, 6) AS net_return, round(score, 6) AS score FROM cell"))
 def sweep_cells(spark, d):
     c = sweep.cell_results(_swept(spark, d), 100_000.0)
     return c.select("series", "fold", "variant", "phase", "bars", *r6("net_return", "score"))
 
 
-@query()
+@query(
+    O.sweep(
+        SWEEP,
+        """SELECT w.series, w.fold, w.variant, round(w.score, 6) AS train_score, round(c.net_return, 6) AS test_return FROM (
+SELECT *, row_number() OVER (PARTITION BY series, fold ORDER BY round(score, 12) DESC, variant) AS rn FROM cell WHERE phase = 'train' AND variant <> 'flat-0') w
+LEFT JOIN (SELECT * FROM cell WHERE phase = 'test') c ON c.series = w.series AND c.fold = w.fold AND c.variant = w.variant WHERE w.rn = 1""",
+    )
+)
 def sweep_winners(spark, d):
     cells = sweep.cell_results(_swept(spark, d), 100_000.0)
     return sweep.stitched(cells, excluded=["flat-0"]).select("series", "fold", "variant", *r6("train_score", "test_return"))
 
 
-@query()
+_VARIANTS = ", ".join(f"('{f}-{n}')" for f, n in SWEEP)
+PLANNED = f"plan AS (SELECT instrument_id AS series, fold, variant, phase FROM (SELECT instrument_id, count(*) AS size FROM bars_h GROUP BY 1) JOIN fold ON ends <= size, (VALUES {_VARIANTS}) v(variant))"
+
+
+@query(O.sweep(SWEEP, f", {PLANNED} SELECT series, fold, variant, phase, coalesce(n, 0) AS n FROM plan FULL JOIN (SELECT series, fold, variant, phase, count(*) AS n FROM cell GROUP BY 1, 2, 3, 4) USING (series, fold, variant, phase) WHERE n IS DISTINCT FROM 1").replace("\n, plan", ",\nplan"))
 def sweep_cover(spark, d):
     """Cells that the plan has and the results lack, or the other way round: none."""
     tape, folds = _sweep_tape(spark, d)
@@ -792,11 +810,28 @@ def sweep_cover(spark, d):
     return sweep.cover_problems(cells, folds, SWEEP, sweep.lengths(tape))
 
 
+@query(
+    _with(
+        f"""{O.FOLDS},\n{PLANNED} SELECT *, CASE WHEN fold = 1 THEN 0 ELSE 2 END AS n FROM plan WHERE (fold = 1 AND variant = 'flat-0' AND phase = 'test') OR (fold = 0 AND variant = 'donchian-5' AND phase = 'train')
+UNION ALL SELECT DISTINCT series, 99999, variant, phase, 1 FROM plan WHERE fold = 2 AND variant = 'flat-0'""",
+        "bars_h",
+    )
+)
+def sweep_cover_faults(spark, d):
+    """The same check of results in which cells are lost, doubled and renamed."""
+    tape, folds = _sweep_tape(spark, d)
+    cells = sweep.cell_results(sweep.run_cells(tape, folds, SWEEP, replay.Rules()), 100_000.0).select("series", "fold", "variant", "phase")
+    one = cells.where("NOT (fold = 1 AND variant = 'flat-0' AND phase = 'test')")
+    twice = cells.where("fold = 0 AND variant = 'donchian-5' AND phase = 'train'")
+    unplanned = cells.where("fold = 2 AND variant = 'flat-0'").withColumn("fold", F.lit(99999).cast("long"))
+    return sweep.cover_problems(one.unionByName(twice).unionByName(unplanned), folds, SWEEP, sweep.lengths(tape))
+
+
 # ---- stress and risk ----
 
 
 def _costs(spark, d):
-    c = V.canon(spark, d).groupBy(F.col("instrument_id").alias("variant")).agg((F.sum("price") / 100).alias("gross_pnl"), (F.sum("price") / 2000).alias("fees"), (F.sum("size") / 100).alias("slippage"))
+    c = V.tape(spark, d).groupBy(F.col("instrument_id").alias("variant")).agg((F.sum("price") / 100).alias("gross_pnl"), (F.sum("price") / 2000).alias("fees"), (F.sum("size") / 100).alias("slippage"))
     return c.select("variant", "gross_pnl", "fees", F.lit(1.0).alias("spread"), "slippage", F.lit(2.0).alias("funding"), F.lit(0.5).alias("impact"), F.lit(0.0).alias("borrow"), F.lit(0.25).alias("roll"), F.lit(0.0).alias("other"), F.lit(3.0).alias("missed"))
 
 
@@ -806,11 +841,6 @@ g AS (SELECT variant, arg_max(wealth, obs) - 1 AS total, min(ret) AS worst, max(
 i AS (SELECT variant, gross_pnl, fees, slippage, greatest(0, -worst) * abs(gross_pnl / total) AS outage_loss, greatest(0, -worst) * abs(gross_pnl / total) * 2 AS gap_loss, fall * abs(gross_pnl / total) AS deleverage_loss FROM c JOIN g USING (variant))"""
 
 
-def _with(body: str, *views: str) -> str:
-    """Oracle text whose own CTEs follow the views'."""
-    return V.sql("", *views).rstrip() + ",\n" + body
-
-
 @query()
 def stress_inputs(spark, d):
     return risk.stress_inputs(V.returns_long(spark, d), _costs(spark, d), ["variant"]).select("variant", *[F.round(c, 4).alias(c) for c in ("gross_pnl", "fees", "outage_loss", "gap_loss", "deleverage_loss")])
@@ -834,10 +864,11 @@ def compounded_return(spark, d):
     return risk.compounded(V.returns_long(spark, d), ["variant"]).select("variant", *r6("total"))
 
 
-@query()
+@query(_with(O.risk_report(), "rets"))
 def risk_report(spark, d):
-    r, n = _matrix(spark, d)
-    return risk.risk_report(r.where("variant = 'view'").select("obs", "ret"), n)
+    """Of every variant, the deepest fall first."""
+    names = ["observed_max", "bootstrap_median", "bootstrap_p95", "risk_of_ruin", "expected_shortfall"]
+    return risk.risk_report(*_matrix(spark, d), keys=["variant"]).select("variant", *r6(*names)).orderBy(F.desc("observed_max"))
 
 
 @query(
@@ -949,11 +980,25 @@ def check_null_metrics(spark, d):
     return consistency.null_metrics(m, o.where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("m").alias("name"), F.lit("few rows").alias("reason")), "o_orderkey")
 
 
-@query("SELECT NULL::VARCHAR AS run_id WHERE false")
-def check_flat_null(spark, d):
-    """Periods in which the flat variant of the sweep earned or lost anything: none."""
+def _earning(spark, d, variant):
     runs = _swept(spark, d).where("kind = 'equity'").select("run_id", F.split("run_id", "\\|")[3].alias("variant"), (F.col("equity").cast("double") / 100_000.0 - 1).alias("ret"))
-    return consistency.null_is_flat(None, runs, "flat-0").select("run_id")
+    return consistency.null_is_flat(None, runs, variant).groupBy("run_id").agg(F.count("*").alias("n"))
+
+
+def _earning_sql(variant):
+    return O.sweep(SWEEP, f"SELECT run AS run_id, count(*) AS n FROM step WHERE run LIKE '%|{variant}' AND {O.EQUITY} <> 10000000000000000000000 GROUP BY 1")
+
+
+@query(_earning_sql("flat-0"))
+def check_flat_null(spark, d):
+    """Runs of the sweep's flat variant, and in how many periods they earned or lost anything: none."""
+    return _earning(spark, d, "flat-0")
+
+
+@query(_earning_sql("donchian-5"))
+def check_flat_null_faults(spark, d):
+    """The same check of a variant that trades."""
+    return _earning(spark, d, "donchian-5")
 
 
 # ---- ledger ----
@@ -980,7 +1025,7 @@ def trial_count(spark, d):
 
 @query("SELECT count(*) AS experiments, round(sum(value), 4) AS pnl, sum(size)::BIGINT AS trades FROM (SELECT value, (props->>'$.k')::DOUBLE AS size FROM events)")
 def dashboard_summary(spark, d):
-    return V.canon(spark, d).agg(F.count("*").alias("experiments"), F.round(F.sum("price"), 4).alias("pnl"), F.sum("size").cast("long").alias("trades"))
+    return V.tape(spark, d).agg(F.count("*").alias("experiments"), F.round(F.sum("price"), 4).alias("pnl"), F.sum("size").cast("long").alias("trades"))
 
 
 # ---- observation ----
@@ -999,7 +1044,7 @@ def observe_monitor(spark, d):
     return observe.monitor(V.canon_dirty(spark, d), NOW, HOUR, HOUR, 2 * HOUR)
 
 
-@query()
+@query(_with(O.BOOK, "canon"))
 def book_state(spark, d):
     c = V.canon(spark, d)
     kind = F.when(F.col("sequence") % 50 == 1, "book_snapshot").otherwise("book_delta")
@@ -1019,7 +1064,7 @@ def stream_parity(spark, d):
 
     root = local_dir(spark)
     path = f"{root}/stream-{uuid.uuid4().hex}"
-    tape = V.canon(spark, d).select("instrument_id", "event_time_ns", "ingest_id", "price")
+    tape = V.tape(spark, d).select("instrument_id", "event_time_ns", "ingest_id", "price")
     tape.repartitionByRange(4, "event_time_ns").write.parquet(path)
     name = f"parity_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(tape.schema).option("maxFilesPerTrigger", 2).parquet(path)
