@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved
+from .common import forget, saved, unused
 
 WS = "[ \\t-\\r]+"
-#: The transformed statistics, and the least spread each is granted (a constant column has none of its own).
-FEATURES = {"x_len": 0.25, "x_word": 0.10, "x_sym": 0.10, "x_dup": 0.10, "x_rep": 0.05}
+#: Squared distance from which a row is an outlier: of five normal variables one in 1e12 lies beyond (the upper 1e-12
+#: quantile of chi-square with five degrees of freedom), so that hardly any clean document goes at any size of a table.
+CUTOFF = 65.239
+#: The 97.5 % quantile of chi-square with five degrees of freedom: rows within it vary as usual.
+NEAR = 12.8325
+#: The transformed statistics, and the least spread each is granted (a constant column has none of its own). That of x_rep
+#: lets a text that else varies as usual repeat as many words as the base rules allow.
+FEATURES = {"x_len": 0.25, "x_word": 0.10, "x_sym": 0.10, "x_dup": 0.10, "x_rep": math.sqrt(0.5 / (CUTOFF - NEAR))}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -96,7 +103,7 @@ def _whitened(stats: DataFrame, tag: str, factor: float) -> DataFrame:
     for i, x in enumerate(xs):
         for j, y in enumerate(xs[: i + 1]):
             c = (F.col(f"{tag}q_{x}_{y}") / n - F.col(f"m_{x}") * F.col(f"m_{y}")) * factor
-            cov[f"c{i}{j}"] = F.greatest(c, F.lit(0.0)) + FEATURES[x] ** 2 if i == j else c
+            cov[f"c{i}{j}"] = F.greatest(c, F.lit(FEATURES[x] ** 2)) if i == j else c
     stats = stats.withColumns(cov)
     for i in range(len(xs)):  # Cholesky, a row at a time
         for j in range(i + 1):
@@ -124,30 +131,55 @@ def _params(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Groups whose estimates are broadcast at most (a row is under 400 bytes); beyond, joins shuffle and AQE splits.
 BROADCAST_GROUPS = 50_000
-#: Groups of fewer rows than this are judged by the estimate over all such groups together.
-LEAST_ROWS = 100
-#: Makes the covariance of the nearest 75 % of five normal variables that of all: .75 / P(chi2_7 <= chi2_5 quantile .75).
-CONSISTENCY = 1.41
+#: Rows from which a group has an estimate of its own: six for each statistic. Rows of smaller groups are judged by the
+#: estimate over the small groups of their language, and if these have fewer together, over all that are left.
+LEAST_ROWS = 30
+#: Make the covariance of the nearest 75 % and 97.5 % of five normal variables that of all: share / P(chi2_7 <= quantile of
+#: chi2_5 at the share).
+CONSISTENCY, REWEIGHTED = 1.4121, 1.0555
+#: Bins a unit of a statistic, and of the logarithm of a distance, by which quantiles are counted.
+BINS, LOG_BINS = 256, 64
+
+
+def _quantiles(counts: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
+    """keys and ``q``: the bins at which the shares are reached. counts: keys, bin, n. Counts are exact, so quantiles do not
+    depend on how rows are dealt; bins are as fine as BINS and LOG_BINS say."""
+    h = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("total"))
+
+    def reached(share: float) -> Column:
+        zero = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("bin"))
+
+        def step(s, x):
+            upto = s["upto"] + x["n"]
+            return F.struct(upto.alias("upto"), F.when(s["bin"].isNull() & (upto >= share * F.col("total")), x["bin"]).otherwise(s["bin"]).alias("bin"))
+
+        return F.aggregate("h", zero, step, lambda s: s["bin"])
+
+    return h.select(*keys, F.array(*[reached(x) for x in shares]).alias("q"))
 
 
 def robust_estimates(rows: DataFrame, few: bool, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Minimum covariance determinant per group ``g``: of two deterministic starts (rows within the middle spread of
-    every coordinate; all rows), each concentrated ``steps`` times onto the ``share`` of rows at the least distance, the
-    one with the smaller determinant. Steps aggregate sums only, so a hot group is pre-aggregated where its rows lie;
-    the threshold of a step comes from a mergeable quantile sketch."""
+    """Reweighted minimum covariance determinant per group ``g``.
+
+    Of two deterministic starts (rows within the middle spread of every coordinate; all rows), each concentrated ``steps``
+    times onto the ``share`` of rows at the least distance, the one with the smaller determinant is taken; the rows whose
+    distances it puts within NEAR make the final estimate. Steps aggregate sums and counts of bins only, so a hot
+    group is pre-aggregated where its rows lie."""
     xs = list(FEATURES)
     small = F.broadcast if few else (lambda x: x)
-    quart = rows.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"p_{x}") for x in xs])
+    bins = F.posexplode(F.array(*[F.floor(F.col(x) * BINS) for x in xs])).alias("pos", "bin")
+    quart = _quantiles(rows.select("g", bins).groupBy("g", "pos", "bin").agg(F.count("*").alias("n")), ["g", "pos"], [0.25, 0.5, 0.75])
+    quart = quart.groupBy("g").agg(*[F.max(F.when(F.col("pos") == i, F.transform("q", lambda b: (b + 0.5) / BINS))).alias(f"p_{x}") for i, x in enumerate(xs)])
     z = [F.abs(F.col(x) - F.col(f"p_{x}")[1]) / (F.col(f"p_{x}")[2] - F.col(f"p_{x}")[0] + FEATURES[x]) for x in xs]
     inner = rows.join(small(quart), "g").withColumn("d", F.greatest(*z))
     best = None
     for first in (inner.groupBy("g").agg(*_moments(inner, F.col("d") <= 1.5, "a")), rows.groupBy("g").agg(*_moments(rows, F.lit(True), "a"))):
         current = saved(_params(_whitened(first, "a", 1.0), ["g"]), "mcd")
         for _ in range(steps):
-            near = rows.join(small(current), "g").select("g", *xs, _distance().alias("d"))
-            cut = near.groupBy("g").agg(F.percentile_approx("d", share, 1000).alias("cut"))
+            near = rows.join(small(current), "g").select("g", *xs, F.floor(F.log(F.greatest(_distance(), F.lit(1e-12))) * LOG_BINS).alias("bin"))
+            cut = _quantiles(near.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], [share]).select("g", F.col("q")[0].alias("cut"))
             near = near.join(small(cut), "g")
-            after = saved(_params(_whitened(near.groupBy("g").agg(*_moments(near, F.col("d") <= F.col("cut"), "a")), "a", 1.0), ["g"]), "mcd")
+            after = saved(_params(_whitened(near.groupBy("g").agg(*_moments(near, F.col("bin") <= F.col("cut"), "a")), "a", 1.0), ["g"]), "mcd")
             forget(current)
             current = after
         if best is None:
@@ -156,23 +188,31 @@ def robust_estimates(rows: DataFrame, few: bool, share: float = 0.75, steps: int
         names = [c for c in best.columns if c != "g"]
         less = F.col("b.logdet") < F.col("a.logdet")
         best = best.alias("a").join(current.alias("b"), "g").select("g", *[F.when(less, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in names])
-    return best
+    near = rows.join(small(best), "g").select("g", *xs, (_distance() / CONSISTENCY <= NEAR).alias("near"))
+    return saved(_params(_whitened(near.groupBy("g").agg(*_moments(near, F.col("near"), "a")), "a", REWEIGHTED), ["g"]), "mcd")
+
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """own (l, s) and ``g``, the group whose estimate judges it."""
+    sizes = rows.groupBy("own").agg(F.count("*").alias("k"))
+    pools = sizes.where(F.col("k") < LEAST_ROWS).groupBy(F.col("own.l").alias("pool")).agg(F.sum("k").alias("pooled"))
+    g = F.when(F.col("k") >= LEAST_ROWS, F.to_json("own")).when(F.col("pooled") >= LEAST_ROWS, F.to_json(F.struct(F.col("own.l").alias("l")))).otherwise("*")
+    return sizes.join(pools, F.col("own.l") == F.col("pool"), "left").select("own", g.alias("g"))
 
-def quality(docs: DataFrame, cutoff: float = 200.0, share: float = 0.75) -> DataFrame:
+
+def quality(docs: DataFrame, cutoff: float = CUTOFF, share: float = 0.75) -> DataFrame:
     """A verdict per document: base rules, then outliers among the documents that pass them.
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (squared
     Mahalanobis distance of the transformed statistics under the robust estimate of the document's language and
     source; null where base_failed) and kept (false if base_failed or distance > cutoff).
-    Null or empty text: no words, base_failed. Null lang or source: a group of its own. Groups of fewer than
-    LEAST_ROWS rows are pooled. Repeated rows are judged alike. An empty table gives an empty table; further columns
-    of docs are ignored.
+    Null or empty text: no words, base_failed. Texts of any length are counted whole. Null lang or source: a group of its
+    own. Groups of fewer than LEAST_ROWS rows are pooled by language, then all together. Repeated rows are judged alike,
+    and ties share a bin. An empty table gives an empty table; further columns of docs are ignored.
     """
     base = saved(with_base(docs), "quality-base")
     rows = base.where(~base_failed()).select(F.struct(F.coalesce("lang", F.lit("∅")).alias("l"), F.coalesce("source", F.lit("∅")).alias("s")).alias("own"), *_features())
-    sizes = rows.groupBy("own").agg(F.count("*").alias("k"))
-    sizes = saved(sizes.select("own", F.when(F.col("k") >= LEAST_ROWS, F.to_json("own")).otherwise("*").alias("g")), "quality-groups")
+    sizes = saved(_groups(rows), "quality-groups")
     few = sizes.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     small = F.broadcast if few else (lambda x: x)
     rows = rows.join(small(sizes), "own").drop("own")
@@ -180,19 +220,21 @@ def quality(docs: DataFrame, cutoff: float = 200.0, share: float = 0.75) -> Data
     own = F.struct(F.coalesce("lang", F.lit("∅")).alias("l"), F.coalesce("source", F.lit("∅")).alias("s"))
     judged = base.withColumn("base_failed", base_failed()).withColumn("own", own).select("*", *_features())
     judged = judged.join(small(sizes), "own", "left").join(small(best), "g", "left")
-    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance() / CONSISTENCY))
+    judged = judged.withColumn("distance", F.when(~F.col("base_failed"), _distance()))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
     return judged.select("doc_id", *BASE, "base_failed", "distance", kept.alias("kept"))
 
 
-#: Ids that are broadcast to drop documents at most (8 bytes each); more are joined by a shuffle.
+#: Rows that are broadcast to drop documents at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
 
-def filter_quality(docs: DataFrame, cutoff: float = 200.0) -> DataFrame:
-    """The rows of docs (all columns) whose document is kept; a doc_id that several rows have stays if any of them is kept,
-    and rows without an id share one fate in the same way."""
-    judged = quality(docs, cutoff).groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("kept"))
-    gone = saved(judged.where("NOT kept").select(F.struct("_id").alias("_gone")), "quality-gone")
+def filter_quality(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of docs (all columns, which may have any names) that quality() keeps, each judged by itself."""
+    u0, u1 = unused(docs, "u0"), unused(docs, "u1")
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("doc_id", "lang", "source", "text")]
+    named = docs.select("*", F.xxhash64(*parts).alias(u0), F.xxhash64(F.lit(1), *parts).alias(u1))
+    judged = quality(named.select(F.struct(F.col(u0).alias("u0"), F.col(u1).alias("u1")).alias("doc_id"), "lang", "source", "text"), cutoff)
+    gone = saved(judged.where("NOT kept").select(F.col("doc_id.u0").alias(u0), F.col("doc_id.u1").alias(u1)).distinct(), "quality-gone")
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.struct(docs["doc_id"].alias("_id")) == F.col("_gone"), "left_anti")
+    return named.join(F.broadcast(gone) if small else gone, [u0, u1], "left_anti").select(*docs.columns)
