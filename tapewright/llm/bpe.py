@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from .common import release
 
-#: Words of a recursive query at a time, which bounds the rows that its steps leave behind.
-CHUNK = 15_000
-#: Words over this many bytes are contracted by a heap of pairs: the recursion takes a step per contraction.
-LONG = 256
+#: Words of a recursive query at a time, and the sum of their squared sizes: both bound the rows that its steps leave behind.
+CHUNK, SQUARES = 15_000, 1 << 23
+#: Words over this many bytes are contracted by a heap of pairs: the recursion takes a step per contraction, and a step reads
+#: the whole word.
+LONG = 2_048
+#: Tokens that are decoded by one query.
+TOKENS = 1 << 20
 #: Words that a Python worker remembers before it starts anew.
 REMEMBERED = 1_000_000
 #: Unicode's white space; what \s means differs between regex libraries.
@@ -38,11 +41,11 @@ WITH RECURSIVE state(step, w, p, t) AS (
     WHERE prior_p IS NULL OR prior_p <> (b & 4294967295))
 ),
 last AS (SELECT w, max(step) AS step FROM state GROUP BY w)
-SELECT w, list(t ORDER BY p) AS ids, unhex(string_agg(hex, '' ORDER BY p)) AS spelled
-FROM state JOIN last USING (w, step) JOIN vocabulary USING (t) GROUP BY w ORDER BY w
+SELECT w, list(t ORDER BY p) AS ids FROM state JOIN last USING (w, step) GROUP BY w ORDER BY w
 """
+#: A character of ``letters`` is a byte: code point and value are equal.
 DECODE = """
-SELECT d, unhex(string_agg(hex, '' ORDER BY p)) AS spelled FROM ids JOIN vocabulary USING (t) GROUP BY d ORDER BY d
+SELECT d, array_to_string(list(letters ORDER BY p), '') AS letters FROM ids JOIN vocabulary USING (t) GROUP BY d ORDER BY d
 """
 
 
@@ -79,13 +82,12 @@ class Coder:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs))
         merges = pa.table({"key": pa.array((left << 20) | right), "rank": pa.array(rank.astype(np.int32))})
-        vocabulary = pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "hex": [t.hex() for t in self.ranks]})
+        vocabulary = pa.table({"t": pa.array(list(self.ranks.values()), pa.int32()), "letters": [t.decode("latin-1") for t in self.ranks]})
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.con.register("rows", rows)
             self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
             self.con.unregister("rows")
         self.known: dict[str, bytes] = {}
-        self.changed: dict[str, bytes] = {}
 
     def contract_long(self, word: bytes) -> list[int]:
         """The same contractions by a heap of (rank, place), in n log n."""
@@ -108,34 +110,35 @@ class Coder:
                     heapq.heappush(heap, (x, k))
         return [t for t, a in zip(token, alive) if a]
 
-    def spell(self, ids: list[list[int]]) -> list[bytes]:
-        """The bytes of each list of ids, by ordered aggregation."""
+    def spell(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each list of ids, by ordered aggregation of TOKENS at a time."""
         size = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([t for x in ids for t in x], np.int32)
-        d = np.repeat(np.arange(len(ids)), size)
-        rows = pa.table({"d": d, "p": np.arange(len(flat)), "t": flat})
-        self.con.register("ids", rows)
-        found = dict(self.con.execute(DECODE).fetchall())
-        self.con.unregister("ids")
-        return [bytes(found.get(i, b"")) for i in range(len(ids))]
+        flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32)
+        d = np.repeat(np.arange(len(ids), dtype=np.int32), size)
+        parts: list[list[bytes]] = [[] for _ in ids]
+        for begin in range(0, len(flat), TOKENS):
+            at = slice(begin, begin + TOKENS)
+            rows = pa.table({"d": d[at], "p": np.arange(len(flat[at]), dtype=np.int32), "t": flat[at]})
+            self.con.register("ids", rows)
+            found = self.con.sql(DECODE).to_arrow_table()
+            self.con.unregister("ids")
+            for k, letters in zip(found.column("d").to_pylist(), found.column("letters").to_pylist()):
+                parts[k].append(letters.encode("latin-1"))
+        return [b"".join(x) for x in parts]
 
     def learn(self, new: list[str]) -> None:
-        """Encode words into ``known``: ids as little-endian 32-bit integers. Decode these too; ``changed`` holds what comes
-        back where it is not the word's own bytes, so that others need not be kept twice."""
-        short: list[tuple[str, bytes]] = []
-        for word in new:
-            raw = word.encode()
-            if len(raw) > LONG:
-                ids = self.contract_long(raw)
-                self.known[word] = np.array(ids, "<u4").tobytes()
-                if (spelled := self.spell([ids])[0]) != raw:
-                    self.changed[word] = spelled
-            else:
-                short.append((word, raw))
-        for begin in range(0, len(short), CHUNK):
-            part = short[begin : begin + CHUNK]
-            size = np.array([len(raw) for _, raw in part], np.int64)
-            letters = np.frombuffer(b"".join(raw for _, raw in part), np.uint8)
+        """Encode words into ``known``: ids as little-endian 32-bit integers."""
+        words = sorted(((len(raw := word.encode()), word, raw) for word in new), key=lambda x: x[0])
+        while words and words[-1][0] > LONG:
+            _, word, raw = words.pop()
+            self.known[word] = np.array(self.contract_long(raw), "<u4").tobytes()
+        begin = 0
+        while begin < len(words):
+            squares = np.cumsum([n * n for n, _, _ in words[begin : begin + CHUNK]])
+            part = words[begin : begin + max(1, int(np.searchsorted(squares, SQUARES, side="right")))]
+            begin += len(part)
+            size = np.array([n for n, _, _ in part], np.int64)
+            letters = np.frombuffer(b"".join(raw for _, _, raw in part), np.uint8)
             place = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
             rows = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), size), "p": place.astype(np.int32), "t": self.byte_token[letters]})
             self.con.register("words", rows)
@@ -145,15 +148,12 @@ class Coder:
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
             flat = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             off = (ids.offsets.to_numpy() * 4).tolist()
-            for k, spelled in enumerate(found.column("spelled").to_pylist()):
-                word, raw = part[k]
+            for k, (_, word, _) in enumerate(part):
                 self.known[word] = flat[off[k] : off[k + 1]]
-                if spelled != raw:
-                    self.changed[word] = spelled
 
     def forget(self) -> None:
         """End of a task: most words of the next one are others."""
-        self.known, self.changed = {}, {}
+        self.known = {}
         release()
 
     def both(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
@@ -161,15 +161,12 @@ class Coder:
         words = [self.find(t) if t else [] for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.changed = {}, {}
+            self.known = {}
             new = set().union(*words)
-        self.learn(sorted(new))
-        ids_of, changed = self.known.__getitem__, self.changed
-        out = []
-        for row in words:
-            spelled = b"".join([changed.get(w) or w.encode() for w in row]) if changed else "".join(row).encode()
-            out.append((b"".join(map(ids_of, row)), spelled))
-        return out
+        self.learn(list(new))
+        ids_of = self.known.__getitem__
+        ids = [b"".join(map(ids_of, row)) for row in words]
+        return list(zip(ids, self.spell([np.frombuffer(x, "<u4") for x in ids])))
 
 
 def _slices(texts: list, limit: int = 4 << 20):
@@ -192,7 +189,8 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, keep
     Returns doc_id, n_tokens and, with ``digests``, ids_sha256 (of the ids as little-endian unsigned 32-bit integers)
     and decoded_sha256; else ids (array<int>) and decoded (string). Null or empty text: no ids, empty bytes. Repeated
     rows are encoded alike; null doc_ids stay null; an empty table gives an empty table; further columns are ignored.
-    Each task contracts the distinct words it meets, the leftmost pair of least rank a step, all words at once.
+    Each task contracts the distinct words it meets, the leftmost pair of least rank a step, all words at once, and decodes
+    every document from its own ids. A text of any length is encoded whole; words over LONG bytes by a heap of pairs.
     """
 
     def run(batches):
@@ -225,6 +223,6 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                yield pa.record_batch({"doc_id": part.column(0), "spelled": pa.array(coder.spell([x or [] for x in part.column(1).to_pylist()]), pa.binary())})
+                yield pa.record_batch({"doc_id": part.column(0), "spelled": pa.array(coder.spell([np.array(x or [], np.int32) for x in part.column(1).to_pylist()]), pa.binary())})
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, spelled binary")

@@ -1,8 +1,10 @@
 """Ops 4 and 5: the public tokenizer library and exact round trips."""
 
 import base64
+import gzip
 import hashlib
 
+import numpy as np
 import pytest
 import tiktoken
 
@@ -30,8 +32,9 @@ def test_words_as_the_library_splits_them(oracle):
 
 def test_heap_and_recursion_agree():
     coder = bpe.Coder.get(PATH, PATTERN)
-    for w in ("antidisestablishmentarianism", "aaaaaaaaaaaaaaaa", "ééééêè", "ouauxelleeau"):
-        coder.learn([w])
+    words = ["antidisestablishmentarianism", "aaaaaaaaaaaaaaaa", "ééééêè", "ouauxelleeau", "xyzzy" * 120, "a" * bpe.LONG, "ab" * bpe.LONG]
+    coder.learn(words)
+    for w in words:
         assert coder.known[w] == b"".join(i.to_bytes(4, "little") for i in coder.contract_long(w.encode()))
 
 
@@ -58,6 +61,18 @@ def test_encode_odd_rows_and_decode(spark, oracle):
     assert bpe.encode(spark.createDataFrame([], DOCS), PATH, PATTERN).count() == 0
 
 
+def test_documents_are_decoded_from_their_ids(monkeypatch):
+    coder = bpe.Coder.get(PATH, PATTERN)
+    monkeypatch.setattr(bpe, "TOKENS", 3)
+    texts = [t or "" for t in ODD]
+    rows = coder.both(texts)
+    assert [b.decode() for _, b in rows] == texts
+    word = coder.find("hello")[0]
+    coder.known[word] = np.array([coder.ranks[b"x"]], "<u4").tobytes()
+    assert coder.both(["hello hello"])[0][1] == b"x hello"
+    del coder.known[word]
+
+
 PAGES = "page_id long, url string, html string, record_type string"
 
 
@@ -101,9 +116,27 @@ def test_warc_payloads_come_back(spark, sf):
     assert sorted(rows, key=repr) == expect([(r.page_id, r.url, r.html) for r in pages.collect()])
 
 
+def test_warc_revisits_refer_to_records_that_exist(spark):
+    from tapewright.llm.common import fresh_path
+
+    pages = [(1, "u", "x" * 40000, "r"), (2, "u", "x" * 40000, "r"), (2, "v", "x" * 40000, "r"), (3, "u", "y", "r"), (3, "u", "y", "r"), (3, "w", "y", "r"), (4, "u", "y", "r"), (None, "u", "y", "r"), (5, "u", None, "r"), (6, "u", "", "r")]
+    path = fresh_path(spark, "warc-ids")
+    warc.write_warc(spark.createDataFrame(pages, PAGES), path)
+    ids, refers = [], []
+    for f in spark.read.format("binaryFile").load(path).select("content").collect():
+        for h, _ in warc.parse(gzip.decompress(f.content)):
+            ids.append((h["WARC-Record-ID"], h["WARC-Type"]))
+            if h["WARC-Type"] == "revisit":
+                refers.append(h["WARC-Refers-To"])
+    assert len(refers) == 5 and len({i for i, _ in ids}) == len(ids)
+    assert all((r, "response") in ids for r in refers)
+    back = warc.read_warc(spark, path).where("record_type = 'response'").collect()
+    assert sorted(bytes(r.payload).decode() for r in back) == sorted(["x" * 40000, "y", "y", "y", ""])
+
+
 def test_warc_empty_table_and_broken_archives(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
-    whole = "".join(r + warc.END for r in warc.records(1, "u", "z" * 50000, None, "0")).encode()
+    whole = "".join(r + warc.END for r in warc.records(1, "u", "z" * 50000, None)).encode()
     assert [h["WARC-Type"] for h, _ in warc.parse(whole)] == ["response"] + ["continuation"] * 3
     with pytest.raises(ValueError):
         list(warc.parse(whole[:-3]))
