@@ -8,7 +8,6 @@ import hashlib
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,19 +65,25 @@ def _record(headers: dict, block: bytes) -> str:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n" + block.decode()
 
 
-def records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, unique: str) -> list[str]:
-    """The records of a page, without the blank lines that end each."""
+def _record_id(page_id: int | None, payload_digest: str, unique: int | None) -> str:
+    """A page's record by its id and payload; of repeated rows all but one have a number behind."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{payload_digest}{'' if unique is None else f':{unique}'}>"
+
+
+def records(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, unique: int | None = None) -> list[str]:
+    """The records of a page, without the blank lines that end each. ``unique``: see _record_id()."""
     payload = (html or "").encode()
-    rid = f"<urn:page:{'' if page_id is None else page_id}:{unique}>"
+    said = digest(payload)
+    rid = _record_id(page_id, said, unique)
     common = {
         "WARC-Date": DATE,
         "WARC-Target-URI": None if url is None else quote(url, safe="%/:=&?~#+!$,;'@()*[]-._ ").replace(" ", "%20"),
-        "WARC-Payload-Digest": "sha1:" + digest(payload),
+        "WARC-Payload-Digest": "sha1:" + said,
         "Content-Type": "application/http;msgtype=response",
     }
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Identity-Length: {len(payload)}\r\n".encode()
     if refers_to is not None:
-        more = {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+        more = {"WARC-Refers-To": _record_id(refers_to, said, None), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
         return [_record({"WARC-Type": "revisit", "WARC-Record-ID": rid} | common | more, http + b"\r\n")]
     block = http + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     parts = list(_cuts(block, SEGMENT))
@@ -101,6 +106,23 @@ def revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     return again.select("page_id", "refers_to", "sha").distinct()
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, url, html) with ``unique``: null, but a number for all but one of the rows that have the same
+    page_id and html. Only such rows are shuffled; the page they share may be any part of the table."""
+    sha = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    key = F.struct("page_id", sha.alias("sha"))
+    several = saved(pages.groupBy(key.alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"), "warc-repeats")
+    none = F.lit(None).cast("long").alias("unique")
+    if several.isEmpty():
+        return pages.select("*", none)
+    small = several.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
+    hint = F.broadcast if small else (lambda x: x)
+    rows = saved(pages.join(hint(several), key == F.col("key")).withColumn("number", F.monotonically_increasing_id()), "warc-numbered")
+    first = rows.groupBy(F.col("key").alias("k")).agg(F.min("number").alias("first"))
+    numbered = rows.join(hint(first), F.col("key") == F.col("k")).select("page_id", "url", "html", F.when(F.col("number") != F.col("first"), F.col("number")).alias("unique"))
+    return pages.join(hint(several), key == F.col("key"), "left_anti").select("*", none).unionByName(numbered)
+
+
 def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
     """Write pages (page_id, url, html) as gzipped WARC files under ``path``, by Spark's own committer.
 
@@ -109,19 +131,17 @@ def write_warc(pages: DataFrame, path: str, least: int = 0) -> None:
     one; repeated rows are written each."""
     known = saved(revisits(pages, least), "warc-revisits")
     small = known.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    p = _numbered(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
     k = known.select(F.col("page_id").alias("k_id"), "refers_to", F.col("sha").alias("k_sha"))
     same = p["page_id"].eqNullSafe(k["k_id"]) & (F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")) == k["k_sha"])
-    p = p.join(F.broadcast(k) if small else k, same, "left").select("page_id", "url", "html", "refers_to")
+    p = p.join(F.broadcast(k) if small else k, same, "left").select("page_id", "url", "html", "refers_to", "unique")
 
     def run(batches):
-        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             out: list[str] = []
             for begin in range(0, batch.num_rows, 200):
                 for r in batch.slice(begin, 200).to_pylist():
-                    out += records(r["page_id"], r["url"], r["html"], r["refers_to"], f"{part}-{row}")
-                    row += 1
+                    out += records(r["page_id"], r["url"], r["html"], r["refers_to"], r["unique"])
                 yield pa.record_batch({"value": pa.array(out, pa.string())})
                 out = []
 
