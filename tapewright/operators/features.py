@@ -7,10 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import DAY_NS
+from .lookups import order_free_digest
 
 
-def bar_returns(bars: DataFrame) -> DataFrame:
-    """close / previous close - 1 per instrument, null for its first bar."""
+def bar_returns(bars: DataFrame, digest: str | None = None) -> DataFrame:
+    """close / previous close - 1 per instrument, null for its first bar. With the digest of the bars that were meant
+    (order_free_digest of their sorted columns), other bars are refused."""
+    if digest is not None and order_free_digest(bars, sorted(bars.columns)).first()["digest"] != digest:
+        raise ValueError("the bars are not those that the fingerprint names")
     w = W.partitionBy("instrument_id").orderBy("event_time_ns")
     return bars.withColumn("return_1", F.col("close") / F.lag("close").over(w) - 1)
 

@@ -71,3 +71,13 @@ def midpoint_fill(books: DataFrame, quantity: float, fee_rate: float = 0.001) ->
     bid, ask = F.array_max("bids"), F.array_min("asks")
     b = books.where((bid > 0) & (ask > bid)).withColumn("price", (bid + ask) / 2)
     return b.select("instrument_id", "event_time_ns", "price", F.lit(quantity).alias("filled"), (F.col("price") * quantity * fee_rate).alias("fee"), F.lit(False).alias("promotable"))
+
+
+#: What a run's costs are made of.
+COMPONENTS = ("fees", "spread", "slippage", "impact", "funding", "borrow", "roll", "rejects_or_missed_fills")
+
+
+def component_totals(rows: DataFrame) -> DataFrame:
+    """(component, total) of all eight components over rows that have some of them; the others are 0."""
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).cast("double").alias(c) if c in rows.columns else F.lit(0.0).alias(c) for c in COMPONENTS]
+    return rows.agg(*sums).unpivot([], list(COMPONENTS), "component", "total")

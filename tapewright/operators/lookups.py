@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import DAY_NS, ROW_KEY
+from ..model import DAY_NS, ROW_KEY, canonical_order
 
 #: Allowed intervals that are broadcast at most (16 bytes each).
 BROADCAST_INTERVALS = 10_000
@@ -125,12 +125,34 @@ def coverage(events: DataFrame) -> DataFrame:
     return events.groupBy("source").agg(F.count("*").alias("n"), F.min("event_time_ns").alias("first_ns"), F.max("event_time_ns").alias("last_ns"), F.countDistinct("instrument_id").alias("instruments"))
 
 
-def order_free_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """A fingerprint of a set of rows that does not depend on their order: bucket sums of row hashes, hashed once more.
-    (An order-sensitive digest of the whole text belongs on the driver and is for small sets.)"""
+def _part_of_hash(h):
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def order_free_digests(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, n, digest): a fingerprint of each set of rows that does not depend on their order: sums of row hashes."""
     h = F.sha2(F.to_json(F.struct(*columns)), 256)
-    part = F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(38,0)")
-    return rows.select(h.alias("h")).agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
+    return rows.select(*keys, h.alias("_h")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(_part_of_hash("_h")).cast("string").alias("digest"))
+
+
+def order_free_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """order_free_digests() of all rows: one row."""
+    return order_free_digests(rows, [], columns)
+
+
+def ordered_digest(rows: DataFrame, columns: list[str], deal_ns: int = DAY_NS) -> DataFrame:
+    """A fingerprint of rows in canonical order: every row is hashed with its number.
+
+    Rows are numbered inside deals of time, behind the count of the deals before: a row per deal. The sum of the hashes
+    is one aggregate, so no task sees the whole text."""
+    r = rows.withColumn("_deal", F.expr(f"event_time_ns div {deal_ns}"))
+    sizes = r.groupBy("_deal").agg(F.count("*").alias("_k"))
+    before = F.coalesce(F.sum("_k").over(W.orderBy("_deal").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per deal
+    offsets = sizes.select(F.col("_deal").alias("_d"), before.alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_deal").orderBy(*canonical_order("arrival_ord" in rows.columns)))
+    r = r.withColumn("_in", inside).join(offsets, F.col("_deal") == F.col("_d")).withColumn("_no", F.col("_before") + F.col("_in"))
+    h = F.sha2(F.concat(F.col("_no").cast("string"), F.lit("|"), F.to_json(F.struct(*columns))), 256)
+    return r.select(h.alias("_h")).agg(F.count("*").alias("n"), F.sum(_part_of_hash("_h")).cast("string").alias("digest"))
 
 
 def cumulative_costs(curve: DataFrame, costs: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import consistency, features, fills, lookups, metrics, oos, quality, replay, risk, screen, sweep
+from .. import values
+from ..operators import baselines, consistency, features, fills, lookups, metrics, oos, quality, recompute, replay, risk, screen, sweep
 from ..sources import files
 from ..sources import views as V
 from ..streaming import observe
@@ -561,12 +562,16 @@ def cost_model(spark, d):
     return f.select("book_id", "l_orderkey", "l_linenumber", *[F.round(v, 9).alias(k) for k, v in c.items()])
 
 
-@query(f"WITH {WALK} SELECT 'fees' AS component, round(sum(price * fill) * 0.001, 2) AS total FROM w WHERE fill > 0 UNION ALL SELECT 'impact', round(sum(price * fill) * 0.0005, 2) FROM w WHERE fill > 0")
+@query(
+    f"""WITH {WALK}, m AS (SELECT book_id, min(price) AS best FROM w GROUP BY 1), c AS (SELECT sum(price * fill) * 0.001 AS fees, sum(greatest(0, (price - best) * fill)) AS spread, 0.0::DOUBLE AS slippage, sum(price * fill) * 0.0005 AS impact,
+  sum(price * fill * 0.0001) FILTER (l_orderkey % 3 = 0) AS funding, sum(fill * 0.01) FILTER (l_orderkey % 5 = 0) AS borrow, 0.0::DOUBLE AS roll, sum((size - fill) * 0.001) AS rejects_or_missed_fills FROM w JOIN m USING (book_id) WHERE fill > 0)
+SELECT component, round(total, 2) AS total FROM c UNPIVOT (total FOR component IN ({', '.join(fills.COMPONENTS)}))"""
+)
 def cost_totals(spark, d):
-    f = _walked(spark, d)
-    c = fills.linear_costs(F.col("price"), F.col("fill"), None, F.lit(True), impact_bps=5.0)
-    t = f.agg(F.sum(c["fee"]).alias("fees"), F.sum(c["impact"]).alias("impact"))
-    return t.unpivot([], ["fees", "impact"], "component", "total").select("component", F.round("total", 2).alias("total"))
+    f = _walked(spark, d).withColumn("best", F.min("price").over(W.partitionBy("book_id")))
+    c = fills.linear_costs(F.col("price"), F.col("fill"), F.col("best"), F.lit(True), impact_bps=5.0)
+    rows = f.select(c["fee"].alias("fees"), c["spread"].alias("spread"), c["slippage"].alias("slippage"), c["impact"].alias("impact"), F.when(F.col("l_orderkey") % 3 == 0, F.col("price") * F.col("fill") * 0.0001).alias("funding"), F.when(F.col("l_orderkey") % 5 == 0, F.col("fill") * 0.01).alias("borrow"), ((F.col("size") - F.col("fill")) * 0.001).alias("rejects_or_missed_fills"))
+    return fills.component_totals(rows).select("component", F.round("total", 2).alias("total"))
 
 
 @query(
@@ -625,8 +630,7 @@ def _tape(spark, d):
 
 @query(O.REPLAY_FILLS)
 def replay_fills(spark, d):
-    out = replay.replay(_tape(spark, d), lambda run: replay.donchian(10))
-    return out.where("kind = 'fill'").select("run_id", "event_time_ns", "side", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("quantity", "price", "fee", "slippage")])
+    return _fills(replay.replay(_tape(spark, d), lambda run: replay.donchian(10)))
 
 
 @query(O.REPLAY_EQUITY)
@@ -635,6 +639,34 @@ def replay_equity(spark, d):
     return out.where("kind = 'equity'").select("run_id", "event_time_ns", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("cash", "equity", "unrealized")])
 
 
+def _fills(out):
+    return out.where("kind = 'fill'").select("run_id", "event_time_ns", "side", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in ("quantity", "price", "fee", "slippage")])
+
+
+@query(O.RESUMED_FILLS)
+def replay_resumed(spark, d):
+    """Runs that are stopped after every 50 bars, and taken up from their exported state."""
+    return _fills(replay.replay(_tape(spark, d), lambda run: replay.donchian(10), open_end=True, restart_every=50))
+
+
+@query(O.RESUMED_ROWS)
+def replay_parity(spark, d):
+    """How many rows a run without a stop makes, and how many of them differ from one that is stopped and taken up: none."""
+    runs = [replay.replay(_tape(spark, d), lambda run: replay.donchian(10), open_end=True, restart_every=k) for k in (0, 37)]
+    n = runs[0].agg(F.count("*").alias("rows"))
+    return n.crossJoin(recompute.differing_rows(*runs).agg(F.coalesce(F.sum("times"), F.lit(0)).cast("long").alias("differing")))  # one row each
+
+
+#: Published results of the baselines (net and gross result, fills).
+GOLDEN = {"buy_hold": (24.515137425, 24.85, 2), "seeded_random": (-5.41784016, -0.32, 22), "donchian_momentum": (21.009885675, 21.35, 2), "mean_reversion": (-2.145125925, -1.85, 2), "futures_trend": (1061.604510675, 1061.944625, 2)}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {n}::DOUBLE, {g}::DOUBLE, {f}::BIGINT)" for k, (n, g, f) in GOLDEN.items()) + ") t(run_id, pnl, gross_pnl, fills)")
+def baseline_runs(spark, d):
+    """The named baselines on their synthetic tapes."""
+    return baselines.report(baselines.run(spark)).select("run_id", F.round("pnl", 9).alias("pnl"), F.round("gross_pnl", 9).alias("gross_pnl"), "fills")
+
+
 def _rounded_metrics(m, key):
     return m.select(key, *[F.col(c).cast("long").alias(c) if c == "drawdown_duration" else F.round(c, 6).alias(c) for c in metrics.NAMES])
 
@@ -1001,6 +1033,116 @@ def check_flat_null_faults(spark, d):
     return _earning(spark, d, "donchian-5")
 
 
+@query(O.sweep(SWEEP, "SELECT count(*) AS rows, 0::BIGINT AS differing FROM cell"))
+def sweep_double_run(spark, d):
+    """Cells of the sweep, and those that a second, fresh run of it gives otherwise: none."""
+    runs = [sweep.cell_results(_swept(spark, d), 100_000.0) for _ in range(2)]
+    n = runs[0].agg(F.count("*").alias("rows"))
+    return n.crossJoin(recompute.double_run(*runs).agg(F.coalesce(F.sum("times"), F.lit(0)).cast("long").alias("differing")))  # one row each
+
+
+@query(
+    """SELECT obs, variant, round(round(ret, 12) + 0.5, 6) AS ret, 'claimed' AS side, 1::BIGINT AS times FROM rets WHERE obs % 7 = 3 AND variant = 'view'
+UNION ALL SELECT obs, variant, round(ret, 6), 'derived', 1 FROM rets WHERE (obs % 7 = 3 AND variant = 'view') OR (obs = 5 AND variant = 'click')""",
+    ("rets",),
+)
+def check_oos_matrix(spark, d):
+    r = V.returns_long(spark, d)
+    claimed = r.where("NOT (obs = 5 AND variant = 'click')").withColumn("ret", F.when((F.col("obs") % 7 == 3) & (F.col("variant") == "view"), F.col("ret") + 0.5).otherwise(F.col("ret")))
+    return recompute.matrix_problems(claimed, r).select("obs", "variant", *r6("ret"), "side", "times")
+
+
+@query()
+def check_stitched(spark, d):
+    r = V.returns_long(spark, d).where("obs % 7 >= 5").withColumn("fold", F.expr("obs div 7"))
+    win = oos.train_winners(_cells(spark, d), ["click"])
+    selected = r.join(win.select("fold", "variant"), ["fold", "variant"]).select("fold", "obs", "ret")
+    claimed = selected.withColumn("ret", F.when(F.col("fold") == 2, F.col("ret") + 1).otherwise(F.col("ret")))
+    return recompute.stitched_problems(claimed, r, win).select("fold", "obs", *r6("ret"), "side", "times")
+
+
+ORACLES["check_stitched"] = _with(
+    """win AS (SELECT fold, variant FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, variant) AS rn FROM (SELECT obs // 7 AS fold, variant, avg(ret) AS score FROM rets WHERE obs % 7 < 5 AND variant <> 'click' GROUP BY 1, 2)) WHERE rn = 1),
+sel AS (SELECT obs // 7 AS fold, obs, ret FROM rets r JOIN win w ON w.fold = obs // 7 AND w.variant = r.variant WHERE obs % 7 >= 5)
+SELECT fold, obs, round(ret + 1, 6) AS ret, 'claimed' AS side, 1::BIGINT AS times FROM sel WHERE fold = 2 UNION ALL SELECT fold, obs, round(ret, 6), 'derived', 1 FROM sel WHERE fold = 2""",
+    "rets",
+)
+
+_MOMENTS = "SELECT variant, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharpe, skewness(ret) AS skew, kurtosis(ret) + 3 AS kurt FROM rets GROUP BY 1"
+
+
+@query(
+    _with(
+        f"""mom AS ({_MOMENTS}), eff AS (SELECT variant, least(count(*), greatest(2, count(*) * (1 - least(0.99, greatest(-0.99, corr(ret, prev)))) / (1 + least(0.99, greatest(-0.99, corr(ret, prev)))))) AS e FROM (SELECT *, lag(ret) OVER (PARTITION BY variant ORDER BY obs) AS prev FROM rets) GROUP BY 1),
+z AS (SELECT variant, sharpe * sqrt(e - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS zp, (sharpe - b) * sqrt(n - 1) / sqrt(1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) AS zd FROM (SELECT *, stddev_samp(sharpe) OVER () * {oos.dsr_factor(INSTRUMENTS)!r} AS b FROM mom) JOIN eff USING (variant))
+SELECT variant, 'psr' AS name, round({O.normal_cdf('zp')} + 0.001, 9) AS claimed, round({O.normal_cdf('zp')}, 9) AS derived FROM z WHERE variant = 'click' UNION ALL SELECT variant, 'dsr', NULL, round({O.normal_cdf('zd')}, 9) FROM z WHERE variant = 'view'""",
+        "rets",
+    )
+)
+def check_statistics(spark, d):
+    derived = recompute.statistics(V.returns_long(spark, d), INSTRUMENTS)
+    wrong = (F.col("variant") == "click") & (F.col("name") == "psr")
+    claimed = derived.where("NOT (variant = 'view' AND name = 'dsr')").withColumn("value", F.when(wrong, F.col("value") + 0.001).otherwise(F.col("value")))
+    return recompute.statistics_problems(claimed, derived, ["variant"]).select("variant", "name", F.round("claimed", 9).alias("claimed"), F.round("derived", 9).alias("derived"))
+
+
+@query("SELECT o_orderkey, problem FROM orders, (VALUES ('gross.sharpe', 17), ('net.turnover', 19), ('trades', 23), ('periods_per_year', 29)) t(problem, k) WHERE o_orderkey % k = 0")
+def check_promotion_metrics(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(n).alias("name")) for s in ("gross", "net") for n in recompute.PROMOTION_METRICS]))
+    m = o.select("o_orderkey", "value", sides.alias("x")).select("o_orderkey", "x.side", "x.name", "value")
+    lost = F.when((F.col("o_orderkey") % 17 == 0) & (F.col("side") == "gross") & (F.col("name") == "sharpe"), F.lit(None)).when((F.col("o_orderkey") % 19 == 0) & (F.col("side") == "net") & (F.col("name") == "turnover"), F.lit(float("nan")))
+    kept = F.when(((F.col("o_orderkey") % 17 == 0) & (F.col("side") == "gross") & (F.col("name") == "sharpe")) | ((F.col("o_orderkey") % 19 == 0) & (F.col("side") == "net") & (F.col("name") == "turnover")), lost).otherwise(F.col("value"))
+    runs = o.select("o_orderkey", F.when(F.col("o_orderkey") % 23 == 0, 0).otherwise(3).alias("trades"), F.when(F.col("o_orderkey") % 29 != 0, 252.0).alias("periods_per_year"))
+    return recompute.promotion_problems(m.withColumn("value", kept), runs, "o_orderkey")
+
+
+@query("SELECT o_orderkey, true AS claimed, false AS derived FROM orders WHERE o_totalprice > 1000 AND o_orderstatus <> 'P' AND o_orderkey % 31 = 0")
+def check_promotion_flags(spark, d):
+    rich, settled = F.col("o_totalprice") > 1000, F.col("o_orderstatus") != "P"
+    o = V.table(spark, d, "orders").select("o_orderkey", rich.alias("rich"), settled.alias("settled"), F.when(F.col("o_orderkey") % 31 != 0, True).alias("reviewed"), (rich & settled).alias("promotion_eligible"))
+    return recompute.promotion_flag_problems(o, ["rich", "settled", "reviewed"], "o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 41 = 2 OR (o_orderkey % 43 = 1 AND o_orderkey % 3 < 2)")
+def check_prefix(spark, d):
+    """Rows of an earlier result that a later one changed or lost; rows that came later do not matter."""
+    o = V.table(spark, d, "orders").select(F.lit(1).alias("run"), "o_orderkey", "o_totalprice", "o_orderstatus")
+    earlier = o.where("o_orderkey % 3 < 2 OR o_orderkey % 41 = 2")
+    later = o.where("o_orderkey % 43 <> 1 OR o_orderkey % 41 = 2").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 41 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return recompute.prefix_problems(earlier, later, ["run"], "o_orderkey").select("o_orderkey")
+
+
+# ---- values ----
+
+
+@query(
+    """SELECT count(*) AS n, sum(('0x' || substr(sha256(no || '|{"ingest_id":"' || ingest_id || '","event_time_ns":' || event_time_ns || '}'), 1, 15))::HUGEINT)::VARCHAR AS digest
+FROM (SELECT *, row_number() OVER (ORDER BY event_time_ns, sequence, receive_time_ns, ingest_id, arrival_ord) AS no FROM dirty)""",
+    ("dirty",),
+)
+def ordered_digest(spark, d):
+    return lookups.ordered_digest(V.canon_dirty(spark, d), ["ingest_id", "event_time_ns"])
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('%.11e', l_extendedprice * l_discount / 7)::DOUBLE AS fee FROM lineitem")
+def rounded_metrics(spark, d):
+    """Twelve significant digits."""
+    li = V.table(spark, d, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", values.round12_column(F.col("l_extendedprice") * F.col("l_discount") / 7).alias("fee"))
+
+
+KEYS = ("API-Key", "token", "token_id", "My Refresh Token", "secretary", "db.password", "Wallet  Key!", "seed phrase", "note", "client_secret_hint")
+
+
+@query(f"SELECT o_orderkey FROM orders WHERE o_orderkey % {len(KEYS)} IN ({', '.join(str(i) for i, k in enumerate(KEYS) if k in ('API-Key', 'token', 'My Refresh Token', 'db.password', 'Wallet  Key!', 'seed phrase'))})")
+def secret_keys(spark, d):
+    """Rows whose key names a credential."""
+    names = F.array(*[F.lit(k) for k in KEYS])
+    o = V.table(spark, d, "orders").select("o_orderkey", F.get(names, (F.col("o_orderkey") % len(KEYS)).cast("int")).alias("key"))
+    return o.where(values.is_secret_column(F.col("key"))).select("o_orderkey")
+
+
 # ---- ledger ----
 
 

@@ -32,19 +32,20 @@ def money(v: str, unit: int = 10**17) -> str:
     return f"((CASE WHEN {v} >= 0 THEN ({v} + {half}) // {whole} ELSE -(({half} - ({v})) // {whole}) END)::DOUBLE / 1000000)"
 
 
-def steps(wanted: str) -> str:
+def steps(wanted: str, open_end: bool = False) -> str:
     """CTEs ``bar`` and ``step``: after every bar of a run its position, cash, waiting orders and what was filled.
 
     Orders wait first come, first served for a tenth of a later bar's volume, at its open and five basis points; the fee is a
-    thousandth. The difference between what is wanted and held is ordered, but not at the last bar."""
+    thousandth. The difference between what is wanted and held is ordered, but not at the last bar (of a run without an open end)."""
+    going = "true" if open_end else "i < n - 1"
     return f"""bar AS MATERIALIZED ({wanted}),
 step(run, i, t, open, close, held, cash, bought, paid, waiting, done) AS (
   SELECT run, i, t, open, close, 0::HUGEINT, 10000000000000000000000::HUGEINT, 0::HUGEINT, 0::DOUBLE,
-    CASE WHEN want <> 0 AND i < n - 1 THEN [{{'s': sign(want)::INTEGER, 'q': (abs(want) * 10000)::HUGEINT}}] ELSE [] END::{_LIST}, []::{_LIST}
+    CASE WHEN want <> 0 AND {going} THEN [{{'s': sign(want)::INTEGER, 'q': (abs(want) * 10000)::HUGEINT}}] ELSE [] END::{_LIST}, []::{_LIST}
   FROM bar WHERE i = 0
   UNION ALL
   SELECT run, i, t, open, close, held2, cash2, bought + gain, paid + gain::DOUBLE / 1e4 * open::DOUBLE / 1e6 * 1.0005,
-    CASE WHEN want * 10000 <> held2 AND i < n - 1 THEN list_append(rest, {{'s': sign(want * 10000 - held2)::INTEGER, 'q': abs(want * 10000 - held2)::HUGEINT}}) ELSE rest END::{_LIST}, done
+    CASE WHEN want * 10000 <> held2 AND {going} THEN list_append(rest, {{'s': sign(want * 10000 - held2)::INTEGER, 'q': abs(want * 10000 - held2)::HUGEINT}}) ELSE rest END::{_LIST}, done
   FROM (
     SELECT *, held + {_sum("list_transform(done, lambda x: x.s * x.q)")} AS held2,
       cash - {_sum("list_transform(done, lambda x: x.q * open * (10000 + 5 * x.s) * (1000 * x.s + 1))")} AS cash2,
@@ -70,16 +71,16 @@ def recursive(body: str, *views: str) -> str:
     return V.sql(body, *views).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _replay(wanted: str, select: str) -> str:
+def _replay(wanted: str, select: str, open_end: bool = False) -> str:
     base = V.sql("", "bars_h").rstrip()
-    return base.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + steps(wanted) + "\n" + select
+    return base.replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + steps(wanted, open_end) + "\n" + select
 
 
-REPLAY_FILLS = _replay(
-    DONCHIAN,
-    f"""SELECT run AS run_id, t + 1000000 AS event_time_ns, CASE WHEN x.s > 0 THEN 'buy' ELSE 'sell' END AS side, x.q::DOUBLE / 10000 AS quantity, {money("open * (10000 + 5 * x.s)", 10**10)} AS price,
-  {money("x.q * open * (10000 + 5 * x.s)", 10**17)} AS fee, {money("x.q * open * 5", 10**14)} AS slippage FROM (SELECT run, t, open, unnest(done) AS x FROM step) WHERE x.q > 0""",
-)
+_FILLS = f"""SELECT run AS run_id, t + 1000000 AS event_time_ns, CASE WHEN x.s > 0 THEN 'buy' ELSE 'sell' END AS side, x.q::DOUBLE / 10000 AS quantity, {money("open * (10000 + 5 * x.s)", 10**10)} AS price,
+  {money("x.q * open * (10000 + 5 * x.s)", 10**17)} AS fee, {money("x.q * open * 5", 10**14)} AS slippage FROM (SELECT run, t, open, unnest(done) AS x FROM step) WHERE x.q > 0"""
+REPLAY_FILLS = _replay(DONCHIAN, _FILLS)
+RESUMED_FILLS = _replay(DONCHIAN.replace("WHEN i = n - 2 THEN 0 ", ""), _FILLS, open_end=True)
+RESUMED_ROWS = _replay(DONCHIAN.replace("WHEN i = n - 2 THEN 0 ", ""), "SELECT (SELECT count(*) FROM step) + (SELECT count(*) FROM (SELECT unnest(done) AS x FROM step) WHERE x.q > 0) AS rows, 0::BIGINT AS differing", open_end=True)
 REPLAY_EQUITY = _replay(
     BUY_HOLD,
     f"""SELECT run AS run_id, t + 1000000 AS event_time_ns, {money("cash")} AS cash, {money(EQUITY)} AS equity,

@@ -7,9 +7,12 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..model import order_key
+
 IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
@@ -27,14 +30,51 @@ def scan(spark: SparkSession, paths: list[str], columns: tuple[str, ...] = ("*",
     return df.select(*columns)
 
 
+def _broken_line():
+    return F.raise_error(F.concat(F.lit("invalid event line: "), F.col("value"))).cast("string")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a line; blank lines are skipped, a broken one fails with its text, an empty file is an error."""
+    """One object a line; blank lines are skipped, a broken one fails with its text, an empty file is an error (seen by the
+    files' sizes, without a second read)."""
     lines = spark.read.text(path).where(F.trim("value") != "")
+    sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    if not sizes:
+        raise ValueError(f"{path} holds no events")
     parsed = lines.select("value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
-    if lines.isEmpty():
+    return parsed.withColumn("_ok", F.when(F.col("x._bad").isNotNull(), _broken_line())).where("_ok IS NULL").select("x.*").drop("_bad")
+
+
+def read_ordered_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict]:
+    """Events of a JSON-lines file that must lie in canonical order, and the proof: rows, instruments and a digest that
+    depends on the order of lines.
+
+    Lines are compared with the one before in their split of the file, and the first line of a split with the last of the
+    split before (a row per split). A line below its predecessor, and a file without lines, fail."""
+    text = spark.read.text(path).where(F.trim("value") != "")
+    at = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line"))
+    parsed = at.select("*", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    rows = parsed.withColumn("_ok", F.when(F.col("x._bad").isNotNull(), _broken_line())).where("_ok IS NULL").select("value", "_file", "_split", "_line", "x.*").drop("_bad")
+    rows = rows.withColumn("_k", order_key())
+    inside = W.partitionBy("_file", "_split").orderBy("_line")
+    rows = rows.withColumns({"_prev": F.lag("_k").over(inside), "_in": F.row_number().over(inside)})
+    ends = rows.groupBy("_file", "_split").agg(F.max_by("_k", "_line").alias("_last"), F.min_by("_k", "_line").alias("_first"), F.count("*").alias("_n"))
+    files_ = W.orderBy("_file", "_split")  # a row per split
+    ends = ends.select("_file", "_split", "_first", F.lag("_last").over(files_).alias("_edge"), F.coalesce(F.sum("_n").over(files_.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    j = rows.join(ends.select("_file", "_split", "_edge", "_before"), ["_file", "_split"])
+    h = F.sha2(F.concat((F.col("_before") + F.col("_in")).cast("string"), F.lit("|"), F.col("value")), 256)
+    below = F.col("_k") < F.when(F.col("_in") == 1, F.col("_edge")).otherwise(F.col("_prev"))
+    proof = j.agg(
+        F.count("*").alias("rows"),
+        F.count(F.when(below, 1)).alias("disorder"),
+        F.array_sort(F.collect_set("instrument_id")).alias("instruments"),
+        F.sum(F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"),
+    ).first()
+    if not proof["rows"]:
         raise ValueError(f"{path} holds no events")
-    broken = F.raise_error(F.concat(F.lit("invalid event line: "), F.col("value"))).cast("string")
-    return parsed.withColumn("_ok", F.when(F.col("x._bad").isNotNull(), broken)).where("_ok IS NULL").select("x.*").drop("_bad")
+    if proof["disorder"]:
+        raise ValueError(f"{path}: {proof['disorder']} lines are below the line before them")
+    return rows.drop("value", "_file", "_split", "_line", "_k", "_prev", "_in"), {k: proof[k] for k in ("rows", "instruments", "digest")}
 
 
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:

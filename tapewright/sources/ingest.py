@@ -4,17 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
-import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from ..model import canonical_order
 from ..operators.lookups import coverage, order_free_digest
-from .sinks import canonical_json, write_atomic
+from ..values import canonical_json, fingerprint
+from .fs import Folder
 
 FILES = ("raw.json", "request.json", "events", "quality.json", "manifest.json", "receipt.json", "COMMITTED")
 
@@ -43,54 +42,51 @@ def get_json(get: Callable[[str, dict | None], tuple[int, str]], url: str, param
     raise RuntimeError(f"read failed after {attempts} attempt(s): {last}") from last
 
 
-def _digest(value) -> str:
-    return hashlib.sha256(canonical_json(value).encode()).hexdigest()
-
-
 def _events_digest(events: DataFrame) -> str:
-    return str(tuple(order_free_digest(events, sorted(events.columns)).first()))
+    return "|".join(map(str, order_free_digest(events, sorted(events.columns)).first()))
 
 
 def publish(target: str, raw, request: dict, events: DataFrame, quality: DataFrame) -> dict:
     """Write a bundle beside the target and rename it when it is whole: raw response, request, canonical events as Parquet
-    in canonical order, quality counts, coverage, a receipt that fingerprints them, and a marker with the receipt's own."""
-    if os.path.lexists(target):
+    in canonical order, quality counts, coverage, a receipt that fingerprints them, and a marker with the receipt's own.
+    The folder may be on any file system that Spark writes to."""
+    spark = events.sparkSession
+    parent, _, name = target.rstrip("/").rpartition("/")
+    base = Folder(spark, parent or ".")
+    if base.exists(name):
         raise FileExistsError(target)
     if events.isEmpty():
         raise ValueError("no canonical events")
-    os.makedirs(os.path.dirname(os.path.abspath(target)), exist_ok=True)
-    stage = tempfile.mkdtemp(prefix=f".{os.path.basename(target)}.", dir=os.path.dirname(os.path.abspath(target)))
+    stage = f"_stage-{uuid.uuid4().hex}"
+    base.make(stage)
     try:
-        events.orderBy(*canonical_order("arrival_ord" in events.columns)).write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(stage, "events"))
+        events.orderBy(*canonical_order("arrival_ord" in events.columns)).write.option("compression", "zstd").parquet(base.path(f"{stage}/events"))
         documents = {"raw.json": raw, "request.json": request, "quality.json": [r.asDict() for r in quality.orderBy("code").collect()], "manifest.json": [r.asDict() for r in coverage(events).collect()]}
-        for name, value in documents.items():
-            write_atomic(os.path.join(stage, name), canonical_json(value))
-        receipt = {name.split(".")[0]: _digest(value) for name, value in documents.items()} | {"events": _events_digest(events), "event_count": events.count()}
-        receipt["receipt"] = _digest(receipt)
-        write_atomic(os.path.join(stage, "receipt.json"), canonical_json(receipt))
-        write_atomic(os.path.join(stage, "COMMITTED"), receipt["receipt"])
-        if problems := bundle_problems(events.sparkSession, stage):
+        for file, value in documents.items():
+            base.write(f"{stage}/{file}", canonical_json(value))
+        receipt = {file.split(".")[0]: fingerprint(value) for file, value in documents.items()} | {"events": _events_digest(events), "event_count": events.count()}
+        receipt["receipt"] = fingerprint(receipt)
+        base.write(f"{stage}/receipt.json", canonical_json(receipt))
+        base.write(f"{stage}/COMMITTED", receipt["receipt"])
+        if problems := bundle_problems(spark, base.path(stage)):
             raise ValueError(f"bundle is not whole: {problems}")
-        os.rename(stage, target)
-    except Exception:
-        shutil.rmtree(stage, ignore_errors=True)
-        raise
+        base.move(stage, name)
+    finally:
+        base.delete(stage)
     return receipt
 
 
 def bundle_problems(spark, path: str) -> list[str]:
     """Parts of a bundle that are missing or have other fingerprints than its receipt says."""
-    missing = [n for n in FILES if not os.path.exists(os.path.join(path, n))]
+    at = Folder(spark, path)
+    missing = [n for n in FILES if not at.exists(n)]
     if missing:
         return [f"missing {n}" for n in missing]
-    read = lambda n: json.load(open(os.path.join(path, n), encoding="utf-8"))  # noqa: E731, SIM115
-    receipt = read("receipt.json")
-    out = [n for n in ("raw.json", "request.json", "quality.json", "manifest.json") if _digest(read(n)) != receipt[n.split(".")[0]]]
-    events = spark.read.parquet(os.path.join(path, "events"))
+    receipt = json.loads(at.read("receipt.json"))
+    out = [n for n in ("raw.json", "request.json", "quality.json", "manifest.json") if fingerprint(json.loads(at.read(n))) != receipt[n.split(".")[0]]]
+    events = spark.read.parquet(at.path("events"))
     if _events_digest(events) != receipt["events"] or events.count() != receipt["event_count"]:
         out.append("events")
-    with open(os.path.join(path, "COMMITTED"), encoding="utf-8") as f:
-        said = f.read()
-    if not said == receipt["receipt"] == _digest({k: v for k, v in receipt.items() if k != "receipt"}):
+    if not at.read("COMMITTED") == receipt["receipt"] == fingerprint({k: v for k, v in receipt.items() if k != "receipt"}):
         out.append("receipt.json")
     return out

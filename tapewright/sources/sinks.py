@@ -8,11 +8,15 @@ import json
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import canonical_order
+from ..operators.lookups import order_free_digests
+from ..values import canonical_json  # noqa: F401  part of this module's names
+from .fs import Folder
 
 SEGMENT = re.compile(r"^[A-Za-z0-9][A-Za-z0-9._-]*$")
 LAYOUT = ["source", "venue", "instrument_id", "date"]
@@ -23,23 +27,44 @@ class PartitionExists(Exception):
 
 
 def write_events(events: DataFrame, root: str) -> list[tuple]:
-    """Append partitions source/venue/instrument/date, each once: a partition that is there already is an error, and
-    nothing is written. Rows are clustered by partition and lie in canonical order; zstd."""
+    """Append partitions source/venue/instrument/date, each once and whole.
+
+    A partition is claimed by a file that only one writer can create; if any is there already, nothing is written and the
+    claims of this call are given back. Rows go to a hidden folder first, clustered by partition and in canonical order,
+    zstd; then each partition gets a fingerprint of its rows and is renamed to its place. A failed job leaves no half
+    partition. Hidden names are not read as data."""
     spark = events.sparkSession
     dated = events.withColumn("date", F.date_format(F.timestamp_micros(F.expr("event_time_ns div 1000")), "yyyy-MM-dd"))
-    wanted = [tuple(r) for r in dated.select(*LAYOUT).distinct().collect()]  # a partition a row
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    for row in wanted:
+    marks = {tuple(r[c] for c in LAYOUT): f"{r['n']}:{r['digest']}" for r in order_free_digests(dated, LAYOUT, events.columns).collect()}  # a partition a row
+    for row in marks:
         if not all(SEGMENT.match(str(v)) for v in row):
             raise ValueError(f"unsafe partition value in {row}")
-        path = "/".join(f"{c}={v}" for c, v in zip(LAYOUT, row))
-        if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")):
-            raise PartitionExists(path)
-    dealt = dated.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, *canonical_order("arrival_ord" in events.columns))
-    dealt.write.mode("append").option("compression", "zstd").partitionBy(*LAYOUT).parquet(root)
-    return sorted(wanted)
+    base = Folder(spark, root)
+    base.make("_claims")
+    stage, claimed = f"_stage-{uuid.uuid4().hex}", []
+    place = {row: "/".join(f"{c}={v}" for c, v in zip(LAYOUT, row)) for row in marks}
+    moved: list[str] = []
+    try:
+        for row, path in sorted(place.items()):
+            claim = f"_claims/{hashlib.sha256(path.encode()).hexdigest()}"
+            if base.exists(path) or not base.claim(claim, path):
+                raise PartitionExists(path)
+            claimed.append(claim)
+        dealt = dated.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, *canonical_order("arrival_ord" in events.columns))
+        dealt.write.option("compression", "zstd").partitionBy(*LAYOUT).parquet(base.path(stage))
+        for row, path in sorted(place.items()):
+            base.write(f"{stage}/{path}/_fingerprint.sha256", hashlib.sha256(marks[row].encode()).hexdigest())
+            base.move(f"{stage}/{path}", path)
+            moved.append(path)
+    except BaseException:
+        for path in moved:
+            base.delete(path)
+        for claim in claimed:
+            base.delete(claim)
+        raise
+    finally:
+        base.delete(stage)
+    return sorted(marks)
 
 
 def write_atomic(path: str, text: str, create_only: bool = False) -> None:
@@ -66,10 +91,6 @@ def archive_raw(root: str, received_ns: int, body: str) -> str:
     return path
 
 
-def canonical_json(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=True, separators=(",", ":"))
-
-
 def append_ledger(path: str, entry: dict) -> dict:
     """Add an entry that names the hash of the one before it and has its own."""
     last = None

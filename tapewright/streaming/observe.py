@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..model import NO_SEQUENCE, ordered_lag
 from ..operators.lookups import order_free_digest
+from ..sources.fs import Folder
 
 
 def monitor(events: DataFrame, now_ns: int, stale_ns: int, skew_ns: int, outage_ns: int) -> DataFrame:
@@ -36,33 +37,49 @@ class Frozen(Exception):
 
 
 class Journal:
-    """Batches committed so far: their fingerprints, and a freeze that is terminal. The batches themselves lie as Parquet
-    under ``root``; a batch again with the same content is a duplicate, with other content or a row seen before freezes."""
+    """Batches committed so far: their fingerprints, and a freeze that is terminal, as files under ``root`` beside the
+    batches, so that another process goes on where this one stopped. A batch again with the same content is a duplicate;
+    with other content, or with a row seen before, it freezes the feed. What earlier batches held is looked up in an index
+    of hashed ids (16 bytes a row), not in the batches."""
 
     def __init__(self, root: str):
-        self.root, self.marks, self.frozen = root, {}, ""
+        self.root = root
+
+    def _folder(self, spark) -> Folder:
+        return Folder(spark, self.root)
+
+    def frozen(self, spark) -> str:
+        at = self._folder(spark)
+        return at.read("_frozen") if at.exists("_frozen") else ""
+
+    def marks(self, spark) -> dict[int, str]:
+        at = self._folder(spark)
+        return {int(n): at.read(f"_marks/{n}") for n in at.names("_marks") if not n.startswith(".")}
 
     def commit(self, batch: DataFrame, batch_id: int) -> str:
-        if self.frozen:
-            raise Frozen(self.frozen)
-        spark = batch.sparkSession
-        mark = tuple(order_free_digest(batch, sorted(batch.columns)).first())
-        if batch_id in self.marks:
-            return "duplicate" if self.marks[batch_id] == mark else self.freeze(f"batch {batch_id} changed")
-        if self.marks:
-            seen = spark.read.parquet(*[f"{self.root}/batch={k}" for k in self.marks]).select("ingest_id")
-            if not batch.join(seen, "ingest_id", "left_semi").isEmpty():
-                return self.freeze(f"batch {batch_id} repeats rows")
-        batch.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
-        self.marks[batch_id] = mark
+        spark, at = batch.sparkSession, self._folder(batch.sparkSession)
+        if why := self.frozen(spark):
+            raise Frozen(why)
+        mark = "|".join(map(str, order_free_digest(batch, sorted(batch.columns)).first()))
+        if at.exists(f"_marks/{batch_id}"):
+            if at.read(f"_marks/{batch_id}") == mark:
+                return "duplicate"
+            self.freeze(spark, f"batch {batch_id} changed")
+        ids = batch.select(F.xxhash64("ingest_id").alias("h0"), F.xxhash64(F.lit(1), "ingest_id").alias("h1"))
+        known = [at.path(f"_ids/{k}") for k in self.marks(spark)]
+        if known and not ids.join(spark.read.parquet(*known), ["h0", "h1"], "left_semi").isEmpty():
+            self.freeze(spark, f"batch {batch_id} repeats rows")
+        ids.write.mode("overwrite").parquet(at.path(f"_ids/{batch_id}"))
+        batch.write.mode("overwrite").parquet(at.path(f"batch={batch_id}"))
+        at.write(f"_marks/{batch_id}", mark, create_only=True)  # from here on the batch counts
         return "committed"
 
-    def freeze(self, why: str) -> str:
-        self.frozen = why
-        raise Frozen(why)
+    def freeze(self, spark, why: str) -> None:
+        self._folder(spark).claim("_frozen", why)
+        raise Frozen(self.frozen(spark))
 
     def history(self, spark) -> DataFrame:
-        return spark.read.parquet(*[f"{self.root}/batch={k}" for k in self.marks])
+        return spark.read.parquet(*[f"{self.root}/batch={k}" for k in self.marks(spark)])
 
 
 def observe(stream: DataFrame, journal: Journal, checkpoint: str):
