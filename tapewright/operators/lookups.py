@@ -171,3 +171,16 @@ def ledger_problems(ledger: DataFrame) -> DataFrame:
     link = ~F.col("previous_hash").eqNullSafe(F.col("_prev"))
     text = F.sha2(F.col("text").cast("binary"), 256) != F.col("entry_hash")
     return l.where(link | text).select("ledger", "ordinal", F.when(text, "hash").otherwise("link").alias("problem"))
+
+
+def nearest_low(rows: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
+    """(keys, value): the value at index floor(share * (n - 1)) of each key's values in order.
+
+    Values are counted first, where they lie: a key's rows meet as one row per different value, and only these are put in
+    order."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_k"))
+    w = W.partitionBy(*keys)
+    upto = F.sum("_k").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))
+    at = counts.select(*keys, value, "_k", upto.alias("_upto"), F.sum("_k").over(w).alias("_n"))
+    index = F.floor(share * (F.col("_n") - 1))
+    return at.where((F.col("_upto") > index) & (F.col("_upto") - F.col("_k") <= index)).select(*keys, value)

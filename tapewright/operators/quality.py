@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,60 +113,64 @@ def half_open_end(end_ns: int, interval_ns: int) -> int:
     return end_ns - interval_ns
 
 
-def event_flags(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...], block: int = 100_000, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
-    """Every event with a flag per event-level check.
+EVENT_LEVEL = ("timestamp_disorder", "receive_time_inversion", "duplicates", "timezone", "negative_receive_latency", "invalid_price_size", "sequence_gaps", "stale_book")
+
+
+def event_counts(events: DataFrame, stale_after_ns: int, kinds: tuple[str, ...], block: int = 100_000, bucket_ns: int = 3_600_000_000_000) -> DataFrame:
+    """(code, n) of the checks of single events and of neighbours.
 
-    One shuffle by time bucket serves the order over all instruments, the order within streams and the duplicates (equal
-    events lie in one bucket); a second one, by block of arrival, serves the disorder. The first rows of buckets and
-    blocks take what the ones before end with from summaries of a row per stream and bucket, or per block."""
-    key = order_key().alias("_k")
-    b = events.withColumns({"_bucket": F.expr(f"event_time_ns div {bucket_ns}"), "_b": F.expr(f"arrival_ord div {block}")}).withColumn("_k", key)
-    order = [F.col("_k"), F.col("arrival_ord")]
-    market, stream = W.partitionBy("_bucket").orderBy(*order), W.partitionBy("_bucket", *STREAM).orderBy(*order)
+    Rows are shuffled once by time bucket, for the order over all instruments, within streams and for duplicates (equal
+    events lie in one bucket), and once by block of arrival. A task counts what it sees inside its buckets and blocks and
+    keeps their first and last rows; what two neighbouring buckets or blocks do to each other is counted on these: a row per
+    bucket and stream, or per block."""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    row = F.struct(order_key().alias("k"), "arrival_ord", "sequence", "receive_time_ns")
+    b = events.withColumn("_bucket", F.coalesce(F.expr(f"event_time_ns div {bucket_ns}"), F.lit(-1))).withColumn("_row", row)
+    market, stream = W.partitionBy("_bucket").orderBy("_row"), W.partitionBy("_bucket", *STREAM).orderBy("_row")
     copies = W.partitionBy("_bucket", *MARKET_KEY).orderBy("receive_time_ns", "ingest_id", "arrival_ord")
-    e = b.withColumns({"_m": F.lag("receive_time_ns").over(market), "_m_rn": F.row_number().over(market)})
-    e = e.withColumns({"_s": F.lag(F.struct("sequence", "receive_time_ns")).over(stream), "_s_rn": F.row_number().over(stream)}).withColumn("_rn", F.row_number().over(copies))
-    arrival = W.partitionBy("_b").orderBy("arrival_ord", "ingest_id")
-    e = e.withColumns({"_a": F.lag("_k").over(arrival), "_a_rn": F.row_number().over(arrival)})
-    ends = b.groupBy("_bucket", *STREAM).agg(F.max(F.struct("_k", "sequence", "receive_time_ns")).alias("z"))
-    before = F.lag(F.struct("z.sequence", "z.receive_time_ns")).over(W.partitionBy(*STREAM).orderBy("_bucket"))
-    s_edge = ends.select(*[F.col(c).alias(f"_e_{c}") for c in STREAM], F.col("_bucket").alias("_e_bucket"), before.alias("_s_edge"))
-    m_edge = ends.groupBy("_bucket").agg(F.max("z").alias("z")).select(F.col("_bucket").alias("_f_bucket"), F.lag("z.receive_time_ns").over(W.orderBy("_bucket")).alias("_m_edge"))  # a row per bucket
-    a_edge = b.groupBy("_b").agg(F.max(F.struct("arrival_ord", "ingest_id", "_k")).alias("z")).select(F.col("_b").alias("_g_b"), F.lag("z._k").over(W.orderBy("_b")).alias("_a_edge"))  # a row per block
-    e = e.join(m_edge, e["_bucket"] == m_edge["_f_bucket"], "left").join(a_edge, e["_b"] == a_edge["_g_b"], "left")
-    same = e["_bucket"] == s_edge["_e_bucket"]
-    for c in STREAM:
-        same = same & e[c].eqNullSafe(s_edge[f"_e_{c}"])
-    e = e.join(s_edge, same, "left")
-    pick = lambda rn, edge, inside: F.when(F.col(rn) == 1, F.col(edge)).otherwise(F.col(inside))
-    own = pick("_s_rn", "_s_edge", "_s")
+    e = b.withColumn("_rn", F.row_number().over(copies)).withColumn("_m", F.lag("receive_time_ns").over(market)).withColumn("_s", F.lag(F.struct("sequence", "receive_time_ns")).over(stream))
     fields = [f for f in ("price", "size", "open", "high", "low", "close", "volume") if f in events.columns]
-    bad = sum((F.coalesce(F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")) | (F.col(f) < 0) | ((F.col(f) == 0) & F.lit(f not in ZERO_ALLOWED)), F.lit(False)).cast("int") for f in fields), F.lit(0))
-    return e.select(
-        *events.columns,
-        (F.col("_k") < pick("_a_rn", "_a_edge", "_a")).alias("timestamp_disorder"),
-        (F.col("receive_time_ns") < pick("_m_rn", "_m_edge", "_m")).alias("receive_time_inversion"),
-        (F.col("_rn") > 1).alias("duplicates"),
-        (F.col("event_time_ns").isNull() | F.col("receive_time_ns").isNull()).alias("timezone"),
-        (F.col("receive_time_ns") < F.col("event_time_ns")).alias("negative_receive_latency"),
-        bad.alias("invalid_price_size"),
-        (F.col("sequence") > own["sequence"] + 1).alias("sequence_gaps"),
-        (F.col("event_type").isin(*kinds) & (F.col("receive_time_ns") - own["receive_time_ns"] > stale_after_ns)).alias("stale_book"),
+    bad = sum((F.coalesce(F.isnan(F.col(f).cast("double")) | (F.abs(F.col(f).cast("double")) == float("inf")) | (F.col(f) < 0) | ((F.col(f) == 0) & F.lit(f not in ZERO_ALLOWED)), F.lit(False)).cast("long") for f in fields), F.lit(0))
+    book = F.col("event_type").isin(*kinds)
+    inside = e.groupBy("_bucket", *STREAM).agg(
+        count(F.col("receive_time_ns") < F.col("_m")).alias("receive_time_inversion"),
+        count(F.col("_rn") > 1).alias("duplicates"),
+        count(F.col("event_time_ns").isNull() | F.col("receive_time_ns").isNull()).alias("timezone"),
+        count(F.col("receive_time_ns") < F.col("event_time_ns")).alias("negative_receive_latency"),
+        F.sum(bad).cast("long").alias("invalid_price_size"),
+        count(F.col("sequence") > F.col("_s.sequence") + 1).alias("sequence_gaps"),
+        count(book & (F.col("receive_time_ns") - F.col("_s.receive_time_ns") > stale_after_ns)).alias("stale_book"),
+        F.min("_row").alias("_first"),
+        F.max("_row").alias("_last"),
     )
-
-
-EVENT_LEVEL = ("timestamp_disorder", "receive_time_inversion", "duplicates", "timezone", "negative_receive_latency", "invalid_price_size", "sequence_gaps", "stale_book")
+    before = lambda c: F.lag(F.col(f"_last.{c}")).over(W.partitionBy(*STREAM).orderBy("_bucket"))
+    edges = inside.withColumns({
+        "sequence_gaps": F.col("sequence_gaps") + F.coalesce((F.col("_first.sequence") > before("sequence") + 1).cast("long"), F.lit(0)),
+        "stale_book": F.col("stale_book") + F.coalesce((book & (F.col("_first.receive_time_ns") - before("receive_time_ns") > stale_after_ns)).cast("long"), F.lit(0)),
+    })
+    names = EVENT_LEVEL[2:]
+    buckets = edges.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in ("receive_time_inversion", *names)], F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    turned = F.coalesce((F.col("_first.receive_time_ns") < F.lag("_last.receive_time_ns").over(W.orderBy("_bucket"))).cast("long"), F.lit(0))  # a row per bucket
+    counts = buckets.withColumn("receive_time_inversion", F.col("receive_time_inversion") + turned).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("receive_time_inversion", *names)])
+    counts = counts.unpivot([], ["receive_time_inversion", *names], "code", "n")
+
+    came = events.select(F.expr(f"arrival_ord div {block}").alias("_b"), F.struct("arrival_ord", "ingest_id").alias("_at"), order_key().alias("k"))
+    came = came.withColumn("_prev", F.lag("k").over(W.partitionBy("_b").orderBy("_at")))
+    blocks = came.groupBy("_b").agg(count(F.col("k") < F.col("_prev")).alias("n"), F.min(F.struct("_at", "k")).alias("_first"), F.max(F.struct("_at", "k")).alias("_last"))
+    fell = F.coalesce((F.col("_first.k") < F.lag("_last.k").over(W.orderBy("_b"))).cast("long"), F.lit(0))  # a row per block
+    disorder = blocks.select((F.col("n") + fell).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("timestamp_disorder").alias("code"), "n")
+    return counts.unionByName(disorder)
 
 
 def quality_summary(events: DataFrame, bars: DataFrame, gaps: DataFrame, books: DataFrame, requested: tuple[int, int], stale_after_ns: int, kinds: tuple[str, ...]) -> DataFrame:
     """(code, severity, n, verdict) of all fourteen checks, with 0 for those without hits; ``verdict`` is of the whole:
     an error or a critical hit blocks, warnings alone make it diagnostic only. gaps: interval_gaps() of the fixed-interval
     bars."""
-    flagged = event_flags(events, stale_after_ns, kinds)
-    counts = flagged.agg(*[F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in EVENT_LEVEL])
-    by_code = gaps.agg(*[F.count(F.when(F.col("code") == c, 1)).alias(c) for c in ("missing_intervals", "session_gaps", "roll_gaps")])
-    rest = [crossed_book(books).agg(F.count("*").alias("crossed_book")), outliers(bars).agg(F.count("*").alias("outliers")), provider_truncation(events, *requested).agg(F.count("*").alias("provider_truncation"))]
-    row = reduce(DataFrame.crossJoin, [counts, by_code, *rest])  # each is one row
+    tally = lambda code, rows: rows.agg(F.count("*").alias("n")).select(F.lit(code).alias("code"), "n")
+    found = event_counts(events, stale_after_ns, kinds).unionByName(gaps.groupBy("code").agg(F.count("*").alias("n")))
+    for code, rows in (("crossed_book", crossed_book(books)), ("outliers", outliers(bars)), ("provider_truncation", provider_truncation(events, *requested))):
+        found = found.unionByName(tally(code, rows))
+    row = found.agg(*[F.coalesce(F.sum(F.when(F.col("code") == c, F.col("n"))), F.lit(0)).alias(c) for c in SEVERITY])
     total = lambda kind: sum((F.col(c) for c, s in SEVERITY.items() if (s == "warning") == kind), F.lit(0))
     verdict = F.when(total(False) > 0, "blocked").when(total(True) > 0, "diagnostic_only").otherwise("none")
     codes = [F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.col(c).cast("long").alias("n")) for c, s in SEVERITY.items()]

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import values
+from ..model import canonical_order
 from ..operators import baselines, consistency, features, fills, lookups, metrics, oos, quality, recompute, replay, risk, screen, sweep
 from ..sources import files
 from ..sources import views as V
@@ -68,6 +69,25 @@ def archive_limit(spark, d):
     return V.tape(spark, d).where("instrument_id = 'purchase'").orderBy("event_time_ns", "arrival_ord").select("ingest_id", "event_time_ns", "price").limit(100)
 
 
+@query("SELECT ingest_id, event_time_ns, instrument_id, price FROM dirty", ("dirty",))
+def canonical_sort(spark, d):
+    """The tape in canonical order: sampled ranges of time, each sorted by itself."""
+    return V.canon_dirty(spark, d).orderBy(*canonical_order()).select("ingest_id", "event_time_ns", "instrument_id", "price")
+
+
+@query("SELECT instrument_id, strftime(make_timestamp(event_time_ns // 1000), '%Y-%m-%d') AS date, count(*) AS rows FROM canon GROUP BY 1, 2", ("canon",))
+def parquet_commit(spark, d):
+    """The tape as immutable partitions, and the rows that each of them has when it is read back."""
+    import uuid
+
+    from ..session import local_dir
+    from ..sources import sinks
+
+    root = f"{local_dir(spark)}/tape-{uuid.uuid4().hex}"
+    sinks.write_events(V.canon(spark, d), root)
+    return spark.read.parquet(root).groupBy("instrument_id", F.date_format("date", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("rows"))
+
+
 @query("SELECT DISTINCT instrument_id FROM canon", ("canon",))
 def distinct_instruments(spark, d):
     return V.tape(spark, d).select("instrument_id").distinct()
@@ -259,8 +279,7 @@ def quality_provider_truncation(spark, d):
 
 @query()
 def quality_summary(spark, d):
-    """The tape and its bars are kept while the checks read them: they are derived, and several checks need each."""
-    events, bars = V.canon_dirty(spark, d).persist(), V.bars(spark, d, HOUR).persist()
+    events, bars = V.canon_dirty(spark, d), V.bars(spark, d, HOUR)
     requested = (START, quality.half_open_end(END, HOUR))
     return quality.quality_summary(events, bars, _gaps(spark, d, bars), V.books(spark, d), requested, 2 * HOUR, ("trade",))
 
@@ -517,9 +536,7 @@ def latency_p95(spark, d):
     li = V.table(spark, d, "lineitem")
     ns = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select("o_orderpriority", (ns("l_shipdate") - ns("o_orderdate")).alias("latency_ns"))
-    w = W.partitionBy("o_orderpriority")
-    j = j.select("*", F.row_number().over(w.orderBy("latency_ns")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-    return j.where(F.col("rn") - 1 == F.floor(0.95 * (F.col("n") - 1))).select("o_orderpriority", F.col("latency_ns").alias("p95_ns"))
+    return lookups.nearest_low(j, ["o_orderpriority"], "latency_ns", 0.95).select("o_orderpriority", F.col("latency_ns").alias("p95_ns"))
 
 
 @query("SELECT start_ns, end_ns FROM (SELECT event_time_ns AS start_ns, receive_time_ns AS end_ns FROM dirty) WHERE " + " OR ".join(f"(start_ns >= {START + k * DAY} AND end_ns <= {START + k * DAY + 6 * HOUR})" for k in range(0, 30, 5)), ("dirty",))
@@ -667,6 +684,15 @@ def baseline_runs(spark, d):
     return baselines.report(baselines.run(spark)).select("run_id", F.round("pnl", 9).alias("pnl"), F.round("gross_pnl", 9).alias("gross_pnl"), "fills")
 
 
+@query(O.EVENT_REPLAY)
+def event_replay(spark, d):
+    """Buy and hold over every event of the tape, each a bar by itself."""
+    money = [F.col("price").cast("string").alias(c) for c in ("open", "high", "low", "close")]
+    tape = V.canon(spark, d).select(F.col("instrument_id").alias("run_id"), "instrument_id", F.lit("bar").alias("event_type"), "event_time_ns", "receive_time_ns", "sequence", "ingest_id", *money, F.col("size").cast("string").alias("volume"))
+    out = replay.replay(tape, lambda run: replay.buy_hold()).where("kind = 'equity'")
+    return out.groupBy("run_id").agg(F.count("*").alias("events"), F.round(F.max_by(F.col("equity").cast("double"), "idx"), 6).alias("equity"))
+
+
 def _rounded_metrics(m, key):
     return m.select(key, *[F.col(c).cast("long").alias(c) if c == "drawdown_duration" else F.round(c, 6).alias(c) for c in metrics.NAMES])
 

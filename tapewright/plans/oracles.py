@@ -87,6 +87,12 @@ REPLAY_EQUITY = _replay(
   round(CASE WHEN held = 0 THEN 0 ELSE held::DOUBLE / 1e4 * (close::DOUBLE / 1e6 - paid / (bought::DOUBLE / 1e4)) END, 6) AS unrealized FROM step""",
 )
 
+#: Every event as a bar of its own: buy and hold over the whole tape.
+EVENT_REPLAY = V.sql("", "canon").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + steps(
+    """SELECT *, CASE i WHEN n - 2 THEN 0 WHEN 0 THEN 1 END AS want FROM (SELECT instrument_id AS run, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY instrument_id) AS n, event_time_ns AS t,
+  round(price * 1000000)::HUGEINT AS open, round(price * 1000000)::HUGEINT AS close, round(size * 10000)::HUGEINT AS volume FROM canon WINDOW w AS (PARTITION BY instrument_id ORDER BY event_time_ns, sequence))"""
+) + f"\nSELECT run AS run_id, count(*) AS events, {money('arg_max(' + EQUITY + ', i)')} AS equity FROM step GROUP BY run"
+
 #: The eighteen metrics of ``curve`` (key, event_time_ns, equity) and ``trade`` (key, event_time_ns, notional).
 METRICS = """dd AS (SELECT *, (peak - equity) / peak AS drawdown FROM (SELECT *, max(equity) OVER (PARTITION BY key ORDER BY event_time_ns ROWS UNBOUNDED PRECEDING) AS peak FROM curve)),
 runs AS (SELECT *, sum((drawdown > 0)::INT) OVER (PARTITION BY key, g ORDER BY event_time_ns ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM (SELECT *, sum((drawdown <= 0)::INT) OVER (PARTITION BY key ORDER BY event_time_ns ROWS UNBOUNDED PRECEDING) AS g FROM dd)),

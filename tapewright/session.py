@@ -47,6 +47,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def local_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one that the cluster names for checkpoints, else a temporary one."""
+    """A folder that driver and executors share: the one that the cluster names for checkpoints; in local mode, where none
+    is named, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="tapewright-")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tapewright-")

@@ -56,14 +56,17 @@ FROM events"""
 
 
 def canon_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """canon with gaps, duplicates, inversions, stale receipts, zero prices and disorder, by the event id's residues."""
-    c = canon(spark, sf_dir)
+    """canon with gaps, duplicates, inversions, stale receipts, zero prices and disorder, by the event id's residues. A row
+    gives itself and perhaps a copy: the tape is read and numbered once."""
+    c = canon(spark, sf_dir).where(F.col("arrival_ord") % 97 != 0)
     i = F.col("arrival_ord")
-    clean = c.where(i % 97 != 0)
     receive = F.when(i % 89 == 0, F.col("event_time_ns") - 1).when(i % 79 == 0, F.col("event_time_ns") + 3 * HOUR_NS).otherwise(F.col("receive_time_ns"))
-    broken = clean.withColumns({"receive_time_ns": receive, "price": F.when(i % 83 == 0, 0.0).otherwise(F.col("price")), "arrival_ord": F.when(i % 73 == 0, i + 5).otherwise(i)})
-    copies = clean.where(i % 101 == 0).withColumn("ingest_id", F.lpad((i + 1_000_000).cast("string"), 12, "0"))
-    return broken.unionByName(copies)
+    changed = {"receive_time_ns": receive, "price": F.when(i % 83 == 0, 0.0).otherwise(F.col("price")), "arrival_ord": F.when(i % 73 == 0, i + 5).otherwise(i), "ingest_id": F.col("ingest_id")}
+    copied = {n: F.col(n) for n in changed} | {"ingest_id": F.lpad((i + 1_000_000).cast("string"), 12, "0")}
+    row = lambda values: F.struct(*[v.alias(n) for n, v in values.items()])
+    rows = F.when(i % 101 == 0, F.array(row(changed), row(copied))).otherwise(F.array(row(changed)))
+    out = c.withColumn("_x", F.explode(rows))
+    return out.select(*[F.col(f"_x.{n}").alias(n) if n in changed else F.col(n) for n in c.columns])
 
 
 DIRTY_SQL = f"""
