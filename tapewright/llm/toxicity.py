@@ -124,9 +124,8 @@ class Chain:
     def probabilities(self, w_hash, w_doc, dense: np.ndarray) -> np.ndarray:
         out = []
         for model in self.models:
-            z = model.logits(w_hash, w_doc, dense)
-            out.append(sigmoid(z))
-            dense = np.column_stack([dense, np.clip(z, -6, 6)])
+            out.append(sigmoid(model.logits(w_hash, w_doc, dense)))
+            dense = np.column_stack([dense, out[-1]])
         return np.column_stack(out)
 
 
@@ -143,7 +142,7 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_chain(w_hash, w_doc, dense: np.ndarray, targets: list[np.ndarray], fold: np.ndarray) -> Chain:
-    """A model per category on all rows; what a later one learns about an earlier one are out-of-fold predictions."""
+    """A model per category on all rows; what a later one learns about an earlier one are out-of-fold probabilities."""
     models, cuts = [], []
     for y in targets:
         oof = np.zeros(len(y))
@@ -158,19 +157,21 @@ def fit_chain(w_hash, w_doc, dense: np.ndarray, targets: list[np.ndarray], fold:
             place[:] = -1
             place[held] = np.arange(len(held))
             use = place[w_doc] >= 0
-            oof[held] = model.logits(w_hash[use], place[w_doc[use]], dense[held])
+            oof[held] = sigmoid(model.logits(w_hash[use], place[w_doc[use]], dense[held]))
         models.append(fit(w_hash, w_doc, dense, y))
-        cuts.append(best_cut(sigmoid(oof), y))
-        dense = np.column_stack([dense, np.clip(oof, -6, 6)])
+        cuts.append(best_cut(oof, y))
+        dense = np.column_stack([dense, oof])
     return Chain(models, cuts)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
-    """Distinct word hashes, dense features, labels and folds (by the ids' hashes) of at most ``size`` labelled documents."""
+    """Distinct word hashes, dense features, labels and folds (by the ids' hashes) of at most ``size`` labelled documents.
+    Of rows with the same id that with the least text counts; of an id's labels the greatest ones."""
     columns = [c for _, c, _ in CATEGORIES]
     known = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in ["doc_id", *columns])).groupBy("doc_id").agg(*[F.max(c).cast("int").alias(c) for c in columns])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``size`` rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``size`` rows are broadcast
+    rows = rows.groupBy("doc_id", *columns).agg(F.min("text").alias("text"))  # an id that several rows have counts once
 
     def features(batches):
         table = word_table()
@@ -181,7 +182,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE):
                 yield pa.record_batch([part.column("doc_id"), pa.array(words, pa.binary()), pa.array([d.tobytes() for d in dense], pa.binary()), *[part.column(c) for c in columns]], names=["doc_id", "words", "dense", *columns])
 
     got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *columns).mapInArrow(features, "doc_id long, words binary, dense binary, " + ", ".join(f"{c} int" for c in columns)).toPandas()
-    got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id").reset_index(drop=True)
+    got = got.sort_values("doc_id").reset_index(drop=True)
     words = [np.frombuffer(b, np.uint64) for b in got["words"]]
     w_hash = np.concatenate([np.zeros(0, np.uint64), *words])
     w_doc = np.repeat(np.arange(len(words)), [len(x) for x in words]).astype(np.int64)
@@ -224,4 +225,7 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """score() by a chain fitted on at most ``size`` labelled rows: those with the least hashes of their ids, so that the
+    sample does not depend on the order of rows. Labels with a null in doc_id, quality or toxic, or without a document,
+    are not used. Texts of any length are scored whole."""
     return score(docs, train(docs, labels, size))
