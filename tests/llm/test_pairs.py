@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -162,7 +163,52 @@ def test_suffix_small_blocks_and_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(suffix, "HOT", 3)
     monkeypatch.setattr(suffix, "BROADCAST_IDS", 5)
     rows = passage_rows()
-    assert suffix_rows(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)) == suffix_brute(rows)
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    states = {r.state for r in suffix.anchor_meetings(suffix.identified(docs), 3, 200).collect()}
+    assert states == {suffix.REPEATED, suffix.COMPARE, suffix.CROWDED}
+    assert suffix_rows(docs) == suffix_brute(rows)
+
+
+def test_suffix_many_contexts_of_one_passage(spark, monkeypatch):
+    """Texts that share a core shorter than a string but longer than an anchor, so that halving goes all the way down."""
+    monkeypatch.setattr(suffix, "HOT", 2)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, left, right = noise(150), [noise(90) for _ in range(9)], [noise(90) for _ in range(9)]
+    rows = [(i, noise(30) + rng.choice(left)[rng.randint(30, 89) :] + core + rng.choice(right)[: rng.randint(1, 50)] + noise(30)) for i in range(70)]
+    want = suffix_brute(rows)
+    assert any(r[2] for r in want) and not all(r[2] for r in want)
+    assert suffix_rows(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)) == want
+
+
+def test_suffix_long_texts_in_stretches(monkeypatch):
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 101, 5000).astype(np.uint8)
+    off = np.array([0, 150, 3300, 5000])
+
+    def strings():
+        doc, start, count, place, h, s0, s1 = suffix.anchored_runs(raw, off)
+        ends = start + count - 1 + 200
+        same = {}
+        for d, s, e, *mark in zip(doc, start, ends, place, s0, s1):
+            same.setdefault(tuple(mark), set()).add(raw[off[d] + s : off[d] + e].tobytes())
+        assert all(len(x) == 1 for x in same.values())
+        return sorted((d, s + k, p - k, x) for d, s, c, p, x in zip(doc, start, count, place, h) for k in range(c))
+
+    whole = strings()
+    assert [(d, s) for d, s, *_ in whole] == [(d, s) for d in range(3) for s in range(off[d + 1] - off[d] - 199)]
+    monkeypatch.setattr(suffix, "STRETCH", 700)
+    assert strings() == whole
+
+
+def test_suffix_texts_with_clashing_columns(spark):
+    rows = passage_rows()
+    plain = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    clash = plain.selectExpr("*", "doc_id AS u0", "'x' AS U1", "n_chars AS starts")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    got = sorted(suffix.dedup_texts(clash).collect(), key=key)
+    assert [r[:5] for r in got] == [r[:] for r in sorted(suffix.dedup_texts(plain).collect(), key=key)]
+    assert all(r.u0 == r.doc_id and r.U1 == "x" for r in got)
 
 
 def test_suffix_table_and_texts(spark, sf):
@@ -238,6 +284,25 @@ def test_embeddings_fixture(spark, monkeypatch, tile):
     assert vector_rows(spark.createDataFrame([], VECTORS)) == []
 
 
+def test_embeddings_cells_rule_out_pairs_of_tiles(spark, monkeypatch):
+    """Clustered vectors of a label: far fewer pairs of tiles are read, and no link is lost."""
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in range(24):
+        centre = rng.normal(size=12)
+        for _ in range(14):
+            v = (centre + rng.normal(size=12) * rng.choice([0.04, 0.15])).astype(np.float32)
+            rows.append((len(rows), [float(x) for x in v], 1))
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], VECTORS)
+    made = []
+    paired = embeddings._paired
+    monkeypatch.setattr(embeddings, "_paired", lambda placed, threshold: made.append([paired(placed, threshold).select(*c).distinct().count() for c in (["i", "j"], ["tile"])]) or paired(placed, threshold))
+    assert vector_rows(docs) == cosine_brute(rows)
+    pairs, tiles = made[0]
+    assert tiles > 20 and pairs < 0.5 * tiles * (tiles + 1) / 2, made
+
+
 def test_embeddings_table(spark, sf):
     t = queries.table(spark, sf, "embeddings")
     rows = [(r.vec_id, r.embedding, r.label) for r in t.collect()]
@@ -279,3 +344,71 @@ def test_toxicity_held_out(spark):
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(none) == len(rows) and not any(r.toxic for r in none)
     assert toxicity.toxicity(spark.createDataFrame([], DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
+
+
+def test_toxicity_against_a_plain_chain(spark):
+    """The chain scored text by text in plain Python: words of a model once each, earlier probabilities as features."""
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi") for b in ("ran", "dol", "fex", "gim", "hup")]
+    rows = []
+    for i in range(300):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 60))] + ["vilesome"] * (i % 4 == 0) + ["###"] * (i % 3 == 0)
+        rows.append((i, " ".join(text), "en", "s", 1))
+    rows += [(7, rows[7][1], "en", "s", 1), (8, "another text of this id", "en", "s", 1), (500, "Word " * 40_000 + "vilesome", "en", "s", 1), (None, "no id", "en", "s", 1), (501, None, "en", "s", 1)]
+    labels = [(i, int(i % 3 > 0), int(i % 4 == 0)) for i in range(0, 240)] + [(3, 1, 1), (999, 1, 1), (None, 0, 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    chain = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    again = toxicity.train(docs.repartition(5), spark.createDataFrame(labels[::-1], "doc_id long, quality int, toxic int"))
+    assert all(np.array_equal(a.weight, b.weight) and a.bias == b.bias for a, b in zip(chain.models, again.models)) and chain.cuts == again.cuts
+
+    def plain(text):
+        raw = (text or "").encode()
+        found = re.findall(rb"[A-Za-z\x80-\xff]+", raw)
+        spelled = [w.lower() for w in found]
+        n = max(len(raw), 1)
+        features = [math.log1p(len(found)), sum(chr(c) in "#*$%&|<>!" for c in raw) / n, sum(65 <= c <= 90 for c in raw) / n, sum(map(len, found)) / max(len(found), 1), len(set(spelled)) / max(len(found), 1)]
+        hashes = {w: int(toxicity.extract(np.frombuffer(w, np.uint8), np.array([0, len(w)]), toxicity.word_table())[0].hash[0]) for w in set(spelled)}
+        out = []
+        for m, cut in zip(chain.models, chain.cuts):
+            z = m.bias + sum(float(w) for h, w in zip(m.words, m.weight) if int(h) in hashes.values())
+            z += sum(max(-6, min(6, (x - c) / s)) * b for x, c, s, b in zip(features, m.centre, m.spread, m.dense))
+            p = 1 / (1 + math.exp(-z))
+            out += [p, p >= cut]
+            features.append(p)
+        return out
+
+    got = toxicity.score(docs, chain).collect()
+    assert len(got) == len(rows)
+    want = sorted(((i, plain(t)) for i, t, *_ in rows), key=repr)
+    seen = sorted(((r.doc_id, [r.p_junk, r.junk, r.p_toxic, r.toxic]) for r in got), key=repr)
+    for (i, a), (j, b) in zip(sorted(want, key=lambda x: (x[0] is None, x[0] or 0, x[1])), sorted(seen, key=lambda x: (x[0] is None, x[0] or 0, x[1]))):
+        assert i == j and a == pytest.approx(b, abs=1e-9)
+
+
+def test_embeddings_string_labels_and_extreme_vectors(spark):
+    """Labels that look like components, null ids, and components near the ends of a double's range."""
+    v = [3.0, 4.0]
+    rows = [(1, "a", [1.0, *v]), (2, "a,1.0", v), (3, "a,1.0", v), (None, "a,1.0", v), (4, "b", [1e200, 2e200]), (5, "b", [1e-200, 2e-200]), (6, "b", [2e300, -1e300]), (7, "b", [5e-324, 1e-323]), (8, "b", [0.0, -0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")).collect()}
+    assert got[1] == (0, 1, True) and got[2] == (2, 2, True) and got[3] == (2, 2, False)
+    assert got[4] == (2, 4, True) and got[5] == (2, 4, False) and got[7] == (2, 4, False)
+    assert got[6] == (0, 6, True) and got[8] == (0, 8, True)
+    assert got[None][0] == 2
+
+
+def test_jaccard_keeps_one_row_of_a_class(spark):
+    a, b = " ".join(f"x{i}" for i in range(40)), " ".join(f"y{i}" for i in range(40))
+    rows = [(5, a), (5, a), (6, a), (None, b), (None, b), (None, a), (7, "solo"), (8, None), (8, None), (9, ""), (4, b), (4, b + " tail")]
+    docs = spark.createDataFrame([(i, t, None, None, 0, "g") for i, t in rows], DOCS + ", gone string")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(5, a), (None, a), (None, b), (7, "solo"), (8, None), (9, ""), (4, b), (4, b + " tail")], key=repr)
+
+
+def test_jaccard_doc_id_with_two_texts(spark):
+    """A doc_id whose texts have equally many shingles links by either of them."""
+    rng = random.Random(6)
+    t = [" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(60)) for c in "abc"]
+    near = [x.rsplit(" ", 1)[0] + " end" for x in t]
+    rows = [(1, t[0]), (1, t[1]), (2, near[0]), (3, near[1]), (4, near[2]), (5, t[2])]
+    assert jaccard_rows(spark.createDataFrame([(i, x, None, None, 0) for i, x in rows], DOCS)) == jaccard_brute(rows)
