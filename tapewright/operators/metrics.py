@@ -60,6 +60,18 @@ def metric_pack(curve: DataFrame, fills: DataFrame | None, keys: list[str], init
     return a.select(*keys, valid.alias("promotable"), *[F.when(valid, F.col(n)).alias(n) for n in NAMES])
 
 
+def periodic_returns(curve: DataFrame, final: DataFrame, keys: list[str], cash: float) -> DataFrame:
+    """(keys, idx, ret) of a sampled curve: the cash comes first, the final equity last if the curve does not end with it;
+    a return on an equity of 0 is skipped. curve: keys, event_time_ns, equity; final: keys, final."""
+    w = W.partitionBy(*keys).orderBy("event_time_ns")
+    c = curve.select(*keys, "event_time_ns", "equity", F.lead("equity").over(w).alias("_next")).join(final.select(*keys, "final"), keys)
+    ends = F.when(F.col("_next").isNull() & (F.col("equity") != F.col("final")), F.array("equity", "final")).otherwise(F.array("equity"))
+    c = c.select(*keys, "event_time_ns", F.posexplode(ends).alias("_k", "equity"))
+    o = W.partitionBy(*keys).orderBy("event_time_ns", "_k")
+    c = c.withColumns({"idx": F.row_number().over(o) - 1, "_prev": F.coalesce(F.lag("equity").over(o), F.lit(cash))})
+    return c.where("_prev <> 0").select(*keys, "idx", (F.col("equity") / F.col("_prev") - 1).alias("ret"))
+
+
 def waterfall(runs: DataFrame) -> DataFrame:
     """gross = net + every cost that left cash. runs: run_id, net_pnl, fees, spread, slippage, impact, funding, borrow, roll."""
     parts = ["fees", "spread", "slippage", "impact", "funding", "borrow", "roll"]

@@ -83,6 +83,11 @@ def risk_report(returns: DataFrame, n: int, paths: int = 500, seed: int = 7, key
     return out.crossJoin(worst.agg(F.abs(F.avg("ret")).alias("expected_shortfall")))
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and a column per share: exact quantiles, linear between neighbours."""
+    return rows.groupBy(*keys).agg(*[F.percentile(value, p).alias(name) for name, p in shares.items()])
+
+
 def divergence(expected: DataFrame, observed: DataFrame, key: str, limit: float) -> DataFrame:
     """abs(observed - expected) / max(abs(expected), 1) per key and whether it is within the limit."""
     j = expected.select(key, F.col("value").alias("expected")).join(observed.select(key, F.col("value").alias("observed")), key)

@@ -176,6 +176,118 @@ def prior_gate(spark, d):
     return o.join(passed, o["o_orderkey"] == passed["l_orderkey"], "left_semi").select("o_orderkey")
 
 
+# ---- sources and normalizers ----
+
+
+def _scratch(spark, name):
+    import uuid
+
+    from ..session import local_dir
+
+    return f"{local_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+LINE = "source string, venue string, instrument_id string, event_type string, event_time_ns long, receive_time_ns long, sequence long, ingest_id string, price double, size double"
+
+
+@query("SELECT instrument_id, event_type, event_time_ns, receive_time_ns, sequence, ingest_id, price, size FROM canon", ("canon",))
+def jsonl_events(spark, d):
+    """The tape as JSON lines, read back."""
+    path = _scratch(spark, "lines")
+    V.canon(spark, d).select(*[c.split()[0] for c in LINE.split(", ")]).write.json(path)
+    return files.read_jsonl(spark, path, LINE).drop("source", "venue")
+
+
+@query("SELECT count(*) AS rows, array_to_string(list_sort(list(DISTINCT instrument_id)), ',') AS instruments FROM canon", ("canon",))
+def jsonl_order_proof(spark, d):
+    """Rows and instruments of a file in canonical order; a file that is not fails."""
+    path = _scratch(spark, "ordered")
+    V.canon(spark, d).select(*[c.split()[0] for c in LINE.split(", ")]).orderBy(*canonical_order(False)).coalesce(1).write.json(path)
+    rows, proof = files.read_ordered_jsonl(spark, path, LINE)
+    return rows.agg(F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set("instrument_id")), ",").alias("instruments")).where((F.col("rows") == proof["rows"]) & (F.col("instruments") == ",".join(proof["instruments"])))
+
+
+@query("SELECT instrument_id, ingest_id, event_time_ns FROM canon WHERE event_type = 'trade' AND instrument_id IN ('view', 'click') AND event_time_ns >= " + str(START + DAY), ("canon",))
+def event_type_filter(spark, d):
+    t = files.of_types(V.tape(spark, d).where(F.col("instrument_id").isin("view", "click")), "trade")
+    return files.in_range(t, START + DAY, 2**62).select("instrument_id", "ingest_id", "event_time_ns")
+
+
+@query(f"SELECT instrument_id, event_time_ns, round(open, 6) AS open, round(close, 6) AS close, volume, trades FROM bars_h WHERE event_time_ns + {HOUR} - 1000000 <= {START + 20 * DAY}", ("bars_h",))
+def spot_bars(spark, d):
+    """Positional klines as bars; those that were not closed when they were received are dropped."""
+    ms = lambda c: F.expr(f"({c}) div 1000000").cast("string")
+    text = lambda c: F.col(c).cast("string")
+    k = V.bars(spark, d, HOUR).select("instrument_id", F.array(ms("event_time_ns"), text("open"), text("high"), text("low"), text("close"), text("volume"), ms(f"event_time_ns + {HOUR} - 1000000"), F.lit("0"), text("trades")).alias("k"))
+    out = files.normalize_klines(k, F.col("instrument_id"), START + 20 * DAY)
+    return out.select("instrument_id", "event_time_ns", *r6("open", "close"), F.col("volume").cast("double").alias("volume"), "trades")
+
+
+@query("SELECT 'trade-X-' || event_id AS ingest_id, event_id AS sequence, epoch_us(ts) // 1000 * 1000000 AS event_time_ns, value AS price, (props->>'$.k')::DOUBLE AS size, event_id % 2 = 0 AS buyer_maker FROM events")
+def spot_trades(spark, d):
+    e = V.tape(spark, d).select(F.col("arrival_ord").alias("a"), F.col("price").cast("string").alias("p"), F.col("size").cast("string").alias("q"), F.expr("event_time_ns div 1000000").alias("T"), (F.col("arrival_ord") % 2 == 0).alias("m"))
+    return files.normalize_trades(e, "X", START).select("ingest_id", "sequence", "event_time_ns", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"), "buyer_maker")
+
+
+@query("SELECT 'book-X-' || p_partkey AS ingest_id, p_partkey AS sequence, 900.0 + p_size AS best_bid, 901.5 + p_size AS best_ask, 3.0::DOUBLE AS ask_size FROM part")
+def spot_books(spark, d):
+    pair = lambda price, size: F.array(F.format_string("%.2f", price), F.lit(size))
+    rows = V.table(spark, d, "part").select(F.col("p_partkey").alias("lastUpdateId"), F.array(pair(F.col("p_size") + 900.0, "1"), pair(F.col("p_size") + 899.0, "2")).alias("bids"), F.array(pair(F.col("p_size") + 901.5, "3")).alias("asks"))
+    b = files.normalize_depth(rows, "X", START)
+    return b.select("ingest_id", "sequence", F.col("bids")[0]["price"].cast("double").alias("best_bid"), F.col("asks")[0]["price"].cast("double").alias("best_ask"), F.col("asks")[0]["size"].cast("double").alias("ask_size"))
+
+
+@query("SELECT instrument_id, CASE WHEN arrival_ord % 2 = 0 THEN event_time_ns // 1000000 * 1000000 ELSE event_time_ns END AS event_time_ns, price FROM canon", ("canon",))
+def prediction_prices(spark, d):
+    """Times in milliseconds or nanoseconds, told apart by their size."""
+    t = V.tape(spark, d).select("instrument_id", F.when(F.col("arrival_ord") % 2 == 0, F.expr("event_time_ns div 1000000")).otherwise(F.col("event_time_ns")).alias("t"), F.col("price").alias("p"))
+    return files.normalize_prediction(t, END + DAY).select("instrument_id", "event_time_ns", F.col("price").cast("double").alias("price"))
+
+
+@query("SELECT 'P' || p_partkey AS instrument_id, 0.01::DOUBLE AS tick_size, p_size / 1000.0 AS lot_size FROM part WHERE p_partkey % 3 = 0")
+def spot_symbols(spark, d):
+    """Listed instruments that trade, with tick and lot from their lists of filters."""
+    f = lambda kind, tick, step: F.struct(F.lit(kind).alias("filterType"), tick.alias("tickSize"), step.alias("stepSize"))
+    none, lot = F.lit(None).cast("string"), F.format_string("%.3f", F.col("p_size") / 1000.0)
+    rows = V.table(spark, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.when(F.col("p_partkey") % 3 == 0, "TRADING").otherwise("BREAK").alias("status"), F.array(f("LOT_SIZE", none, lot), f("PRICE_FILTER", F.lit("0.01"), none)).alias("filters"))
+    return files.trading_symbols(rows).select("instrument_id", F.col("tick_size").cast("double").alias("tick_size"), F.col("lot_size").cast("double").alias("lot_size"))
+
+
+@query("SELECT 'm' || n_nationkey AS market, n_nationkey || side AS instrument_id, outcome FROM nation, (VALUES ('y', 'Yes'), ('n', 'No')) t(side, outcome)")
+def prediction_outcomes(spark, d):
+    """A row per outcome of markets that list tokens and outcomes as JSON in text."""
+    n = V.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"))
+    return files.outcome_tokens(n.select(F.concat(F.lit("m"), "k").alias("market"), F.format_string('["%sy","%sn"]', "k", "k").alias("clobTokenIds"), F.lit('["Yes","No"]').alias("outcomes")))
+
+
+@query("SELECT 'F' || p_partkey AS instrument_id, 0.25::DOUBLE AS tick_size, 50.0 + p_size AS multiplier FROM part")
+def futures_dimension(spark, d):
+    p = V.table(spark, d, "part").select(F.concat(F.lit("F"), F.col("p_partkey").cast("string")).alias("instrument_id"), F.lit("ES").alias("symbol"), F.lit("X").alias("venue"), F.lit("0.25").alias("tick_size"), F.lit("1").alias("lot_size"), (F.col("p_size") + 50).cast("string").alias("multiplier"), F.lit("USD").alias("quote_currency"), F.lit(None).cast("string").alias("expiry"), F.lit(None).cast("string").alias("margin_mode"))
+    return files.futures_definitions(p).select("instrument_id", F.col("tick_size").cast("double").alias("tick_size"), F.col("multiplier").cast("double").alias("multiplier"))
+
+
+@query(f"SELECT event_time_ns, sequence, price, size FROM canon WHERE instrument_id = 'view' AND event_time_ns >= {START + DAY} AND event_time_ns < {START + 9 * DAY} ORDER BY event_time_ns, sequence LIMIT 500", ("canon",))
+def futures_archive(spark, d):
+    """A JSON archive of futures trades: one instrument, a half-open range, the first rows in order (the limit is the
+    source's own)."""
+    path = _scratch(spark, "archive")
+    payload = F.create_map(F.lit("price"), F.col("price").cast("string"), F.lit("size"), F.col("size").cast("string"))
+    V.canon(spark, d).select("event_type", "venue", "instrument_id", "event_time_ns", "receive_time_ns", "sequence", payload.alias("payload")).write.json(path)
+    rows = files.normalize_archive(files.read_archive(spark, path, "view", START + DAY, START + 9 * DAY, 500, lines=True))
+    return rows.select("event_time_ns", "sequence", F.col("price").cast("double").alias("price"), F.col("size").cast("double").alias("size"))
+
+
+@query("SELECT count(*) AS event_count, 0::BIGINT AS problems FROM canon WHERE instrument_id = 'purchase'", ("canon",))
+def ingest_bundle(spark, d):
+    """A bundle that is published whole, and what its validation finds: nothing."""
+    from ..sources import ingest
+
+    path = _scratch(spark, "bundle")
+    e = V.canon(spark, d).where("instrument_id = 'purchase'")
+    receipt = ingest.publish(path, [], {"instrument": "purchase"}, e, spark.createDataFrame([("duplicates", 0)], "code string, n long"))
+    return spark.range(1).select(F.lit(receipt["event_count"]).cast("long").alias("event_count"), F.lit(len(ingest.bundle_problems(spark, path))).cast("long").alias("problems"))
+
+
 # ---- quality ----
 
 
@@ -783,6 +895,39 @@ def block_bootstrap(spark, d):
     return oos.block_bootstrap(r, n, 4, 200, 7, keys=["variant"]).select("variant", F.col("draw").cast("long").alias("draw"), *r6("mean"))
 
 
+@query(
+    """SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(quantile_cont(o_totalprice, 0.95), 6) AS p95 FROM orders GROUP BY 1"""
+)
+def linear_quantiles(spark, d):
+    return risk.quantiles(V.table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", {"median": 0.5, "p95": 0.95}).select("o_orderpriority", *r6("median", "p95"))
+
+
+@query("SELECT variant, obs, round(ret, 6) AS ret FROM (SELECT variant, obs, wealth / lag(wealth, 1, 1.0) OVER (PARTITION BY variant ORDER BY obs) - 1 AS ret FROM (SELECT variant, obs, product(1 + ret) OVER (PARTITION BY variant ORDER BY obs) AS wealth FROM rets)) WHERE ret IS NOT NULL", ("rets",))
+def periodic_returns(spark, d):
+    """Returns of equity curves that begin with the cash and end with the final equity: those that made the curves."""
+    r = V.returns_long(spark, d)
+    w = W.partitionBy("variant").orderBy("obs").rowsBetween(W.unboundedPreceding, 0)
+    curve = r.select("variant", F.col("obs").alias("event_time_ns"), (100.0 * F.product(1 + F.col("ret")).over(w)).alias("equity"))
+    last = curve.groupBy("variant").agg(F.max_by("equity", "event_time_ns").alias("final"))
+    return metrics.periodic_returns(curve, last, ["variant"], 100.0).select("variant", F.col("idx").cast("long").alias("obs"), *r6("ret"))
+
+
+@query("SELECT l_orderkey, round(g, 4) AS gross_pnl, round(c, 4) AS total_costs FROM (SELECT l_orderkey, sum(l_extendedprice) AS n, sum(l_extendedprice * l_discount) + sum(l_tax) + 1.5 AS c, sum(l_extendedprice) + sum(l_extendedprice * l_discount) + sum(l_tax) + 1.5 AS g FROM lineitem GROUP BY 1)")
+def cost_waterfall(spark, d):
+    """Gross is net and every cost that left cash."""
+    r = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("net_pnl"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("fees"), F.sum("l_tax").alias("spread"))
+    r = r.withColumns({"slippage": F.lit(1.0), "impact": F.lit(0.5), "funding": F.lit(0.0), "borrow": F.lit(0.0), "roll": F.lit(0.0)})
+    return metrics.waterfall(r).select("l_orderkey", F.round("gross_pnl", 4).alias("gross_pnl"), F.round("total_costs", 4).alias("total_costs"))
+
+
+@query("SELECT instrument_id, instrument_id NOT IN ('view', 'error') AS promotable, CASE WHEN instrument_id NOT IN ('view', 'error') THEN round(arg_max(close, event_time_ns) / arg_min(close, event_time_ns) * 1000 - 1000, 6) END AS pnl FROM bars_d GROUP BY 1", ("bars_d",))
+def metric_pack_ruined(spark, d):
+    """A run whose equity was ever 0 or less has no metrics and cannot be promoted."""
+    ruined = (F.col("instrument_id") == "view") & (F.row_number().over(W.partitionBy("instrument_id").orderBy("event_time_ns")) == 7)
+    c = _curve(spark, d).withColumn("ruined", ruined).withColumn("equity", F.when(F.col("ruined"), 0.0).when((F.col("instrument_id") == "error") & (F.col("event_time_ns") == START + 9 * DAY), -5.0).otherwise(F.col("equity")))
+    return metrics.metric_pack(c.drop("ruined"), None, ["instrument_id"], 1000.0, 365.25).select("instrument_id", "promotable", *r6("pnl"))
+
+
 @query("SELECT lang AS regime, count(*) AS observations, round(avg(quality), 6) AS mean, round(avg((quality > 0)::INT), 6) AS win_rate FROM documents JOIN labels USING (doc_id) GROUP BY 1")
 def regime_stats(spark, d):
     j = V.table(spark, d, "documents").select("doc_id", "lang").join(V.table(spark, d, "labels"), "doc_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..model import order_key
+from ..model import EVENT_TYPES, order_key
 
 IDENTIFIER = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
@@ -87,15 +87,23 @@ def in_range(rows: DataFrame, start_ns: int, end_ns: int, time: str = "event_tim
     return rows.where((F.col(time) >= start_ns) & (F.col(time) < end_ns))
 
 
+def of_types(rows: DataFrame, *kinds: str) -> DataFrame:
+    """Events of the given types."""
+    if unknown := set(kinds) - set(EVENT_TYPES):
+        raise ValueError(f"no such event types: {', '.join(sorted(unknown))}")
+    return rows.where(F.col("event_type").isin(*kinds))
+
+
 def point_in_time(rows: DataFrame, decision: Column | int) -> DataFrame:
     """What had been received when the decision was made: the receive time counts, not the event time."""
     return rows.where(F.col("receive_time_ns") <= decision)
 
 
-def read_archive(spark: SparkSession, path: str, instrument: str, start_ns: int, end_ns: int, limit: int) -> DataFrame:
-    """A JSON array of futures events: one instrument, a half-open range, the first ``limit`` rows in time order."""
+def read_archive(spark: SparkSession, path: str, instrument: str, start_ns: int, end_ns: int, limit: int, lines: bool = False) -> DataFrame:
+    """A JSON array of futures events (``lines``: an object a line, which many tasks can read): one instrument, a half-open
+    range, the first ``limit`` rows in time order."""
     schema = "event_type string, venue string, instrument_id string, event_time_ns long, receive_time_ns long, sequence long, payload map<string,string>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     return in_range(rows.where(F.col("instrument_id") == instrument), start_ns, end_ns).orderBy("event_time_ns", "sequence").limit(limit)
 
 
@@ -107,11 +115,11 @@ def normalize_archive(rows: DataFrame, default_receive_ns: int | None = None) ->
     return rows.select(F.lit("archive").alias("source"), "venue", "instrument_id", "event_type", "event_time_ns", receive.alias("receive_time_ns"), "sequence", F.substring(F.sha2(text, 256), 1, 24).alias("ingest_id"), F.sha2(text, 256).alias("raw_fingerprint"), *[money(c) for c in ("open", "high", "low", "close", "volume", "price", "size")])
 
 
-def normalize_klines(rows: DataFrame, instrument: str, receive_ns: int) -> DataFrame:
+def normalize_klines(rows: DataFrame, instrument: str | Column, receive_ns: int) -> DataFrame:
     """Positional kline arrays (``k``, text) as bars; a bar that closes after it was received is dropped."""
     at = lambda i: F.col("k")[i]
     money = lambda i, n: at(i).cast("decimal(38,18)").alias(n)
-    b = rows.select(F.lit(instrument).alias("instrument_id"), F.lit("bar").alias("event_type"), (at(0).cast("long") * 1_000_000).alias("event_time_ns"), money(1, "open"), money(2, "high"), money(3, "low"), money(4, "close"), money(5, "volume"), (at(6).cast("long") * 1_000_000).alias("close_time_ns"), money(7, "quote_volume"), at(8).cast("long").alias("trades"))
+    b = rows.select((F.lit(instrument) if isinstance(instrument, str) else instrument).alias("instrument_id"), F.lit("bar").alias("event_type"), (at(0).cast("long") * 1_000_000).alias("event_time_ns"), money(1, "open"), money(2, "high"), money(3, "low"), money(4, "close"), money(5, "volume"), (at(6).cast("long") * 1_000_000).alias("close_time_ns"), money(7, "quote_volume"), at(8).cast("long").alias("trades"))
     return b.withColumn("receive_time_ns", F.lit(receive_ns)).where("close_time_ns <= receive_time_ns")
 
 

@@ -9,9 +9,12 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import lookups
+from . import files
 from .fs import Folder
 from .ingest import get_json
 
@@ -101,3 +104,84 @@ def landing(spark: SparkSession, root: str) -> Callable[[int, str], None]:
 def landed(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """The stream of archived messages."""
     return spark.readStream.schema(schema).json(root)
+
+
+class Adapter:
+    """What every feed offers, read-only: instruments, raw rows, events, a comparison with another source, a manifest, and
+    what trading there costs. Subclasses fill in what their feed has; get answers requests, spark makes tables."""
+
+    name = ""
+    kinds: tuple[str, ...] = ()
+
+    def __init__(self, spark: SparkSession, get: Get):
+        self.spark, self.get = spark, get
+
+    def discover(self) -> DataFrame:
+        raise NotImplementedError(f"{self.name} lists no instruments")
+
+    def fetch(self, kind: str, instrument: str, start_ms: int | None = None, end_ms: int | None = None, **more) -> list:
+        raise NotImplementedError(f"{self.name} reads nothing")
+
+    def normalize(self, kind: str, raw: list, instrument: str, receive_ns: int) -> DataFrame:
+        raise NotImplementedError(f"{self.name} makes no events")
+
+    def cross_check(self, primary: DataFrame, reference: DataFrame) -> DataFrame:
+        return lookups.cross_check_bps(primary, reference, ["event_time_ns"])
+
+    def manifest(self, events: DataFrame) -> DataFrame:
+        return lookups.coverage(events)
+
+    def costs(self, instrument: str) -> dict[str, str]:
+        """Fee rate and slippage as decimals in text."""
+        return {"fee_rate": "0.001", "slippage_bps": "5"}
+
+
+class SpotAdapter(Adapter):
+    name, kinds = "spot", ("klines", "trades", "book")
+
+    def __init__(self, spark: SparkSession, get: Get, base: str = "https://spot.example"):
+        super().__init__(spark, get)
+        self.base = base
+
+    def discover(self) -> DataFrame:
+        rows = [(s["symbol"], s["status"], [(f["filterType"], f.get("tickSize"), f.get("stepSize")) for f in s["filters"]]) for s in get_json(self.get, f"{self.base}/api/v3/exchangeInfo")["symbols"]]
+        return files.trading_symbols(self.spark.createDataFrame(rows, "symbol string, status string, filters array<struct<filterType:string,tickSize:string,stepSize:string>>"))
+
+    def fetch(self, kind, instrument, start_ms=None, end_ms=None, **more):
+        got = spot_rows(self.get, self.base, kind, instrument, start_ms, end_ms, **more)
+        return got if isinstance(got, list) else [got]
+
+    def normalize(self, kind, raw, instrument, receive_ns):
+        if kind == "klines":
+            return files.normalize_klines(self.spark.createDataFrame([([str(v) for v in r],) for r in raw], "k array<string>"), instrument, receive_ns)
+        if kind == "trades":
+            rows = [(int(r["a"]), r["p"], r["q"], int(r["T"]), bool(r["m"])) for r in raw]
+            return files.normalize_trades(self.spark.createDataFrame(rows, "a long, p string, q string, T long, m boolean"), instrument, receive_ns)
+        rows = [(int(r["lastUpdateId"]), r["bids"], r["asks"]) for r in raw]
+        return files.normalize_depth(self.spark.createDataFrame(rows, "lastUpdateId long, bids array<array<string>>, asks array<array<string>>"), instrument, receive_ns)
+
+
+class PredictionAdapter(Adapter):
+    name, kinds = "prediction", ("markets", "book", "fee_rate", "price_history")
+
+    def __init__(self, spark: SparkSession, get: Get, catalogue: str = "https://catalogue.example", book: str = "https://book.example"):
+        super().__init__(spark, get)
+        self.catalogue, self.book = catalogue, book
+
+    def discover(self) -> DataFrame:
+        rows = [(str(m["id"]), m["clobTokenIds"], m["outcomes"]) for m in self.fetch("markets", "")]
+        return files.outcome_tokens(self.spark.createDataFrame(rows, "market string, clobTokenIds string, outcomes string"))
+
+    def fetch(self, kind, instrument, start_ms=None, end_ms=None, **more):
+        got = prediction_document(self.get, self.catalogue, self.book, kind, instrument or None, more or None)
+        return got if isinstance(got, list) else got.get("history", [got])
+
+    def normalize(self, kind, raw, instrument, receive_ns):
+        if kind != "price_history":
+            raise ValueError(f"{kind} gives no prices")
+        rows = [(instrument, int(r["t"]), float(r["p"])) for r in raw]
+        return files.normalize_prediction(self.spark.createDataFrame(rows, "instrument_id string, t long, p double"), receive_ns)
+
+    def costs(self, instrument):
+        basis = self.fetch("fee_rate", instrument)[0].get("base_fee", 0)
+        return {"fee_rate": format(Decimal(str(basis)) / 10_000, "f"), "slippage_bps": "0"}

@@ -358,6 +358,46 @@ def test_prediction_documents():
             read(*bad)
 
 
+def test_adapters(spark):
+    answers = {
+        "exchangeInfo": {"symbols": [{"symbol": "AB", "status": "TRADING", "filters": [{"filterType": "PRICE_FILTER", "tickSize": "0.10"}, {"filterType": "LOT_SIZE", "stepSize": "0.5"}]}, {"symbol": "CD", "status": "BREAK", "filters": []}]},
+        "klines": [[0, "1", "2", "0.5", "1.5", "9", 59, "0", 3], [60, "1", "2", "0.5", "1.6", "9", 5000, "0", 3]],
+        "aggTrades": [{"a": 1, "p": "2", "q": "3", "T": 4, "m": True}],
+        "depth": {"lastUpdateId": 5, "bids": [["1", "2"]], "asks": []},
+        "markets": [{"id": 7, "clobTokenIds": '["a","b"]', "outcomes": '["Yes","No"]'}],
+        "prices-history": {"history": [{"t": 1_700_000_000_000, "p": 0.25}]},
+        "fee-rate": {"base_fee": 15},
+    }
+    get = lambda url, p: (200, json.dumps(next(v for k, v in answers.items() if k in url)))
+    spot = markets.SpotAdapter(spark, get)
+    assert [(r.instrument_id, r.lot_size) for r in spot.discover().collect()] == [("AB", D("0.5"))]
+    bars = spot.normalize("klines", spot.fetch("klines", "AB", 0, 100), "AB", 1_000_000_000)
+    assert [r.close for r in bars.collect()] == [D("1.5")]
+    assert spot.normalize("trades", spot.fetch("trades", "AB"), "AB", 9).first().size == 3
+    assert spot.normalize("book", spot.fetch("book", "AB"), "AB", 9).first().bids[0].price == 1
+    other = bars.selectExpr("event_time_ns", "close", "1 AS ord")
+    assert spot.cross_check(bars.select("event_time_ns", "close"), other).first().status == "pass"
+    assert spot.manifest(bars.withColumn("source", F.lit("s"))).first().n == 1
+    prediction = markets.PredictionAdapter(spark, get)
+    assert sorted(r.instrument_id for r in prediction.discover().collect()) == ["a", "b"]
+    assert prediction.normalize("price_history", prediction.fetch("price_history", "a"), "a", 1_700_000_100_000_000_000).first().price == D("0.25")
+    assert prediction.costs("a")["fee_rate"] == "0.0015"
+    with pytest.raises(NotImplementedError):
+        markets.Adapter(spark, get).discover()
+
+
+def test_models_can_be_replaced(spark):
+    class Generous(replay.Fills):
+        def of(self, o, e):
+            return ([(o.quantity, D(1), D(0))], "wait", "") if e["receive_time_ns"] > o.decided else ([], "wait", "")
+
+    models = replay.Models(fills=Generous, costs=lambda *a: (D(1), D(0), D(0)), risk=lambda o, book, r: "closed" if o.side < 0 else "")
+    df = spark.createDataFrame([("a", *(r[c] for c in ("instrument_id", "event_type", "event_time_ns", "receive_time_ns", "sequence", "ingest_id", "open", "close", "volume"))) for r in walk(3, 20)], "run_id string, " + EVENT)
+    out = replay.replay(df, lambda run: strategies.BuyHold(), models=models).collect()
+    assert [(r.price, r.fee) for r in out if r.kind == "fill"] == [("1", "1")]
+    assert [r.reason for r in out if r.kind == "rejected"] == ["closed"]
+
+
 def test_streams_reconnect_and_land(spark, tmp_path):
     tries = iter([['{"a": 1}', "broken"], ['{"a": 2}'], None])
 
