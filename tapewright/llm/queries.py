@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, jaccard, licenses, mixing, quality, suffix, toxicity, warc
+from . import bpe, chat, embeddings, jaccard, licenses, mixing, oracles, quality, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,4 +64,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_embedding_near_dedup, op4_byte_bpe, op5_warc, op6_chat_formatting, op7_ngram_jaccard, op8_mix_sources, op9_quality_rules, op10_license_scan)}
 
-ORACLES = {"op6_chat_formatting": chat.oracle(), "op8_mix_sources": mixing.oracle()}
+ORACLES = {
+    "op1_suffix_dedup": oracles.suffix_dedup(),
+    "op3_embedding_near_dedup": oracles.embeddings(),
+    "op5_warc": oracles.warc(),
+    "op6_chat_formatting": chat.oracle(),
+    "op7_ngram_jaccard": oracles.jaccard(),
+    "op8_mix_sources": mixing.oracle(),
+    "op10_license_scan": oracles.license_scan(),
+}
