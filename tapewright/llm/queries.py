@@ -21,7 +21,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).withColumn("distance", F.round("distance", 6))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +71,6 @@ ORACLES = {
     "op6_chat_formatting": chat.oracle(),
     "op7_ngram_jaccard": oracles.jaccard(),
     "op8_mix_sources": mixing.oracle(),
+    "op9_quality_rules": oracles.quality_rules(),
     "op10_license_scan": oracles.license_scan(),
 }
