@@ -170,7 +170,7 @@ def test_suffix_small_blocks_and_hot_anchors(spark, monkeypatch):
 
 
 def test_suffix_many_contexts_of_one_passage(spark, monkeypatch):
-    """Texts that share a core shorter than a string but longer than an anchor, so that halving goes all the way down."""
+    """Texts that share a core shorter than a string but longer than an anchor, so that splitting goes all the way down."""
     monkeypatch.setattr(suffix, "HOT", 2)
     rng = random.Random(12)
     noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
