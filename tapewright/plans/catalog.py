@@ -1330,6 +1330,13 @@ def ledger_chain(spark, d):
     return lookups.ledger_problems(_ledger(spark, d))
 
 
+@query("SELECT CASE p_partkey % 5 WHEN 0 THEN 'full_text' WHEN 1 THEN 'abstract' WHEN 2 THEN 'metadata' WHEN 3 THEN 'full_text' ELSE 'other' END AS scope, count(*) AS n FROM part GROUP BY 1")
+def evidence_scopes(spark, d):
+    """Sources by what their classification's words allow them to support."""
+    words = F.get(F.array(*[F.lit(w) for w in ("Full Text", "ABSTRACT only", "metadata record", "text of the full paper", "note")]), (F.col("p_partkey") % 5).cast("int"))
+    return V.table(spark, d, "part").select(lookups.evidence_scope(words, F.lit("seen")).alias("scope")).groupBy("scope").agg(F.count("*").alias("n"))
+
+
 @query("SELECT conv_id, sum(length(text))::BIGINT AS variants, count(*) + 1 AS next_attempt FROM conversations WHERE role = 'user' GROUP BY 1")
 def trial_count(spark, d):
     c = V.table(spark, d, "conversations").where("role = 'user'")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import html
 import json
@@ -91,18 +92,30 @@ def archive_raw(root: str, received_ns: int, body: str) -> str:
     return path
 
 
+def _last_line(f) -> bytes:
+    """The last line of a binary file that holds one, read from its end."""
+    end = f.seek(0, os.SEEK_END)
+    size = 4096
+    while True:
+        begin = max(0, end - size)
+        f.seek(begin)
+        lines = [x for x in f.read(end - begin).split(b"\n") if x.strip()]
+        if not begin or len(lines) > 1:
+            return lines[-1] if lines else b""
+        size *= 2
+
+
 def append_ledger(path: str, entry: dict) -> dict:
-    """Add an entry that names the hash of the one before it and has its own."""
-    last = None
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                if line.strip():
-                    last = json.loads(line)["entry_hash"]
-    body = {k: v for k, v in entry.items() if k not in ("previous_hash", "entry_hash")} | {"previous_hash": last}
-    body["entry_hash"] = hashlib.sha256(canonical_json(body).encode()).hexdigest()
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(canonical_json(body) + "\n")
+    """Add an entry that names the hash of the one before it and has its own. The file is locked meanwhile, so that two
+    writers can't name the same predecessor, and only its end is read."""
+    with open(path, "a+b") as f:
+        fcntl.flock(f, fcntl.LOCK_EX)
+        last = _last_line(f)
+        body = {k: v for k, v in entry.items() if k not in ("previous_hash", "entry_hash")} | {"previous_hash": json.loads(last)["entry_hash"] if last else None}
+        body["entry_hash"] = hashlib.sha256(canonical_json(body).encode()).hexdigest()
+        f.write(canonical_json(body).encode() + b"\n")
+        f.flush()
+        os.fsync(f.fileno())
     return body
 
 

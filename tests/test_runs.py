@@ -256,6 +256,19 @@ def test_folders(spark, tmp_path):
         at.move("z", "e/y")
 
 
+def test_ledger_of_several_writers(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tapewright.sources import sinks
+
+    path = str(tmp_path / "l.jsonl")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: sinks.append_ledger(path, {"k": k, "pad": "x" * (k * 300)}), range(40)))
+    rows = [json.loads(x) for x in open(path, encoding="utf-8")]
+    assert sorted(r["k"] for r in rows) == list(range(40))
+    assert [r["previous_hash"] for r in rows] == [None, *[r["entry_hash"] for r in rows[:-1]]]
+
+
 def test_packages(spark, tmp_path):
     runs = baselines.run(spark, ["buy_hold"])
     tape = baselines.tape(spark, ["buy_hold"])
