@@ -29,6 +29,12 @@ class Folder:
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._path(name))
 
+    def matching(self, pattern: str) -> set[str]:
+        """Paths below the folder that match a pattern with *, relative to it: one listing for many names."""
+        found = self._fs.globStatus(self._path(pattern)) or []
+        base = self._fs.makeQualified(self._path("")).toUri().getPath()
+        return {s.getPath().toUri().getPath()[len(base) + 1 :] for s in found}
+
     def names(self, name: str = "") -> list[str]:
         """Names in a folder, sorted; none if it is not there."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name))) if self.exists(name) else []
@@ -59,6 +65,10 @@ class Folder:
         finally:
             stream.close()
 
+    def put(self, name: str, text: str) -> None:
+        """A new file in a folder that no one else writes to."""
+        self._create(name, text, False)
+
     def claim(self, name: str, text: str = "") -> bool:
         """Create a file that must not exist; False if it does. Of several writers one succeeds."""
         try:

@@ -45,16 +45,17 @@ def write_events(events: DataFrame, root: str) -> list[tuple]:
     stage, claimed = f"_stage-{uuid.uuid4().hex}", []
     place = {row: "/".join(f"{c}={v}" for c, v in zip(LAYOUT, row)) for row in marks}
     moved: list[str] = []
+    there = base.matching("/".join(f"{c}=*" for c in LAYOUT))
     try:
         for row, path in sorted(place.items()):
             claim = f"_claims/{hashlib.sha256(path.encode()).hexdigest()}"
-            if base.exists(path) or not base.claim(claim, path):
+            if path in there or not base.claim(claim, path):
                 raise PartitionExists(path)
             claimed.append(claim)
         dealt = dated.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, *canonical_order("arrival_ord" in events.columns))
         dealt.write.option("compression", "zstd").partitionBy(*LAYOUT).parquet(base.path(stage))
         for row, path in sorted(place.items()):
-            base.write(f"{stage}/{path}/_fingerprint.sha256", hashlib.sha256(marks[row].encode()).hexdigest())
+            base.put(f"{stage}/{path}/_fingerprint.sha256", hashlib.sha256(marks[row].encode()).hexdigest())
             base.move(f"{stage}/{path}", path)
             moved.append(path)
     except BaseException:

@@ -246,6 +246,7 @@ def test_folders(spark, tmp_path):
     assert at.claim("x", "1") and not at.claim("x", "2") and at.read("x") == "1"
     at.write("d/y", "é")
     at.write("d/y", "ü")
+    assert at.matching("*/y") == {"d/y"} and at.matching("q=*") == set()
     assert at.read("d/y") == "ü" and at.names("d") == ["y"] and at.names("none") == []
     at.write("z", "1", create_only=True)
     at.write("z", "1", create_only=True)
