@@ -14,22 +14,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, mix64, pieces, release, saved, text_column, unused
+from .common import collect_garbage, forget, mix64, pieces, release, saved, text_column, unused
 
 #: Bytes of a string that must not occur twice.
 LENGTH = 200
 #: Bytes of an anchor; each string of LENGTH bytes has the one with the least hash.
 ANCHOR = 48
 #: Anchors of a bucket, on average.
-BUCKET = 1 << 19
+BUCKET = 1 << 17
 #: Bytes of candidate text of a bucket, on average.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 #: Bytes of text from which a suffix array is built: its work arrays are 80 times as large.
-SORTED = 768 << 10
+SORTED = 256 << 10
 #: Different texts of an anchor at most, for a suffix array; beyond, their strings meet by longer anchors.
 HOT = 2_000
+#: Ranges of offsets that a crowded anchor's strings are split into at once.
+PARTS = 4
 #: Runs that a task holds at once, to find equal ones before they are dealt.
-HELD = 1 << 18
+HELD = 1 << 16
 #: Ids that are broadcast to pick documents at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Low bits of the keys of the sliding minimum that hold places, and so the bytes hashed at once.
@@ -348,14 +350,14 @@ def anchor_meetings(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 
 
 def refined_meetings(docs: DataFrame, crowded: DataFrame, buckets: int, length: int) -> DataFrame:
-    """Rows of _MET of the halves of runs whose anchor has too many texts.
+    """Rows of _MET of the parts of runs whose anchor has too many texts.
 
-    A string holds its anchor at some offset; strings of an upper and of a lower half of the offsets can't be equal, and
-    all strings of a half have, around the anchor, bytes in common that are longer than the anchor: they are the half's
-    new anchor. Runs whose new anchor is found once go; offsets are halved until one is left and the anchor is the
-    whole string."""
+    A string holds its anchor at some offset; strings of different ranges of offsets can't be equal, and all strings of a
+    range have, around the anchor, bytes in common that are longer than the anchor: they are the part's new anchor. Runs
+    whose new anchor is found once go; ranges are cut into PARTS until an offset is left and the anchor is the whole
+    string."""
 
-    def halve(batches):
+    def split(batches):
         for batch in batches:
             for part in pieces(batch, limit=1 << 20):
                 cols: dict[str, list] = {c: [] for c in _RUN if c != "dup"}
@@ -363,11 +365,12 @@ def refined_meetings(docs: DataFrame, crowded: DataFrame, buckets: int, length:
                 for u0, u1, text, runs in rows:
                     raw = text.encode()
                     for r in runs:
-                        mid = (r["lo"] + r["hi"]) // 2
+                        width = -(-(r["hi"] - r["lo"] + 1) // PARTS)
                         anchor = r["start"] + r["off"]
-                        for a, b in ((r["lo"], mid), (mid + 1, r["hi"])):
+                        for a in range(r["lo"], r["hi"] + 1, width):
+                            b = min(a + width - 1, r["hi"])
                             k0, k1 = max(r["off"] - b, 0), min(r["off"] - a, r["count"] - 1)
-                            if a > b or k0 > k1:
+                            if k0 > k1:
                                 continue
                             s = r["start"] + k0
                             key = hashlib.blake2b(raw[anchor - a : anchor - b + length], digest_size=8, salt=bytes((a, b))).digest()
@@ -380,8 +383,8 @@ def refined_meetings(docs: DataFrame, crowded: DataFrame, buckets: int, length:
         release()
 
     runs = crowded.groupBy(*UID).agg(F.collect_list(F.struct("start", "count", "off", "lo", "hi")).alias("runs"))
-    rows = picked(docs, crowded.select(*UID).distinct(), "left_semi").dropDuplicates(UID).join(runs, UID)
-    return _met(rows.select(*UID, "text", "runs").mapInArrow(halve, _DEALT))
+    rows = picked(docs, crowded.select(*UID).distinct(), "left_semi").join(runs, UID)
+    return _met(rows.select(*UID, "text", "runs").mapInArrow(split, _DEALT))
 
 
 def repeated_runs(docs: DataFrame, met: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -445,7 +448,7 @@ def repeated_runs(docs: DataFrame, met: DataFrame, buckets: int, length: int) ->
         release()
         return pa.table({"u0": np.asarray(table.column("u0"))[row], "u1": np.asarray(table.column("u1"))[row], "a": start + np.concatenate(begins), "b": start + np.concatenate(ends)})
 
-    rows = picked(docs, met.select(*UID).distinct(), "left_semi").dropDuplicates(UID).join(runs, UID)
+    rows = picked(docs, met.select(*UID).distinct(), "left_semi").join(runs, UID)
     segs = rows.select(*UID, "text", "runs").mapInArrow(cut, "bucket long, key long, seg binary, u0 long, u1 long, start long")
     return segs.groupBy("bucket").applyInArrow(decide, "u0 long, u1 long, a long, b long")
 
@@ -471,7 +474,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     expected = 2 * total // (length - ANCHOR + 2)
     tables = [saved(anchor_meetings(distinct, max(1, -(-expected // BUCKET)), length), "suffix-met")]
     while crowd := tables[-1].where(F.col("state") == CROWDED).count():
-        tables.append(saved(refined_meetings(distinct, tables[-1].where(F.col("state") == CROWDED), -(-2 * crowd // BUCKET), length), "suffix-met"))
+        tables.append(saved(refined_meetings(distinct, tables[-1].where(F.col("state") == CROWDED), -(-PARTS * crowd // BUCKET), length), "suffix-met"))
+    collect_garbage(docs.sparkSession)
     met = functools.reduce(DataFrame.unionByName, tables)
     compare = met.where(F.col("state") == COMPARE)
     size = compare.agg(F.sum(F.col("count") + length)).first()[0] or 0
