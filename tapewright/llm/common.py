@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -34,15 +35,38 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tapewright/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[DataFrame]] = []
+
+
+def saved(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.__dict__["saved_at"] = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
+def scratch(make):
+    """A function whose result is written, and whose other tables made by saved() are deleted when it returns or fails."""
+
+    @functools.wraps(make)
+    def made(*args, **named) -> DataFrame:
+        _SCRATCH.append([])
+        try:
+            out = saved(make(*args, **named), make.__name__)
+            _SCRATCH[-1] = [t for t in _SCRATCH[-1] if t is not out]
+        finally:
+            forget(*_SCRATCH.pop())
+        if _SCRATCH:
+            _SCRATCH[-1].append(out)
+        return out
+
+    return made
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by saved() that nothing reads any more."""
     for t in tables:
@@ -85,9 +109,9 @@ def release() -> None:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Have the executors collect garbage between stages of unlike needs, which lets their heaps shrink: a stage that works
-    in Python then finds the memory that one before it took in the JVM."""
-    n = 4 * spark.sparkContext.defaultParallelism
+    """Have the executors collect garbage between stages of unlike needs, which lets their heaps shrink and frees the buffers
+    of many small files: a stage that works in Python then finds the memory that one before it took in the JVM."""
+    n = 2 * spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
 
 

@@ -33,7 +33,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     Large-star and small-star rounds: neighbours are pointed at the smallest neighbour until links are stars. Each
     round is a partial aggregate and a join on its unique result (a hub's links are split by AQE's skew join) and is
     written to the shared folder. Links of a node to itself give no row."""
-    now = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    now = saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", "none")
 
     def mark(df):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -43,10 +43,10 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = saved(large.where("a <> b").distinct(), "links")
+        large = saved(large.where("a <> b").distinct(), "links", "none")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        small = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        small = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links", "none")
         forget(now, large)
         now, after = small, mark(small)
         if after == before:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, saved, unused
+from .common import forget, saved, scratch, unused
 
 WS = "[ \\t-\\r]+"
 #: Squared distance from which a row is an outlier: of five normal variables one in 1e12 lies beyond (the upper 1e-12
@@ -172,22 +172,18 @@ def robust_estimates(rows: DataFrame, few: bool, share: float = 0.75, steps: int
     quart = quart.groupBy("g").agg(*[F.max(F.when(F.col("pos") == i, F.transform("q", lambda b: (b + 0.5) / BINS))).alias(f"p_{x}") for i, x in enumerate(xs)])
     z = [F.abs(F.col(x) - F.col(f"p_{x}")[1]) / (F.col(f"p_{x}")[2] - F.col(f"p_{x}")[0] + FEATURES[x]) for x in xs]
     inner = rows.join(small(quart), "g").withColumn("d", F.greatest(*z))
-    best = None
-    for first in (inner.groupBy("g").agg(*_moments(inner, F.col("d") <= 1.5, "a")), rows.groupBy("g").agg(*_moments(rows, F.lit(True), "a"))):
-        current = saved(_params(_whitened(first, "a", 1.0), ["g"]), "mcd")
-        for _ in range(steps):
-            near = rows.join(small(current), "g").select("g", *xs, F.floor(F.log(F.greatest(_distance(), F.lit(1e-12))) * LOG_BINS).alias("bin"))
-            cut = _quantiles(near.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], [share]).select("g", F.col("q")[0].alias("cut"))
-            near = near.join(small(cut), "g")
-            after = saved(_params(_whitened(near.groupBy("g").agg(*_moments(near, F.col("bin") <= F.col("cut"), "a")), "a", 1.0), ["g"]), "mcd")
-            forget(current)
-            current = after
-        if best is None:
-            best = current
-            continue
-        names = [c for c in best.columns if c != "g"]
-        less = F.col("b.logdet") < F.col("a.logdet")
-        best = best.alias("a").join(current.alias("b"), "g").select("g", *[F.when(less, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c) for c in names])
+    starts = [inner.groupBy("g").agg(*_moments(inner, F.col("d") <= 1.5, "a")), rows.groupBy("g").agg(*_moments(rows, F.lit(True), "a"))]
+    first = starts[0].withColumn("start", F.lit(0)).unionByName(starts[1].withColumn("start", F.lit(1)))
+    current, key = saved(_params(_whitened(first, "a", 1.0), ["g", "start"]), "mcd"), ["g", "start"]
+    for _ in range(steps):  # of both starts at once
+        near = rows.join(small(current), "g").select(*key, *xs, F.floor(F.log(F.greatest(_distance(), F.lit(1e-12))) * LOG_BINS).alias("bin"))
+        cut = _quantiles(near.groupBy(*key, "bin").agg(F.count("*").alias("n")), key, [share]).select(*key, F.col("q")[0].alias("cut"))
+        near = near.join(small(cut), key)
+        after = saved(_params(_whitened(near.groupBy(*key).agg(*_moments(near, F.col("bin") <= F.col("cut"), "a")), "a", 1.0), key), "mcd")
+        forget(current)
+        current = after
+    names = [c for c in current.columns if c not in key]
+    best = current.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("x")).select("g", *[F.col(f"x.{c}").alias(c) for c in names])
     near = rows.join(small(best), "g").select("g", *xs, (_distance() / CONSISTENCY <= NEAR).alias("near"))
     return saved(_params(_whitened(near.groupBy("g").agg(*_moments(near, F.col("near"), "a")), "a", REWEIGHTED), ["g"]), "mcd")
 
@@ -200,6 +196,7 @@ def _groups(rows: DataFrame) -> DataFrame:
     return sizes.join(pools, F.col("own.l") == F.col("pool"), "left").select("own", g.alias("g"))
 
 
+@scratch
 def quality(docs: DataFrame, cutoff: float = CUTOFF, share: float = 0.75) -> DataFrame:
     """A verdict per document: base rules, then outliers among the documents that pass them.
 
