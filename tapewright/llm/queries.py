@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, jaccard, licenses, mixing, oracles, quality, suffix, toxicity, warc
+from . import bpe, chat, embeddings, jaccard, licenses, merkle, mixing, oracles, packing, periodic, quality, suffix, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_embedding_near_dedup, op4_byte_bpe, op5_warc, op6_chat_formatting, op7_ngram_jaccard, op8_mix_sources, op9_quality_rules, op10_license_scan)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_toxicity,
+        op3_embedding_near_dedup,
+        op4_byte_bpe,
+        op5_warc,
+        op6_chat_formatting,
+        op7_ngram_jaccard,
+        op8_mix_sources,
+        op9_quality_rules,
+        op10_license_scan,
+        op11_packing,
+        op12_periodic_runs,
+        op13_merkle_manifest,
+    )
+}
 
 ORACLES = {
     "op1_suffix_dedup": oracles.suffix_dedup(),
@@ -73,4 +104,6 @@ ORACLES = {
     "op8_mix_sources": mixing.oracle(),
     "op9_quality_rules": oracles.quality_rules(),
     "op10_license_scan": oracles.license_scan(),
+    "op12_periodic_runs": periodic.oracle(),
+    "op13_merkle_manifest": merkle.oracle(),
 }
