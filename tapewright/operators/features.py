@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..model import DAY_NS
 from .lookups import order_free_digest
+from .rolls import volume_roll  # noqa: F401
+from .scans import HOUR_NS, scan
 
 
 def bar_returns(bars: DataFrame, digest: str | None = None) -> DataFrame:
@@ -33,14 +35,18 @@ def forward_fill(column: str, keys: list[str], order: list[str]) -> Column:
     return F.last(column, ignorenulls=True).over(w)
 
 
-def drawdowns(curve: DataFrame, keys: list[str], order: str = "event_time_ns", value: str = "equity") -> DataFrame:
+def filled(rows: DataFrame, column: str, keys: list[str], order: list[str], width: int = HOUR_NS) -> DataFrame:
+    """rows whose nulls in a column are the last value before them, by key."""
+    return scan(rows, keys, order, {"_filled": ("last", F.col(column))}, width).withColumn(column, F.col("_filled")).drop("_filled")
+
+
+def drawdowns(curve: DataFrame, keys: list[str], order: str = "event_time_ns", value: str = "equity", width: int = HOUR_NS * 24) -> DataFrame:
     """Running peak, drawdown as a share of it, and the length of the current run below it."""
-    w = W.partitionBy(*keys).orderBy(order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    c = curve.withColumn("peak", F.max(value).over(upto)).withColumn("drawdown", (F.col("peak") - F.col(value)) / F.col("peak"))
-    c = c.withColumn("_run", F.sum((F.col("drawdown") <= 0).cast("int")).over(upto))
-    run = W.partitionBy(*keys, "_run").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return c.withColumn("run", F.sum((F.col("drawdown") > 0).cast("long")).over(run)).drop("_run")
+    c = scan(curve, keys, [order], {"peak": ("max", F.col(value))}, width)
+    c = c.withColumn("drawdown", (F.col("peak") - F.col(value)) / F.col("peak"))
+    c = scan(c, keys, [order], {"_rows": ("sum", F.lit(1))}, width)
+    c = scan(c, keys, [order], {"_rows_at_top": ("last", F.when(F.col("drawdown") <= 0, F.col("_rows")))}, width)
+    return c.withColumn("run", F.col("_rows") - F.coalesce("_rows_at_top", F.lit(0))).drop("_rows", "_rows_at_top")
 
 
 def worst_windows(returns: DataFrame, keys: list[str], width: int = 5, top: int = 3) -> DataFrame:
@@ -93,55 +99,14 @@ def periods_per_year(times: DataFrame, continuous: bool = True, keys: tuple[str,
     return med.withColumn("periods", F.lit(seconds * 1e9) / F.col("median_ns"))
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = True) -> DataFrame:
-    """Latest right row of the same key before each left row (at its time too unless strict).
+def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], strict: bool = True, width: int = DAY_NS) -> DataFrame:
+    """Latest right row of the same key before each left row (at its time too unless strict). Times are whole numbers.
 
-    Union and forward fill: one shuffle on the key, no range join. Right rows at the left row's time come after it in the
-    fill if strict, before it if not."""
+    Union and the last right row so far: no range join, and a hot key is dealt by time. Right rows at the left row's time come
+    after it if strict, before it if not."""
     side = F.lit(1 if strict else 0)
     keep = [c for c in left.columns if c not in by]
     lrow = left.select(*by, F.col(left_time).alias("_t"), (F.lit(0) if strict else F.lit(1)).alias("_side"), F.struct(*keep).alias("_left"), F.lit(None).cast(right.select(F.struct(*values, F.col(right_time).alias("as_of_time")).alias("z")).schema["z"].dataType).alias("_right"))
     rrow = right.select(*by, F.col(right_time).alias("_t"), side.alias("_side"), F.lit(None).cast(lrow.schema["_left"].dataType).alias("_left"), F.struct(*values, F.col(right_time).alias("as_of_time")).alias("_right"))
-    w = W.partitionBy(*by).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
-    u = lrow.unionByName(rrow).withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_left IS NOT NULL")
+    u = scan(lrow.unionByName(rrow), by, ["_t", "_side"], {"_hit": ("last", F.col("_right"))}, width).where("_left IS NOT NULL")
     return u.select(*by, "_left.*", *[F.col(f"_hit.{c}").alias(f"as_of_{c}") for c in values], F.col("_hit.as_of_time"))
-
-
-def volume_roll(bars: DataFrame, persistence: int = 2) -> DataFrame:
-    """The continuous series of the contract with the most volume, with hysteresis.
-
-    bars: series, instrument_id, event_time_ns, close, volume. A challenger takes over after beating the incumbent
-    strictly at ``persistence`` times in a row; a tie resets it; a missing incumbent is an error. Series are independent
-    groups; candidates are ranked per time before the state machine, which sees a row per time and contract."""
-    import pandas as pd
-
-    def run(key, pdf):
-        current = challenger = None
-        wins, adjustment, out = 0, 0.0, []
-        pdf = pdf.sort_values(["event_time_ns", "volume", "instrument_id"], ascending=[True, False, False])
-        for t, rows in pdf.groupby("event_time_ns", sort=True):
-            at = dict(zip(rows["instrument_id"], zip(rows["close"], rows["volume"])))
-            before = current
-            if current is None:
-                current = rows["instrument_id"].iloc[0]
-            else:
-                others = [i for i in rows["instrument_id"] if i != current]
-                best = others[0] if others else None
-                if current not in at:
-                    raise ValueError(f"incumbent contract {current} missing while challenger {best or '<none>'} was evaluated at timestamp {t}")
-                if best is None or at[best][1] <= at[current][1]:
-                    challenger, wins = None, 0
-                else:
-                    wins = wins + 1 if best == challenger else 1
-                    challenger = best
-                    if wins >= persistence:
-                        current, challenger, wins = best, None, 0
-            close = at[current][0]
-            rolled = before is not None and before != current
-            if rolled:
-                adjustment += at[before][0] - close
-            out.append((key[0], t, current, close, rolled, adjustment, close + adjustment))
-        return pd.DataFrame(out, columns=["series", "event_time_ns", "instrument_id", "raw_close", "rolled", "roll_adjustment", "signal_close"])
-
-    cols = bars.select("series", "instrument_id", "event_time_ns", F.col("close").cast("double").alias("close"), F.col("volume").cast("double").alias("volume"))
-    return cols.groupBy("series").applyInPandas(run, "series string, event_time_ns long, instrument_id string, raw_close double, rolled boolean, roll_adjustment double, signal_close double")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import DAY_NS, ROW_KEY, canonical_order
+from .scans import scan
 
 #: Allowed intervals that are broadcast at most (16 bytes each).
 BROADCAST_INTERVALS = 10_000
@@ -156,11 +157,10 @@ def ordered_digest(rows: DataFrame, columns: list[str], deal_ns: int = DAY_NS) -
 
 
 def cumulative_costs(curve: DataFrame, costs: DataFrame, keys: list[str]) -> DataFrame:
-    """Costs up to and including each row's time: union and running sum, one shuffle."""
+    """Costs up to and including each row's time: union and running sum, a hot key dealt by time."""
     c = curve.select(*keys, "event_time_ns", F.lit(0.0).alias("amount"), F.lit(True).alias("is_row"), "equity")
     k = costs.select(*keys, "event_time_ns", "amount", F.lit(False).alias("is_row"), F.lit(None).cast("double").alias("equity"))
-    w = W.partitionBy(*keys).orderBy("event_time_ns").rangeBetween(W.unboundedPreceding, 0)
-    u = c.unionByName(k).withColumn("costs", F.sum("amount").over(w)).where("is_row")
+    u = scan(c.unionByName(k), keys, ["event_time_ns"], {"costs": ("sum", F.col("amount"))}, DAY_NS, ties=True).where("is_row")
     return u.select(*keys, "event_time_ns", "equity", "costs", (F.col("equity") + F.col("costs")).alias("gross_equity"))
 
 

@@ -6,12 +6,12 @@ import itertools
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import normal
+from .draws import drawn
 
 EULER = 0.5772156649015329
 
@@ -99,21 +99,15 @@ def pbo(returns: DataFrame, n: int, blocks: int = 8) -> DataFrame:
     return s.agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.count("*").alias("combinations"))
 
 
-#: Rows of resampling starts, or of resampled places, that are broadcast at most (12 bytes each); more are joined by a shuffle.
-BROADCAST_DRAWS = 2_000_000
-
-
-def numbers_table(spark, **columns: np.ndarray) -> DataFrame:
-    """Numbers that a seeded generator made on the driver, as a table; published results depend on that generator."""
-    made = spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}))
-    return F.broadcast(made) if len(next(iter(columns.values()))) <= BROADCAST_DRAWS else made
-
-
 def _starts(spark, n: int, samples: int, seed: int, block: int, last: int) -> DataFrame:
     """(draw, start, tail) of the blocks of each resample: starts below ``last``; the block with ``tail`` is cut short."""
-    rng, per = np.random.default_rng(seed), -(-n // block)
-    starts = np.array([rng.integers(0, last) for _ in range(samples * per)], np.int64)
-    return numbers_table(spark, draw=np.repeat(np.arange(samples, dtype=np.int32), per), start=starts, tail=np.tile(np.arange(per) == per - 1, samples))
+    per = -(-n // block)
+
+    def unit(rng, first, count):
+        draw = np.repeat(np.arange(first, first + count, dtype=np.int32), per)
+        return {"draw": draw, "start": rng.integers(0, last, size=count * per), "tail": np.tile(np.arange(per) == per - 1, count)}
+
+    return drawn(spark, seed, samples, per, unit, "draw int, start long, tail boolean")
 
 
 def block_sums(series: DataFrame, keys: list[str], value: str, n: int, block: int) -> DataFrame:
@@ -152,13 +146,17 @@ def reality_check(returns: DataFrame, n: int, samples: int = 500, seed: int = 7)
 def sign_flip(pairs: DataFrame, n: int, samples: int = 2000, seed: int = 7) -> DataFrame:
     """One-sided paired test: signs of circular blocks of differences are flipped. pairs: obs, selected, baseline."""
     spark, block = pairs.sparkSession, _block_of_root(n)
-    count = -(-n // block)
-    rng = np.random.default_rng(seed)
-    start, sign = np.zeros((samples, count), np.int64), np.zeros((samples, count))
-    for d in range(samples):
-        start[d] = (rng.integers(0, n) + block * np.arange(count)) % n
-        sign[d] = rng.choice((-1.0, 1.0), size=count)
-    draws = numbers_table(spark, draw=np.repeat(np.arange(samples, dtype=np.int32), count), start=start.ravel(), sign=sign.ravel(), tail=np.tile(np.arange(count) == count - 1, samples))
+    per = -(-n // block)
+
+    def unit(rng, first, count):
+        start, sign = np.zeros((count, per), np.int64), np.zeros((count, per))
+        for d in range(count):
+            start[d] = (rng.integers(0, n) + block * np.arange(per)) % n
+            sign[d] = rng.choice((-1.0, 1.0), size=per)
+        draw = np.repeat(np.arange(first, first + count, dtype=np.int32), per)
+        return {"draw": draw, "start": start.ravel(), "sign": sign.ravel(), "tail": np.tile(np.arange(per) == per - 1, count)}
+
+    draws = drawn(spark, seed, samples, per, unit, "draw int, start long, sign double, tail boolean")
     x = pairs.select("obs", (F.col("selected") - F.col("baseline")).alias("d"))
     part = F.when(F.col("tail"), F.col("cut")).otherwise(F.col("whole"))
     means = block_sums(x, [], "d", n, block).join(draws, "start").groupBy("draw").agg((F.sum(F.col("sign") * part) / n).alias("m"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .draws import drawn
 from .features import expected_shortfall
-from .oos import numbers_table
+from .scans import fold
 
 #: Scenario, multiples of fees, slippage and funding, and of missed fills on top.
 MULTIPLIERS = (
@@ -20,18 +21,43 @@ LOSSES = (("exchange_outage", "outage_loss"), ("missing_interval", "outage_loss"
 COSTS = ("fees", "spread", "slippage", "funding", "impact", "borrow", "roll", "other", "missed")
 
 
-def compounded(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """prod(1 + r) - 1 in the order of obs, the least return, and the deepest absolute fall of the compounded wealth."""
-    a = returns.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("obs", "ret"))).alias("r"))
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("fall"))
+def _grown(ret: Column) -> Column:
+    """One return as a stretch of wealth that begins at 1: what is left of it, its highest and lowest, its deepest fall and rise,
+    and its deepest fall as a share of the height before it."""
+    w = 1 + ret
+    return F.struct(w.alias("w"), w.alias("high"), w.alias("low"), F.lit(0.0).alias("fall"), F.lit(0.0).alias("rise"), F.lit(0.0).alias("dd"))
+
+
+def _after(a: Column, b: Column) -> Column:
+    """Two neighbouring stretches as one: the later one is scaled by what the earlier one left, and turned over if that is a debt."""
+    debt = a["w"] < 0
+    high = a["w"] * F.when(debt, b["low"]).otherwise(b["high"])
+    low = a["w"] * F.when(debt, b["high"]).otherwise(b["low"])
+    share = lambda x: F.when(a["high"] > 0, (a["high"] - x) / F.nullif(a["high"], F.lit(0.0))).otherwise(0.0)
+    return F.struct(
+        (a["w"] * b["w"]).alias("w"),
+        F.greatest(a["high"], high).alias("high"),
+        F.least(a["low"], low).alias("low"),
+        F.greatest(a["fall"], F.abs(a["w"]) * F.when(debt, b["rise"]).otherwise(b["fall"]), a["high"] - low).alias("fall"),
+        F.greatest(a["rise"], F.abs(a["w"]) * F.when(debt, b["fall"]).otherwise(b["rise"]), high - a["low"]).alias("rise"),
+        F.greatest(a["dd"], b["dd"], share(low)).alias("dd"),
+    )
 
-    def step(s, x):
-        w = s["w"] * (1 + x["ret"])
-        peak = F.greatest(s["peak"], w)
-        return F.struct(w.alias("w"), peak.alias("peak"), F.greatest(s["fall"], peak - w).alias("fall"))
 
-    a = a.withColumn("z", F.aggregate("r", zero, step))
-    return a.select(*keys, (F.col("z.w") - 1).alias("total"), F.array_min(F.transform("r", lambda x: x["ret"])).alias("worst"), F.col("z.fall").alias("fall"))
+def _wealth(returns: DataFrame, keys: list[str], place: str, count: int) -> DataFrame:
+    """(keys, state): each series as one stretch, merged block by block."""
+    return fold(returns, keys, place, count, lambda _: _grown(F.col("ret").cast("double")), _after)
+
+
+def compounded(returns: DataFrame, keys: list[str]) -> DataFrame:
+    """prod(1 + r) - 1 in the order of obs (from 0), the least return, and the deepest absolute fall of the compounded wealth.
+
+    Blocks are merged, so that no series is an array."""
+    last = returns.agg(F.max("obs")).first()[0]
+    a = _wealth(returns, keys, "obs", (last or 0) + 1)
+    worst = returns.groupBy(*keys).agg(F.min("ret").alias("worst"))
+    z = a.join(worst, keys) if keys else a.crossJoin(worst)  # without keys one row each
+    return z.select(*keys, (F.col("state.w") - 1).alias("total"), "worst", F.greatest(F.lit(0.0), "state.fall", 1 - F.col("state.low")).alias("fall"))
 
 
 def stress_inputs(returns: DataFrame, costs: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,25 +82,21 @@ def stress_suite(inputs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def risk_report(returns: DataFrame, n: int, paths: int = 500, seed: int = 7, keys: list[str] = ()) -> DataFrame:
-    """Observed and resampled drawdowns, ruin share and expected shortfall of each series (keys, obs, ret).
+    """Observed and resampled drawdowns, ruin share and expected shortfall of each series (keys, obs, ret). Returns are -1 at least.
 
-    The resampled index is paths * n numbers of a seeded generator, the same for all series; a path of a series is walked
-    in its order, which is a group of n rows."""
+    The resampled index is paths * n numbers of a seeded generator, the same for all series, made on executors; blocks of a path
+    are walked apart and merged, so that neither a path nor a series is an array."""
     spark, keys = returns.sparkSession, list(keys)
-    rng = np.random.default_rng(seed)
-    picks = np.concatenate([rng.choice(np.arange(n), size=n, replace=True) for _ in range(paths)])
-    table = numbers_table(spark, path=np.repeat(np.arange(paths, dtype=np.int32), n), place=np.tile(np.arange(n, dtype=np.int32), paths), obs=picks.astype(np.int64))
-    drawn = returns.join(table, "obs").select(*keys, "path", "place", "ret")
-    own = returns.select(*keys, F.lit(-1).alias("path"), F.col("obs").cast("int").alias("place"), "ret")
-    walks = drawn.unionByName(own).groupBy(*keys, "path").agg(F.sort_array(F.collect_list(F.struct("place", "ret"))).alias("r"))
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("dd"))
-
-    def step(s, x):
-        w = s["w"] * (1 + x["ret"])
-        peak = F.greatest(s["peak"], w)
-        return F.struct(w.alias("w"), peak.alias("peak"), F.greatest(s["dd"], (peak - w) / peak).alias("dd"))
-
-    dd = walks.select(*keys, "path", F.aggregate("r", zero, step)["dd"].alias("dd"))
+
+    def unit(rng, first, count):
+        path = np.repeat(np.arange(first, first + count, dtype=np.int32), n)
+        return {"path": path, "place": np.tile(np.arange(n, dtype=np.int64), count), "obs": rng.integers(0, n, size=count * n)}
+
+    kept = returns.select(*keys, F.col("obs").cast("long").alias("obs"), F.when(F.col("ret") < -1, F.raise_error(F.lit("a return under -1 has no drawdown"))).otherwise(F.col("ret")).alias("ret"))
+    picks = kept.join(drawn(spark, seed, paths, n, unit, "path int, place long, obs long"), "obs").select(*keys, "path", "place", "ret")
+    own = kept.select(*keys, F.lit(-1).alias("path"), F.col("obs").alias("place"), "ret")
+    walks = _wealth(picks.unionByName(own), [*keys, "path"], "place", n)
+    dd = walks.select(*keys, "path", F.greatest(F.lit(0.0), "state.dd", 1 - F.col("state.low")).alias("dd"))
     sim = F.when(F.col("path") >= 0, F.col("dd"))
     out = dd.groupBy(*keys).agg(F.max(F.when(F.col("path") < 0, F.col("dd"))).alias("observed_max"), F.percentile(sim, 0.5).alias("bootstrap_median"), F.percentile(sim, 0.95).alias("bootstrap_p95"), F.avg((sim >= 0.5).cast("double")).alias("risk_of_ruin"))
     if keys:

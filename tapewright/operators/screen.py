@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .draws import BROADCAST_DRAWS, drawn
 from .features import forward_fill, full_frame
 
 
@@ -62,15 +65,21 @@ def score(x: DataFrame, fee_bps: float = 10.0, series: str = "instrument_id") ->
 
 
 def random_signals(bars: DataFrame, seeds: list[int], rows: int, series: str = "instrument_id") -> DataFrame:
-    """Seeded random positions: the generator's draws are a small table made on the driver and joined by row number."""
-    import numpy as np
-
+    """Seeded random positions: a seed's numbers are made on executors, in pieces, and joined by row number."""
     spark = bars.sparkSession
-    draws = [(k, i, float(v)) for k, s in enumerate(seeds) for i, v in enumerate(np.random.default_rng(s).choice([-1.0, 0.0, 1.0], size=rows))]
-    table = spark.createDataFrame(draws, "variant_id int, idx int, signal double")
+
+    def numbers(k: int):
+        def unit(rng, first, count):
+            return {"variant_id": np.full(count, k, np.int32), "idx": np.arange(first, first + count), "signal": np.array([-1.0, 0.0, 1.0])[rng.integers(0, 3, size=count)]}
+
+        return unit
+
+    tables = [drawn(spark, s, rows, 1, numbers(k), "variant_id int, idx long, signal double") for k, s in enumerate(seeds)]
     w = W.partitionBy(series).orderBy("event_time_ns")
-    b = bars.select(series, "event_time_ns", "close", (F.row_number().over(w) - 1).alias("idx"), F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)).alias("ret"))
-    return b.join(F.broadcast(table), "idx").select("variant_id", series, "event_time_ns", "close", "ret", "signal")
+    b = bars.select(series, "event_time_ns", "close", (F.row_number().over(w) - 1).cast("long").alias("idx"), F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)).alias("ret"))
+    table = functools.reduce(DataFrame.unionByName, tables)
+    table = F.broadcast(table) if rows * len(seeds) <= BROADCAST_DRAWS else table
+    return b.join(table, "idx").select("variant_id", series, "event_time_ns", "close", "ret", "signal")
 
 
 def synthetic_bars(spark, count: int = 96, profile: str = "trend", instrument: str = "SYNTH") -> DataFrame:

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..model import NO_SEQUENCE, ordered_lag
+from ..operators.books import book_states  # noqa: F401
 from ..operators.lookups import order_free_digest
 from ..sources.fs import Folder
 
@@ -126,40 +128,58 @@ def resumable_replay(stream: DataFrame, run: Callable, columns: list[str]) -> Da
     return stream.groupBy("run_id").applyInPandasWithState(step, "run_id string, event_time_ns long, side string, quantity string, price string", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def book_states(events: DataFrame) -> DataFrame:
-    """Snapshots and deltas folded per instrument: after each event the best levels, whether it was accepted, and whether a
-    new snapshot is needed.
+BOOK_OUT = "instrument_id string, ord long, accepted boolean, resync boolean, best_bid double, best_ask double, levels int"
 
-    events: instrument_id, sequence, event_type, hash, previous_hash, bids and asks (snapshots), changes (deltas: side,
-    price, size). A delta must follow on the sequence and the hash; size 0 removes a level; a negative size or an unknown
-    side stops the book until a snapshot, with the changes before it applied."""
 
-    def run(key, pdf):
-        bids, asks, sequence, mark, resync, out = {}, {}, None, None, True, []
-        for e in pdf.sort_values("ord").to_dict("records"):
+class BookKeeper(StatefulProcessor):
+    """One instrument's book between batches: a map entry per level, and what a delta must follow on."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.levels = handle.getMapState("levels", "side string, price double", "size double")
+        self.last = handle.getValueState("last", "sequence long, hash string, resync boolean")
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:  # noqa: N802 the interface's name
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        sequence, mark, resync = self.last.get() if self.last.exists() else (None, None, True)
+        book = {tuple(k): v[0] for k, v in self.levels.iterator()}
+        was, out = dict(book), []
+        for e in pd.concat(frames).sort_values("ord").to_dict("records"):
             number = None if pd.isna(e["sequence"]) else int(e["sequence"])
             if e["event_type"] == "book_snapshot":
-                bids = {float(x["price"]): float(x["size"]) for x in (e["bids"] if e["bids"] is not None else [])}
-                asks = {float(x["price"]): float(x["size"]) for x in (e["asks"] if e["asks"] is not None else [])}
+                book = {(s, float(x["price"])): float(x["size"]) for s, c in (("bid", "bids"), ("ask", "asks")) for x in (e[c] if e[c] is not None else [])}
                 sequence, mark, resync, good = number, e["hash"], False, True
             else:
-                gap = sequence is not None and number is not None and number != sequence + 1
-                other = e["previous_hash"] is not None and mark is not None and e["previous_hash"] != mark
-                good = not (resync or gap or other)
+                follows = (sequence is None or number is None or number == sequence + 1) and (e["previous_hash"] is None or mark is None or e["previous_hash"] == mark)
+                good = follows and not resync
                 for c in (e["changes"] if e["changes"] is not None else []) if good else []:
-                    side = {"bid": bids, "ask": asks}.get(c["side"])
-                    if side is None or c["size"] < 0:
-                        good = False
+                    good = c["side"] in ("bid", "ask") and c["size"] is not None and c["size"] >= 0
+                    if not good:
                         break
                     if c["size"] == 0:
-                        side.pop(float(c["price"]), None)
+                        book.pop((c["side"], float(c["price"])), None)
                     else:
-                        side[float(c["price"])] = float(c["size"])
+                        book[c["side"], float(c["price"])] = float(c["size"])
                 if good:
                     sequence, mark = number, e["hash"] if e["hash"] is not None else mark
                 else:
                     resync = True
-            out.append((key[0], e["ord"], good, resync, max(bids, default=None), min(asks, default=None), len(bids) + len(asks)))
-        return pd.DataFrame(out, columns=["instrument_id", "ord", "accepted", "resync", "best_bid", "best_ask", "levels"])
-
-    return events.groupBy("instrument_id").applyInPandas(run, "instrument_id string, ord long, accepted boolean, resync boolean, best_bid double, best_ask double, levels int")
+            bids, asks = ([p for s, p in book if s == side] for side in ("bid", "ask"))
+            out.append((key[0], e["ord"], good, resync, max(bids, default=None), min(asks, default=None), len(book)))
+        for k in was.keys() - book.keys():
+            self.levels.removeKey(k)
+        for k, v in book.items():
+            if was.get(k) != v:
+                self.levels.updateValue(k, (v,))
+        self.last.update((sequence, mark, resync))
+        yield pd.DataFrame(out, columns=["instrument_id", "ord", "accepted", "resync", "best_bid", "best_ask", "levels"]).astype({"best_bid": "float64", "best_ask": "float64", "levels": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def running_books(stream: DataFrame) -> DataFrame:
+    """book_states() of a stream whose batches come in an instrument's order; needs the RocksDB state store. A task holds the
+    levels of one book and the events of a batch, state is written level by level."""
+    return stream.groupBy("instrument_id").transformWithStateInPandas(BookKeeper(), BOOK_OUT, "append", "none")
