@@ -15,6 +15,7 @@ from ..model import NO_SEQUENCE, ordered_lag
 from ..operators.books import book_states  # noqa: F401
 from ..operators.lookups import order_free_digest
 from ..sources.fs import Folder
+from .seen import Seen
 
 
 def monitor(events: DataFrame, now_ns: int, stale_ns: int, skew_ns: int, outage_ns: int) -> DataFrame:
@@ -41,8 +42,9 @@ class Frozen(Exception):
 class Journal:
     """Batches committed so far: their fingerprints, and a freeze that is terminal, as files under ``root`` beside the
     batches, so that another process goes on where this one stopped. A batch again with the same content is a duplicate;
-    with other content, or with a row seen before, it freezes the feed. What earlier batches held is looked up in an index
-    of hashed ids (16 bytes a row), not in the batches."""
+    with other content, with a row twice or with a row seen before, it freezes the feed. What earlier batches held is looked
+    up in an index of hashed ids (16 bytes a row) by hash prefix and Bloom filter, not in the batches; a commit opens its own
+    mark and no other."""
 
     def __init__(self, root: str):
         self.root = root
@@ -50,13 +52,15 @@ class Journal:
     def _folder(self, spark) -> Folder:
         return Folder(spark, self.root)
 
+    def seen(self, spark) -> Seen:
+        return Seen(spark, f"{self.root}/_ids")
+
     def frozen(self, spark) -> str:
         at = self._folder(spark)
         return at.read("_frozen") if at.exists("_frozen") else ""
 
-    def marks(self, spark) -> dict[int, str]:
-        at = self._folder(spark)
-        return {int(n): at.read(f"_marks/{n}") for n in at.names("_marks") if not n.startswith(".")}
+    def committed(self, spark) -> list[int]:
+        return sorted(int(n) for n in self._folder(spark).names("_marks") if not n.startswith("."))
 
     def commit(self, batch: DataFrame, batch_id: int) -> str:
         spark, at = batch.sparkSession, self._folder(batch.sparkSession)
@@ -67,13 +71,17 @@ class Journal:
             if at.read(f"_marks/{batch_id}") == mark:
                 return "duplicate"
             self.freeze(spark, f"batch {batch_id} changed")
-        ids = batch.select(F.xxhash64("ingest_id").alias("h0"), F.xxhash64(F.lit(1), "ingest_id").alias("h1"))
-        known = [at.path(f"_ids/{k}") for k in self.marks(spark)]
-        if known and not ids.join(spark.read.parquet(*known), ["h0", "h1"], "left_semi").isEmpty():
+        seen, name = self.seen(spark), f"batch-{batch_id}"
+        ids = seen.hashed(batch, "ingest_id")
+        n, different = ids.agg(F.count("*"), F.count_distinct("h0", "h1")).first()
+        if n != different:
+            self.freeze(spark, f"batch {batch_id} holds a row twice")
+        if seen.any_of(ids, but=name):
             self.freeze(spark, f"batch {batch_id} repeats rows")
-        ids.write.mode("overwrite").parquet(at.path(f"_ids/{batch_id}"))
+        seen.add(name, ids, n)
         batch.write.mode("overwrite").parquet(at.path(f"batch={batch_id}"))
         at.write(f"_marks/{batch_id}", mark, create_only=True)  # from here on the batch counts
+        seen.merge()
         return "committed"
 
     def freeze(self, spark, why: str) -> None:
@@ -81,7 +89,7 @@ class Journal:
         raise Frozen(self.frozen(spark))
 
     def history(self, spark) -> DataFrame:
-        return spark.read.parquet(*[f"{self.root}/batch={k}" for k in self.marks(spark)])
+        return spark.read.parquet(*[f"{self.root}/batch={k}" for k in self.committed(spark)])
 
 
 def observe(stream: DataFrame, journal: Journal, checkpoint: str):

@@ -216,6 +216,46 @@ def test_execution_configs():
         config.execution(two | {"participation_rate": "1.5"})
 
 
+def test_fill_models_fill_by_their_rules():
+    """The same intents under each model: the model, not the strategy, says what evidence fills them."""
+    bar = {"instrument_id": "X", "event_type": "bar", "event_time_ns": 2, "receive_time_ns": 2, "open": "100", "close": "100", "volume": "10"}
+    book = {"instrument_id": "X", "event_type": "book_snapshot", "event_time_ns": 2, "receive_time_ns": 2, "bids": [("99", "8")], "asks": [("101", "8")]}
+    two = EXECUTION | {"schema_version": 2, "minimum_latency_ns": 0, "participation_rate": "0.5", "impact_bps": "0", "equity_sampling_interval": 1}
+
+    def filled(document, limit=None):
+        e = config.execution(document)
+        o = replay.Order(1, "X", 1, D(20), 1, e.rules.fill_as, limit)
+        fills, out = replay.Fills(e.rules), {}
+        for event in (bar, book):
+            fills.begin(event)
+            out[event["event_type"]] = [(q, p) for q, p, _ in fills.of(o, event)[0]]
+        return out
+
+    assert filled(EXECUTION) == {"bar": [(1, D("100.05"))], "book_snapshot": []}  # a tenth of the volume in version 1
+    assert filled(two) == {"bar": [(5, D("100.05"))], "book_snapshot": []}
+    assert filled(two | {"fill_model": "market_depth"}) == {"bar": [], "book_snapshot": [(4, D(101))]}
+    assert filled(two | {"fill_model": "limit_evidence"}, D(102)) == {"bar": [], "book_snapshot": [(D("1.5"), D(102))]}
+    assert filled(two | {"fill_model": "limit_evidence", "queue_haircut": "1"}, D(102)) == {"bar": [], "book_snapshot": [(3, D(102))]}
+    assert filled(two | {"fill_model": "diagnostic_midpoint"}) == {"bar": [], "book_snapshot": [(20, D(100))]}
+    run = replay.Run(lambda e, book, rules: None, config.execution(two | {"fill_model": "market_depth"}).rules, -1)
+    assert run.rules.fill_as == "market"
+
+
+def test_execution_fingerprints_are_of_what_holds():
+    mark = lambda **more: config.execution(EXECUTION | more).fingerprint
+    limit = {"fill_model": "limit_evidence"}
+    assert mark(**limit) == mark(**limit, queue_haircut="0.5", adverse_selection_haircut="0.75")
+    assert mark(**limit) != mark(**limit, queue_haircut="0.6") != mark()
+    core = {"schema_version": 1, "initial_cash": "1000", "fill_model": "bar_next_open", "fee_rate": "0.001", "slippage_bps": "5"}
+    assert mark() == values.fingerprint(core)
+
+
+def test_the_fence_reads_the_text():
+    assert config.refused_imports("import math\nfrom decimal import Decimal") == []
+    for text in ("def f():\n    import socket", "from tapewright import sources", "__import__('socket')", "import importlib", "exec('import ssl')", "from urllib import request as r", "import os, http.client"):
+        assert config.refused_imports(text), text
+
+
 def test_policies():
     document = {"policy_version": "p1", "created_at": "2024-01-01", "global": {"sizing": {}, "limits": {"max_position_units": 2, "max_notional": 500, "max_daily_loss": 20}, "stress": {}}, "asset_classes": {"futures": {"pbo": 0.1}}}
     a = config.policy_artifact(document, "futures")
