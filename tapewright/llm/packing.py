@@ -233,8 +233,9 @@ def moments(rows: DataFrame) -> tuple[list[float], list[float]]:
 
 
 @scratch
-def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int | None = 1, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces of packed sequences: (id column, start, length, ids, doc_tokens, sequence_id, offset).
+def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int | None = 1, id_column: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
+    """Pieces of packed sequences: (id column, start, length, ids, doc_tokens, sequence_id, offset); with ``digests`` the CRC-32 of
+    the ids (ids_crc32) instead of the ids, so that these are not written again.
 
     Token counts are hashed to FEATURES numbers, of which a fixed projection keeps DIMS; cells of these coordinates are ordered
     by a Hilbert curve, and texts are laid end to end by (place on the curve, id, hash of the ids) and cut every ``length``
@@ -252,7 +253,8 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int | None = 1,
     keys = rows.select("id", "tie", "row", "tokens", *[f"x{k}" for k in range(DIMS)]).mapInArrow(_keys(mean, spread), f"curve long, id {kind}, tie long, row long, tokens long")
     places = saved(placed(keys, ["curve", "id", "tie", "row"], "first", "all_tokens", weight="tokens").select("row", "first"), "packed-places")
     cut = rows.join(places, "row").select("id", "first", "tokens", "ids").mapInArrow(_cut(length), f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return cut.withColumnRenamed("id", id_column)
+    body = F.crc32("ids").alias("ids_crc32") if digests else F.col("ids")
+    return cut.select(F.col("id").alias(id_column), "start", "length", body, "doc_tokens", "sequence_id", "offset")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -265,4 +267,4 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """Pieces with the CRC-32 of their ids: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    return pack(docs, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(docs, path, digests=True)
