@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, saved, scratch
@@ -150,7 +150,7 @@ def _placed(classes: DataFrame, axes: dict[int, np.ndarray], threshold: float) -
                 cell[rows] = cells[k].of(x[rows])
             yield pa.record_batch({c: get(c) for c in ("label", "dims", "key", "rep", "size", "e")} | {"x": pa.array(list(x), pa.list_(pa.float64())), "rest": pa.array(rest), "cell": pa.array(cell)})
 
-    return classes.select("label", "dims", "key", "rep", "size", "e").mapInArrow(place, "label string, dims int, key string, rep long, size long, e array<double>, x array<double>, rest double, cell long")
+    return classes.select("label", "dims", "key", "rep", "size", "e").mapInArrow(place, "label string, dims int, key string, rep string, size long, e array<double>, x array<double>, rest double, cell long")
 
 
 def _cell_pairs(placed: DataFrame, threshold: float) -> DataFrame:
@@ -182,15 +182,33 @@ def _paired(placed: DataFrame, threshold: float) -> DataFrame:
     return both.select("label", "dims", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "tile", "rep", "size", "e")
 
 
+#: Ids are shifted by this much to be written as digits that sort like numbers.
+SHIFT = 2**63
+
+
+def _class_name(least: Column, key: Column) -> Column:
+    """A name of a class of equal vectors that sorts by its smallest id (without one, last); classes that share it differ by key."""
+    digits = F.lpad((least.cast("decimal(20,0)") + F.lit(str(SHIFT)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.concat(F.coalesce(digits, F.lit("x" * 20)), F.substring(key, 1, 32))
+
+
+def _least_id(name: Column) -> Column:
+    """The id in such a name, null for none."""
+    digits = F.substring(name, 1, 20)
+    return F.when(~digits.startswith("x"), (digits.cast("decimal(20,0)") - F.lit(str(SHIFT)).cast("decimal(20,0)")).cast("long"))
+
+
 @scratch
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """Links between vectors of a label with cosine of at least the threshold.
 
     vectors: vec_id, embedding (array of numbers), label. Returns vec_id, n_links (other vectors linked to it
-    directly), component_id (smallest vec_id reachable, its own included) and kept (vec_id = component_id).
+    directly), component_id (smallest vec_id reachable, its own included) and kept (vec_id is component_id).
     Vectors of different lengths, and those that are null, empty, zero or hold null or non-finite components, or whose
-    label is null, link with nothing. Equal vectors are compared once and linked with each other; a repeated vec_id is a
-    vector like any other. An empty table gives an empty table; further columns are ignored.
+    label is null, link with nothing. Equal vectors are compared once and linked with each other. Rows are the vectors: rows
+    that share a vec_id are counted and linked each by its own vector. A row without vec_id links like any other; its
+    component_id is the smallest id there is in its component, null if there is none, in which case all its rows are kept. An
+    empty table gives an empty table; further columns are ignored.
 
     A label's distinct vectors are dealt to cells by their leading principal coordinates, and a cell by hash to tiles of
     about TILE. Pairs of tiles whose cells' bounds rule out the threshold are never made; each other pair is a task of
@@ -201,8 +219,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), e.alias("e"))
     usable = F.col("label").isNotNull() & F.col("e").isNotNull() & F.coalesce(~bad, F.lit(False)) & F.exists("e", lambda x: x != 0)
     v = v.withColumn("key", F.when(usable, F.sha2(F.encode(F.to_json(F.struct(F.col("label").cast("string").alias("label"), "e")), "UTF-8"), 256)))
-    classes = v.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.min(F.struct("label", "e")).alias("x"))
-    classes = saved(classes.select("key", "rep", "size", F.col("x.label").cast("string").alias("label"), F.col("x.e").alias("e"), F.size("x.e").alias("dims")).where("rep IS NOT NULL"), "vector-classes")
+    classes = v.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.min(F.struct("label", "e")).alias("x"))
+    classes = saved(classes.select("key", _class_name(F.col("least"), F.col("key")).alias("rep"), "size", F.col("x.label").cast("string").alias("label"), F.col("x.e").alias("e"), F.size("x.e").alias("dims")), "vector-classes")
     sample = classes.orderBy(F.xxhash64("key")).select("dims", "e").limit(PCA_SAMPLE).toArrow()
     dims = np.asarray(sample.column("dims"))
     axes = {}
@@ -216,7 +234,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     def compare(table: pa.Table) -> pa.Table:
         d, i, j = (table.column(c)[0].as_py() for c in ("dims", "i", "j"))
         turn = axes.get(d, np.eye(d))
-        tile, rep, size = (np.asarray(table.column(c)) for c in ("tile", "rep", "size"))
+        tile, rep, size = (table.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "rep", "size"))
         raw = scaled(_vectors(table.column("e")))
         unit = raw / np.sqrt((raw * raw).sum(1))[:, None] @ turn
         left, right = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
@@ -240,14 +258,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         u, w = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs))
         root = local_components(len(rep), u, w)
         seen = (n > 0) | (root != np.arange(len(rep)))
-        return pa.table({"rep": rep[seen], "n": n[seen], "root": rep[root[seen]]})
+        return pa.table({"rep": pa.array(rep[seen], pa.string()), "n": n[seen], "root": pa.array(rep[root[seen]], pa.string())})
 
-    found = saved(pairs.groupBy("label", "dims", "i", "j").applyInArrow(compare, "rep long, n long, root long"), "vector-links")
+    found = saved(pairs.groupBy("label", "dims", "i", "j").applyInArrow(compare, "rep string, n long, root string"), "vector-links")
     forget(placed)
     counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     per_class = classes.select("key", "rep", "size").join(counted, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    per_class = per_class.select("key", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    per_class = per_class.select("key", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), _least_id(F.coalesce("root", "rep")).alias("component_id"))
     out = v.select("vec_id", "key").join(per_class, "key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("n_links").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

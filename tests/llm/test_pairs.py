@@ -393,7 +393,29 @@ def test_embeddings_string_labels_and_extreme_vectors(spark):
     assert got[1] == (0, 1, True) and got[2] == (2, 2, True) and got[3] == (2, 2, False)
     assert got[4] == (2, 4, True) and got[5] == (2, 4, False) and got[7] == (2, 4, False)
     assert got[6] == (0, 6, True) and got[8] == (0, 8, True)
-    assert got[None][0] == 2
+    assert got[None] == (2, 2, False)
+
+
+def test_embeddings_repeated_and_missing_ids(spark):
+    """Every row is judged by its own vector, whatever its id; ids that are missing or at the ends of a long."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8))
+    ids = [None, None, None, 1, 1, 2, 2, 3, -(2**63), 2**63 - 1, 4, 5]
+    rows = [(ids[rng.integers(len(ids))], centres[k % 6] + rng.normal(size=8) * rng.choice([0.0, 0.02, 0.4])) for k in range(150)]
+    rows += [(1, np.array([1.0, 0])), (1, np.array([0.0, 1])), (2, np.array([1.0, 0.01])), (3, np.array([1.0, 0.02])), (None, np.array([-1.0, 0])), (None, np.array([-1.0, 0])), (None, np.array([0.0, -1]))]
+    x = [v / np.linalg.norm(v) for _, v in rows]
+    links = [[j for j in range(len(rows)) if j != i and len(x[i]) == len(x[j]) and x[i] @ x[j] >= 0.93] for i in range(len(rows))]
+    want = []
+    for i, (k, _) in enumerate(rows):
+        reach, todo = {i}, [i]
+        while todo:
+            todo = [j for a in todo for j in links[a] if j not in reach and not reach.add(j)]
+        least = min((rows[j][0] for j in reach if rows[j][0] is not None), default=None)
+        want.append((k, len(links[i]), least, k == least))
+    df = spark.createDataFrame([(k, 7, v.tolist()) for k, v in rows], "vec_id long, label int, embedding array<double>")
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df.repartition(3)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [r for r in got if r[0] == 1 and r[1] == 0] and [r for r in got if r == (None, 1, None, True)] and [r for r in got if r == (None, 0, None, True)]
 
 
 def test_jaccard_keeps_one_row_of_a_class(spark):
