@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import values
+from .. import tables, values
 from ..model import canonical_order
-from ..operators import baselines, consistency, features, fills, lookups, metrics, oos, quality, recompute, replay, risk, screen, sweep
-from ..sources import files
+from ..operators import baselines, consistency, features, fills, gates, lookups, metrics, oos, quality, recompute, replay, risk, rowprint, screen, sweep
+from ..sources import feeds, files
 from ..sources import views as V
 from ..streaming import observe
 from . import oracles as O
@@ -1392,3 +1392,105 @@ def stream_parity(spark, d):
     q.awaitTermination()
     out = spark.table(name).groupBy("instrument_id").agg(F.max(F.struct("n", "total", "last")).alias("x"))
     return out.select("instrument_id", "x.n", F.round("x.total", 4).alias("total"), F.round("x.last", 6).alias("last"))
+
+
+# ---- feeds, fingerprints of rows, gates ----
+
+
+@query(f"SELECT instrument_id, event_time_ns // 1000000 AS time_ms, round(open, 6) AS open, round(close, 6) AS close FROM bars_h WHERE instrument_id IN ('view', 'click') AND event_time_ns >= {START + 3 * DAY} AND event_time_ns < {START + 20 * DAY}", ("bars_h",))
+def feed_klines(spark, d):
+    """Hourly bars landed by instrument and day and read as a feed: filters on the instrument and the time make the partitions,
+    and each reads its own days."""
+    path = _scratch(spark, "feed")
+    b = V.bars(spark, d, HOUR)
+    ms = F.expr("event_time_ns div 1000000")
+    k = F.array(*[F.col(c).cast("string") for c in ("ms", "open", "high", "low", "close", "volume", "end", "volume", "trades")])
+    b = b.withColumns({"ms": ms, "end": ms + 3_599_999})
+    b.select(k.alias("k"), F.col("instrument_id").alias("i"), F.expr("ms div 86400000").alias("d")).repartition("i", "d").write.partitionBy("i", "d").json(path)
+    feed = feeds.read_feed(spark, kind="klines", client="tapewright.sources.feeds:landed_days_client", landed=path.removeprefix("file://"), instruments="click,purchase,view", start_ms=START // 1_000_000, end_ms=END // 1_000_000, chunk_ms=5 * 86_400_000)
+    rows = feed.where(F.col("instrument_id").isin("view", "click") & (F.col("time_ms") >= (START + 3 * DAY) // 1_000_000) & (F.col("time_ms") < (START + 20 * DAY) // 1_000_000))
+    k = F.from_json("payload", "array<string>")
+    return rows.select("instrument_id", "time_ms", F.round(k[1].cast("double"), 6).alias("open"), F.round(k[4].cast("double"), 6).alias("close"))
+
+
+_ORDER_JSON = """'{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '","o_totalprice":"' || o_totalprice::DECIMAL(18, 2) || '"}'"""
+
+
+def _exact_orders(spark, d):
+    return V.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_totalprice").cast("decimal(18,2)").alias("o_totalprice"), "o_orderpriority")
+
+
+@query(f"SELECT o_orderkey, sha256({_ORDER_JSON}) AS fingerprint FROM orders")
+def row_fingerprints(spark, d):
+    return rowprint.fingerprints(_exact_orders(spark, d)).select("o_orderkey", "fingerprint")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 211 = 3 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 211 = 3 OR o_orderkey % 97 = 5 UNION ALL SELECT -o_orderkey, 'added' FROM orders WHERE o_orderkey % 301 = 7")
+def changed_rows(spark, d):
+    """Orders that differ between two states of the table, found by the branches of their hash trees."""
+    o = _exact_orders(spark, d)
+    after = o.where("o_orderkey % 211 <> 3").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 97 == 5, F.lit("X")).otherwise(F.col("o_orderstatus")))
+    return rowprint.changed_rows(o, after.unionByName(o.where("o_orderkey % 301 = 7").withColumn("o_orderkey", -F.col("o_orderkey"))), ["o_orderkey"])
+
+
+@query(
+    """SELECT k AS package_id, 'research_gate' AS gate, s1 AS status, n1 AS reasons FROM g3 UNION ALL SELECT k, 'paper_gate', s2, n2 FROM g3 UNION ALL SELECT k, 'risk_review', s3, n3 FROM g3
+UNION ALL SELECT k, 'live_gate', 'block', 1 + (s3 <> 'pass')::INT FROM g3"""
+)
+def gate_decisions(spark, d):
+    """Orders as packages: what their lines and status say, put to the standard gates."""
+    li = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_quantity").cast("long").alias("q"), F.count(F.when(F.col("l_returnflag") == "A", 1)).alias("a"), F.count(F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= 49), 1)).alias("r"))
+    j = V.table(spark, d, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    given = {
+        "verdict": F.when(F.col("o_orderstatus") == "F", "paper_candidate").when(F.col("o_orderstatus") == "O", "kill"),
+        "paper_plan_status": F.when(F.col("o_orderpriority") != "5-LOW", "paper_ready").otherwise("draft"),
+        "divergence_status": F.when(F.col("a") < 3, "risk_review_candidate").otherwise("stop"),
+        "blocking_breaches": F.col("r").cast("string"), "observed_days": F.col("n").cast("string"), "minimum_days": F.lit("2"),
+        "signals": F.col("q").cast("string"), "minimum_signals": F.when(F.col("o_orderkey") % 10 != 0, "60"),
+        "risk_verdict": F.when(F.col("o_totalprice") > 50_000, "pass").otherwise("blocked"), "approval_status": F.lit("packaged"),
+        "approval_config_hash": F.col("o_orderpriority"), "config_after_hash": F.when(F.col("o_orderkey") % 7 == 0, "other").otherwise(F.col("o_orderpriority")), "open_blockers": F.lit(""),
+    }
+    facts = j.select(F.col("o_orderkey").alias("package_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("fact"), v.alias("value")) for k, v in given.items()])).alias("x")).select("package_id", "x.*")
+    return gates.decisions(facts, gates.standard_rules(spark)).select("package_id", "gate", "status", F.size("reasons").cast("long").alias("reasons"))
+
+
+ORACLES["gate_decisions"] = f"""WITH l AS (SELECT l_orderkey AS k, count(*) AS n, sum(l_quantity)::BIGINT AS q, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R' AND l_quantity >= 49) AS r FROM lineitem GROUP BY 1),
+rules AS (SELECT o_orderkey AS k, [CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END] AS r1,
+  [o_orderpriority <> '5-LOW', coalesce(a < 3, false), r <= 0, n >= 2, q >= CASE WHEN o_orderkey % 10 <> 0 THEN 60 END] AS r2,
+  [o_totalprice > 50000, true, o_orderkey % 7 <> 0, true] AS r3 FROM orders LEFT JOIN l ON k = o_orderkey),
+n AS (SELECT k, len(list_filter(r1, lambda x: NOT x)) AS f1, len(list_filter(r1, lambda x: x IS NULL)) AS u1, len(list_filter(r2, lambda x: NOT x)) AS f2, len(list_filter(r2, lambda x: x IS NULL)) AS u2,
+  len(list_filter(r3, lambda x: NOT x)) AS f3, len(list_filter(r3, lambda x: x IS NULL)) AS u3 FROM rules),
+g1 AS (SELECT *, f1 + u1 AS n1, CASE WHEN f1 > 0 THEN 'block' WHEN u1 > 0 THEN 'unknown' ELSE 'pass' END AS s1 FROM n),
+g2 AS (SELECT *, f2 + u2 + (s1 <> 'pass')::INT AS n2, CASE WHEN f2 > 0 OR s1 = 'block' THEN 'block' WHEN u2 > 0 OR s1 = 'unknown' THEN 'unknown' ELSE 'pass' END AS s2 FROM g1),
+g3 AS (SELECT *, f3 + u3 + (s2 <> 'pass')::INT AS n3, CASE WHEN f3 > 0 OR s2 = 'block' THEN 'block' WHEN u3 > 0 OR s2 = 'unknown' THEN 'unknown' ELSE 'pass' END AS s3 FROM g2)
+{ORACLES["gate_decisions"]}"""
+
+
+# ---- queries whose checks find something ----
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
+def subset_missing_faults(spark, d):
+    """Customers without an urgent order that was filled."""
+    urgent = V.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    return lookups.missing_from(V.table(spark, d, "customer").select("c_custkey"), urgent.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT instrument_id, count(*) AS event_count, CASE instrument_id WHEN 'click' THEN 'events' WHEN 'view' THEN 'quality.json' WHEN 'purchase' THEN 'missing COMMITTED' ELSE '' END AS problems FROM canon GROUP BY 1", ("canon",))
+def ingest_bundle_faults(spark, d):
+    """A bundle an instrument; of some the events, a document or the marker is lost or changed afterwards."""
+    from ..sources import ingest
+    from ..sources.fs import Folder
+
+    tape, out = tables.saved(V.canon(spark, d), "bundle-tape"), []
+    for name in sorted(r.instrument_id for r in tape.select("instrument_id").distinct().collect()):  # a bundle each
+        path = _scratch(spark, f"bundle-{name}")
+        receipt = ingest.publish(path, [], {"instrument": name}, tape.where(F.col("instrument_id") == name), spark.createDataFrame([("duplicates", 0)], "code string, n long"))
+        if name == "click":
+            tape.where(F.col("instrument_id") == name).limit(1).write.mode("append").parquet(f"{path}/events")
+        elif name == "view":
+            Folder(spark, path).write("quality.json", "[]")
+        elif name == "purchase":
+            Folder(spark, path).delete("COMMITTED")
+        out.append((name, receipt["event_count"], ", ".join(ingest.bundle_problems(spark, path))))
+    return spark.createDataFrame(out, "instrument_id string, event_count long, problems string")

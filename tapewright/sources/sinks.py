@@ -10,6 +10,7 @@ import os
 import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,42 +28,55 @@ class PartitionExists(Exception):
     pass
 
 
+#: Partitions that are published at a time: each takes a few calls to the file system.
+PUBLISHERS = 32
+
+
 def write_events(events: DataFrame, root: str) -> list[tuple]:
     """Append partitions source/venue/instrument/date, each once and whole.
 
-    A partition is claimed by a file that only one writer can create; if any is there already, nothing is written and the
-    claims of this call are given back. Rows go to a hidden folder first, clustered by partition and in canonical order,
-    zstd; then each partition gets a fingerprint of its rows and is renamed to its place. A failed job leaves no half
-    partition. Hidden names are not read as data."""
+    Rows are made once: they go to a hidden folder, clustered by partition and in canonical order, zstd, and the fingerprints
+    are those of the rows that were written. A partition is then claimed by a file that only one writer can create; if any is
+    there already, nothing is published and the claims of this call are given back. Claims and renames run side by side. A
+    failed job leaves no half partition. Hidden names are not read as data."""
     spark = events.sparkSession
     dated = events.withColumn("date", F.date_format(F.timestamp_micros(F.expr("event_time_ns div 1000")), "yyyy-MM-dd"))
-    marks = {tuple(r[c] for c in LAYOUT): f"{r['n']}:{r['digest']}" for r in order_free_digests(dated, LAYOUT, events.columns).collect()}  # a partition a row
-    for row in marks:
-        if not all(SEGMENT.match(str(v)) for v in row):
-            raise ValueError(f"unsafe partition value in {row}")
     base = Folder(spark, root)
     base.make("_claims")
-    stage, claimed = f"_stage-{uuid.uuid4().hex}", []
-    place = {row: "/".join(f"{c}={v}" for c, v in zip(LAYOUT, row)) for row in marks}
-    moved: list[str] = []
-    there = base.matching("/".join(f"{c}=*" for c in LAYOUT))
+    stage, claimed, moved = f"_stage-{uuid.uuid4().hex}", [], []
     try:
-        for row, path in sorted(place.items()):
-            claim = f"_claims/{hashlib.sha256(path.encode()).hexdigest()}"
-            if path in there or not base.claim(claim, path):
-                raise PartitionExists(path)
-            claimed.append(claim)
         dealt = dated.repartition(*LAYOUT).sortWithinPartitions(*LAYOUT, *canonical_order("arrival_ord" in events.columns))
         dealt.write.option("compression", "zstd").partitionBy(*LAYOUT).parquet(base.path(stage))
-        for row, path in sorted(place.items()):
-            base.put(f"{stage}/{path}/_fingerprint.sha256", hashlib.sha256(marks[row].encode()).hexdigest())
-            base.move(f"{stage}/{path}", path)
-            moved.append(path)
+        written = spark.read.schema(dated.schema).parquet(base.path(stage)) if base.matching(f"{stage}/*=*") else dated.limit(0)
+        marks = {tuple(r[c] for c in LAYOUT): f"{r['n']}:{r['digest']}" for r in order_free_digests(written, LAYOUT, events.columns).collect()}  # a partition a row
+        for row in marks:
+            if not all(v is not None and SEGMENT.match(str(v)) for v in row):
+                raise ValueError(f"unsafe partition value in {row}")
+        place = {row: "/".join(f"{c}={v}" for c, v in zip(LAYOUT, row)) for row in marks}
+        there = base.matching("/".join(f"{c}=*" for c in LAYOUT))
+        if taken := sorted(there & set(place.values())):
+            raise PartitionExists(taken[0])
+
+        def claim(path: str) -> None:
+            name = f"_claims/{hashlib.sha256(path.encode()).hexdigest()}"
+            if not base.claim(name, path):
+                raise PartitionExists(path)
+            claimed.append(name)
+
+        def publish(row: tuple) -> None:
+            base.put(f"{stage}/{place[row]}/_fingerprint.sha256", hashlib.sha256(marks[row].encode()).hexdigest())
+            base.move(f"{stage}/{place[row]}", place[row])
+            moved.append(place[row])
+
+        with ThreadPoolExecutor(PUBLISHERS) as pool:
+            for step, items in ((claim, sorted(place.values())), (publish, sorted(place))):
+                for done in [pool.submit(step, x) for x in items]:
+                    done.result()
     except BaseException:
         for path in moved:
             base.delete(path)
-        for claim in claimed:
-            base.delete(claim)
+        for name in claimed:
+            base.delete(name)
         raise
     finally:
         base.delete(stage)
