@@ -31,7 +31,42 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
     ("reserved", "copyright all rights reserved", "all rights reserved"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal "
+        "in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies "
+        "of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any "
+        "kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no "
+        "event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+        "arising from out of or in connection with the software or the use or other dealings in the software",
+        "permission is hereby granted free of charge",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright "
+        "notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this "
+        "software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or "
+        "consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other "
+        "tortious action arising out of or in connection with the use or performance of this software",
+        "permission to use copy modify",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary "
+        "form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+        "provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties "
+        "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the "
+        "copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+        "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether "
+        "in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+        "possibility of such damage",
+        "redistribution and use in source and binary forms",
+    ),
 )
+#: Share of a template's words that must stand at their places.
+MATCH = 0.7
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -46,8 +81,8 @@ def _words_of(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Postings of the templates' anchors: word to (template, place). A template's anchor is the rarest word of its key
-    phrase, so no place where the phrase is whole is missed; the document frequencies decide only how many are tried."""
+    """Postings of every word of the templates: word to (template, place), and the words' document frequencies, by which a text's
+    words are looked up from the rarest on."""
 
     idf: dict[str, float] = field(default_factory=dict)
 
@@ -63,38 +98,72 @@ class Index:
         self.weight = np.array([self.idf.get(w, 0.0) for w in self.words])
         self.key_at = [next(i for i in range(len(row)) if np.array_equal(row[i : i + len(key)], key)) for row, key in zip(self.rows, self.keys)]
         self.postings = defaultdict(list)
-        for t, key in enumerate(self.keys):
-            place = min(range(len(key)), key=lambda i: (-self.weight[key[i]], i))
-            self.postings[int(key[place])].append((t, self.key_at[t] + place))
-        self.anchor = np.zeros(len(self.words) + 1, bool)
-        self.anchor[list(self.postings)] = True
+        for t, row in enumerate(self.rows):
+            for place, w in enumerate(row.tolist()):
+                self.postings[w].append((t, place))
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each licence word among the words of a text, -1 for others."""
         at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
         return np.where(self.hash[at] == hashes, self.id_at[at], -1).astype(np.int32)
 
-    def templates(self, ids: np.ndarray) -> tuple[set[str], float]:
-        """Labels of the templates that a text (its words' numbers) holds, and the best share of a template matched."""
-        here = np.flatnonzero(self.anchor[ids])  # number -1 is never an anchor
-        labels, best = set(), 0.0
-        for w in np.unique(ids[here]).tolist():
-            places = here[ids[here] == w]
+    def live(self, doc: np.ndarray, ids: np.ndarray, n: int) -> dict[int, list[int]]:
+        """Of n texts (doc and number of each word, -1 for no licence word) those that hold all words of a template's key phrase:
+        the templates they may hold."""
+        held = np.zeros((n, len(self.words)), bool)
+        known = ids >= 0
+        held[doc[known], ids[known]] = True
+        out: dict[int, list[int]] = defaultdict(list)
+        for t, key in enumerate(self.keys):
+            for d in np.flatnonzero(held[:, key].all(axis=1)).tolist():
+                out[d].append(t)
+        return out
+
+    def templates(self, ids: np.ndarray, live: list[int]) -> tuple[set[str], float]:
+        """Labels of the templates that a text (its words' numbers) holds, and the best share of a template matched where its key
+        phrase is whole.
+
+        The text's own licence words are looked up from the rarest on. A posting (template, place) of a word at p stands for the
+        template beginning at p - place. Words of key phrases must agree: their beginnings are intersected. Other words are votes
+        for beginnings. A template is done when no beginning is left, or when the words to come can't raise its best beginning to
+        MATCH or over the best share so far."""
+        known = np.flatnonzero(ids >= 0)
+        known = known[np.argsort(ids[known], kind="stable")]
+        words, first = np.unique(ids[known], return_index=True)
+        places = dict(zip(words.tolist(), np.split(known, first[1:])))
+        begins: dict[int, np.ndarray] = {}
+        votes: dict[int, np.ndarray] = {}
+        early: dict[int, list[np.ndarray]] = {t: [] for t in live}
+        left = {t: sum(w in places for w in self.rows[t].tolist()) for t in live}
+        open_, labels, best = set(live), set(), 0.0
+        for w in sorted(places, key=lambda w: (-self.weight[w], w)):
+            if not open_:
+                break
             for t, place in self.postings[w]:
-                row, start, span = self.rows[t], self.key_at[t], len(self.keys[t])
-                at = places - place
-                at = at[(at >= -start) & (at <= len(ids) - start - span)]
-                for k in range(start, start + span):
-                    at = at[ids[at + k] == row[k]]
-                if not len(at):
+                if t not in open_:
+                    continue
+                at, size = places[w] - place, len(self.rows[t])
+                left[t] -= 1
+                if self.key_at[t] <= place < self.key_at[t] + len(self.keys[t]):
+                    if t in begins:
+                        stays = np.isin(begins[t], at)
+                        begins[t], votes[t] = begins[t][stays], votes[t][stays] + 1
+                    else:
+                        begins[t], votes[t] = at, 1 + sum((np.isin(at, x) for x in early.pop(t)), np.zeros(len(at), np.int64))
+                elif t in begins:
+                    votes[t] = votes[t] + np.isin(begins[t], at)
+                else:
+                    early[t].append(at)
+                if t not in begins:
                     continue
-                same = np.zeros(len(at), np.int64)
-                for k, word in enumerate(row):
-                    same += (at + k >= 0) & (at + k < len(ids)) & (ids[np.clip(at + k, 0, len(ids) - 1)] == word)
-                share = float(same.max() / len(row))
-                best = max(best, share)
-                if share >= 0.7:
-                    labels.add(TEMPLATES[t][0])
+                share = votes[t].max(initial=0) / size
+                if not len(begins[t]) or (share + left[t] / size < MATCH and share + left[t] / size <= best):
+                    open_.discard(t)
+                elif not left[t]:
+                    open_.discard(t)
+                    best = max(best, float(share))
+                    if share >= MATCH:
+                        labels.add(TEMPLATES[t][0])
         return labels, best
 
 
@@ -106,7 +175,7 @@ for _label, _text, _key in TEMPLATES:
 
 def document_frequencies(docs: DataFrame) -> dict[str, float]:
     """ln(documents / documents with the word) of each licence word, over the whole table. The words are a fixed
-    list of under 200, and so are the rows collected."""
+    list of some 250, and so are the rows collected."""
     index = Index()
     n_words = len(index.words)
 
@@ -171,9 +240,8 @@ def _scanned(index: Index, part: pa.RecordBatch, table: np.ndarray) -> pa.Record
             high[d] = max(high[d], place)
             base[d].add(label)
     labels, score = [set(b) for b in base], np.zeros(n)
-    anchored = np.flatnonzero(index.anchor[ids])
-    for d in np.unique(w.doc[anchored]):
-        more, score[d] = index.templates(ids[w.first[d] : w.first[d + 1]])
+    for d, live in index.live(w.doc, ids, n).items():
+        more, score[d] = index.templates(ids[w.first[d] : w.first[d + 1]], live)
         labels[d] |= more
     none = low < 0
     return pa.record_batch(
