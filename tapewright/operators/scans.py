@@ -44,19 +44,16 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, t
     number) are windowed apart instead; what comes before a deal follows from one row per key and deal. ``rows`` is read twice:
     cut its lineage first where it is dear. Columns of ``order`` hold no nulls; keys may be null.
     """
-    deal = "_deal"
-    dealt = rows.withColumn(deal, F.expr(f"{order[0]} div {width}"))
-    inside = W.partitionBy(*keys, deal).orderBy(*order)
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)  # structs of nulls are equal, and joins find them where windows left them
+    dealt = rows.withColumns({"_key": key, "_deal": F.expr(f"{order[0]} div {width}")})
+    inside = W.partitionBy("_key", "_deal").orderBy(*order)
     frames = {False: inside if ties else inside.rowsBetween(W.unboundedPreceding, 0), True: inside.rowsBetween(W.unboundedPreceding, -1)}
     kind = {name: KINDS[k.removesuffix("_before")] for name, (k, _) in values.items()}
     within = dealt.select("*", *[kind[n].frame(v).over(frames[k.endswith("_before")]).alias(f"_in_{n}") for n, (k, v) in values.items()])
-    sums = dealt.groupBy(*keys, deal).agg(*[kind[n].deal(v, F.struct(*order)).alias(f"_of_{n}") for n, (_, v) in values.items()])
-    earlier = W.partitionBy(*keys).orderBy(deal).rowsBetween(W.unboundedPreceding, -1)  # one row per key and deal
-    carry = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(deal).alias("_d"), *[kind[n].deals(F.col(f"_of_{n}")).over(earlier).alias(f"_up_{n}") for n in values])
-    same = F.col(deal) == F.col("_d")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = within.join(carry, same)
+    sums = dealt.groupBy("_key", "_deal").agg(*[kind[n].deal(v, F.struct(*order)).alias(f"_of_{n}") for n, (_, v) in values.items()])
+    earlier = W.partitionBy("_key").orderBy("_deal").rowsBetween(W.unboundedPreceding, -1)  # one row per key and deal
+    carry = sums.select("_key", "_deal", *[kind[n].deals(F.col(f"_of_{n}")).over(earlier).alias(f"_up_{n}") for n in values])
+    out = within.join(carry, ["_key", "_deal"])
     return out.select(*rows.columns, *[kind[n].both(F.col(f"_up_{n}"), F.col(f"_in_{n}")).alias(n) for n in values])
 
 

@@ -95,7 +95,7 @@ def distinct_instruments(spark, d):
 
 @query("SELECT event_type AS kind, count(*) AS n FROM dirty GROUP BY 1 UNION ALL SELECT instrument_id, count(*) FROM dirty GROUP BY 1", ("dirty",))
 def event_histogram(spark, d):
-    c = V.canon_dirty(spark, d)
+    c = V.canon_dirty(spark, d, numbered=False)
     two = c.groupingSets([["event_type"], ["instrument_id"]], "event_type", "instrument_id").agg(F.count("*").alias("n"))
     return two.select(F.coalesce("event_type", "instrument_id").alias("kind"), "n")
 
@@ -148,12 +148,12 @@ def chunk_receipts(spark, d):
 
 @query("SELECT source, count(*) AS n, min(event_time_ns) AS first_ns, max(event_time_ns) AS last_ns, count(DISTINCT instrument_id) AS instruments FROM dirty GROUP BY 1", ("dirty",))
 def coverage_manifest(spark, d):
-    return lookups.coverage(V.canon_dirty(spark, d))
+    return lookups.coverage(V.canon_dirty(spark, d, numbered=False))
 
 
 @query("""SELECT count(*) AS n, sum(('0x' || substr(sha256('{"ingest_id":"' || ingest_id || '","event_time_ns":' || event_time_ns::VARCHAR || '}'), 1, 15))::HUGEINT)::VARCHAR AS digest FROM dirty""", ("dirty",))
 def order_free_digest(spark, d):
-    return lookups.order_free_digest(V.canon_dirty(spark, d), ["ingest_id", "event_time_ns"])
+    return lookups.order_free_digest(V.canon_dirty(spark, d, numbered=False), ["ingest_id", "event_time_ns"])
 
 
 @query("SELECT o_orderkey, o_totalprice AS old, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 END AS new FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 9 = 0")
@@ -322,18 +322,18 @@ def quality_duplicates(spark, d):
 def quality_timezone(spark, d):
     """Rows without a time in nanoseconds: here those that lost one of theirs."""
     lost = lambda c, k: F.when(F.col("arrival_ord") % k != 0, F.col(c))
-    c = V.canon_dirty(spark, d)
+    c = V.canon_dirty(spark, d, numbered=False)
     return quality.timezone(c.withColumns({"event_time_ns": lost("event_time_ns", 103), "receive_time_ns": lost("receive_time_ns", 107)}))
 
 
 @query("SELECT arrival_ord, ingest_id FROM dirty WHERE receive_time_ns < event_time_ns", ("dirty",))
 def quality_negative_receive_latency(spark, d):
-    return quality.negative_receive_latency(V.canon_dirty(spark, d))
+    return quality.negative_receive_latency(V.canon_dirty(spark, d, numbered=False))
 
 
 @query("SELECT arrival_ord, ingest_id, 'price' AS field FROM dirty WHERE price <= 0 UNION ALL SELECT arrival_ord, ingest_id, 'size' FROM dirty WHERE size < 0", ("dirty",))
 def quality_invalid_price_size(spark, d):
-    return quality.invalid_price_size(V.canon_dirty(spark, d))
+    return quality.invalid_price_size(V.canon_dirty(spark, d, numbered=False))
 
 
 @query(
@@ -386,12 +386,13 @@ def quality_outliers(spark, d):
 
 @query(f"SELECT instrument_id, side FROM (SELECT instrument_id, min(event_time_ns) AS lo, max(event_time_ns) AS hi FROM dirty GROUP BY 1), (VALUES ('start'), ('end')) t(side) WHERE (side = 'start' AND lo > {START}) OR (side = 'end' AND hi < {END - HOUR})", ("dirty",))
 def quality_provider_truncation(spark, d):
-    return quality.provider_truncation(V.canon_dirty(spark, d), START, quality.half_open_end(END, HOUR))
+    return quality.provider_truncation(V.canon_dirty(spark, d, numbered=False), START, quality.half_open_end(END, HOUR))
 
 
 @query()
 def quality_summary(spark, d):
-    events, bars = V.canon_dirty(spark, d), V.bars(spark, d, HOUR)
+    """All checks; the numbered tape and its bars are made once, as several checks read them."""
+    events, bars = tables.saved(V.canon_dirty(spark, d), "summary-tape"), tables.saved(V.bars(spark, d, HOUR), "summary-bars")
     requested = (START, quality.half_open_end(END, HOUR))
     return quality.quality_summary(events, bars, _gaps(spark, d, bars), V.books(spark, d), requested, 2 * HOUR, ("trade",))
 
@@ -654,7 +655,7 @@ def latency_p95(spark, d):
 @query("SELECT start_ns, end_ns FROM (SELECT event_time_ns AS start_ns, receive_time_ns AS end_ns FROM dirty) WHERE " + " OR ".join(f"(start_ns >= {START + k * DAY} AND end_ns <= {START + k * DAY + 6 * HOUR})" for k in range(0, 30, 5)), ("dirty",))
 def interval_containment(spark, d):
     allowed = spark.createDataFrame([(START + k * DAY, START + k * DAY + 6 * HOUR) for k in range(0, 30, 5)], "start_ns long, end_ns long")
-    return lookups.contained_in(V.canon_dirty(spark, d).select(F.col("event_time_ns").alias("start_ns"), F.col("receive_time_ns").alias("end_ns")), allowed)
+    return lookups.contained_in(V.canon_dirty(spark, d, numbered=False).select(F.col("event_time_ns").alias("start_ns"), F.col("receive_time_ns").alias("end_ns")), allowed)
 
 
 @query()
@@ -1101,7 +1102,7 @@ def sizing(spark, d):
 
 @query("SELECT count(DISTINCT instrument_id) AS contracts, CASE WHEN bool_or(arrival_ord % 1000 = 7) THEN 'fail' ELSE 'pass' END AS status FROM canon", ("canon",))
 def futures_cross_check(spark, d):
-    return lookups.futures_cross_check(V.canon(spark, d).withColumn("back_adjusted", F.col("arrival_ord") % 1000 == 7))
+    return lookups.futures_cross_check(V.tape(spark, d).withColumn("back_adjusted", F.col("arrival_ord") % 1000 == 7))
 
 
 @query("SELECT sha256(arg_max(ingest_id, (event_time_ns, sequence))) = sha256(lpad((SELECT max(event_id) FROM events)::VARCHAR, 12, '0')) AS hash_match, CASE WHEN sha256(arg_max(ingest_id, (event_time_ns, sequence))) = sha256(lpad((SELECT max(event_id) FROM events)::VARCHAR, 12, '0')) THEN 'pass' ELSE 'warning' END AS status FROM canon", ("canon",))

@@ -55,10 +55,10 @@ SELECT 'synthetic' AS source, 'web' AS venue, event_type AS instrument_id, 'trad
 FROM events"""
 
 
-def canon_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def canon_dirty(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
     """canon with gaps, duplicates, inversions, stale receipts, zero prices and disorder, by the event id's residues. A row
-    gives itself and perhaps a copy: the tape is read and numbered once."""
-    c = canon(spark, sf_dir).where(F.col("arrival_ord") % 97 != 0)
+    gives itself and perhaps a copy: the tape is read and numbered once; who needs no sequence leaves the numbering out."""
+    c = (canon(spark, sf_dir) if numbered else tape(spark, sf_dir)).where(F.col("arrival_ord") % 97 != 0)
     i = F.col("arrival_ord")
     receive = F.when(i % 89 == 0, F.col("event_time_ns") - 1).when(i % 79 == 0, F.col("event_time_ns") + 3 * HOUR_NS).otherwise(F.col("receive_time_ns"))
     changed = {"receive_time_ns": receive, "price": F.when(i % 83 == 0, 0.0).otherwise(F.col("price")), "arrival_ord": F.when(i % 73 == 0, i + 5).otherwise(i), "ingest_id": F.col("ingest_id")}
