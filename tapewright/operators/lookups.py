@@ -156,8 +156,18 @@ def ordered_digest(rows: DataFrame, columns: list[str], deal_ns: int = DAY_NS) -
     return r.select(h.alias("_h")).agg(F.count("*").alias("n"), F.sum(_part_of_hash("_h")).cast("string").alias("digest"))
 
 
-def cumulative_costs(curve: DataFrame, costs: DataFrame, keys: list[str]) -> DataFrame:
-    """Costs up to and including each row's time: union and running sum, a hot key dealt by time."""
+def cumulative_costs(curve: DataFrame, costs: DataFrame, keys: list[str], totals: DataFrame | None = None) -> DataFrame:
+    """Costs up to and including each row's time: union and running sum, a hot key dealt by time.
+
+    A cost without a time is an error. So is a key whose dated costs are not all it paid, if ``totals`` (keys, total) says what
+    that was: a gross curve can't be rebuilt then."""
+    if totals is not None:
+        dated = costs.groupBy(*keys).agg(F.sum("amount").alias("dated"))
+        j = totals.join(dated, keys, "full_outer").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("total", "dated")})
+        if lost := j.where("abs(total - dated) > 1e-9 * greatest(1, abs(total))").first():
+            raise ValueError(f"costs of {[lost[k] for k in keys]} are not all dated: {lost['dated']} of {lost['total']}")
+    time = F.when(F.col("event_time_ns").isNull(), F.raise_error(F.lit("a cost without a time")).cast("long")).otherwise(F.col("event_time_ns"))
+    costs = costs.select(*keys, time.alias("event_time_ns"), "amount")
     c = curve.select(*keys, "event_time_ns", F.lit(0.0).alias("amount"), F.lit(True).alias("is_row"), "equity")
     k = costs.select(*keys, "event_time_ns", "amount", F.lit(False).alias("is_row"), F.lit(None).cast("double").alias("equity"))
     u = scan(c.unionByName(k), keys, ["event_time_ns"], {"costs": ("sum", F.col("amount"))}, DAY_NS, ties=True).where("is_row")

@@ -28,16 +28,17 @@ def run_cells(tape: DataFrame, folds: DataFrame, variants: list[tuple[str, int]]
     """Replay every cell: the bars of a series whose place lies in a fold's phase, under one variant.
 
     tape: series and event columns, sequence from 1. Folds are those of the longest series; a series has the folds that end
-    within it. Folds and variants are small and broadcast; a cell is a group, so the cells of all series run side by side.
-    run_id is series|fold|phase|variant."""
+    within it. Phases and bars meet by stretches of places as long as the shortest phase, so a bar is compared with the phases
+    near it and not with all; a cell is a group, so the cells of all series run side by side. run_id is series|fold|phase|variant."""
     spark = tape.sparkSession
     phases = folds.select("fold", F.explode(F.array(F.struct(F.lit("train").alias("phase"), F.col("train_start").alias("a"), F.col("train_end").alias("b")), F.struct(F.lit("test").alias("phase"), F.col("test_start").alias("a"), F.col("test_end").alias("b")))).alias("x"), "test_end").select("fold", "test_end", "x.*")
     names = spark.createDataFrame([(name_of(v),) for v in variants], "variant string")
-    cells = phases.crossJoin(names)
+    step = max(1, phases.agg(F.min(F.col("b") - F.col("a"))).first()[0] or 1)
+    cells = phases.crossJoin(names).where("a < b").withColumn("stretch", F.explode(F.sequence(F.expr(f"a div {step}"), F.expr(f"(b - 1) div {step}"))))
     inside = (F.col("sequence") - 1 >= F.col("a")) & (F.col("sequence") - 1 < F.col("b")) & (F.col("test_end") <= F.col("length"))
-    tape = tape.withColumn("length", F.count("*").over(W.partitionBy("series")))
-    rows = tape.join(F.broadcast(cells), inside).withColumn("run_id", F.concat_ws("|", "series", F.col("fold").cast("string"), "phase", "variant"))
-    rows = rows.drop("series", "fold", "phase", "variant", "a", "b", "test_end", "length")
+    tape = tape.join(lengths(tape), "series").withColumn("stretch", F.expr(f"(sequence - 1) div {step}"))
+    rows = tape.join(cells, "stretch").where(inside).withColumn("run_id", F.concat_ws("|", "series", F.col("fold").cast("string"), "phase", "variant"))
+    rows = rows.drop("series", "fold", "phase", "variant", "a", "b", "test_end", "length", "stretch")
     return replay.replay(rows, lambda run_id: strategy_of(run_id.rsplit("|", 1)[1]), rules)
 
 
@@ -78,3 +79,22 @@ def promotion(stats: dict[str, float], stresses: DataFrame, thresholds: dict[str
     broken = [f"{k} {op} {limit}" for k, (op, limit) in thresholds.items() if not (stats[k] >= limit if op == ">=" else stats[k] <= limit)]
     broken += [r["scenario"] for r in stresses.where("status <> 'pass'").select("scenario").collect()]
     return not broken, broken
+
+
+def promotions(stats: DataFrame, stresses: DataFrame, thresholds: dict[str, tuple[str, float]], key: str) -> DataFrame:
+    """promotion() of many candidates: (key, promoted, broken).
+
+    stats: key, name, value; stresses: key, scenario, status. A statistic that is missing or not a number breaks its threshold; a
+    candidate without stresses is not promoted. ``broken`` has the thresholds, then the scenarios, each in text order."""
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(op).alias("op"), F.lit(float(limit)).alias("limit"), F.lit(f"{n} {op} {limit}").alias("text")) for n, (op, limit) in sorted(thresholds.items())])
+    held = stats.where("value IS NOT NULL AND NOT isnan(value)").groupBy(key, "name").agg(F.max("value").alias("value")).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("held"))
+    failed = stresses.groupBy(key).agg(F.count("*").alias("scenarios"), F.array_sort(F.collect_set(F.when(~F.coalesce(F.col("status") == "pass", F.lit(False)), F.col("scenario")))).alias("failed"))
+    j = held.join(failed, key, "full_outer")
+
+    def kept(r):
+        value = F.try_element_at("held", r["name"])
+        return F.coalesce(F.when(r["op"] == ">=", value >= r["limit"]).otherwise(value <= r["limit"]), F.lit(False))
+
+    below = F.transform(F.filter(rules, lambda r: ~kept(r)), lambda r: r["text"])
+    untried = F.when(F.coalesce("scenarios", F.lit(0)) == 0, F.array(F.lit("no stress"))).otherwise(F.col("failed"))
+    return j.select(key, F.concat(below, untried).alias("broken")).select(key, (F.size("broken") == 0).alias("promoted"), "broken")

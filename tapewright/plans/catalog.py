@@ -200,9 +200,9 @@ def jsonl_events(spark, d):
 
 @query("SELECT count(*) AS rows, array_to_string(list_sort(list(DISTINCT instrument_id)), ',') AS instruments FROM canon", ("canon",))
 def jsonl_order_proof(spark, d):
-    """Rows and instruments of a file in canonical order; a file that is not fails."""
+    """Rows and instruments of files that are in canonical order one after the other; a tape that is not fails."""
     path = _scratch(spark, "ordered")
-    V.canon(spark, d).select(*[c.split()[0] for c in LINE.split(", ")]).orderBy(*canonical_order(False)).coalesce(1).write.json(path)
+    V.canon(spark, d).select(*[c.split()[0] for c in LINE.split(", ")]).orderBy(*canonical_order(False)).write.json(path)
     rows, proof = files.read_ordered_jsonl(spark, path, LINE)
     return rows.agg(F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set("instrument_id")), ",").alias("instruments")).where((F.col("rows") == proof["rows"]) & (F.col("instruments") == ",".join(proof["instruments"])))
 
@@ -1495,3 +1495,20 @@ def ingest_bundle_faults(spark, d):
             Folder(spark, path).delete("COMMITTED")
         out.append((name, receipt["event_count"], ", ".join(ingest.bundle_problems(spark, path))))
     return spark.createDataFrame(out, "instrument_id string, event_count long, problems string")
+
+
+@query(
+    """SELECT c_custkey, coalesce(n >= 8, false) AND coalesce(lo <= 100000, false) AND coalesce(f = 0, false) AS promoted,
+  (NOT coalesce(n >= 8, false))::INT + (NOT coalesce(lo <= 100000, false))::INT + CASE WHEN n IS NULL THEN 1 ELSE f END::BIGINT AS broken
+FROM (SELECT c_custkey FROM customer) c LEFT JOIN (SELECT o_custkey, count(*) AS n, min(o_totalprice) AS lo FROM orders GROUP BY 1) o ON c_custkey = o.o_custkey
+LEFT JOIN (SELECT o_custkey, count(*) FILTER (most > 450000) AS f FROM (SELECT o_custkey, o_orderpriority, max(o_totalprice) AS most FROM orders GROUP BY 1, 2) GROUP BY 1) s ON c_custkey = s.o_custkey"""
+)
+def promotion_decisions(spark, d):
+    """Customers as candidates: their orders give the statistics, a scenario is a priority and fails with a very large order."""
+    o = V.table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", "o_totalprice")
+    given = o.groupBy("c_custkey").agg(F.count("*").cast("double").alias("n"), F.min("o_totalprice").alias("lo")).unpivot(["c_custkey"], ["n", "lo"], "name", "value")
+    stats = given.unionByName(V.table(spark, d, "customer").select("c_custkey", F.lit("n").alias("name"), F.lit(None).cast("double").alias("value")))
+    stresses = o.groupBy("c_custkey", F.col("o_orderpriority").alias("scenario")).agg(F.when(F.max("o_totalprice") > 450_000, "blocked").otherwise("pass").alias("status"))
+    out = sweep.promotions(stats, stresses, {"n": (">=", 8), "lo": ("<=", 100_000)}, "c_custkey")
+    everyone = V.table(spark, d, "customer").select("c_custkey").join(out, "c_custkey", "left")
+    return everyone.select("c_custkey", F.coalesce("promoted", F.lit(False)).alias("promoted"), F.coalesce(F.size("broken"), F.lit(3)).cast("long").alias("broken"))

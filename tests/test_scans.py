@@ -247,3 +247,26 @@ def test_a_missing_incumbent_stops_the_roll(spark):
     df = spark.createDataFrame(bars, "series string, instrument_id string, event_time_ns long, close double, volume double")
     with pytest.raises(Exception, match="incumbent contract x missing while challenger y was evaluated at timestamp 41"):
         rolls.volume_roll(df, width=8).collect()
+
+
+# --- costs and promotions
+
+
+def test_undated_costs_are_refused(spark):
+    curve = spark.createDataFrame([("k", 1, 1.0)], "k string, event_time_ns long, equity double")
+    costs = spark.createDataFrame([("k", 1, 2.0), ("k", None, 3.0)], "k string, event_time_ns long, amount double")
+    with pytest.raises(Exception, match="without a time"):
+        lookups.cumulative_costs(curve, costs, ["k"]).collect()
+    total = lambda x: spark.createDataFrame([("k", x)], "k string, total double")
+    assert lookups.cumulative_costs(curve, costs.where("event_time_ns = 1"), ["k"], total(2.0)).first().gross_equity == 3.0
+    with pytest.raises(ValueError, match="not all dated"):
+        lookups.cumulative_costs(curve, costs.where("event_time_ns = 1"), ["k"], total(5.0))
+
+
+def test_promotions_of_many(spark):
+    from tapewright.operators import sweep
+
+    stats = spark.createDataFrame([("a", "psr", 0.99), ("a", "pbo", 0.1), ("b", "psr", 0.5), ("b", "pbo", 0.1), ("c", "psr", float("nan")), ("d", "psr", 0.99), ("d", "pbo", 0.2)], "k string, name string, value double")
+    stresses = spark.createDataFrame([("a", "x", "pass"), ("b", "x", "pass"), ("b", "y", "blocked"), ("c", "x", "pass"), ("e", "x", None)], "k string, scenario string, status string")
+    got = {r.k: (r.promoted, r.broken) for r in sweep.promotions(stats, stresses, {"psr": (">=", 0.95), "pbo": ("<=", 0.2)}, "k").collect()}
+    assert got == {"a": (True, []), "b": (False, ["psr >= 0.95", "y"]), "c": (False, ["pbo <= 0.2", "psr >= 0.95"]), "d": (False, ["no stress"]), "e": (False, ["pbo <= 0.2", "psr >= 0.95", "x"])}
