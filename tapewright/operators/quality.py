@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import MARKET_KEY, order_key, ordered_lag
+from ..model import DAY_NS, MARKET_KEY, order_key, ordered_lag
+from .scans import scan
 
 #: Checks and their severities.
 SEVERITY = {
@@ -18,6 +19,8 @@ SEVERITY = {
 #: Fields in which zero is a value like any other.
 ZERO_ALLOWED = ("volume", "size")
 STREAM = ("instrument_id", "event_type")
+#: Allowed intervals that are written into a plan.
+LITERALS = 64
 
 
 def timestamp_disorder(events: DataFrame, block: int = 100_000) -> DataFrame:
@@ -76,17 +79,25 @@ def interval_gaps(bars: DataFrame, interval_ns: int, sessions: list[tuple[int, i
     """Gaps over the expected interval between an instrument's bars, and what explains them.
 
     sessions and rolls: (start, end) of allowed intervals, part of the policy. A gap that one contains is a session gap,
-    else a roll gap, else a missing interval."""
+    else a roll gap, else a missing interval. Up to LITERALS intervals are part of the plan; a longer calendar is a table, in
+    which a gap lies inside an interval if it ends no later than the latest end of those that begin no later."""
     w = W.partitionBy("instrument_id").orderBy("event_time_ns")
     g = bars.select("instrument_id", "event_time_ns", F.lag("event_time_ns").over(w).alias("prev")).where(f"event_time_ns - prev > {interval_ns}")
 
-    def inside(allowed):
-        if not allowed:
-            return F.lit(False)
-        rows = F.array(*[F.struct(F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b")) for a, b in allowed])
-        return F.exists(rows, lambda x: (F.col("prev") >= x["a"]) & (F.col("event_time_ns") <= x["b"]))
-
-    code = F.when(inside(sessions), "session_gaps").when(inside(rolls), "roll_gaps").otherwise("missing_intervals")
+    def marked(gaps: DataFrame, name: str, allowed) -> DataFrame:
+        if len(allowed) <= LITERALS:
+            if not allowed:
+                return gaps.withColumn(name, F.lit(False))
+            rows = F.array(*[F.struct(F.lit(int(a)).alias("a"), F.lit(int(b)).alias("b")) for a, b in allowed])
+            return gaps.withColumn(name, F.exists(rows, lambda x: (F.col("prev") >= x["a"]) & (F.col("event_time_ns") <= x["b"])))
+        rows = gaps.select(F.col("prev").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.struct("*").alias("_row"))
+        days = gaps.sparkSession.createDataFrame([(int(a), int(b)) for a, b in allowed], "_at long, _end long")
+        both = rows.unionByName(days.select("_at", F.lit(0).alias("_kind"), "_end", F.lit(None).cast(rows.schema["_row"].dataType).alias("_row")))
+        seen = scan(both, [], ["_at", "_kind"], {"_latest": ("max", F.col("_end"))}, DAY_NS).where("_kind = 1")
+        return seen.select("_row.*", F.coalesce(F.col("_row.event_time_ns") <= F.col("_latest"), F.lit(False)).alias(name))
+
+    g = marked(marked(g, "_session", sessions), "_roll", rolls)
+    code = F.when(F.col("_session"), "session_gaps").when(F.col("_roll"), "roll_gaps").otherwise("missing_intervals")
     return g.select("instrument_id", "prev", "event_time_ns", code.alias("code"))
 
 

@@ -10,13 +10,22 @@ from pyspark.sql import DataFrame
 from .session import local_dir
 
 _OPEN: list[list[str]] = []
+_ROOTS: dict[str, str] = {}
+
+
+def _root(spark) -> str:
+    """The shared folder; where none is named, one temporary folder an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = local_dir(spark)
+    return _ROOTS[app]
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a table and read it back, so that lineage ends there and what is read twice is made once. The file system deletes it
     when the application ends, scratch() sooner."""
     spark = df.sparkSession
-    path = f"{local_dir(spark)}/tapewright/{name}-{uuid.uuid4().hex}"
+    path = f"{_root(spark)}/tapewright/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _file_system(spark, path).deleteOnExit(_path(spark, path))
     if _OPEN:

@@ -270,3 +270,16 @@ def test_promotions_of_many(spark):
     stresses = spark.createDataFrame([("a", "x", "pass"), ("b", "x", "pass"), ("b", "y", "blocked"), ("c", "x", "pass"), ("e", "x", None)], "k string, scenario string, status string")
     got = {r.k: (r.promoted, r.broken) for r in sweep.promotions(stats, stresses, {"psr": (">=", 0.95), "pbo": ("<=", 0.2)}, "k").collect()}
     assert got == {"a": (True, []), "b": (False, ["psr >= 0.95", "y"]), "c": (False, ["pbo <= 0.2", "psr >= 0.95"]), "d": (False, ["no stress"]), "e": (False, ["pbo <= 0.2", "psr >= 0.95", "x"])}
+
+
+def test_long_calendars_explain_the_same_gaps(spark, monkeypatch):
+    from tapewright.operators import quality
+
+    rng, day = random.Random(6), 86_400_000_000_000
+    bars = spark.createDataFrame([(k, t * day // 24) for k in ("A", "B") for t in sorted(rng.sample(range(2000), 900))], "instrument_id string, event_time_ns long")
+    sessions = [(d * day, d * day + rng.randrange(1, 3) * day) for d in range(0, 84, 5)]
+    rolls = [(d * day + day // 2, d * day + 2 * day) for d in range(3, 84, 9)]
+    short = quality.interval_gaps(bars, day // 24, sessions, rolls).collect()
+    monkeypatch.setattr(quality, "LITERALS", 3)
+    assert sorted(quality.interval_gaps(bars, day // 24, sessions, rolls).collect()) == sorted(short)
+    assert {r.code for r in short} == {"session_gaps", "roll_gaps", "missing_intervals"}
