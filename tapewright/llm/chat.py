@@ -96,7 +96,8 @@ def format_conversations(log: DataFrame, learned: str = "assistant") -> DataFram
     """Rebuild conversations from their event log and render them: conv_id, formatted, loss_spans.
 
     Null conv_id: one conversation of its own. Null role: empty. A conversation without events has no row; an empty
-    log gives an empty table; further columns of the log are ignored."""
+    log gives an empty table; further columns of the log are ignored, whatever their names. A text of any length is rendered
+    whole. Events of one conversation are folded by (sequence, ...) as messages() says; a repeated event counts again."""
     return render(messages(log), learned)
 
 

@@ -258,17 +258,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write pages to archives in the shared folder and read them back (without payloads). An empty table writes
-    archives without records and gives an empty table; further columns of pages are ignored."""
+    archives without records and gives an empty table; further columns of pages are ignored, whatever their names. A payload
+    of any length is written whole, in segments; nulls and repeated rows are treated as write_warc() says."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(pages, path, least)
     return read_warc(spark, path, payload=False)
-
-
-def oracle(table: str = "pages", least: int = 0) -> str:
-    """Without the digest's base32 spelling, which DuckDB lacks, there is no SQL for the whole result; this gives the rest."""
-    return f"""
-SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
-FROM (SELECT *, CASE WHEN strlen(coalesce(html, '')) >= {least} THEN min(page_id) OVER (PARTITION BY coalesce(html, '')) ELSE page_id END AS first_id FROM {table})"""
