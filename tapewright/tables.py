@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .session import local_dir
 
@@ -48,19 +48,14 @@ def scratch(make):
     def made(*args, **named) -> DataFrame:
         _OPEN.append([])
         try:
-            out = make(*args, **named)
-            spark, inner = out.sparkSession, _OPEN[-1]
-            _OPEN[-1] = []
-            out = saved(out, make.__name__)
-            result = _OPEN[-1]
-            _OPEN[-1] = inner
+            out = saved(make(*args, **named), make.__name__)
+            kept = _OPEN[-1].pop()
         finally:
-            gone = _OPEN.pop()
-            spark = locals().get("spark")
-            for path in gone if spark is not None else []:
+            spark = SparkSession.getActiveSession()
+            for path in _OPEN.pop():
                 _file_system(spark, path).delete(_path(spark, path), True)
         if _OPEN:
-            _OPEN[-1] += result
+            _OPEN[-1].append(kept)
         return out
 
     return made

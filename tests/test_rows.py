@@ -76,3 +76,37 @@ def test_gates_refuse_unknown_comparisons(spark):
     rules = spark.createDataFrame([("g", 1, None, "r", "f", "around", "1", "why")], gates.RULES)
     with pytest.raises(ValueError, match="around"):
         gates.decisions(spark.createDataFrame([("p", "f", "1")], "package_id string, fact string, value string"), rules)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from tapewright import tables
+
+    made = []
+
+    def kept(df, name):
+        made.append(tables.saved(df, name))
+        return made[-1]
+
+    @tables.scratch
+    def inner(fail):
+        kept(spark.range(3), "inner-part")
+        if fail:
+            raise ValueError("no")
+        return spark.range(5)
+
+    @tables.scratch
+    def outer():
+        kept(spark.range(2), "outer-part")
+        return inner(False).where("id > 1")
+
+    files = lambda df: [f.removeprefix("file://") for f in df.inputFiles()]
+    with pytest.raises(ValueError, match="no"):
+        inner(True)
+    assert tables._OPEN == []
+    out = outer()
+    assert out.count() == 3 and all(os.path.exists(f) for f in files(out))
+    for df in made:
+        with pytest.raises(Exception):
+            df.count()
