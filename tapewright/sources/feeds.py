@@ -14,10 +14,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
+import pyarrow.fs  # noqa: F401  pa.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThan
 
-from .ingest import get_json
 from .markets import prediction_document, spot_rows
 
 #: Kinds of read, and whether a range of time cuts them into chunks.
