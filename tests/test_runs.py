@@ -491,6 +491,32 @@ def test_explicit_folds(spark):
             recompute.explicit_folds(spark, bad, 30)
 
 
+def test_promotion_problems_of_odd_rows(spark):
+    """Runs without a key or twice, metrics repeated, unasked for, of unknown runs, not finite, missing."""
+    sides = [(s, n) for s in ("gross", "net") for n in recompute.PROMOTION_METRICS]
+    odd = {(1, "gross", "pnl"): [float("nan"), None], (1, "net", "pnl"): [float("inf")], (1, "net", "sharpe"): [float("nan"), 0.0], (3, "net", "turnover"): []}
+    rows = [(k, s, n, v) for k in (1, 2, 3, 9, None) for s, n in sides for v in odd.get((k, s, n), [1.5, 1.5])]
+    rows += [(4, "gross", "capacity", 1.0), (4, None, "pnl", 1.0), (4, "net", None, 1.0)]
+    runs = [(1, 3, 252.0), (2, 1, 12.0), (3, None, 0.0), (3, 0, None), (4, 3, 252.0), (5, 3, 252.0), (None, 3, 252.0)]
+    metrics = spark.createDataFrame(rows, "run long, side string, name string, value double")
+    got = recompute.promotion_problems(metrics, spark.createDataFrame(runs, "run long, trades long, periods_per_year double"), "run")
+    want = [(1, "gross.pnl"), (1, "net.pnl")] + [(3, p) for p in ("net.turnover", "trades", "periods_per_year")] * 2 + [(k, f"{s}.{n}") for k in (4, 5, None) for s, n in sides]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_promotion_problems_broadcast_nothing(spark):
+    """Twelve metrics a run look as small as the runs they are made from; held by the driver, they ended the query by its memory."""
+    runs = spark.range(20_000).select(F.col("id").alias("run"), F.lit(3).alias("trades"), F.lit(252.0).alias("periods_per_year"))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(n).alias("name")) for s in ("gross", "net") for n in recompute.PROMOTION_METRICS]))
+    metrics = runs.select("run", sides.alias("x")).select("run", "x.side", "x.name", F.when(F.col("run") != 7, 1.0).alias("value"))
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1k")
+    try:
+        assert {r.run for r in recompute.promotion_problems(metrics, runs, "run").collect()} == {7}
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+
+
 def test_features_refuse_other_bars(spark):
     b = spark.createDataFrame([("X", 1, 100.0), ("X", 2, 110.0)], "instrument_id string, event_time_ns long, close double")
     digest = lookups.order_free_digest(b, sorted(b.columns)).first()["digest"]
